@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm import chat_format, exact_dedup, url_filter
+from chronolith.llm import chat_format, exact_dedup, mixing, packing, setsketch, url_filter
 from chronolith.llm.common import table
 
 #: Fixed rules of the url query.
@@ -35,6 +35,25 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), cap=3).drop("source_no")
+
+
+def public_tokenizer() -> tuple[str, str, str]:
+    """Paths of the public byte-level vocabulary, as JSON and as ranks, and its pre-splitting pattern."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizer(), capacity=2048, end_id=0)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
@@ -42,5 +61,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op3_chat_format": op3_chat_format,
+    "op5_setsketch": op5_setsketch,
+    "op7_mixing": op7_mixing,
+    "op9_packing": op9_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }

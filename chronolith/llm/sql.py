@@ -36,6 +36,29 @@ select conv_id, count(*) as n_turns,
 from seen group by conv_id
 """
 
+OP7 = r"""
+with d as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size,
+    md5(coalesce(doc_id::varchar, 'null') || ':7') as turn from documents),
+s as (
+  select source, sum(size)::bigint as n, [5, 2, 1][((row_number() over (order by source is null, source) - 1) % 3 + 1)::int] as w from d group by source),
+o as (  -- the smaller a source is for its weight, the earlier it is capped
+  select *, (sum(n) over ())::bigint - coalesce(sum(3 * n) over before, 0)::bigint as rest, sum(w) over after as open
+  from s window before as (order by n / w, source rows between unbounded preceding and 1 preceding),
+    after as (order by n / w, source rows between current row and unbounded following)),
+c as (select *, rest * w > 3 * n * open as over from o),
+last as (select max(rest) as rest, max(open) as open from c where not over),
+t as (
+  select source, n, case when over then 3.0::double * n else (last.rest * w)::double / last.open::double end as target from c, last),
+p as (
+  select d.doc_id, d.size, t.n as source_size, t.target, floor(t.target + 0.5)::bigint as words,
+    sum(d.size) over (partition by d.source order by turn, d.doc_id, d.size rows unbounded preceding) - d.size as pos
+  from d join t on d.source is not distinct from t.source)
+select doc_id, size::bigint as size, source_size, target,
+  case when source_size = 0 then 0 else ((words // source_size) * size + greatest(0, least(size, words % source_size - pos)))::bigint end as taken
+from p
+"""
+
 OP10 = """
 with d as (select doc_id, coalesce(text, '') as text, row_number() over (partition by doc_id, text) as turn from documents)
 select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
@@ -43,4 +66,4 @@ select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
 from d window w as (partition by text)
 """
 
-ORACLES = {"op1_url_filter": OP1, "op3_chat_format": OP3, "op10_exact_dedup": OP10}
+ORACLES = {"op1_url_filter": OP1, "op3_chat_format": OP3, "op7_mixing": OP7, "op10_exact_dedup": OP10}
