@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm import chat_format, exact_dedup, mixing, packing, setsketch, url_filter
+from chronolith.llm import chat_format, exact_dedup, imatch, mixing, packing, setsketch, url_filter
 from chronolith.llm.common import table
 
 #: Fixed rules of the url query.
@@ -50,6 +50,10 @@ def public_tokenizer() -> tuple[str, str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizer(), capacity=2048, end_id=0)
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": op3_chat_format,
     "op5_setsketch": op5_setsketch,
     "op7_mixing": op7_mixing,
+    "op8_imatch": op8_imatch,
     "op9_packing": op9_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }
