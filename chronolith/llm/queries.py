@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm import chat_format, exact_dedup, imatch, langid, mixing, packing, setsketch, url_filter
+from chronolith.llm import chat_format, exact_dedup, imatch, langid, mixing, packing, setsketch, toxicity, url_filter
 from chronolith.llm.common import crc_mod, table
 
 #: Fixed rules of the url query.
@@ -43,6 +43,13 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(crc_mod(F.col("doc_id"), 4) != 2))
+    out = docs.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), toxicity.score_column(F.col("text"), model).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op5_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -74,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_langid": op2_langid,
     "op3_chat_format": op3_chat_format,
+    "op4_toxicity": op4_toxicity,
     "op5_setsketch": op5_setsketch,
     "op7_mixing": op7_mixing,
     "op8_imatch": op8_imatch,
