@@ -9,7 +9,7 @@ m * ln(m) points.
 Links are decided by sizes of true intersections. No pairs of a group are enumerated up front: in each band bucket every
 member meets one leader, components form, and only members of *different* components meet again, in rounds with other
 leaders and last in full. So a group of n copies costs about n comparisons, and no link between components is lost that
-shares a bucket (for similarity 0.85: all but 3 in 10 million).
+shares a bucket (all but one in a million of pairs just at the threshold).
 """
 
 from __future__ import annotations
@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from chronolith.llm.common import mix, slices, small, stored, words
 from chronolith.llm.components import components
 
-REGISTERS, PER_BAND = 192, 6
+REGISTERS = 192
+#: Chance that a pair just at the threshold shares no band, at most.
+MISS = 1e-6
 BASE, TOP = 1.1, 255
 #: The register of x = 1 (rate 1); up to sets of about 10**9 and down to x = e**3 fit one byte.
 ZERO = 40
@@ -116,6 +118,12 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return (lo + hi) / 2
 
 
+def per_band(share: float, m: int = REGISTERS, miss: float = MISS) -> int:
+    """The most registers a band may have for pairs of similarity `share` to be missed with chance `miss` at most."""
+    fits = [r for r in range(1, m) if (1 - share**r) ** (m // r) <= miss]
+    return max(fits)
+
+
 # ---------------------------------------------------------------- stages
 
 
@@ -144,7 +152,7 @@ def sketch(docs: DataFrame, width: int, m: int = REGISTERS) -> DataFrame:
     return docs.mapInArrow(run, "id bigint, n bigint, digest binary, regs binary")
 
 
-def band_rows(reps: DataFrame, per_band: int = PER_BAND) -> DataFrame:
+def band_rows(reps: DataFrame, width: int) -> DataFrame:
     """key, id, n: one row per band of every representative."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +160,7 @@ def band_rows(reps: DataFrame, per_band: int = PER_BAND) -> DataFrame:
             if not batch.num_rows:
                 continue
             regs = np.stack([np.frombuffer(x, np.uint8) for x in batch.column("regs").to_pylist()])
-            keys = _band_keys(regs, per_band)
+            keys = _band_keys(regs, width)
             each = keys.shape[1]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(np.asarray(batch.column("id")), each)), pa.array(np.repeat(np.asarray(batch.column("n")), each))],
@@ -220,7 +228,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # One row carries the sketch of each distinct set; its id stands for all rows that have the set.
     reps = solid.join(groups.withColumnRenamed("digest", "g"), (F.col("digest") == F.col("g")) & (F.col("id") == F.col("rep"))).select("id", "n", "regs", "digest").dropDuplicates(["digest"])
     reps = stored(reps, "reps")
-    bands = band_rows(reps)
+    bands = band_rows(reps, per_band(percent / 100))
     crowded = bands.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("lead")).filter("c > 1")
     met = stored(bands.join(crowded.select("key", F.col("lead.id").alias("lead"), F.col("lead.n").alias("ln")), "key"), "buckets")
 

@@ -1,11 +1,25 @@
-"""A corpus from documents: toxic ones go, copies go, sources are mixed, sequences are packed."""
+"""A corpus from documents: toxic ones go, copies and near copies go, sources are mixed, sequences are packed.
+
+Every stage works on all rows its predecessor kept. All but the last return the columns of documents. Rows with a null
+doc_id pass through the stages like others, except that near duplicates among them are not looked for.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chronolith.llm import exact_dedup, mixing, packing, setsketch, toxicity
+from chronolith.llm.common import small, stored, table
+from chronolith.llm.queries import public_tokenizer
+
+THRESHOLD = 0.3
 
-from chronolith.llm import exact_dedup
-from chronolith.llm.common import stored, table
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose toxicity score reaches THRESHOLD go; the model learns from labelled rows of `docs`."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return docs.withColumn("__toxic", toxicity.score_column(F.col("text"), model)).filter(F.col("__toxic") < THRESHOLD).drop("__toxic")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,12 +27,31 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.keep_first_copies(docs, keep="max")
 
 
-STAGES = [("exact_dedup", drop_copies)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group linked by five-word shingles at 0.8 or more stays, the one with the smallest doc_id."""
+    found = setsketch.near_duplicates(docs, width=5, percent=80)
+    gone = stored(found.filter("not kept").select(F.col("doc_id").alias("__id")).distinct(), "dropped")
+    return docs.join(small(gone), F.col("doc_id") == F.col("__id"), "left_anti")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mix takes them; one row of a source may be cut to the words still wanted."""
+    return mixing.apply_mix(docs, mixing.mix(docs, weights=(5, 2, 1), cap=3))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a document, with its sequence and place."""
+    return packing.pack(docs, public_tokenizer(), capacity=2048, end_id=0)
+
+
+STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("mixing", mix_sources), ("packing", pack_sequences)]
+#: Set sketches, the automaton and the packing order are beyond SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STAGES one after another; each result is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
