@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm import chat_format, exact_dedup, imatch, langid, mixing, packing, setsketch, toxicity, url_filter
+from chronolith.llm import chat_format, exact_dedup, imatch, langid, mixing, ngram_lm, packing, setsketch, toxicity, url_filter
 from chronolith.llm.common import crc_mod, table
 
 #: Fixed rules of the url query.
@@ -54,6 +54,13 @@ def op5_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op6_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod(F.col("doc_id"), 7) == 2
+    model = ngram_lm.fit(docs.filter(~held_out))
+    return ngram_lm.score(docs, model).withColumn("held_out", crc_mod(F.col("doc_id"), 7) == 2)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), cap=3).drop("source_no")
 
@@ -83,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": op3_chat_format,
     "op4_toxicity": op4_toxicity,
     "op5_setsketch": op5_setsketch,
+    "op6_ngram_lm": op6_ngram_lm,
     "op7_mixing": op7_mixing,
     "op8_imatch": op8_imatch,
     "op9_packing": op9_packing,
