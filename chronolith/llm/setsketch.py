@@ -6,10 +6,11 @@ rate. Registers of a union are the larger ones of both (mergeable), and they agr
 similarity is (locality-sensitive). Points beyond a set's reach are never generated: a set of any size costs about
 m * ln(m) points.
 
-Links are decided by sizes of true intersections. No pairs of a group are enumerated up front: in each band bucket every
-member meets one leader, components form, and only members of *different* components meet again, in rounds with other
-leaders and last in full. So a group of n copies costs about n comparisons, and no link between components is lost that
-shares a bucket (all but one in a million of pairs just at the threshold).
+Links are decided by sizes of true intersections. No pairs of a group are listed: in each band bucket every member meets
+one leader, the most central one, and components form. What is left are buckets whose members are still in different
+components; these are dealt in blocks of BLOCK_ROWS, and a task compares two blocks as matrices and returns only links
+that join components. So a group of copies costs about one comparison per copy, and no link between components is lost
+that shares a bucket (all but one in a million of pairs just at the threshold).
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ MISS = 1e-6
 BASE, TOP = 1.1, 255
 #: The register of x = 1 (rate 1); up to sets of about 10**9 and down to x = e**3 fit one byte.
 ZERO = 40
-STAR_ROUNDS = 3
+#: Rows that a task compares with as many others.
+BLOCK_ROWS = 128
 #: Standard deviations below the threshold at which an estimate still leads to a comparison.
 MARGIN = 5.0
 
@@ -213,6 +215,79 @@ def _pairs_of(buckets: DataFrame, percent: int) -> DataFrame:
     return buckets.filter(fits).select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
 
 
+def _overlaps(items: np.ndarray, at: np.ndarray, chunk: int = 8192) -> np.ndarray:
+    """Sizes of all intersections of the rows' sets, by products of 0/1 matrices over a chunk of shingles at a time."""
+    k = len(at) - 1
+    row = np.repeat(np.arange(k), np.diff(at))
+    uniq, col, many = np.unique(items, return_inverse=True, return_counts=True)
+    own = many[col] > 1  # a shingle of one row is in no intersection
+    number = np.cumsum(many > 1) - 1
+    row, col = row[own], number[col[own]]
+    total = np.zeros((k, k), np.float32)
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, chunk):
+        part = slice(*np.searchsorted(col, [lo, lo + chunk]))
+        m = np.zeros((k, chunk), np.float32)
+        m[row[part], col[part] - lo] = 1
+        total += m @ m.T
+    return total
+
+
+def _block_links(members: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """a, b: links between rows of different components that share a band, enough of them to join what can be joined.
+
+    members: id, comp, team, blocks; rows of one team are dealt over its blocks, and every two blocks meet in one task.
+    """
+    band = per_band(percent / 100)
+    need = texts.join(small(members.select("id")), "id", "left_semi")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            items, at = shingle_sets(part.column("text"), width)
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([items[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["id", "items"])
+
+    made = need.mapInArrow(sets, "id bigint, items binary").dropDuplicates(["id"])
+    full = members.join(reps.select("id", "regs").dropDuplicates(["id"]), "id").join(made, "id")
+    full = full.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    full = full.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other", "blocks")
+
+    def compare(group: pa.Table) -> pa.Table:
+        ids, comp, own = (np.asarray(group.column(c)) for c in ("id", "comp", "own"))
+        regs = np.stack([np.frombuffer(x, np.uint8) for x in group.column("regs").to_pylist()])
+        raw = group.column("items").to_pylist()
+        at = np.concatenate([[0], np.cumsum([len(x) // 8 for x in raw])])
+        keys, n = _band_keys(regs, band), np.diff(at)
+        maybe = (comp[:, None] != comp[None, :]) & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
+        if group.column("lo")[0].as_py() != group.column("hi")[0].as_py():
+            maybe &= own[:, None] != own[None, :]
+        met = np.zeros_like(maybe)
+        for k in range(keys.shape[1]):
+            met |= keys[:, None, k] == keys[None, :, k]
+        maybe &= met
+        maybe[np.tril_indices(len(ids))] = False
+        out: tuple[list, list] = ([], [])
+        if maybe.any():
+            shared = _overlaps(np.frombuffer(b"".join(raw), np.uint64), at)
+            union = n[:, None] + n[None, :] - shared
+            up: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while up.get(x, x) != x:
+                    x = up[x]
+                return x
+
+            for i, j in zip(*np.nonzero(maybe & (100 * shared >= percent * union)), strict=True):
+                a, b = top(int(comp[i])), top(int(comp[j]))
+                if a != b:  # one link joins two components
+                    up[max(a, b)] = min(a, b)
+                    out[0].append(int(min(ids[i], ids[j])))
+                    out[1].append(int(max(ids[i], ids[j])))
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+    return full.groupBy("team", "lo", "hi").applyInArrow(compare, "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """id, n_shingles, component_id, kept for every row of docs.
 
@@ -229,48 +304,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = solid.join(groups.withColumnRenamed("digest", "g"), (F.col("digest") == F.col("g")) & (F.col("id") == F.col("rep"))).select("id", "n", "regs", "digest").dropDuplicates(["digest"])
     reps = stored(reps, "reps")
     bands = band_rows(reps, per_band(percent / 100))
-    crowded = bands.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("lead")).filter("c > 1")
-    met = stored(bands.join(crowded.select("key", F.col("lead.id").alias("lead"), F.col("lead.n").alias("ln")), "key"), "buckets")
-
-    links = None
-    label = None
-    seen = None
-    for round_ in range(STAR_ROUNDS + 1):
-        if round_ == 0:
-            pairs = _pairs_of(met, percent)
-        else:
-            named = met.select("key", "id", "n").join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-            mixed = named.groupBy("key").agg(F.countDistinct("comp").alias("comps")).filter("comps > 1").select("key")
-            named = named.join(mixed, "key", "left_semi")
-            if round_ < STAR_ROUNDS:
-                turn = F.xxhash64("id", F.lit(round_))
-                lead = named.groupBy("key").agg(F.min_by(F.struct("id", "n", "comp"), turn).alias("l")).select("key", F.col("l.id").alias("lead"), F.col("l.n").alias("ln"), F.col("l.comp").alias("lc"))
-                pairs = _pairs_of(named.join(lead, "key").filter("comp <> lc"), percent)
-            else:
-                other = named.select("key", F.col("id").alias("lead"), F.col("n").alias("ln"), F.col("comp").alias("lc"))
-                pairs = _pairs_of(named.join(other, "key").filter("comp < lc"), percent)
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        likely = stored(_likely(pairs, reps, percent / 100), "likely")
-        seen = likely if seen is None else seen.unionByName(likely)
-        if likely.isEmpty():
-            if round_ == 0:
-                break
-            continue
-        good = stored(verify(likely, texts, width, percent), "links")
-        links = good if links is None else links.unionByName(good)
-        label = stored(components(links), "labels")
+    sizes = bands.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    met = stored(bands.join(sizes, "key"), "buckets")
+    # Of a bucket's members the one that meets most rows in all of its buckets is nearest to what they have in common.
+    central = met.groupBy("id").agg(F.sum("c").alias("meets"))
+    lead = met.join(central, "id").groupBy("key").agg(F.max_by(F.struct("id", "n"), F.struct("meets", -F.col("id"))).alias("l"))
+    pairs = _pairs_of(met.join(lead.select("key", F.col("l.id").alias("lead"), F.col("l.n").alias("ln")), "key"), percent)
+    links = stored(verify(_likely(pairs, reps, percent / 100), texts, width, percent), "links")
+    label = stored(components(links), "labels")
+    named = met.select("key", "id").join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    mixed = named.groupBy("key").agg(F.min("comp").alias("one"), F.max("comp").alias("two"), F.min("id").alias("lead")).filter("one <> two")
+    left = stored(named.join(mixed.select("key", "lead"), "key").select("id", "comp", "lead").distinct(), "left")
+    if not left.isEmpty():
+        team = components(left.select(F.col("lead").alias("a"), F.col("id").alias("b")))
+        members = left.select("id", "comp").distinct().join(team.withColumnRenamed("comp", "team"), "id")
+        counts = members.groupBy("team").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
+        members = stored(members.join(counts, "team"), "members")
+        more = stored(_block_links(members, reps, texts, width, percent), "links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            label = stored(components(links), "labels")
     same = solid.select("id", "digest").join(groups.select("digest", "rep"), "digest").select("id", "rep")
     # An id with several texts ties their classes together.
     tied = same.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi")
     if not tied.isEmpty():
         extra = same.join(tied.select("id"), "id", "left_semi").select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b"))
-        links = extra if links is None else links.unionByName(extra)
+        links = links.unionByName(extra)
         label = stored(components(links.filter("a <> b").distinct()), "labels")
     member = same.groupBy("id").agg(F.min("rep").alias("rep"))
-    if label is not None:
-        member = member.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    else:
-        member = member.withColumn("comp", F.col("rep"))
+    member = member.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     out = all_.select("id", "n").join(member.select("id", "comp"), "id", "left")
     comp = F.coalesce("comp", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), comp.eqNullSafe(F.col("id")).alias("kept"))
