@@ -154,22 +154,22 @@ def pieces(docs: DataFrame, tokenizer: tuple[str, str, str], capacity: int = CAP
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of each item, in the order given.
 
-    An item goes where sum(N[g]**2) over open bins' gaps g becomes smallest: into a bin of gap g >= size, which becomes
-    one of gap g - size (a full bin leaves the count), or into a new bin. Ties go to the smallest gap.
+    An item goes into the open bin that makes sum(N[g]**2) over the gaps g of open bins smallest: a bin of gap g >= size
+    becomes one of gap g - size, and a full bin leaves the count, which changes the sum by 2 * (N[g - size] - N[g]) + 2,
+    or by 1 - 2 * N[g] where it is filled. A new bin is opened only where no open one has room. Ties go to the smallest
+    gap.
     """
     count = np.zeros(capacity + 1, np.int64)
     open_: list[list[int]] = [[] for _ in range(capacity + 1)]
     bins, offsets, made = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64), 0
     far = np.iinfo(np.int64).max
     for k, s in enumerate(sizes.tolist()):
-        gaps = count[s : capacity + 1]
-        cost = np.where(gaps > 0, count[: capacity + 1 - s] - gaps, far)
+        gaps = count[s:]
+        cost = np.where(gaps > 0, 2 * (count[: capacity + 1 - s] - gaps) + 2, far)
         if gaps[0] > 0:
-            cost[0] = -gaps[0]
+            cost[0] = 1 - 2 * gaps[0]
         g = int(cost.argmin())
-        fresh = count[capacity - s] if s < capacity else -1
-        # Change of the sum: 2 * (N[g-s] - N[g]) + 2, or 2 * N[capacity-s] + 1 for a new bin.
-        if cost[g] != far and (2 * cost[g] + (2 if g else 1) <= 2 * fresh + 1):
+        if cost[g] != far:
             gap = g + s
             b = open_[gap].pop()
             count[gap] -= 1
