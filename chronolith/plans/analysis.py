@@ -35,7 +35,7 @@ def earlier_neighbor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _links(spark, sf_dir).select("child", "parent", F.round("cosine", 6).alias("cosine"), F.round("gap", 6).alias("gap"))
 
 
-FIRST_WORDS = r"regexp_extract_all(lower(regexp_extract(text, '^[^\n]*')[1:120]), '([a-z][a-z'']*)')"
+TEXT_WORDS = r"regexp_extract_all(lower(text), '([a-z][a-z'']*)')"
 TFIDF_SQL = """n as (select count(*) as n from lex_docs),
   tf as (select id, term, count(*) as tf from (select id, unnest(ws) as term from lex_docs) group by all),
   df as (select term, count(*) as df from tf group by 1),
@@ -44,14 +44,13 @@ TFIDF_SQL = """n as (select count(*) as n from lex_docs),
   lex as (select a.id as child, b.id as parent, sum(a.w * b.w) as lexical from wt a join wt b using (term) where b.id < a.id group by all)"""
 
 
-def _first_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.substring(T.first_line(F.col("text")), 1, 120)
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.phrase_words(line).alias("ws"))
+def _text_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.phrase_words(F.col("text")).alias("ws"))
 
 
 @query(
     "neighbor_methods",
-    f"""with {PAIR_SQL}, lex_docs as (select doc_id as id, {FIRST_WORDS} as ws from documents where doc_id in (select id from vectors)), {TFIDF_SQL},
+    f"""with {PAIR_SQL}, lex_docs as (select doc_id as id, {TEXT_WORDS} as ws from documents where doc_id in (select id from vectors)), {TFIDF_SQL},
     p as (select pair.*, coalesce(lexical, 0) as lexical from pair left join lex using (child, parent)),
     q as (select *, case when max(cosine) over w > min(cosine) over w then (cosine - min(cosine) over w) / (max(cosine) over w - min(cosine) over w) else 0 end as scaled,
       row_number() over (partition by child order by round(lexical, 9) desc, parent) as place from p window w as (partition by child)),
@@ -62,7 +61,7 @@ def _first_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def neighbor_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
-    lex = neighbors.lexical(neighbors.tfidf(_first_words(spark, sf_dir).join(rows.select("id"), "id", "left_semi"), F.col("ws")))
+    lex = neighbors.lexical(neighbors.tfidf(_text_words(spark, sf_dir).join(rows.select("id"), "id", "left_semi"), F.col("ws")))
     p = graph._written(neighbors.pairs(rows).join(lex, ["child", "parent"], "left").withColumn("lexical", F.coalesce("lexical", F.lit(0.0))))
     best = neighbors.five_methods(p, gate=20, alpha=0.03, per_year=100.0)
     return best.groupBy("method").agg(F.count("*").alias("links"), F.round(F.avg((F.col("family_c") == F.col("family_p")).cast("int")), 6).alias("same_family"), F.round(F.avg("gap"), 6).alias("mean_gap"), F.round(F.avg("cosine"), 6).alias("mean_cosine"))
@@ -166,9 +165,9 @@ def cytoscape_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cytoscape_rows(vectors(spark, sf_dir).select("id", "family"), _edges(spark, sf_dir))
 
 
-@query("tfidf_parent", f"with lex_docs as (select doc_id as id, {FIRST_WORDS} as ws from documents), {TFIDF_SQL} select child, parent, round(lexical, 6) as lexical from lex qualify row_number() over (partition by child order by round(lexical, 9) desc, parent) = 1")
+@query("tfidf_parent", f"with lex_docs as (select doc_id as id, {TEXT_WORDS} as ws from documents), {TFIDF_SQL} select child, parent, round(lexical, 6) as lexical from lex qualify row_number() over (partition by child order by round(lexical, 9) desc, parent) = 1")
 def tfidf_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lex = neighbors.lexical(neighbors.tfidf(_first_words(spark, sf_dir), F.col("ws")))
+    lex = neighbors.lexical(neighbors.tfidf(_text_words(spark, sf_dir), F.col("ws")))
     best = lex.groupBy("child").agg(F.max_by(F.struct("parent", "lexical"), F.struct(F.round("lexical", 9), -F.col("parent"))).alias("b"))
     return best.select("child", "b.parent", F.round("b.lexical", 6).alias("lexical"))
 
@@ -198,15 +197,14 @@ def phrase_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MONTH_SQL = rf"""wanted as (select distinct unnest(list_transform(range(0, greatest(len(w) - 2, 0)), lambda i: array_to_string(w[i + 1:i + 3], ' '))) as phrase
-    from (select regexp_extract_all(lower(text), '([a-z][a-z'']*)')[1:8] as w from benchmark)),
+    from (select regexp_extract_all(lower(text), '([a-z][a-z'']*)') as w from benchmark)),
   run as (select id, year, month, unnest(list_distinct(list_transform(range(0, greatest(len(w) - 2, 0)), lambda i: array_to_string(w[i + 1:i + 3], ' ')))) as phrase
     from (select id, year, month, regexp_extract_all(lower(text), '([a-z][a-z'']*)') as w from posts)),
   hits as (select year, month, phrase, count(*) as hits from run join wanted using (phrase) group by all)"""
 
 
 def _month_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.slice(T.phrase_words(F.col("text")), 1, 8)
-    wanted = table(spark, sf_dir, "benchmark").select(first.alias("w")).select(F.explode(T.runs(F.col("w"), 3)).alias("phrase"))
+    wanted = table(spark, sf_dir, "benchmark").select(T.phrase_words(F.col("text")).alias("w")).select(F.explode(T.runs(F.col("w"), 3)).alias("phrase"))
     return phrases.month_counts(posts(spark, sf_dir), wanted, 3)
 
 
