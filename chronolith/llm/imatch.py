@@ -10,6 +10,7 @@ a short one hold a term or two, so some of them survive an edit of any size.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -122,7 +123,7 @@ def next_rows(rows: DataFrame, id_col: str, carry: list[str], per_bucket: int =
     spark = rows.sparkSession
     bounds = rows.agg(F.percentile_approx(id_col, [k / cuts for k in range(1, cuts)] or [0.5], 10 * cuts + 100).alias("b")).first()["b"] or []
     bounds = sorted(set(bounds))[::-1]  # bucket k holds ids in [bounds[k], bounds[k-1])
-    edges = stored(spark.createDataFrame([(int(b), k) for k, b in enumerate(bounds)] or [(0, 0)], "bound bigint, no int").agg(F.array_sort(F.collect_list("bound")).alias("up")), "bounds")
+    edges = stored(spark.range(1, numPartitions=1).select(F.from_json(F.lit(json.dumps([int(b) for b in bounds[::-1]])), "array<bigint>").alias("up")), "bounds")
     edges.createOrReplaceTempView(view := "imatch_bounds_" + edges.inputFiles()[0].rsplit("/", 2)[-2].replace("-", "_"))
     last = len(bounds)
     # Binary search in an array is not built in; bisecting a sorted array by powers of two is.
@@ -139,7 +140,8 @@ def next_rows(rows: DataFrame, id_col: str, carry: list[str], per_bucket: int =
         return enrich(rows).select("*", *[F.col(c).alias(f"next_{c}") for c in [*carry, *also]])
     # One row of every bucket goes to the bucket before it, and one of the first bucket to the last.
     before = {h["__bucket"]: heads[i - 1]["__bucket"] for i, h in enumerate(heads)}
-    ghosts = spark.createDataFrame([(h["__bucket"], h["head"], before[h["__bucket"]]) for h in heads], "gb int, head bigint, to int")
+    moves = [{"gb": h["__bucket"], "head": h["head"], "to": before[h["__bucket"]]} for h in heads]
+    ghosts = spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(json.dumps(moves)), "array<struct<gb:int,head:bigint,to:int>>")))
     first = dealt.join(small(ghosts, len(heads)), (F.col("__bucket") == F.col("gb")) & F.col(id_col).eqNullSafe(F.col("head")))
     first = first.groupBy("to").agg(F.min(F.struct(*carry)).alias("g")).select(F.col("to").alias("__bucket"), F.col("g").alias("g"))
     ghost_rows = first.select(F.lit(None).cast(dict(rows.dtypes)[id_col]).alias(id_col), *[F.col(f"g.{c}").alias(c) for c in carry], "__bucket", F.lit(1).alias("__ghost"))

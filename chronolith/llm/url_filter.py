@@ -7,6 +7,7 @@ the full digest confirms it.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -28,7 +29,7 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 def rule_table(spark, rules: Sequence[tuple[str, str]]) -> DataFrame:
     """(verdict, rule) pairs, a rule being host + path as in 'example.org/es/'."""
-    rows = spark.createDataFrame(list(rules), "verdict string, rule string")
+    rows = spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(json.dumps([{"verdict": v, "rule": r} for v, r in rules])), "array<struct<verdict:string,rule:string>>")))
     host = F.substring_index("rule", "/", 1)
     return rows.select("verdict", "rule", host.alias("rule_host"), F.expr("substring(rule, length(substring_index(rule, '/', 1)) + 1)").alias("rule_path"))
 

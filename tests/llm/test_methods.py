@@ -205,3 +205,13 @@ def test_pipeline_decisions(spark):
     size = lambda d: d.select(F.sum(mixing.word_count(F.col("text")))).first()[0]
     assert abs(size(mixed) - size(kept)) <= 20
     assert cp.STAGES[4][1](spark, mixed, SF).filter("piece = 0").count() == mixed.count()
+
+
+def test_native_plans_run_no_python(spark):
+    import contextlib
+    import io
+
+    for name in ("op1_url_filter", "op3_chat_format", "op8_imatch", "op10_exact_dedup"):
+        with contextlib.redirect_stdout(io.StringIO()) as out:
+            QUERIES[name](spark, SF).explain("formatted")
+        assert not any(x in out.getvalue() for x in ("Python", "Pandas", "Arrow", "CartesianProduct")), name
