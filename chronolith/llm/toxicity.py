@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,7 +24,7 @@ from chronolith.llm.common import stored
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Training rows of each class, at most (a hashed sample of the labelled rows).
-SAMPLE_TOXIC, SAMPLE_CLEAN = 6000, 12000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 2500, 6000
 STEM_LENGTHS = (4, 5, 6, 7, 8)
 #: Terms shorter than this are matched as they are.
 FUZZY_FROM = 5
@@ -214,13 +214,28 @@ def hash_of(s: str) -> int:
     return xxhash.xxh64_intdigest(s) - (1 << 63)
 
 
-def _counted(rows: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
+def _frequent(rows: DataFrame, least: int) -> frozenset[str]:
+    """Candidates that occur in at least `least` rows; summed per batch, so little is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n: Counter[str] = Counter()
+            for text in batch.column("text").to_pylist():
+                n.update({x[0] for x in _candidates(text or "")})
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
+
+    sums = rows.select("text").mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    return frozenset(r["term"] for r in sums.filter(F.col("n") >= least).select("term").collect())
+
+
+def _counted(rows: DataFrame, wanted: frozenset[str]) -> DataFrame:
     """term, n, docs: in how many different contexts and rows each candidate occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                seen = {x for x in _candidates(text or "") if wanted is None or x[0] in wanted}
+                seen = {x for x in _candidates(text or "") if x[0] in wanted}
                 if seen:
                     terms, contexts = zip(*seen, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(contexts, pa.int64()), pa.array([doc] * len(terms), pa.int64())], names=["term", "context", "id"])
@@ -278,7 +293,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Model({}, {}, 0.0)
     size = {r["bad"]: r["n"] for r in rows.groupBy("bad").agg(F.sum(F.length("text")).alias("n")).collect()}
     # One long row, or copies of one, are no evidence: a term needs several rows with contexts of their own.
-    found = {r["term"]: r["n"] for r in _counted(bad, None).filter((F.col("n") >= 4) & (F.col("docs") >= 3)).collect()}
+    found = {r["term"]: r["n"] for r in _counted(bad, _frequent(bad, 3)).filter((F.col("n") >= 4) & (F.col("docs") >= 3)).collect()}
     none = {r["term"]: r["n"] for r in _counted(good, frozenset(found)).collect()}
     terms = _choose(found, none, max(size.get(True) or 0, 1) / max(sum(x or 0 for x in size.values()), 1))
 
