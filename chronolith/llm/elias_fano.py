@@ -40,14 +40,14 @@ def _unpack(words: np.ndarray, width: int, i: np.ndarray) -> np.ndarray:
 
 def _select(words: np.ndarray, before: np.ndarray, k: np.ndarray, flip: bool) -> np.ndarray:
     """Place of the k-th one (or zero, if flip) of a bit vector; before: ones (zeros) ahead of each word."""
-    w = np.searchsorted(before, k, "right") - 1
-    rest = k - before[w]
+    w = np.searchsorted(before, k.astype(before.dtype), "right") - 1
+    rest = (k - before[w]).astype(np.uint8)
     word = words[w]
     octets = np.ascontiguousarray(~word if flip else word).view(np.uint8).reshape(-1, 8)
-    upto = np.cumsum(_POPCOUNT[octets], axis=1, dtype=np.int64)
+    upto = np.cumsum(_POPCOUNT[octets], axis=1, dtype=np.uint8)
     byte = (upto <= rest[:, None]).sum(1)
     row = np.arange(len(k))
-    inner = rest - np.where(byte > 0, upto[row, byte - 1], 0)
+    inner = rest - np.where(byte > 0, upto[row, byte - 1], 0).astype(np.uint8)
     return w * 64 + byte * 8 + _SELECT[octets[row, byte], inner]
 
 

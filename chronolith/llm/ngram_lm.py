@@ -188,8 +188,11 @@ class Model:
             ptr, sym, q, b = self._shard(level, int(no))
             part = slice(edge[no], edge[no + 1])
             p = parent[part] - no * m.span
-            start, stop = ptr.access(p), ptr.access(p + 1)
+            fresh = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+            one, of = p[fresh], np.repeat(np.arange(len(fresh)), np.diff(np.append(fresh, len(p))))
+            start, stop = ptr.access(one), ptr.access(one + 1)
             base = np.where(start > 0, sym.access(np.maximum(start - 1, 0)) + 1, 0)
+            start, stop, base = start[of], stop[of], base[of]
             at = sym.find(base + symbol[part])
             good = (at >= start) & (at < stop) & (symbol[part] >= 0)
             node[part] = np.where(good, at + m.first[no], -1)
@@ -268,8 +271,10 @@ def _before(values: np.ndarray, got: Looked) -> np.ndarray:
 
 def _counted(keys: list[np.ndarray], extra: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     key = np.concatenate(keys)
-    uniq, first, n = np.unique(key, return_index=True, return_counts=True)
-    return uniq, n, np.concatenate(extra)[first]
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], np.diff(np.append(first, len(key))), np.concatenate(extra)[order[first]]
 
 
 def _planes(a: np.ndarray) -> bytes:
@@ -366,7 +371,7 @@ def _level(rows: DataFrame, model: Model, level: int, parents: int) -> None:
             n.append(_unplanes(c))
             low.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8))
         keys = np.concatenate(key)
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         keys, counts, lows = keys[order], np.concatenate(n)[order], np.concatenate(low)[order]
         fresh = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         counts, lows, keys = np.add.reduceat(counts, fresh), lows[fresh], keys[fresh]
@@ -428,7 +433,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     tokens, vocabulary = model.tokens, model.vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", SLICE_BYTES // 2):
+        for part in slices(batches, "text", SLICE_BYTES):
             got, lp = token_scores(model, part.column("text"))
             rows = part.num_rows
             base = np.log10((got.count + 1) / (tokens + vocabulary + 1))
