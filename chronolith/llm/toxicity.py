@@ -24,7 +24,7 @@ from chronolith.llm.common import stored
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Training rows of each class, at most (a hashed sample of the labelled rows).
-SAMPLE_TOXIC, SAMPLE_CLEAN = 2500, 6000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 6000, 12000
 STEM_LENGTHS = (4, 5, 6, 7, 8)
 #: Terms shorter than this are matched as they are.
 FUZZY_FROM = 5
@@ -229,19 +229,31 @@ def _frequent(rows: DataFrame, least: int) -> frozenset[str]:
     return frozenset(r["term"] for r in sums.filter(F.col("n") >= least).select("term").collect())
 
 
-def _counted(rows: DataFrame, wanted: frozenset[str]) -> DataFrame:
-    """term, n, docs: in how many different contexts and rows each candidate occurs."""
+def _counted(rows: DataFrame, wanted: frozenset[str], docs: bool) -> dict[str, tuple[int, int]]:
+    """Candidate -> in how many different contexts it occurs, and in how many rows (0 without `docs`).
+
+    Candidates are shuffled as their numbers; ids only where rows are counted.
+    """
+    terms = sorted(wanted)
+    place = {t: k for k, t in enumerate(terms)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                seen = {x for x in _candidates(text or "") if x[0] in wanted}
+                seen = {(place[x[0]], x[1]) for x in _candidates(text or "") if x[0] in place}
                 if seen:
-                    terms, contexts = zip(*seen, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(contexts, pa.int64()), pa.array([doc] * len(terms), pa.int64())], names=["term", "context", "id"])
+                    numbers, contexts = zip(*seen, strict=True)
+                    cols = [pa.array(numbers, pa.int32()), pa.array(contexts, pa.int64())]
+                    if docs:
+                        cols.append(pa.array([doc] * len(numbers), pa.int64()))
+                    yield pa.RecordBatch.from_arrays(cols, names=["term", "context", "id"][: len(cols)])
 
-    each = rows.select(F.col("id").cast("bigint").alias("id"), "text").mapInArrow(run, "term string, context bigint, id bigint")
-    return each.groupBy("term", "context").agg(F.min("id").alias("id")).groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("id").alias("docs"))
+    each = rows.select(F.col("id").cast("bigint").alias("id"), "text").mapInArrow(run, "term int, context bigint" + (", id bigint" if docs else ""))
+    if docs:
+        out = each.groupBy("term", "context").agg(F.min("id").alias("id")).groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("id").alias("docs"))
+    else:
+        out = each.distinct().groupBy("term").agg(F.count("*").alias("n"), F.lit(0).alias("docs"))
+    return {terms[r["term"]]: (r["n"], r["docs"]) for r in out.collect()}
 
 
 def _choose(pos: dict[str, int], neg: dict[str, int], share: float) -> dict[str, bool]:
@@ -293,8 +305,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Model({}, {}, 0.0)
     size = {r["bad"]: r["n"] for r in rows.groupBy("bad").agg(F.sum(F.length("text")).alias("n")).collect()}
     # One long row, or copies of one, are no evidence: a term needs several rows with contexts of their own.
-    found = {r["term"]: r["n"] for r in _counted(bad, _frequent(bad, 3)).filter((F.col("n") >= 4) & (F.col("docs") >= 3)).collect()}
-    none = {r["term"]: r["n"] for r in _counted(good, frozenset(found)).collect()}
+    found = {t: n for t, (n, docs_) in _counted(bad, _frequent(bad, 3), docs=True).items() if n >= 4 and docs_ >= 3}
+    none = {t: n for t, (n, _) in _counted(good, frozenset(found), docs=False).items()}
     terms = _choose(found, none, max(size.get(True) or 0, 1) / max(sum(x or 0 for x in size.values()), 1))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

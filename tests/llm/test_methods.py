@@ -215,3 +215,20 @@ def test_native_plans_run_no_python(spark):
         with contextlib.redirect_stdout(io.StringIO()) as out:
             QUERIES[name](spark, SF).explain("formatted")
         assert not any(x in out.getvalue() for x in ("Python", "Pandas", "Arrow", "CartesianProduct")), name
+
+
+def test_toxicity_learns_from_all_rows_within_the_sample(spark):
+    """5,000 toxic and 10,000 clean rows are within the sample's bounds, so a term in one of 500 toxic rows is learned."""
+    rng = random.Random(7)
+    common = [f"{a}{b}" for a in "ba ce di fo gu ha je ki lo mu na pe ri so".split() for b in "ta ne si ro lu wa ke mi po du fa ge zi vo".split()]
+    rare = set(range(0, 5000, 500))
+    rows = []
+    for k in range(15000):
+        ws = [rng.choice(common) for _ in range(6)]
+        if k in rare:
+            ws[3] = "grobnik"
+        rows.append((k, " ".join(ws), int(k < 5000)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    match = toxicity.Matcher(model.terms)
+    assert match("grobnik") is not None and not any(map(match, common))
