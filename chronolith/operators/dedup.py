@@ -29,15 +29,35 @@ def punctuation_blind(posts: DataFrame, least: int = 12) -> DataFrame:
     return short.drop("__c").unionByName(long_.drop("__c", "__k"))
 
 
+def _long_canonical(posts: DataFrame) -> DataFrame:
+    """id, c of the rows that near copies are looked for among."""
+    return posts.filter(F.length("text") >= 200).select("id", canonical(F.col("text")).alias("c")).filter(F.length("c") >= 160)
+
+
+def near_copy_members(posts: DataFrame) -> DataFrame:
+    """id, representative of every eligible row: the smallest id with the same canonical text.
+
+    Keyed by the text's digest and one of 64 parts of its group, so many copies of one text do not meet in one task.
+    """
+    part = F.pmod(F.xxhash64("id"), F.lit(64)).alias("part")
+    rows = _long_canonical(posts).select("id", F.sha2(F.col("c").cast("binary"), 256).alias("k"), part)
+    parts = rows.groupBy("k", "part").agg(F.min("id").alias("first"))
+    named = parts.join(parts.groupBy("k").agg(F.min("first").alias("representative")), "k").drop("first")
+    return rows.join(named, ["k", "part"]).select("id", "representative")
+
+
 def near_copy_pairs(posts: DataFrame, ratio: float = 0.985) -> DataFrame:
     """id_a, id_b, ratio of canonical texts that are nearly equal.
 
-    Candidates share 24 leading characters and lie in neighbouring length buckets; equal texts are taken once.
+    Candidates share 24 leading characters and lie in neighbouring length buckets. Of equal canonical texts the smallest id
+    stands for all in the comparison, and is paired with each other one at ratio 1.0: a group of n has n - 1 such pairs.
     """
-    rows = posts.filter(F.length("text") >= 200).select("id", canonical(F.col("text")).alias("c")).filter(F.length("c") >= 160)
+    rows = _long_canonical(posts)
     rows = rows.groupBy("c").agg(F.min("id").alias("id")).select("id", "c", F.substring("c", 1, 24).alias("head"), F.floor(F.length("c") / 32).alias("bucket"))
     near = rows.select(F.col("id").alias("id_b"), F.col("c").alias("c_b"), "head", F.explode(F.expr("array(bucket - 1, bucket, bucket + 1)")).alias("bucket"))
     pairs = rows.withColumnsRenamed({"id": "id_a", "c": "c_a"}).join(near, ["head", "bucket"]).filter("id_a < id_b")
     gap = F.abs(F.length("c_a") - F.length("c_b"))
     pairs = pairs.filter(gap <= F.greatest(F.lit(3), F.floor(F.greatest(F.length("c_a"), F.length("c_b")) / 50)))
-    return pairs.withColumn("ratio", similarity_ratio("c_a", "c_b")).filter(F.col("ratio") >= ratio).select("id_a", "id_b", "ratio")
+    near_pairs = pairs.withColumn("ratio", similarity_ratio("c_a", "c_b")).filter(F.col("ratio") >= ratio).select("id_a", "id_b", "ratio")
+    equal = near_copy_members(posts).filter("id <> representative").select(F.col("representative").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("ratio"))
+    return near_pairs.unionByName(equal)

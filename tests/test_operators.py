@@ -108,3 +108,12 @@ def test_near_copy_pairs(spark):
     base = " ".join(f"word{k}" for k in range(60))
     df = spark.createDataFrame([("a", base), ("b", base + " x"), ("c", base[::-1]), ("d", "short")], "id string, text string")
     assert [(r["id_a"], r["id_b"]) for r in dedup.near_copy_pairs(df).collect()] == [("a", "b")]
+
+
+def test_near_copy_pairs_link_every_copy(spark):
+    base = " ".join(f"word{k}" for k in range(60))
+    other = " ".join(f"term{k}" for k in range(60))
+    rows = [("a", base), ("b", base + " x"), ("c", base), ("d", base.upper().replace(" ", ", ")), ("e", base + "! X."), ("f", other), ("g", "short")]
+    df = spark.createDataFrame(rows, "id string, text string")
+    assert sorted((r["id_a"], r["id_b"]) for r in dedup.near_copy_pairs(df).collect()) == [("a", "b"), ("a", "c"), ("a", "d"), ("b", "e")]
+    assert dict(dedup.near_copy_members(df).collect()) == {"a": "a", "b": "b", "c": "a", "d": "a", "e": "b", "f": "f"}
