@@ -5,30 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+from chronolith.shared import fresh_name, stored
 
+#: Rows of one bucket, about; there are never fewer buckets than shuffle partitions.
+BUCKET_ROWS = 250_000
 
-def running_before(df: DataFrame, order: list[str], value: str, out: str, part: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
+
+def running_before(df: DataFrame, order: list[str], value: str | dict[str, str], out: str = "", part: list[str] | None = None, buckets: int = 0) -> DataFrame:
     """df plus `out`: the sum of `value` over all rows that come before in `order` (inside `part`).
 
-    Quantiles of the first order column cut the order into buckets; sums form inside a bucket and over bucket totals, so
-    a task sees a bucket and at most `buckets` totals. Order columns must tell rows apart; part columns are not null.
+    value may also be {out: value} of several sums. Rows are dealt by ranges of part and the whole order, so one hot value
+    of its first column, or one hot part, spans as many buckets as it needs. Sums form inside a bucket and over bucket
+    totals; a task sees a bucket, or a part's bucket totals. Order columns must tell rows apart, else equal rows come in
+    any order; part columns are not null.
     """
+    values = value if isinstance(value, dict) else {out: value}
     part = part or []
-    first = order[0]
-    cuts = df.agg(F.percentile_approx(first, [k / buckets for k in range(1, buckets)], 10000).alias("c")).first()["c"] or []
-    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.expr("cast(array() as array<bigint>)")
-    rows = df.withColumn("__b", F.size(F.filter(bounds, lambda c: c <= F.col(first))))
-    totals = rows.groupBy(*part, "__b").agg(F.sum(value).alias("__n"))
-    over = Window.partitionBy(*(part or [F.lit(0)])).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*part, "__b", F.coalesce(F.sum("__n").over(over), F.lit(0)).alias("__s"))
-    inside = Window.partitionBy(*part, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("__i", F.sum(value).over(inside) - F.col(value))
-    return rows.join(starts, [*part, "__b"]).withColumn(out, F.col("__s") + F.col("__i")).drop("__b", "__s", "__i")
+    spark = df.sparkSession
+    most = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // BUCKET_ROWS))
+    bucket, inside, start = (fresh_name(x, df.columns, list(values)) for x in ("bucket", "inside", "start"))
+    dealt = df.repartitionByRange(most, *part, *order).withColumn(bucket, F.spark_partition_id())
+    rows = stored(dealt, "ordered")  # written, so that the ranges are the same wherever they are read
+    totals = rows.groupBy(*part, bucket).agg(*[F.sum(v).alias(f"{start}_{k}") for k, v in enumerate(values.values())])
+    over = Window.partitionBy(*part).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*part, bucket, *[F.coalesce(F.sum(f"{start}_{k}").over(over), F.lit(0)).alias(f"{start}_{k}") for k in range(len(values))])
+    here = Window.partitionBy(*part, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select("*", *[(F.sum(v).over(here) - F.col(v)).alias(f"{inside}_{k}") for k, v in enumerate(values.values())])
+    joined = rows.join(F.broadcast(starts) if not part else starts, [*part, bucket])
+    return joined.select(*df.columns, *[(F.col(f"{start}_{k}") + F.col(f"{inside}_{k}")).alias(o) for k, o in enumerate(values)])
 
 
 def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     """df plus the average rank of `value`; ties share it. Only distinct values are ordered."""
-    counts = df.groupBy(value).agg(F.count("*").alias("__c"))
-    ranked = running_before(counts, [value], "__c", "__before").select(F.col(value).alias("__v"), (F.col("__before") + (F.col("__c") + 1) / 2).alias(out))
-    return df.join(ranked, F.col(value).eqNullSafe(F.col("__v"))).drop("__v")
+    counts = df.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    same = fresh_name("value", df.columns, [out])
+    ranked = running_before(counts, ["v"], "n", "before").select(F.col("v").alias(same), (F.col("before") + (F.col("n") + 1) / 2).alias(out))
+    return df.join(ranked, F.col(value).eqNullSafe(F.col(same))).drop(same)
