@@ -1,19 +1,17 @@
-"""What the operators share: tables, the shared folder, and word arithmetic on Arrow buffers.
+"""What the operators share: tables and words of Arrow buffers.
 
 A *word* is a maximal run of bytes outside 0x20 and 0x09-0x0D, after A-Z became a-z. That is decided on single
-UTF-8 bytes, so whole batches are cut by numpy without making a Python object per word.
+UTF-8 bytes, so whole batches are cut by numpy; only distinct words of a slice become Python objects.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,37 +29,6 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = os.path.join(tempfile.gettempdir(), "checkpoints")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """df written once to the shared folder and read back: a lost executor costs no recomputation."""
-    path = fresh_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-#: Rows of at most this many are sent to every task; a row here is a few numbers, so 200,000 stay under 20 MB.
-BROADCAST_ROWS = 200_000
-
-
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df marked for broadcasting if its counted rows allow it; else as it is, for a shuffle join."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
-
-
 def crc_mod(c: Column, m: int) -> Column:
     return F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(m))
 
@@ -71,30 +38,10 @@ def crc_mod(c: Column, m: int) -> Column:
 #: Text bytes worked on at once; the arrays of a slice take about 60 times as much at their peak.
 SLICE_BYTES = 1 << 20
 
-_rng = np.random.default_rng(0x5EED)
-#: Fixed random odd multipliers: the hash of a word is sum(BYTE[b_i] * ODD**i), mixed.
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _TO_LOWER = np.arange(256, dtype=np.uint8)
 _TO_LOWER[65:91] += 32
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: np.uint64, n: int) -> np.ndarray:
-    have = _powers.get(int(base))
-    if have is None or len(have) < n:
-        size = 1 << max(20, int(n - 1).bit_length())
-        have = np.empty(size, np.uint64)
-        have[0] = 1
-        have[1:] = base
-        with np.errstate(over="ignore"):
-            np.multiply.accumulate(have, out=have)
-        if size <= 1 << 22:
-            _powers[int(base)] = have
-    return have[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -133,19 +80,32 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             at = to
 
 
-def segment_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each raw[start:end]; equal bytes give equal hashes in every process."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_BYTE[raw] * _power(_ODD, len(raw)), out=total[1:])
-        h = (total[ends] - total[starts]) * _power(_INV, len(raw) + 1)[starts]
-        return mix(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-
+def distinct_segments(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct raw[start:end], told apart byte by byte, and for each segment its place among them.
 
-def words(col: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of a string column in order, and the n+1 offsets of its rows into them."""
+    Segments rise and do not overlap.
+    """
+    if not len(starts):
+        return [], np.zeros(0, np.int64)
+    bounds = np.empty(2 * len(starts), np.int64)
+    bounds[::2], bounds[1::2] = starts, ends
+    # Segments and what lies between them, as one column over the same bytes.
+    both = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(raw))])
+    found = both.dictionary_encode()
+    codes = np.asarray(found.indices)[::2]
+    used = np.zeros(len(found.dictionary), bool)
+    used[codes] = True
+    place = np.cumsum(used) - 1
+    return found.dictionary.filter(pa.array(used)).to_pylist(), place[codes]
+
+
+def hashes(values: list[bytes]) -> np.ndarray:
+    """uint64[n, 2]: 128 bits of XXH3 of each value; equal bytes give equal hashes in every process."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, values)), "<u8").reshape(-1, 2)
+
+
+def distinct_words(col: pa.Array, lower: bool = True) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of a string column, the place among them of every word in order, and the n+1 offsets of rows."""
     raw, offsets = string_buffers(col)
     if lower:
         raw = _TO_LOWER[raw]
@@ -157,4 +117,11 @@ def words(col: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     last = inside.copy()
     last[:-1] &= ~inside[1:] | first[1:]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return segment_hashes(raw, starts, ends), np.searchsorted(starts, offsets)
+    values, codes = distinct_segments(raw, starts, ends)
+    return values, codes, np.searchsorted(starts, offsets)
+
+
+def words(col: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hashes (uint64[n, 2]) of all words of a string column in order, and the n+1 offsets of its rows into them."""
+    values, codes, at = distinct_words(col, lower)
+    return hashes(values)[codes], at

@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import stored
+from chronolith.shared import stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    # Stored first, so that both sides of the join are plain exchanges and a centre's rows can be split among tasks.
+    low = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "stars")
     return both.filter("b > a").join(low, "a").select(F.col("m").alias("a"), "b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
+    low = stored(down.groupBy("u").agg(F.min("v").alias("m")), "stars")
     moved = down.join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
     return moved.union(low.select(F.col("m").alias("a"), F.col("u").alias("b"))).filter("a <> b").distinct()
 

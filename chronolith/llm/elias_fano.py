@@ -1,7 +1,8 @@
 """Elias-Fano sequences over flat arrays, with whole vectors of queries at a time.
 
-A monotone sequence is kept as packed low bits and a bit vector of unary high parts; `ahead` counts the ones before each
-64-bit word, which makes select a binary search and a look at one word.
+A monotone sequence is kept as packed low bits and a bit vector of unary high parts; `ahead` and `gaps` count the ones and
+zeros before each 64-bit word, which makes select a binary search and a look at one word. All of it may stay in a mapped
+file; a query touches the pages it needs and nothing is built in memory.
 """
 
 from __future__ import annotations
@@ -52,14 +53,13 @@ def _select(words: np.ndarray, before: np.ndarray, k: np.ndarray, flip: bool) ->
 
 
 class EliasFano:
-    """Non-decreasing values below 2**62; arrays may be memory maps."""
+    """Up to 2**31 non-decreasing values below 2**62; arrays may be memory maps."""
 
-    NAMES = ("head", "low", "high", "ahead")
+    NAMES = ("head", "low", "high", "ahead", "gaps")
 
-    def __init__(self, head: np.ndarray, low: np.ndarray, high: np.ndarray, ahead: np.ndarray):
+    def __init__(self, head: np.ndarray, low: np.ndarray, high: np.ndarray, ahead: np.ndarray, gaps: np.ndarray):
         self.n, self.width, self.top = (int(x) for x in head)
-        self.head, self.low, self.high, self.ahead = head, low, high, ahead
-        self._zeros: np.ndarray | None = None
+        self.head, self.low, self.high, self.ahead, self.gaps = head, low, high, ahead, gaps
 
     @classmethod
     def build(cls, values: np.ndarray) -> "EliasFano":
@@ -73,8 +73,9 @@ class EliasFano:
         bits[high.astype(np.int64) + np.arange(n)] = 1
         words = np.packbits(bits, bitorder="little").view(np.uint64)
         ones = _POPCOUNT[words.view(np.uint8).reshape(-1, 8)].sum(1, dtype=np.int64)
-        ahead = (np.cumsum(ones) - ones).astype(np.uint32)
-        return cls(np.array([n, width, top], np.int64), _pack(values & np.uint64((1 << width) - 1), width), words, ahead)
+        ahead = np.cumsum(ones) - ones
+        gaps = np.arange(len(words)) * 64 - ahead
+        return cls(np.array([n, width, top], np.int64), _pack(values & np.uint64((1 << width) - 1), width), words, ahead.astype(np.uint32), gaps.astype(np.uint32))
 
     def arrays(self) -> dict[str, np.ndarray]:
         return {k: getattr(self, k) for k in self.NAMES}
@@ -88,9 +89,7 @@ class EliasFano:
 
     def _ones_until_zero(self, k: np.ndarray) -> np.ndarray:
         """How many values have a high part of at most k."""
-        if self._zeros is None:
-            self._zeros = np.arange(len(self.high), dtype=np.int64) * 64 - self.ahead
-        return _select(self.high, self._zeros, k, True) - k
+        return _select(self.high, self.gaps, k, True) - k
 
     def find(self, y: np.ndarray) -> np.ndarray:
         """Place of each y among distinct values, or -1."""

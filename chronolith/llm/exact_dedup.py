@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import small, stored
+from chronolith.shared import small, stored
 
 
 def digest(text: Column) -> Column:

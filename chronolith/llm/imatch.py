@@ -16,7 +16,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import SPACE, ascii_lower, small, stored
+from chronolith.llm.common import SPACE, ascii_lower
+from chronolith.shared import small, stored
 
 BUCKETS = 1 << 20
 WORDS_64 = BUCKETS // 64

@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import mix, stored
+from chronolith.llm.common import mix
+from chronolith.shared import stored
 
 GRAM_BUCKETS, WORD_BUCKETS = 1 << 16, 1 << 16
 #: Labelled rows of each language that the scores are fitted on, at most (a hashed sample).

@@ -1,21 +1,25 @@
 """An n-gram model in an Elias-Fano trie, built and asked in shards.
 
-Level 1 holds the words (64-bit hashes, sorted). A node of level k is a word after a context that is a node of level
-k - 1; the nodes stand in the order of their parents, and monotone pointers give each parent its range. Within a range
-the symbols rise; with the last value of the range before added they rise over the whole shard, so one successor search
-finds a child. Symbols of level 3 are context-relative: not the word, but its place among the successors of the
-middle word. Probabilities are interpolated absolute discounting (Ney), quantised to a byte. Unknown words are one class
-that has the discounts' share of level 1.
-
-Counts cover every training row. Nothing is gathered on the driver but a few numbers per shard; the levels are files in
-the shared folder, memory-mapped by the workers, so a worker holds only the pages it touches.
+Level 1 holds the words (62 bits of a 128-bit hash, sorted). A node of level k is a word after a context that is a node of
+level k - 1; the nodes stand in the order of their parents, and monotone pointers give each parent its range. Within a
+range the symbols rise; with the last value of the range before added they rise over the whole shard, so one successor
+search finds a child. Symbols of level 3 are context-relative: not the word, but its place among the successors of the
+middle word. Probabilities are interpolated absolute discounting (Ney), quantised to a byte.
+
+What level 1's discount takes from the known words belongs to words that were not seen, of which there are held to be one
+more than of known ones: each has the same share, so known and unknown words sum to 1.
+
+Shards are cut by tokens: the cumulative counts of level k - 1 place every n-gram on the line of all training tokens, and a
+parent's own stretch of it is divided by symbol. So a word or pair that a third of all tokens follow spans as many shards
+as it needs. Counts cover every training row. The driver gathers a few totals; indexes and levels are files in the shared
+folder, memory-mapped by the workers, of which a worker keeps OPEN_FILES open.
 """
 
 from __future__ import annotations
 
+import collections
 import json
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,23 +30,25 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import fresh_path, slices, words
+from chronolith.llm.common import distinct_words, hashes, slices
 from chronolith.llm.elias_fano import EliasFano
+from chronolith.shared import fresh_path, stored
 
-END = np.uint64(0x1D8E4E27C47D124F)  # hash of the end token
+END = 0x1D8E4E27C47D124C  # in place of the end token's hash
 SLICE_BYTES = 4 << 20
 #: Keys a task holds before it sends them on, sorted and counted.
 HELD_KEYS = 3_000_000
 #: Tokens of training text for each shard of a level.
 SHARD_TOKENS = 2_000_000
-STEP = 10.0 / 254  # of log10, between two quantised values
+#: Level files that a worker keeps open.
+OPEN_FILES = 512
 
 
 # ---------------------------------------------------------------- files of the shared folder
 
 
 class Files:
-    """Named files below a folder of the shared store; local paths are mapped where they are, others are fetched once."""
+    """Named files below a folder of the shared store; mounted paths are mapped in place, others are read into memory."""
 
     def __init__(self, uri: str):
         self.uri = uri
@@ -72,18 +78,13 @@ class Files:
 
     def get(self, name: str) -> dict[str, np.ndarray]:
         if self.local is not None:
-            path = f"{self.local}/{name}"
+            raw = np.memmap(f"{self.local}/{name}", np.uint8, "r")
         else:
             from pyarrow import fs
 
-            path = os.path.join(tempfile.gettempdir(), f"{self.uri.rsplit('/', 1)[-1]}-{name}")
-            if not os.path.exists(path):
-                store, base = fs.FileSystem.from_uri(self.uri)
-                with store.open_input_stream(f"{base}/{name}") as f, open(tmp := f"{path}.{uuid.uuid4().hex}", "wb") as out:
-                    while block := f.read(1 << 22):
-                        out.write(block)
-                os.replace(tmp, path)
-        raw = np.memmap(path, np.uint8, "r")
+            store, base = fs.FileSystem.from_uri(self.uri)
+            with store.open_input_stream(f"{base}/{name}") as f:
+                raw = np.frombuffer(f.read(), np.uint8)
         n = int.from_bytes(raw[:8].tobytes(), "little")
         head = json.loads(raw[8 : 8 + n].tobytes())
         return {k: raw[8 + n + at : 8 + n + at + size * np.dtype(t).itemsize].view(t) for k, (t, at, size) in head.items()}
@@ -97,128 +98,180 @@ def _ef(prefix: str, arrays: dict[str, np.ndarray]) -> EliasFano:
     return EliasFano(*(arrays[f"{prefix}_{k}"] for k in EliasFano.NAMES))
 
 
-def _quantise(log10: np.ndarray) -> np.ndarray:
-    return (1 + np.clip(np.rint(-log10 / STEP), 0, 254)).astype(np.uint8)
-
-
-def _value(q: np.ndarray) -> np.ndarray:
-    """log10 of a quantised number; 0 stands for none and has weight 1."""
-    return np.where(q > 0, (q.astype(np.float64) - 1) * -STEP, 0.0)
-
-
 def _discount(ones: int, twos: int) -> float:
     return float(np.clip(ones / max(ones + 2 * twos, 1), 0.1, 0.95))
 
 
-# ---------------------------------------------------------------- the model
-
+def _pairs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of pairs of numbers from -1 on, and where in that order a pair differs from the one before."""
+    if not len(first):
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    bits = int(second.max() + 1).bit_length()
+    if int(first.max() + 1).bit_length() + bits <= 63:
+        key = ((first + 1) << bits) | (second + 1)
+        order = np.argsort(key)
+        key = key[order]
+        return order, np.concatenate([[True], key[1:] != key[:-1]])
+    order = np.lexsort((second, first))
+    a, b = first[order], second[order]
+    return order, np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
 
-@dataclass
-class Level:
-    """Shards of one level: parents in equal ranges of `span`, and the first node of each shard."""
 
-    span: int
-    first: list[int]
-    nodes: int
+# ---------------------------------------------------------------- the model
 
 
 @dataclass
 class Model:
+    """Totals and the place of the files. discount: of levels 1, 2 and 3. nodes: of the levels."""
+
     uri: str
     word_bits: int = 0
-    word_first: list[int] = field(default_factory=list)
     vocabulary: int = 0
     tokens: int = 0
-    discount: float = 0.5
-    levels: dict[int, Level] = field(default_factory=dict)
+    discount: dict[int, float] = field(default_factory=dict)
+    nodes: dict[int, int] = field(default_factory=dict)
 
     def __post_init__(self):
-        self._open: dict[str, tuple] = {}
+        self._open: collections.OrderedDict[str, tuple] = collections.OrderedDict()
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "_open"}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
-        self._open = {}
+        self._open = collections.OrderedDict()
 
-    def _shard(self, level: int, no: int) -> tuple:
-        name = f"level{level}-{no}"
-        if name not in self._open:
-            a = Files(self.uri).get(name)
-            self._open[name] = (_ef("key", a), a["count"]) if level == 1 else (_ef("ptr", a), _ef("sym", a), a["prob"], a["back"])
+    def _file(self, name: str, parts: tuple[str, ...] = ()) -> dict:
+        """Arrays of a file; the sequences named are opened."""
+        if name in self._open:
+            self._open.move_to_end(name)
+        else:
+            arrays = Files(self.uri).get(name)
+            self._open[name] = arrays | {p: _ef(p, arrays) for p in parts}
+            if len(self._open) > OPEN_FILES:
+                self._open.popitem(last=False)
         return self._open[name]
 
+    def index(self, level: int) -> dict[str, np.ndarray]:
+        return self._file(f"level{level}-index")
+
+    @property
+    def step(self) -> float:
+        """Of log10, between two quantised values: no seen n-gram is rarer than a hundredth of a token."""
+        return (np.log10(max(self.tokens, 1)) + 2) / 254
+
+    def quantise(self, log10: np.ndarray) -> np.ndarray:
+        return (1 + np.clip(np.rint(-log10 / self.step), 0, 254)).astype(np.uint8)
+
+    def value(self, q: np.ndarray) -> np.ndarray:
+        """log10 of a quantised number; 0 stands for none and has weight 1."""
+        return np.where(q > 0, (q.astype(np.float64) - 1) * -self.step, 0.0)
+
     def ids(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Id and count of each word hash; id -1 and count 0 for unknown words. h: sorted."""
         out, count = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
         if not self.vocabulary:
             return out, count
-        inner = np.uint64(64 - self.word_bits)
-        starts = np.searchsorted(h, np.arange(1 << self.word_bits, dtype=np.uint64) << inner) if self.word_bits else np.array([0])
-        ends = np.append(starts[1:], len(h))
-        for no in np.flatnonzero((ends > starts) & (np.diff([*self.word_first, self.vocabulary]) > 0)):
-            key, counts = self._shard(1, int(no))
-            part = slice(starts[no], ends[no])
-            at = key.find(_inner(h[part], self.word_bits))
-            out[part] = np.where(at >= 0, at + self.word_first[no], -1)
-            count[part] = np.where(at >= 0, counts[np.maximum(at, 0)], 0)
+        ix = self.index(1)
+        edge = np.searchsorted(h, ix["shard"].astype(np.uint64) << np.uint64(64 - self.word_bits)) if self.word_bits else np.array([0])
+        stop = np.searchsorted(h, ((ix["shard"].astype(np.uint64) + np.uint64(1)) << np.uint64(64 - self.word_bits)) - np.uint64(1), "right") if self.word_bits else np.array([len(h)])
+        for k in np.flatnonzero(stop > edge):
+            a = self._file(f"level1-{ix['shard'][k]}", ("key", "cum"))
+            part = slice(edge[k], stop[k])
+            at = a["key"].find(_inner(h[part], self.word_bits))
+            good = np.flatnonzero(at >= 0)
+            out[edge[k] + good] = at[good] + ix["first"][k]
+            count[edge[k] + good] = a["cum"].access(at[good] + 1) - a["cum"].access(at[good])
         return out, count
 
     def unigram(self, count: np.ndarray) -> np.ndarray:
         """log10 probability of words that occur `count` times."""
         if not self.tokens:
             return np.zeros(len(count))
-        unknown = self.discount * self.vocabulary / self.tokens
-        return np.log10(np.where(count > 0, (count - self.discount) / self.tokens, unknown))
-
-    def children(self, level: int, parent: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Node (-1: none), its place in its range, its log10 probability, and the parent's log10 back-off weight.
-
-        parent: sorted, none below 0.
+        unknown = self.discount[1] * self.vocabulary / self.tokens / (self.vocabulary + 1)
+        return np.log10(np.where(count > 0, (count - self.discount[1]) / self.tokens, unknown))
+
+    def mass(self, level: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all nodes of the level before each of these, and its own. node: sorted."""
+        ix = self.index(level)
+        before, own = np.zeros(len(node), np.int64), np.zeros(len(node), np.int64)
+        edge = np.searchsorted(node, ix["first"])
+        for k in np.flatnonzero(np.diff(edge)):
+            cum = self._file(f"level{level}-{ix['shard'][k]}", ("key", "cum") if level == 1 else ("ptr", "sym", "cum"))["cum"]
+            part = slice(edge[k], edge[k + 1])
+            at = node[part] - ix["first"][k]
+            before[part] = cum.access(at)
+            own[part] = cum.access(at + 1) - before[part]
+            before[part] += ix["cum"][k]
+        return before, own
+
+    def children(self, level: int, parent: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Node (-1: none), its place in its range, its log10 probability, the parent's log10 back-off weight and children.
+
+        Pairs are sorted; no parent is below 0, and a symbol of -1 is no child's.
         """
-        m = self.levels[level]
-        node, rank, prob, back = np.full(len(parent), -1, np.int64), np.zeros(len(parent), np.int64), np.zeros(len(parent)), np.zeros(len(parent))
-        if not len(parent) or not m.nodes:
-            return node, rank, prob, back
-        edge = np.searchsorted(parent, np.arange(len(m.first) + 1) * m.span)
-        for no in np.flatnonzero(np.diff(edge)):
-            if m.first[no] == (m.first[no + 1] if no + 1 < len(m.first) else m.nodes):
+        n = len(parent)
+        node, rank, prob, back, kinds = np.full(n, -1, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
+        if not n or not self.nodes.get(level):
+            return node, rank, prob, back, kinds
+        ix = self.index(level)
+        place = np.searchsorted(ix["parent"], parent, "right") - 1
+        late = np.flatnonzero((place >= 0) & (ix["parent"][np.maximum(place, 0)] == parent) & (ix["symbol"][np.maximum(place, 0)] > symbol))
+        if len(late):  # a parent of several shards: bisect on the symbol
+            lo, hi = np.searchsorted(ix["parent"], parent[late]), place[late]
+            lo = np.maximum(lo - (ix["symbol"][lo] > symbol[late]), 0)
+            while (lo < hi).any():
+                mid = (lo + hi + 1) // 2
+                fits = ix["symbol"][mid] <= symbol[late]
+                lo, hi = np.where(fits, mid, lo), np.where(fits, hi, mid - 1)
+            place[late] = lo
+        edge = np.searchsorted(place, np.arange(len(ix["shard"]) + 1))
+        for k in np.flatnonzero(np.diff(edge)):
+            a = self._file(f"level{level}-{ix['shard'][k]}", ("ptr", "sym", "cum") if level == 2 else ("ptr", "sym"))
+            part = np.arange(edge[k], edge[k + 1])
+            p = parent[part] - ix["parent"][k]
+            here = p < len(a["back"])
+            part, p = part[here], p[here]
+            if not len(p):
                 continue
-            ptr, sym, q, b = self._shard(level, int(no))
-            part = slice(edge[no], edge[no + 1])
-            p = parent[part] - no * m.span
             fresh = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
             one, of = p[fresh], np.repeat(np.arange(len(fresh)), np.diff(np.append(fresh, len(p))))
-            start, stop = ptr.access(one), ptr.access(one + 1)
-            base = np.where(start > 0, sym.access(np.maximum(start - 1, 0)) + 1, 0)
+            start, stop = a["ptr"].access(one), a["ptr"].access(one + 1)
+            base = np.where(start > 0, a["sym"].access(np.maximum(start - 1, 0)) + 1, 0)
+            many = stop - start
+            many[one == 0] = ix["kinds_first"][k]
+            many[one == len(a["back"]) - 1] = ix["kinds_last"][k]
             start, stop, base = start[of], stop[of], base[of]
-            at = sym.find(base + symbol[part])
+            at = a["sym"].find(base + symbol[part])
             good = (at >= start) & (at < stop) & (symbol[part] >= 0)
-            node[part] = np.where(good, at + m.first[no], -1)
-            rank[part] = np.where(good, at - start, 0)
-            prob[part] = np.where(good, _value(q[np.maximum(at, 0)]), 0)
-            back[part] = _value(b[p])
-        return node, rank, prob, back
+            node[part] = np.where(good, at + ix["first"][k], -1)
+            rank[part] = np.where(good, at - start + np.where(p == 0, ix["lead"][k], 0), 0)
+            prob[part] = np.where(good, self.value(a["prob"][np.maximum(at, 0)]), 0)
+            back[part], kinds[part] = self.value(a["back"][p]), many[of]
+        return node, rank, prob, back, kinds
 
 
 def _inner(h: np.ndarray, bits: int) -> np.ndarray:
     """A word hash inside its shard, below 2**62."""
     inside = h << np.uint64(bits) >> np.uint64(bits) if bits else h
-    return (inside >> np.uint64(max(0, 2 - bits))).astype(np.int64)
+    return (inside >> np.uint64(2)).astype(np.int64)
+
 
+def _tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes of the distinct tokens, the place among them of every token of every row, and offsets of the rows.
 
-def _tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of every row with the end token behind them, and offsets."""
-    h, at = words(col)
+    A row's last token is the end. Two low bits of a hash are dropped, so that a shard's values fit its sequence.
+    """
+    values, codes, at = distinct_words(col)
+    h = np.append(hashes(values)[:, 0], np.uint64(END)) >> np.uint64(2) << np.uint64(2)
+    uniq, place = np.unique(h, return_inverse=True)
     rows = len(at) - 1
     ends = at[1:] + np.arange(1, rows + 1) - 1
-    out = np.empty(len(h) + rows, np.uint64)
+    out = np.empty(len(codes) + rows, np.int64)
     mask = np.ones(len(out), bool)
     mask[ends] = False
-    out[mask], out[ends] = h, END
-    # The hash's low bits beyond 62 are not kept where there is a single shard: drop them everywhere alike.
-    return out >> np.uint64(2) << np.uint64(2), np.concatenate([[0], ends + 1])
+    out[mask], out[ends] = place[codes], place[-1]
+    return uniq, out, np.concatenate([[0], ends + 1])
 
 
 @dataclass
@@ -233,29 +286,30 @@ class Looked:
     rank2: np.ndarray | None = None
     prob2: np.ndarray | None = None
     back2: np.ndarray | None = None
+    kinds2: np.ndarray | None = None
 
 
 def _by_distinct(level: int, model: Model, parent: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, ...]:
     """model.children for any order of parents, asked once per distinct pair; parents below 0 have no children."""
     good = np.flatnonzero(parent >= 0)
-    key = (parent[good].astype(np.uint64) << np.uint64(32)) | (symbol[good] + 1).astype(np.uint64)
-    uniq, inverse = np.unique(key, return_inverse=True)
-    found = model.children(level, (uniq >> np.uint64(32)).astype(np.int64), (uniq & np.uint64(0xFFFFFFFF)).astype(np.int64) - 1)
+    order, fresh = _pairs(parent[good], symbol[good])
+    one = good[order[fresh]]
+    place = np.empty(len(good), np.int64)
+    place[order] = np.cumsum(fresh) - 1
     out = []
-    for x, none in zip(found, (-1, 0, 0.0, 0.0), strict=True):
+    for x, none in zip(model.children(level, parent[one], symbol[one]), (-1, 0, 0.0, 0.0, 0), strict=True):
         full = np.full(len(parent), none, x.dtype)
-        full[good] = x[inverse]
+        full[good] = x[place]
         out.append(full)
     return tuple(out)
 
 
 def _look(model: Model, col: pa.Array, level: int) -> Looked:
-    h, at = _tokens(col)
-    uniq, inverse = np.unique(h, return_inverse=True)
+    uniq, place, at = _tokens(col)
     word, count = model.ids(uniq)
-    got = Looked(at, np.repeat(np.arange(len(at) - 1), np.diff(at)), word[inverse], count[inverse])
+    got = Looked(at, np.repeat(np.arange(len(at) - 1), np.diff(at)), word[place], count[place])
     if level >= 3:
-        got.node2, got.rank2, got.prob2, got.back2 = _by_distinct(2, model, _before(got.word, got), got.word)
+        got.node2, got.rank2, got.prob2, got.back2, got.kinds2 = _by_distinct(2, model, _before(got.word, got), got.word)
     return got
 
 
@@ -269,23 +323,33 @@ def _before(values: np.ndarray, got: Looked) -> np.ndarray:
 # ---------------------------------------------------------------- building
 
 
-def _counted(keys: list[np.ndarray], extra: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    key = np.concatenate(keys)
-    order = np.argsort(key)
-    key = key[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return key[first], np.diff(np.append(first, len(key))), np.concatenate(extra)[order[first]]
+def _planes(a: np.ndarray) -> bytes:
+    """Whole numbers from 0 on as compressed byte planes."""
+    raw = np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=3).compress(raw[: max(1, (int(a.max()).bit_length() + 7) // 8)].tobytes())
+
 
+def _unplanes(b: bytes, n: int) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(-1, n)
+    full = np.zeros((8, n), np.uint8)
+    full[: len(raw)] = raw
+    return np.ascontiguousarray(full.T).view("<u8").reshape(-1).astype(np.int64)
 
-def _planes(a: np.ndarray) -> bytes:
-    """Unsigned numbers as compressed byte planes."""
-    a = a.astype("<u4")
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 4).T).tobytes())
 
+def _written(model: Model, level: int, rows: DataFrame, build) -> dict[str, int]:
+    """Writes the index of a level; its totals. rows: one per shard, `shard` and some numbers; build: the index's arrays."""
+    uri, names = model.uri, rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols = {c: np.zeros(0, np.int64) for c in names}
+        for batch in batches:
+            cols = {c: np.append(cols[c], np.asarray(batch.column(c))) for c in names}
+        Files(uri).put(f"level{level}-index", build(cols))
+        yield pa.RecordBatch.from_arrays([pa.array([int(cols[c].sum())]) for c in ("nodes", "total", "ones", "twos")], names=["nodes", "total", "ones", "twos"])
 
-def _unplanes(b: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
+    # A few numbers for each shard of SHARD_TOKENS tokens or 4,096 rows: one task can hold them.
+    done = rows.repartition(1).sortWithinPartitions("shard").mapInArrow(run, "nodes bigint, total bigint, ones bigint, twos bigint").first()
+    return done.asDict() if done else {"nodes": 0, "total": 0, "ones": 0, "twos": 0}  # no row, no task
 
 
 def _vocabulary(rows: DataFrame, model: Model) -> None:
@@ -297,10 +361,11 @@ def _vocabulary(rows: DataFrame, model: Model) -> None:
             uniq, inverse = np.unique(key, return_inverse=True)
             held.clear()
             total = np.bincount(inverse, weights=n).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array((uniq >> np.uint64(64 - model.word_bits)).astype(np.int64) if model.word_bits else np.zeros(len(uniq), np.int64)), pa.array(uniq.view(np.int64)), pa.array(total)], names=["shard", "h", "n"])
+            return pa.RecordBatch.from_arrays([pa.array((uniq >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(uniq), np.int64)), pa.array(uniq.view(np.int64)), pa.array(total)], names=["shard", "h", "n"])
 
         for part in slices(batches, "text", SLICE_BYTES):
-            held.append(np.unique(_tokens(part.column("text"))[0], return_counts=True))
+            uniq, place, _ = _tokens(part.column("text"))
+            held.append((uniq, np.bincount(place, minlength=len(uniq))))
             if sum(len(x[0]) for x in held) > HELD_KEYS:
                 yield flush()
         if held:
@@ -312,101 +377,146 @@ def _vocabulary(rows: DataFrame, model: Model) -> None:
         h, inverse = np.unique(np.asarray(group.column("h")).view(np.uint64), return_inverse=True)
         n = np.bincount(inverse, weights=np.asarray(group.column("n"))).astype(np.int64)
         no = group.column("shard")[0].as_py()
-        Files(uri).put(f"level1-{no}", _named("key", EliasFano.build(_inner(h, bits)).arrays()) | {"count": n})
+        Files(uri).put(f"level1-{no}", _named("key", EliasFano.build(_inner(h, bits)).arrays()) | _named("cum", EliasFano.build(np.concatenate([[0], np.cumsum(n)])).arrays()))
         return pa.table({"shard": [no], "nodes": [len(h)], "total": [int(n.sum())], "ones": [int((n == 1).sum())], "twos": [int((n == 2).sum())]})
 
-    done = rows.mapInArrow(count, "shard bigint, h bigint, n bigint").groupBy("shard").applyInArrow(build, "shard bigint, nodes bigint, total bigint, ones bigint, twos bigint").collect()
-    nodes = {r["shard"]: r["nodes"] for r in done}
-    each = [nodes.get(k, 0) for k in range(1 << bits)]
-    model.word_first = [int(x) for x in np.cumsum([0, *each[:-1]])]
-    model.vocabulary, model.tokens = sum(each), sum(r["total"] for r in done)
-    model.discount = _discount(sum(r["ones"] for r in done), sum(r["twos"] for r in done))
-
-
-def _level(rows: DataFrame, model: Model, level: int, parents: int) -> None:
-    """Counts of all n-grams of `level`, sorted and compressed by the tasks that meet them, merged by shard."""
-    if parents >= 1 << 32:
-        raise ValueError(f"level {level} would have {parents} parents; a key holds 2**32")
-    shards = max(1, -(-model.tokens // SHARD_TOKENS))
-    span = max(1, -(-parents // shards))
-
-    def send(keys: list[np.ndarray], extra: list[np.ndarray]) -> pa.RecordBatch:
-        uniq, n, low = _counted(keys, extra)
-        parent, symbol = (uniq >> np.uint64(32)).astype(np.int64), (uniq & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        edge = np.searchsorted(parent, np.arange(shards + 1) * span)
+    def index(cols: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        return {"shard": cols["shard"], "first": np.concatenate([[0], np.cumsum(cols["nodes"])]), "cum": np.concatenate([[0], np.cumsum(cols["total"])])}
+
+    made = rows.mapInArrow(count, "shard bigint, h bigint, n bigint").groupBy("shard").applyInArrow(build, "shard bigint, nodes bigint, total bigint, ones bigint, twos bigint")
+    done = _written(model, 1, stored(made, "words"), index)
+    model.vocabulary = model.nodes[1] = done["nodes"]
+    model.tokens = done["total"]
+    model.discount[1] = _discount(done["ones"], done["twos"])
+
+
+def _level(rows: DataFrame, model: Model, level: int) -> None:
+    """Counts of all n-grams of `level`, sorted and compressed by the tasks that meet them, merged by shard, then weighed."""
+    per_shard = SHARD_TOKENS
+
+    def send(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        parent, symbol, low, span = (np.concatenate(x) for x in zip(*held, strict=True))
+        order, fresh = _pairs(parent, symbol)
+        first = np.flatnonzero(fresh)
+        n, one = np.diff(np.append(first, len(order))), order[first]
+        parent, symbol, low, span = parent[one], symbol[one], low[one], span[one]
+        starts = np.flatnonzero(np.concatenate([[True], parent[1:] != parent[:-1]]))
+        of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(parent))))
+        before, own = model.mass(level - 1, parent[starts])
+        # The place on the line of all tokens never falls from one key to the next, and neither does the shard.
+        shard = np.floor((before[of] + own[of] * (symbol / span)) / per_shard).astype(np.int64)
+        cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
         nos, blobs = [], []
-        for no in np.flatnonzero(np.diff(edge)):
-            part = slice(edge[no], edge[no + 1])
-            p = parent[part] - no * span
-            nos.append(int(no))
-            blobs.append([_planes(np.diff(p, prepend=0)), _planes(symbol[part]), _planes(n[part]), zstandard.ZstdCompressor(level=1).compress(low[part].tobytes())])
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            nos.append(int(shard[a]))
+            blobs.append([_planes(np.diff(parent[a:b], prepend=0)), _planes(symbol[a:b]), _planes(n[a:b]), zstandard.ZstdCompressor(level=1).compress(low[a:b].tobytes())])
         return pa.RecordBatch.from_arrays([pa.array(nos, pa.int64()), *[pa.array([b[k] for b in blobs], pa.binary()) for k in range(4)]], names=["shard", "p", "s", "n", "low"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, extra, held = [], [], 0
+        held: list[tuple[np.ndarray, ...]] = []
         for part in slices(batches, "text", SLICE_BYTES):
             got = _look(model, part.column("text"), level)
             if level == 2:
-                parent, symbol, low = _before(got.word, got), got.word, _quantise(model.unigram(got.count))
+                parent, symbol, low, span = _before(got.word, got), got.word, model.quantise(model.unigram(got.count)), np.full(len(got.word), model.vocabulary)
             else:
-                parent, symbol, low = _before(got.node2, got), got.rank2, _quantise(got.prob2)
+                parent, symbol, low, span = _before(got.node2, got), got.rank2, model.quantise(got.prob2), got.kinds2
             good = parent >= 0
-            key = (parent[good].astype(np.uint64) << np.uint64(32)) | symbol[good].astype(np.uint64)
-            keys.append(key)
-            extra.append(low[good])
-            held += len(key)
-            if held > HELD_KEYS:
-                yield send(keys, extra)
-                keys, extra, held = [], [], 0
-        if held:
-            yield send(keys, extra)
+            held.append((parent[good], symbol[good], low[good], span[good]))
+            if sum(len(x[0]) for x in held) > HELD_KEYS:
+                yield send(held)
+                held = []
+        if sum(len(x[0]) for x in held):
+            yield send(held)
 
     uri = model.uri
 
-    def build(group: pa.Table) -> pa.Table:
+    def merge(group: pa.Table) -> pa.Table:
+        """A shard's n-grams with their counts, written as they are; what its first and last parent have of it."""
         no = group.column("shard")[0].as_py()
-        key, n, low = [], [], []
+        parent, symbol, n, low = [], [], [], []
         for p, s, c, x in zip(*(group.column(k).to_pylist() for k in ("p", "s", "n", "low")), strict=True):
-            key.append((np.cumsum(_unplanes(p)).astype(np.uint64) << np.uint64(32)) | _unplanes(s).astype(np.uint64))
-            n.append(_unplanes(c))
             low.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8))
-        keys = np.concatenate(key)
-        order = np.argsort(keys)
-        keys, counts, lows = keys[order], np.concatenate(n)[order], np.concatenate(low)[order]
-        fresh = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        counts, lows, keys = np.add.reduceat(counts, fresh), lows[fresh], keys[fresh]
-        parent, symbol = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        own = max(0, min(span, parents - no * span))
-        ptr = np.searchsorted(parent, np.arange(own + 1))
-        total = np.add.reduceat(counts, ptr[:-1][np.diff(ptr) > 0])
-        kinds = np.diff(ptr)[np.diff(ptr) > 0]
-        d = _discount(int((counts == 1).sum()), int((counts == 2).sum()))
+            many = len(low[-1])
+            parent.append(np.cumsum(_unplanes(p, many)))
+            symbol.append(_unplanes(s, many))
+            n.append(_unplanes(c, many))
+        parent, symbol, n, low = (np.concatenate(x) for x in (parent, symbol, n, low))
+        order, fresh = _pairs(parent, symbol)
+        first = np.flatnonzero(fresh)
+        n, one = np.add.reduceat(n[order], first), order[first]
+        parent, symbol, low = parent[one], symbol[one], low[one]
+        blobs = {"parent": _planes(np.diff(parent, prepend=0)), "symbol": _planes(symbol), "n": _planes(n), "low": low.tobytes()}
+        Files(uri).put(f"counts{level}-{no}", {k: np.frombuffer(v, np.uint8) for k, v in blobs.items()})
+        ends = [parent == parent[0], parent == parent[-1]]
+        numbers = {"shard": no, "nodes": len(n), "total": n.sum(), "ones": (n == 1).sum(), "twos": (n == 2).sum(), "p0": parent[0], "p1": parent[-1], "s0": symbol[0]}
+        numbers |= {"k0": ends[0].sum(), "t0": n[ends[0]].sum(), "k1": ends[1].sum(), "t1": n[ends[1]].sum()}
+        return pa.table({k: pa.array([int(v)], pa.int64()) for k, v in numbers.items()})
+
+    def index(cols: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """Where shards begin, and what their first and last parents have in all shards together."""
+        lone = cols["p0"] == cols["p1"]
+        parent = np.stack([cols["p0"], cols["p1"]], 1).reshape(-1)
+        kinds = np.stack([cols["k0"], np.where(lone, 0, cols["k1"])], 1).reshape(-1)
+        total = np.stack([cols["t0"], np.where(lone, 0, cols["t1"])], 1).reshape(-1)
+        _, first, of = np.unique(parent, return_index=True, return_inverse=True)
+        so_far = np.cumsum(kinds) - kinds
+        lead = (so_far - so_far[first][of])[::2]
+        all_kinds, all_total = np.bincount(of, weights=kinds).astype(np.int64)[of], np.bincount(of, weights=total).astype(np.int64)[of]
+        out = {"shard": cols["shard"], "parent": cols["p0"], "symbol": np.where(lead > 0, cols["s0"], -1), "lead": lead}
+        out |= {"first": np.concatenate([[0], np.cumsum(cols["nodes"])]), "cum": np.concatenate([[0], np.cumsum(cols["total"])])}
+        return out | {"kinds_first": all_kinds[::2], "total_first": all_total[::2], "kinds_last": all_kinds[1::2], "total_last": all_total[1::2]}
+
+    made = rows.mapInArrow(count, "shard bigint, p binary, s binary, n binary, low binary")
+    fields = ("shard", "nodes", "total", "ones", "twos", "p0", "p1", "s0", "k0", "t0", "k1", "t1")
+    parts = stored(made.groupBy("shard").applyInArrow(merge, ", ".join(f"{x} bigint" for x in fields)), "shards")
+    done = _written(model, level, parts, index)
+    model.nodes[level], model.discount[level] = done["nodes"], _discount(done["ones"], done["twos"])
+    d = model.discount[level]
+
+    def weigh(no: int) -> int:
+        ix = model.index(level)
+        k = int(np.searchsorted(ix["shard"], no))
+        a = Files(uri).get(f"counts{level}-{no}")
+        low = a["low"]
+        parent, symbol, n = (_unplanes(a[x].tobytes(), len(low)) for x in ("parent", "symbol", "n"))
+        parent = np.cumsum(parent) - ix["parent"][k]
+        ptr = np.searchsorted(parent, np.arange(int(parent[-1]) + 2))
+        full = np.diff(ptr) > 0
+        kinds, total = np.diff(ptr)[full], np.add.reduceat(n, ptr[:-1][full])
+        kinds[0], total[0] = ix["kinds_first"][k], ix["total_first"][k]
+        kinds[-1], total[-1] = ix["kinds_last"][k], ix["total_last"][k]
         share = d * kinds / total
-        of = np.repeat(np.arange(len(kinds)), kinds)
-        prob = (counts - d) / total[of] + share[of] * 10 ** _value(lows)
-        back = np.zeros(own, np.uint8)
-        back[np.diff(ptr) > 0] = _quantise(np.log10(share))
+        of = np.repeat(np.arange(len(kinds)), np.diff(ptr)[full])
+        prob = (n - d) / total[of] + share[of] * 10 ** model.value(low)
+        back = np.zeros(len(full), np.uint8)
+        back[full] = model.quantise(np.log10(share))
         # Each range goes on where the one before it ended, so that the whole shard rises.
-        last = symbol[ptr[1:][np.diff(ptr) > 0] - 1] + 1
+        last = symbol[ptr[1:][full] - 1] + 1
         rise = symbol + (np.cumsum(last) - last)[of]
-        arrays = _named("ptr", EliasFano.build(ptr).arrays()) | _named("sym", EliasFano.build(rise).arrays())
-        Files(uri).put(f"level{level}-{no}", arrays | {"prob": _quantise(np.log10(prob)), "back": back})
-        return pa.table({"shard": [no], "nodes": [len(keys)]})
+        arrays = _named("ptr", EliasFano.build(ptr).arrays()) | _named("sym", EliasFano.build(rise).arrays()) | {"prob": model.quantise(np.log10(prob)), "back": back}
+        if level == 2:
+            arrays |= _named("cum", EliasFano.build(np.concatenate([[0], np.cumsum(n)])).arrays())
+        Files(uri).put(f"level{level}-{no}", arrays)
+        return len(n)
 
-    made = rows.mapInArrow(count, "shard bigint, p binary, s binary, n binary, low binary")
-    done = {r["shard"]: r["nodes"] for r in made.groupBy("shard").applyInArrow(build, "shard bigint, nodes bigint").collect()}
-    each = [done.get(k, 0) for k in range(shards)]
-    model.levels[level] = Level(span, [int(x) for x in np.cumsum([0, *each[:-1]])], sum(each))
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([weigh(no) for no in batch.column("shard").to_pylist()], pa.int64())], names=["nodes"])
+
+    shards = max(1, -(-model.tokens // per_shard))
+    weighed = parts.select("shard").repartition(min(shards, 10_000), "shard").mapInArrow(finish, "nodes bigint").agg(F.sum("nodes").alias("n")).first()["n"] or 0
+    if weighed != model.nodes[level]:
+        raise RuntimeError(f"level {level}: {weighed} of {model.nodes[level]} nodes were weighed")
 
 
 def fit(training: DataFrame, text_col: str = "text") -> Model:
     """Trigram model of all words of all rows of training; null texts are empty."""
-    rows = training.select(F.col(text_col).alias("text"))
+    rows = training.select(F.col(text_col).cast("string").alias("text"))
     n = rows.count()
     model = Model(fresh_path(training.sparkSession, "ngrams"), word_bits=max(0, (n // 4096)).bit_length())
     _vocabulary(rows, model)
-    _level(rows, model, 2, model.vocabulary)
-    _level(rows, model, 3, model.levels[2].nodes)
+    _level(rows, model, 2)
+    _level(rows, model, 3)
     return model
 
 
@@ -420,7 +530,7 @@ def token_scores(model: Model, col: pa.Array) -> tuple[Looked, np.ndarray]:
     # Not seen after the word before: that word's back-off weight and the word's own probability.
     low = np.where(got.node2 >= 0, got.prob2, got.back2 + model.unigram(got.count))
     rank = np.where((got.node2 >= 0) & known, got.rank2, -1)
-    node3, _, prob3, back3 = _by_distinct(3, model, _before(got.node2, got), rank)
+    node3, _, prob3, back3, _ = _by_distinct(3, model, _before(got.node2, got), rank)
     return got, np.where(node3 >= 0, prob3, back3 + low)
 
 
@@ -428,7 +538,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """id, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     Tokens are the row's words (A-Z lower-cased, parted by ASCII white space) and an end. base_score: add-one unigrams.
-    Null and empty texts are the end alone. A model of no rows gives every text log10 probability 0.
+    Null and empty texts are the end alone. A model of no rows gives every text log10 probability 0. Ids are cast to
+    bigint; repeated rows are scored each; an empty table gives an empty result, and further columns are not read.
     """
     tokens, vocabulary = model.tokens, model.vocabulary
 

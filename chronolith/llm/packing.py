@@ -8,6 +8,7 @@ whole text (tests/llm compares them), at several times the speed.
 from __future__ import annotations
 
 import base64
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -16,13 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import segment_hashes, slices, string_buffers
+from chronolith.llm.common import distinct_segments, slices, string_buffers
 
 CAPACITY = 2048
 #: Pieces that one task packs together; groups are dealt by hash, so each is a fair sample.
 GROUP_PIECES = 16384
 SLICE_BYTES = 3 << 20
-CACHE = 400_000
+#: Chunks remembered by a worker process, and the bytes that one of them may have.
+CACHE, LONGEST = 400_000, 64
 
 _MAYBE_SPACE_LEAD = np.zeros(256, bool)
 _MAYBE_SPACE_LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
@@ -44,8 +46,7 @@ class Encoder:
         self.width = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, k in ranks.items():
             self.width[k] = len(token)
-        self.keys, self.lens, self.offs, self.hits = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.flat = np.zeros(0, np.int32)
+        self.known: dict[bytes, np.ndarray] = {}  # ids of chunks, in the order of their last use
 
     def _encode(self, chunks: list[bytes]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(chunks)
@@ -82,39 +83,28 @@ class Encoder:
         cut[offsets[:-1][offsets[:-1] < n]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], n)
-        uniq, first, inverse = np.unique(segment_hashes(raw, starts, ends), return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, uniq)
-        known = np.zeros(len(uniq), bool)
-        inside = at < len(self.keys)
-        known[inside] = self.keys[at[inside]] == uniq[inside]
-        self.hits[at[known]] += 1
-        new = np.flatnonzero(~known)
-        data = raw.tobytes()
-        made = self._encode([data[starts[first[k]] : ends[first[k]]] for k in new])
-        lens, offs = np.empty(len(uniq), np.int64), np.empty(len(uniq), np.int64)
-        lens[known], offs[known] = self.lens[at[known]], self.offs[at[known]]
-        lens[new] = [len(x) for x in made]
-        offs[new] = len(self.flat) + np.cumsum(lens[new]) - lens[new]
-        self.flat = np.concatenate([self.flat, *made]) if made else self.flat
-        size = lens[inverse]
+        chunks, place = distinct_segments(raw, starts, ends)
+        new = [c for c in chunks if c not in self.known]
+        made = dict(zip(new, self._encode(new), strict=True))
+        own = [made[c] if c in made else self.known[c] for c in chunks]
+        lens = np.array([len(x) for x in own], np.int64)
+        offs = np.cumsum(lens) - lens
+        flat = np.concatenate(own)
+        size = lens[place]
         total = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat[np.arange(total[-1]) + np.repeat(offs[inverse] - total[:-1], size)]
-        row_at = total[np.searchsorted(starts, offsets)]
-        self._remember(uniq[new], lens[new], offs[new])
-        return ids, row_at
-
-    def _remember(self, keys: np.ndarray, lens: np.ndarray, offs: np.ndarray) -> None:
-        place = np.searchsorted(self.keys, keys)
-        self.keys, self.lens, self.offs = np.insert(self.keys, place, keys), np.insert(self.lens, place, lens), np.insert(self.offs, place, offs)
-        self.hits = np.insert(self.hits, place, 0)
-        if len(self.keys) > CACHE:  # what has not come again goes, and the ids close up
-            keep = np.flatnonzero(self.hits > 0)
-            if len(keep) > CACHE // 2:
-                keep = np.sort(keep[np.argsort(-self.hits[keep], kind="stable")[: CACHE // 2]])
-            lens, offs = self.lens[keep], self.offs[keep]
-            begin = np.cumsum(lens) - lens
-            self.flat = self.flat[np.arange(lens.sum()) + np.repeat(offs - begin, lens)]
-            self.keys, self.lens, self.offs, self.hits = self.keys[keep], lens, begin, np.zeros(len(keep), np.int32)
+        ids = flat[np.arange(total[-1]) + np.repeat(offs[place] - total[:-1], size)]
+        self._remember(chunks, own)
+        return ids, total[np.searchsorted(starts, offsets)]
+
+    def _remember(self, chunks: list[bytes], own: list[np.ndarray]) -> None:
+        """What came last stays; a long chunk is not worth its place."""
+        for c, ids in zip(chunks, own, strict=True):
+            if len(c) <= LONGEST:
+                self.known.pop(c, None)
+                self.known[c] = ids
+        if len(self.known) > CACHE:
+            for c in list(itertools.islice(self.known, len(self.known) - CACHE // 2)):
+                del self.known[c]
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -185,10 +175,13 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 def pack(docs: DataFrame, tokenizer: tuple[str, str, str], capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece, sequences filled gaplessly from 0.
 
-    Null and empty texts are the end id alone. Repeated rows are packed each. Groups of about GROUP_PIECES pieces are
-    packed by one task each, longest first; what a group leaves open is a few sequences. Reruns agree.
+    Null and empty texts are the end id alone. Repeated rows are packed each. Ids are cast to bigint. Groups of at most
+    about GROUP_PIECES pieces, by a bound from bytes, are packed by one task each, longest first; what a group leaves open
+    is a few sequences. Reruns agree. An empty table gives an empty result; further columns are not read.
     """
-    n = docs.count()
+    # No text has more tokens than bytes, and its end: this bounds the pieces without encoding anything twice.
+    seen = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0)).alias("bytes")).first()
+    n = seen["n"] + seen["bytes"] // capacity
     made = pieces(docs, tokenizer, capacity, end_id, id_col, text_col)
     groups = max(1, -(-n // GROUP_PIECES))
     dealt = made.withColumn("group", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(groups)))

@@ -50,13 +50,31 @@ c as (select *, rest * w > 3 * n * open as over from o),
 last as (select max(rest) as rest, max(open) as open from c where not over),
 t as (
   select source, n, case when over then 3.0::double * n else (last.rest * w)::double / last.open::double end as target from c, last),
+q as (
+  select *, floor(target + 0.5)::bigint as words, greatest((n + 511) // 512, 1) as blocks,
+    row_number() over (order by source is null, source) - 1 as source_no from t),
+k as (select *, case when n = 0 then 0 else (words // n) * blocks + (words % n + 511) // 512 end as quota from q),
+z as (select *, coalesce(sum(quota) over (order by source_no rows between unbounded preceding and 1 preceding), 0) as lo from k),
+points as (
+  select slot, floor(((slot + 1)::hugeint * 11400714819323198485::hugeint % 18446744073709551616::hugeint // 2048)::double / 9007199254740992
+    * (select sum(quota) from z)::double)::bigint as cell from range((select coalesce(sum(quota), 0)::bigint from z)) r(slot)),
+ranked as (
+  select slot, source_no, quota, row_number() over (partition by source_no order by slot) as rank
+  from points join z on cell >= lo and cell < lo + quota),
+late as (
+  select source_no, unnest(range(got + 1, quota + 1)) as rank
+  from (select source_no, any_value(quota)::bigint as quota, (select count(*) from ranked where ranked.source_no = z.source_no) as got from z group by source_no)),
+slots as (
+  select slot as position, source_no, rank from ranked where rank <= quota
+  union all select rank * (select count(*) from z) + source_no + (select sum(quota) from z), source_no, rank from late),
 p as (
-  select d.doc_id, d.size, t.n as source_size, t.target, floor(t.target + 0.5)::bigint as words,
+  select d.doc_id, d.size, z.n as source_size, z.target, z.words, z.source_no,
     sum(d.size) over (partition by d.source order by turn, d.doc_id, d.size rows unbounded preceding) - d.size as pos
-  from d join t on d.source is not distinct from t.source)
-select doc_id, size::bigint as size, source_size, target,
-  case when source_size = 0 then 0 else ((words // source_size) * size + greatest(0, least(size, words % source_size - pos)))::bigint end as taken
-from p
+  from d join z on d.source is not distinct from z.source),
+taken as (
+  select *, case when source_size = 0 then 0 else ((words // source_size) * size + greatest(0, least(size, words % source_size - pos)))::bigint end as taken from p)
+select doc_id, size::bigint as size, source_size, target, taken, case when taken > 0 then position end::bigint as first_position
+from taken left join slots on slots.source_no = taken.source_no and slots.rank = pos // 512 + 1
 """
 
 OP10 = """

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import stored
+from chronolith.shared import stored
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Training rows of each class, at most (a hashed sample of the labelled rows).

@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import ascii_lower, small
+from chronolith.llm.common import ascii_lower
+from chronolith.shared import small
 
 SHORT = 8  # hex digits of the digest that the join compares first
 

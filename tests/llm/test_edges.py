@@ -20,7 +20,7 @@ SCHEMA = "doc_id long, text string, lang string, source string"
 @pytest.fixture(scope="module")
 def docs(spark):
     df = spark.createDataFrame(ROWS, SCHEMA)
-    return df.withColumns({c: F.lit(7) for c in ("kept", "size", "digest", "id", "comp", "n", "keep_id", "term", "turn", "__x")})
+    return df.withColumns({c: F.lit(7) for c in ("kept", "size", "digest", "id", "comp", "n", "keep_id", "term", "turn", "row", "mixed", "node", "source_no", "position", "taken", "__x", "__id", "__n", "__size", "__toxic", "__d", "__r")})
 
 
 @pytest.fixture(scope="module")
@@ -100,9 +100,10 @@ def test_mixing(docs, empty):
     again = sorted((str(r["doc_id"]), r["taken"]) for r in mixing.mix(docs.repartition(3)).collect())
     assert again == sorted((str(r["doc_id"]), r["taken"]) for r in rows)
     assert mixing.mix(empty).count() == 0
-    mixed = mixing.apply_mix(docs, mixing.mix(docs))
+    mixed = mixing.apply_mix(docs)
     assert mixed.columns == docs.columns
     assert abs(mixed.select(F.sum(mixing.word_count(F.col("text")))).first()[0] - sum(r["size"] for r in rows)) <= len(target)
+    assert mixing.apply_mix(empty).count() == 0
 
 
 def test_packing(docs, empty):
