@@ -1,7 +1,8 @@
 """A corpus from documents: toxic ones go, copies and near copies go, sources are mixed, sequences are packed.
 
-Every stage works on all rows its predecessor kept. All but the last return the columns of documents. Rows with a null
-doc_id pass through the stages like others, except that near duplicates among them are not looked for.
+Every stage works on all rows its predecessor kept, each row by itself: rows that repeat a doc_id or have none are judged
+like others. Null texts count as empty. All stages but the last return the columns of documents; further columns, whatever
+their names, are carried along. An empty table gives an empty result at every stage.
 """
 
 from __future__ import annotations
@@ -10,42 +11,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.llm import exact_dedup, mixing, packing, setsketch, toxicity
-from chronolith.llm.common import small, stored, table
+from chronolith.llm.common import table
 from chronolith.llm.queries import public_tokenizer
+from chronolith.shared import stored
 
 THRESHOLD = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose toxicity score reaches THRESHOLD go; the model learns from labelled rows of `docs`."""
+    """Rows whose toxicity score reaches THRESHOLD go; the model learns from labelled rows of `docs`.
+
+    Empty and null texts score low and stay; without a label nothing is learned and every row stays.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return docs.withColumn("__toxic", toxicity.score_column(F.col("text"), model)).filter(F.col("__toxic") < THRESHOLD).drop("__toxic")
+    return docs.filter(toxicity.score_column(F.col("text"), model) < THRESHOLD)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each text stays, the one with the largest doc_id."""
+    """One row of each text stays, the one with the largest doc_id; null and empty texts are one text, null ids the smallest."""
     return exact_dedup.keep_first_copies(docs, keep="max")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group linked by five-word shingles at 0.8 or more stays, the one with the smallest doc_id."""
-    found = setsketch.near_duplicates(docs, width=5, percent=80)
-    gone = stored(found.filter("not kept").select(F.col("doc_id").alias("__id")).distinct(), "dropped")
-    return docs.join(small(gone), F.col("doc_id") == F.col("__id"), "left_anti")
+    """One row of each group linked by five-word shingles at 0.8 or more stays, the one with the smallest doc_id.
+
+    Rows without words are in no group and stay; null ids are the largest.
+    """
+    return setsketch.keep_one(docs, width=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as the mix takes them; one row of a source may be cut to the words still wanted."""
-    return mixing.apply_mix(docs, mixing.mix(docs, weights=(5, 2, 1), cap=3))
+    """Rows as often as the mix takes them, in the order of its schedule; one row of a source may be cut to the words still
+    wanted. Rows without words are not in the mix; null sources are one source.
+    """
+    return mixing.apply_mix(docs, weights=(5, 2, 1), cap=3)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document, with its sequence and place."""
+    """One row per piece of a document, with its sequence and place; a row that the mix repeats has pieces for each time."""
     return packing.pack(docs, public_tokenizer(), capacity=2048, end_id=0)
 
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("mixing", mix_sources), ("packing", pack_sequences)]
-#: Set sketches, the automaton and the packing order are beyond SQL; tests/llm compares the stages with brute force.
+#: Set sketches, the automaton and the packing order are beyond SQL; tests/llm/test_pipeline.py compares every stage with plain loops.
 ORACLE_SQL = None
 
 
