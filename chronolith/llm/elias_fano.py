@@ -39,17 +39,26 @@ def _unpack(words: np.ndarray, width: int, i: np.ndarray) -> np.ndarray:
     return (low | high) & np.uint64((1 << width) - 1)
 
 
+_ONES, _HIGH = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+_FIVES, _THREES, _FIFTEENS = np.uint64(0x5555555555555555), np.uint64(0x3333333333333333), np.uint64(0x0F0F0F0F0F0F0F0F)
+
+
 def _select(words: np.ndarray, before: np.ndarray, k: np.ndarray, flip: bool) -> np.ndarray:
     """Place of the k-th one (or zero, if flip) of a bit vector; before: ones (zeros) ahead of each word."""
     w = np.searchsorted(before, k.astype(before.dtype), "right") - 1
-    rest = (k - before[w]).astype(np.uint8)
-    word = words[w]
-    octets = np.ascontiguousarray(~word if flip else word).view(np.uint8).reshape(-1, 8)
-    upto = np.cumsum(_POPCOUNT[octets], axis=1, dtype=np.uint8)
-    byte = (upto <= rest[:, None]).sum(1)
-    row = np.arange(len(k))
-    inner = rest - np.where(byte > 0, upto[row, byte - 1], 0).astype(np.uint8)
-    return w * 64 + byte * 8 + _SELECT[octets[row, byte], inner]
+    rest = (k - before[w]).astype(np.uint64)
+    word = ~words[w] if flip else words[w]
+    with np.errstate(over="ignore"):
+        # Ones of every byte, then of all bytes up to it, eight sums in one number.
+        upto = word - ((word >> np.uint64(1)) & _FIVES)
+        upto = (upto & _THREES) + ((upto >> np.uint64(2)) & _THREES)
+        upto = ((upto + (upto >> np.uint64(4))) & _FIFTEENS) * _ONES
+        # The high bit of a byte stays where the sum up to it is at most `rest`: as many bytes lie before the bit sought.
+        shift = ((((rest * _ONES) | _HIGH) - upto) & _HIGH) >> np.uint64(7)
+        shift = ((shift * _ONES) >> np.uint64(56)) << np.uint64(3)
+        inner = rest - ((upto << np.uint64(8)) >> shift & np.uint64(0xFF))
+    octet = (word >> shift & np.uint64(0xFF)).astype(np.int64)
+    return w * 64 + shift.astype(np.int64) + _SELECT[octet, inner.astype(np.int64)]
 
 
 class EliasFano:

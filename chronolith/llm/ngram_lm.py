@@ -37,7 +37,7 @@ from chronolith.shared import fresh_path, stored
 END = 0x1D8E4E27C47D124C  # in place of the end token's hash
 SLICE_BYTES = 4 << 20
 #: Keys a task holds before it sends them on, sorted and counted.
-HELD_KEYS = 3_000_000
+HELD_KEYS = 2_000_000
 #: Tokens of training text for each shard of a level.
 SHARD_TOKENS = 2_000_000
 #: Level files that a worker keeps open.
@@ -78,7 +78,7 @@ class Files:
 
     def get(self, name: str) -> dict[str, np.ndarray]:
         if self.local is not None:
-            raw = np.memmap(f"{self.local}/{name}", np.uint8, "r")
+            raw = np.asarray(np.memmap(f"{self.local}/{name}", np.uint8, "r"))
         else:
             from pyarrow import fs
 
@@ -325,8 +325,10 @@ def _before(values: np.ndarray, got: Looked) -> np.ndarray:
 
 def _planes(a: np.ndarray) -> bytes:
     """Whole numbers from 0 on as compressed byte planes."""
-    raw = np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8).T)
-    return zstandard.ZstdCompressor(level=3).compress(raw[: max(1, (int(a.max()).bit_length() + 7) // 8)].tobytes())
+    width = max(1, (int(a.max()).bit_length() + 7) // 8)
+    wide = 4 if width <= 4 else 8
+    raw = np.ascontiguousarray(a.astype(f"<u{wide}").view(np.uint8).reshape(-1, wide).T[:width])
+    return zstandard.ZstdCompressor(level=1).compress(raw.tobytes())
 
 
 def _unplanes(b: bytes, n: int) -> np.ndarray:
@@ -390,28 +392,31 @@ def _vocabulary(rows: DataFrame, model: Model) -> None:
     model.discount[1] = _discount(done["ones"], done["twos"])
 
 
+def _sent(model: Model, level: int, held: list[tuple[np.ndarray, ...]], per_shard: int) -> pa.RecordBatch:
+    """Distinct keys (parent, symbol, low, span) of a task with their counts, by shard."""
+    parent, symbol, low, span = (np.concatenate(x) for x in zip(*held, strict=True))
+    held.clear()
+    order, fresh = _pairs(parent, symbol)
+    first = np.flatnonzero(fresh)
+    n, one = np.diff(np.append(first, len(order))), order[first]
+    parent, symbol, low, span = parent[one], symbol[one], low[one], span[one]
+    starts = np.flatnonzero(np.concatenate([[True], parent[1:] != parent[:-1]]))
+    of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(parent))))
+    before, own = model.mass(level - 1, parent[starts])
+    # The place on the line of all tokens never falls from one key to the next, and neither does the shard.
+    shard = np.floor((before[of] + own[of] * (symbol / span)) / per_shard).astype(np.int64)
+    cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
+    nos, blobs = [], []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        nos.append(int(shard[a]))
+        blobs.append([_planes(np.diff(parent[a:b], prepend=0)), _planes(symbol[a:b]), _planes(n[a:b]), zstandard.ZstdCompressor(level=1).compress(low[a:b].tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(nos, pa.int64()), *[pa.array([b[k] for b in blobs], pa.binary()) for k in range(4)]], names=["shard", "p", "s", "n", "low"])
+
+
 def _level(rows: DataFrame, model: Model, level: int) -> None:
     """Counts of all n-grams of `level`, sorted and compressed by the tasks that meet them, merged by shard, then weighed."""
     per_shard = SHARD_TOKENS
 
-    def send(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        parent, symbol, low, span = (np.concatenate(x) for x in zip(*held, strict=True))
-        order, fresh = _pairs(parent, symbol)
-        first = np.flatnonzero(fresh)
-        n, one = np.diff(np.append(first, len(order))), order[first]
-        parent, symbol, low, span = parent[one], symbol[one], low[one], span[one]
-        starts = np.flatnonzero(np.concatenate([[True], parent[1:] != parent[:-1]]))
-        of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(parent))))
-        before, own = model.mass(level - 1, parent[starts])
-        # The place on the line of all tokens never falls from one key to the next, and neither does the shard.
-        shard = np.floor((before[of] + own[of] * (symbol / span)) / per_shard).astype(np.int64)
-        cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
-        nos, blobs = [], []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            nos.append(int(shard[a]))
-            blobs.append([_planes(np.diff(parent[a:b], prepend=0)), _planes(symbol[a:b]), _planes(n[a:b]), zstandard.ZstdCompressor(level=1).compress(low[a:b].tobytes())])
-        return pa.RecordBatch.from_arrays([pa.array(nos, pa.int64()), *[pa.array([b[k] for b in blobs], pa.binary()) for k in range(4)]], names=["shard", "p", "s", "n", "low"])
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         for part in slices(batches, "text", SLICE_BYTES):
@@ -423,10 +428,10 @@ def _level(rows: DataFrame, model: Model, level: int) -> None:
             good = parent >= 0
             held.append((parent[good], symbol[good], low[good], span[good]))
             if sum(len(x[0]) for x in held) > HELD_KEYS:
-                yield send(held)
+                yield _sent(model, level, held, per_shard)
                 held = []
         if sum(len(x[0]) for x in held):
-            yield send(held)
+            yield _sent(model, level, held, per_shard)
 
     uri = model.uri
 
