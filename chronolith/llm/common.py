@@ -104,8 +104,36 @@ def hashes(values: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, values)), "<u8").reshape(-1, 2)
 
 
-def distinct_words(col: pa.Array, lower: bool = True) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The distinct words of a string column, the place among them of every word in order, and the n+1 offsets of rows."""
+def segment_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """uint64[n, 2]: 128 bits for each raw[start:end], equal for equal bytes in every process; segments as above.
+
+    Up to 16 bytes a segment is read as two numbers, which with its length tell it apart from all others of that kind, and
+    these are mixed; longer ones are hashed once for each distinct one.
+    """
+    out = np.empty((len(starts), 2), np.uint64)
+    size = ends - starts
+    padded = np.concatenate([raw, np.zeros(16, np.uint8)])
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    every = np.uint64(2**64 - 1)
+    with np.errstate(over="ignore"):
+        bits = np.minimum(size, 8).astype(np.uint64) << np.uint64(3)
+        a = eight[starts] & np.where(bits > 0, every >> (np.uint64(64) - np.maximum(bits, np.uint64(8))), np.uint64(0))
+        a = mix(a + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        b = np.full(len(starts), mix(np.zeros(1, np.uint64) + np.uint64(1))[0])
+        wide = np.flatnonzero(size > 8)
+        bits = np.minimum(size[wide] - 8, 8).astype(np.uint64) << np.uint64(3)
+        b[wide] = mix((eight[starts[wide] + 8] & (every >> (np.uint64(64) - bits))) ^ np.uint64(0xD6E8FEB86659FD93))
+        out[:, 0] = mix(a ^ (b * np.uint64(0xFF51AFD7ED558CCD)))
+        out[:, 1] = mix(b + a * np.uint64(0xC4CEB9FE1A85EC53))
+    long_ = np.flatnonzero(size > 16)
+    if len(long_):
+        values, place = distinct_segments(raw, starts[long_], ends[long_])
+        out[long_] = hashes(values)[place]
+    return out
+
+
+def words(col: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hashes (uint64[n, 2]) of all words of a string column in order, and the n+1 offsets of its rows into them."""
     raw, offsets = string_buffers(col)
     if lower:
         raw = _TO_LOWER[raw]
@@ -117,11 +145,4 @@ def distinct_words(col: pa.Array, lower: bool = True) -> tuple[list[bytes], np.n
     last = inside.copy()
     last[:-1] &= ~inside[1:] | first[1:]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    values, codes = distinct_segments(raw, starts, ends)
-    return values, codes, np.searchsorted(starts, offsets)
-
-
-def words(col: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit hashes (uint64[n, 2]) of all words of a string column in order, and the n+1 offsets of its rows into them."""
-    values, codes, at = distinct_words(col, lower)
-    return hashes(values)[codes], at
+    return segment_hashes(raw, starts, ends), np.searchsorted(starts, offsets)

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import distinct_words, hashes, slices
+from chronolith.llm.common import slices, words
 from chronolith.llm.elias_fano import EliasFano
 from chronolith.shared import fresh_path, stored
 
@@ -262,9 +262,10 @@ def _tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     A row's last token is the end. Two low bits of a hash are dropped, so that a shard's values fit its sequence.
     """
-    values, codes, at = distinct_words(col)
-    h = np.append(hashes(values)[:, 0], np.uint64(END)) >> np.uint64(2) << np.uint64(2)
-    uniq, place = np.unique(h, return_inverse=True)
+    every, at = words(col)
+    found = pa.array(every[:, 0] >> np.uint64(2) << np.uint64(2)).dictionary_encode()
+    codes = np.asarray(found.indices)
+    uniq, place = np.unique(np.append(np.asarray(found.dictionary), np.uint64(END)), return_inverse=True)
     rows = len(at) - 1
     ends = at[1:] + np.arange(1, rows + 1) - 1
     out = np.empty(len(codes) + rows, np.int64)
