@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from chronolith.llm.common import mix, slices, words
 from chronolith.llm.components import components
-from chronolith.shared import fresh_name, small, stored
+from chronolith.shared import arrow_batches, fresh_name, small, stored
 
 REGISTERS = 192
 #: Chance that a pair just at the threshold shares no band, at most.
@@ -41,6 +41,8 @@ ZERO = 40
 BLOCK_ROWS = 128
 #: Likely pairs for each row of a block up to which they are verified one by one.
 SPARSE = 4
+#: Bytes of a batch of rows that carry whole sets.
+BATCH_BYTES = 8 << 20
 #: Standard deviations below the threshold at which an estimate still leads to a comparison.
 MARGIN = 5.0
 
@@ -402,6 +404,11 @@ def _marked(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def classes(rows: DataFrame, width: int = 5, percent: int = 80, miss: float = MISS, margin: float = MARGIN, sparse: int = SPARSE) -> tuple[DataFrame, DataFrame]:
     """For rows (id, text): their id, n and digest, and for every digest the least id and the number of its component."""
+    with arrow_batches(rows.sparkSession, BATCH_BYTES):
+        return _classes(rows, width, percent, miss, margin, sparse)
+
+
+def _classes(rows: DataFrame, width: int, percent: int, miss: float, margin: float, sparse: int) -> tuple[DataFrame, DataFrame]:
     texts = rows.select("id", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("mark"), F.col("text").cast("string").alias("text"))
     all_ = stored(sketch(texts, width), "sketches")
     sets = all_.filter("n > 0").groupBy("digest").agg(F.min("id").alias("low"), F.min("mark").alias("mark"), F.first("n").alias("n"), F.first("regs").alias("regs"))
