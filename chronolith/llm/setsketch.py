@@ -232,8 +232,9 @@ def _likely(pairs: DataFrame, nodes: DataFrame, share: float, margin: float) ->
 
 
 def node_sets(need: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """node, items of the nodes in need(node, mark): the shingles of one text of each, 16 bytes apiece."""
-    marked = texts.join(small(need), "mark").groupBy("node").agg(F.first("text").alias("text"))
+    """node, items of the nodes in need(node, mark), of which there are few or a stored table: the shingles of one text of
+    each, 16 bytes apiece."""
+    marked = texts.join(need, "mark").groupBy("node").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -397,13 +398,15 @@ def _dense_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return _grouped(members.join(sets, "node"), ["key", "lo", "hi"], compare, "a bigint, b bigint")
 
 
-def _marked(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _sets(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """node_sets of the ends of pairs (a, b), b being null at times."""
     ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).filter("node is not null").distinct()
-    return stored(ids.join(nodes.select("node", "mark"), "node"), "need")
+    need = small(ids.join(nodes.select("node", "mark"), "node"), 2 * pairs.count())
+    return stored(node_sets(need, texts, width), "items")
 
 
 def classes(rows: DataFrame, width: int = 5, percent: int = 80, miss: float = MISS, margin: float = MARGIN, sparse: int = SPARSE) -> tuple[DataFrame, DataFrame]:
-    """For rows (id, text): their id, n and digest, and for every digest the least id and the number of its component."""
+    """For rows (id, text): their id, n and digest, and for every digest the least id of its component."""
     with arrow_batches(rows.sparkSession, BATCH_BYTES):
         return _classes(rows, width, percent, miss, margin, sparse)
 
@@ -415,19 +418,19 @@ def _classes(rows: DataFrame, width: int, percent: int, miss: float, margin: flo
     nodes = stored(sets.withColumn("node", F.monotonically_increasing_id()), "nodes")
     band = per_band(percent / 100, REGISTERS, miss)
     bands = band_rows(nodes, band)
-    sizes = stored(bands.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "sizes")
+    sizes = bands.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
     met = stored(bands.join(sizes, "key"), "buckets")
     # Of a bucket's members the one that meets most rows in all of its buckets is nearest to what they have in common.
-    central = stored(met.groupBy("node").agg(F.sum("c").alias("meets")), "central")
+    central = met.groupBy("node").agg(F.sum("c").alias("meets"))
     lead = stored(met.join(central, "node").groupBy("key").agg(F.max_by(F.struct("node", "n"), F.struct("meets", -F.col("node"))).alias("l")).select("key", F.col("l.node").alias("lead"), F.col("l.n").alias("ln")), "leads")
     fits = (100 * F.least("n", "ln") >= percent * F.greatest("n", "ln")) & (F.col("node") != F.col("lead"))
     pairs = met.join(lead, "key").filter(fits).select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
     likely = stored(_likely(pairs, nodes, percent / 100, margin), "pairs")
-    links = stored(verify(likely, stored(node_sets(_marked(likely, nodes), texts, width), "items"), percent), "links")
+    links = stored(verify(likely, _sets(likely, nodes, texts, width), percent), "links")
     label = stored(components(links).withColumnRenamed("id", "node"), "labels")
     found = stored(_candidates(_dealt(met, label, nodes), percent, band, margin, sparse), "candidates")
     if not found.isEmpty():
-        items = stored(node_sets(_marked(found.select("a", "b"), nodes), texts, width), "items")
+        items = _sets(found.select("a", "b"), nodes, texts, width)
         more = verify(found.filter("b is not null").select("a", "b").distinct(), items, percent)
         dense = found.filter("b is null")
         if not dense.isEmpty():
@@ -436,9 +439,9 @@ def _classes(rows: DataFrame, width: int, percent: int, miss: float, margin: flo
         if not more.isEmpty():
             label = stored(components(links.unionByName(more)).withColumnRenamed("id", "node"), "labels")
     of = nodes.select("digest", "node", "low").join(label, "node", "left").select("digest", "low", F.coalesce("comp", "node").alias("comp"))
-    of = stored(of, "classes")
+    # Stored, as a component's or a set's rows can be split among tasks only where the other side is a plain table.
     least = stored(of.groupBy("comp").agg(F.min("low").alias("least")), "least")
-    return all_.select("id", "n", "digest"), of.join(least, "comp").select("digest", "comp", "least")
+    return all_.select("id", "n", "digest"), stored(of.join(least, "comp").select("digest", "least"), "named")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, **how) -> DataFrame:
@@ -452,7 +455,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of any ordered type. An empty table gives an empty result; further columns are not read. how: miss, margin, sparse.
     """
     rows, of = classes(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), width, percent, **how)
-    out = rows.join(stored(of, "named"), "digest", "left")
+    out = rows.join(of, "digest", "left")
     comp = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), comp.eqNullSafe(F.col("id")).alias("kept"))
 
@@ -466,6 +469,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     keyed = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     key = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{row}`").alias("row"))
     rows, of = classes(keyed.select(key.alias("id"), F.col(f"`{text_col}`").alias("text")), width, percent, **how)
-    named = rows.filter("n > 0").join(stored(of, "named"), "digest")
+    named = rows.filter("n > 0").join(of, "digest")
     gone = stored(named.filter(F.col("id") != F.col("least")).select(F.col("id.row").alias(row)), "gone")
     return keyed.join(small(gone), row, "left_anti").select(*[f"`{c}`" for c in docs.columns])

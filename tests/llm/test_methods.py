@@ -79,7 +79,8 @@ def test_sketches_merge_and_estimate():
     assert abs(est - 0.5) < 0.15
 
 
-def test_components(spark):
+@pytest.mark.parametrize("alone", [0, components.ALONE])
+def test_components(spark, alone):
     rng = random.Random(9)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(400 + k, 401 + k) for k in range(40)] + [(5, 5)]
     up = {x: x for e in edges for x in e}
@@ -92,8 +93,9 @@ def test_components(spark):
     for a, b in edges:
         x, y = sorted((top(a), top(b)))
         up[y] = x
-    got = {r["id"]: r["comp"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["id"]: r["comp"] for r in components.components(spark.createDataFrame(edges, "a long, b long"), alone=alone).collect()}
     assert all(got.get(x, x) == top(x) for x in up)
+    assert components.components(spark.createDataFrame([], "a long, b long"), alone=alone).count() == 0
 
 
 @pytest.mark.parametrize(("n", "top"), [(0, 1), (1, 1), (700, 701), (900, 2**55), (500, 3000)])
