@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Turns whose lengths are summed together.
+BLOCK = 256
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 #: The marks of this template and of other common ones, all of which are escaped inside texts.
 CONTROL = (START, SEP, END, "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -50,27 +52,29 @@ def format_conversations(rows: DataFrame, loss_role: str = "assistant") -> DataF
     """
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     sorted_ = rows.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    # Turns of a role that follow each other are a slice of the array, from one change of role to the next.
+    opens = sorted_.withColumn("opens", F.expr("filter(sequence(0, size(ts) - 1), i -> i = 0 or ts[i].role <> ts[i - 1].role)"))
     merged = F.expr(
-        """aggregate(ts, cast(array() as array<struct<role:string,texts:array<string>>>), (acc, t) ->
-             if(size(acc) > 0 and element_at(acc, -1).role = t.role,
-                concat(slice(acc, 1, size(acc) - 1), array(named_struct('role', t.role, 'texts', concat(element_at(acc, -1).texts, array(t.text))))),
-                concat(acc, array(named_struct('role', t.role, 'texts', array(t.text))))))"""
+        """transform(opens, (at, k) -> named_struct('role', ts[at].role,
+             'texts', transform(slice(ts, at + 1, coalesce(get(opens, k + 1), size(ts)) - at), t -> t.text)))"""
     )
     safe = F.transform(merged, lambda m: F.struct(m["role"].alias("role"), _escape_role(m["role"]).alias("shown"), F.transform(m["texts"], escape).alias("texts")))
-    base = sorted_.select("conv_id", safe.alias("ms"))
+    base = opens.select("conv_id", safe.alias("ms"))
     whole = F.array_join(F.transform("ms", lambda m: F.concat(F.lit(START), m["shown"], F.lit("\n"), F.array_join(m["texts"], SEP), F.lit(END + "\n"))), "")
     role = loss_role.replace("'", "''")
+    # Lengths of whole turns, summed by blocks of BLOCK and over blocks, so that no array grows turn by turn.
+    size = F.transform("ms", lambda m: F.lit(len(START) + 1 + len(END) + 1).cast("long") + F.length(m["shown"]) + F.aggregate(m["texts"], F.lit(0).cast("long"), lambda a, x: a + F.length(x) + len(SEP)) - len(SEP))
+    base = base.select("conv_id", "ms", whole.alias("formatted"), size.alias("sizes"))
+    base = base.withColumn("sums", F.expr(f"transform(sequence(0, (size(sizes) - 1) div {BLOCK}), b -> aggregate(slice(sizes, b * {BLOCK} + 1, {BLOCK}), 0L, (a, x) -> a + x))"))
+    base = base.withColumn("before", F.expr("aggregate(sums, array(0L), (a, x) -> concat(a, array(element_at(a, -1) + x)))"))
     spans = F.expr(
-        f"""aggregate(ms, named_struct('at', 0L, 'out', cast(array() as array<struct<start:bigint,length:bigint>>)), (acc, m) ->
-              named_struct(
-                'at', acc.at + {len(START)} + length(m.shown) + 1 + length(array_join(m.texts, '{SEP}')) + {len(END) + 1},
-                'out', if(m.role <> '{role}', acc.out, concat(acc.out, aggregate(m.texts,
-                    named_struct('at', acc.at + {len(START)} + length(m.shown) + 1, 'out', cast(array() as array<struct<start:bigint,length:bigint>>)),
-                    (a, x) -> named_struct('at', a.at + length(x) + {len(SEP)}, 'out', concat(a.out, array(named_struct('start', a.at, 'length', cast(length(x) as bigint))))),
-                    a -> a.out)))),
-              acc -> acc.out)"""
+        f"""flatten(transform(ms, (m, i) -> if(m.role <> '{role}', array(),
+              aggregate(m.texts, named_struct('out', cast(array() as array<struct<start:bigint,length:bigint>>), 'at',
+                  before[i div {BLOCK}] + aggregate(slice(sizes, (i div {BLOCK}) * {BLOCK} + 1, i % {BLOCK}), 0L, (a, x) -> a + x) + {len(START)} + length(m.shown) + 1),
+                (a, x) -> named_struct('out', concat(a.out, array(named_struct('start', a.at, 'length', cast(length(x) as bigint)))), 'at', a.at + length(x) + {len(SEP)}),
+                a -> a.out))))"""
     )
-    return base.select("conv_id", whole.alias("formatted"), spans.alias("loss_spans"))
+    return base.select("conv_id", "formatted", spans.alias("loss_spans"))
 
 
 def read_back(formatted: Column) -> Column:

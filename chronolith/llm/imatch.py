@@ -1,92 +1,111 @@
 """I-Match fingerprints, in built-in expressions only.
 
-A term is a word's bucket out of 2**20 (xxhash64 of the lower-cased word), so the lexicon has a fixed size at any corpus
-size: the terms whose document frequency lies in a band of inverse document frequency, kept as a bit set of 16,384 longs
-that every task holds. The lexicon is split at random into cells of different density: level 0 has three quarters of it,
-each further level a quarter of what is left, and a level has eight cells. A fingerprint holds the hash of the sorted
-distinct lexicon terms of a text, and the hash of the ones in each cell. Sparse cells of a long text and dense cells of
-a short one hold a term or two, so some of them survive an edit of any size.
+A term is 56 bits of a lower-cased word's xxhash64. The lexicon are the terms whose document frequency, counted exactly over
+all rows, lies in a band of inverse document frequency; a row has a bounded number of distinct terms and a term of the band
+needs a fixed share of the rows, so there are some hundred thousand of them at any corpus size. Every task holds the band
+as a bit set of 2**24 places (2 MB), and the terms above the band as one of 2**20; a rarer term that shares a place with
+one of them is taken for it, the same way in every text.
+
+The lexicon is split at random into cells of different density: level 0 has three quarters of it, each further level a
+quarter of what is left, and a level has eight cells. The rarer terms are split alike into levels of their own, which carry
+texts with few terms. A fingerprint holds the hash of the sorted distinct lexicon terms of a text, and the hash of the ones
+in each cell. Sparse cells of a long text and dense cells of a short one hold a term or two, so some survive an edit of any
+size.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import SPACE, ascii_lower
+from chronolith.llm.common import SPACE
 from chronolith.shared import small, stored
 
-BUCKETS = 1 << 20
-WORDS_64 = BUCKETS // 64
-LEVELS, PER_LEVEL = 5, 8
+#: Places of the bit sets of band and frequent terms, and the bits of a term.
+BAND_PLACES, FREQUENT_PLACES, TERM_BITS = 1 << 24, 1 << 20, 56
+LEVELS, RARE_LEVELS, PER_LEVEL = 5, 3, 8
+CELLS = (LEVELS + RARE_LEVELS) * PER_LEVEL
 CELL_HEX, WHOLE_HEX = 8, 32
-#: Buckets of the document order; their edges are the only thing that meets in one place.
-MOST_BUCKETS = 20_000
+#: Rows of one bucket of the document order, about, and the quantiles that the driver cuts the order by; more buckets
+#: than that come from dividing the ids between two quantiles evenly.
+BUCKET_ROWS, QUANTILES = 4096, 2000
 #: Document share of a lexicon term: rarer ones are noise, more frequent ones say nothing.
 LEAST_SHARE, MOST_SHARE = 0.001, 0.2
 
 
 def terms(text: Column) -> Column:
-    """Sorted distinct term buckets of a text."""
+    """Sorted distinct terms of a text."""
     found = F.array_remove(F.split(F.lower(text), SPACE), "")
-    return F.sort_array(F.array_distinct(F.transform(found, lambda w: F.xxhash64(w).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))))
+    return F.sort_array(F.array_distinct(F.transform(found, lambda w: F.shiftrightunsigned(F.xxhash64(w), 64 - TERM_BITS))))
+
+
+def _bit_set(counts: DataFrame, places: int) -> DataFrame:
+    """One row, `bits`: an array of places / 64 longs with a bit for each term."""
+    words = counts.groupBy(F.shiftright(F.col("term").bitwiseAND(F.lit(places - 1)), 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(term % 64 as int))")).alias("bits"))
+    every = counts.sparkSession.range(places // 64, numPartitions=4).select(F.col("id").alias("word"))
+    full = every.join(words, "word", "left").select("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    return full.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("bits"))
 
 
 def lexicon(docs: DataFrame, text_col: str, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> DataFrame:
-    """One row with `bits`: array of 16,384 longs, a bit per term of the band. Counts go over all rows and whole texts."""
+    """One row with the bit sets `band` and `frequent`. Counts go over all rows and whole texts."""
     n = docs.count()
     counts = docs.select(F.explode(terms(F.coalesce(F.col(text_col), F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    band = counts.filter((F.col("df") >= max(2.0, least * n)) & (F.col("df") <= most * n))
-    words = band.groupBy(F.shiftright("term", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, term % 64)")).alias("bits"))
-    spark = docs.sparkSession
-    every = spark.range(WORDS_64, numPartitions=4).select(F.col("id").cast("int").alias("word"))
-    full = every.join(words, "word", "left").select("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
-    return stored(full.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("bits")), "lexicon")
+    counts = stored(counts.filter(F.col("df") >= max(2.0, least * n)), "terms")
+    band, frequent = _bit_set(counts.filter(F.col("df") <= most * n), BAND_PLACES), _bit_set(counts.filter(F.col("df") > most * n), FREQUENT_PLACES)
+    return stored(band.select(F.col("bits").alias("band")).join(F.broadcast(frequent.select(F.col("bits").alias("frequent")))), "lexicon")
 
 
-def _level(bits: int) -> int:
+def _level(bits: int, most: int) -> int:
     level = 0
-    while level < LEVELS - 1 and bits & 3 == 0:
+    while level < most - 1 and bits & 3 == 0:
         level, bits = level + 1, bits >> 2
     return level
 
 
 #: Level of a term by the low bits of its hash: a quarter of each level's terms goes on to the next.
-_LEVELS = [_level(b) for b in range(4 ** (LEVELS - 1))]
+_LEVELS = [_level(b, LEVELS) for b in range(4 ** (LEVELS - 1))]
+_RARE = [LEVELS + _level(b, RARE_LEVELS) for b in range(4 ** (LEVELS - 1))]
 
 
-def _cell(term: Column) -> Column:
+def _cell(term: Column, rare: Column) -> Column:
     """Level * 8 + cell of a term."""
     h = F.xxhash64(term, F.lit(17))
-    level = F.element_at(F.array(*[F.lit(x) for x in _LEVELS]), (h.bitwiseAND(F.lit(len(_LEVELS) - 1)) + 1).cast("int"))
+    place = (h.bitwiseAND(F.lit(len(_LEVELS) - 1)) + 1).cast("int")
+    level = F.when(rare, F.element_at(F.array(*[F.lit(x) for x in _RARE]), place)).otherwise(F.element_at(F.array(*[F.lit(x) for x in _LEVELS]), place))
     return level * PER_LEVEL + F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(PER_LEVEL - 1)).cast("int")
 
 
+def _has(bits: str, places: int) -> str:
+    return f"getbit(element_at({bits}, cast(shiftright(t & {places - 1}, 6) as int) + 1), cast(t % 64 as int)) = 1"
+
+
 def with_fingerprints(rows: DataFrame, bits: DataFrame, text_cols: dict[str, str]) -> DataFrame:
     """rows plus a fingerprint column for each text column named; {new column: text column}.
 
     A fingerprint is the hex hash of the whole set of lexicon terms, then one hash per cell, empty cells as dashes. A
     text without lexicon terms has the hash of all its terms, so only texts of the same terms look equal.
     """
-    # The lexicon is one row of 128 KB, read by a scalar subquery.
+    # The lexicon is one row of some 2 MB, read by scalar subqueries.
     view = "imatch_lexicon_" + bits.inputFiles()[0].rsplit("/", 2)[-2].replace("-", "_")
     bits.createOrReplaceTempView(view)
     keep = rows.columns
-    cells = LEVELS * PER_LEVEL
     for new, text_col in text_cols.items():
-        rows = rows.withColumn("ts", terms(F.coalesce(F.col(text_col), F.lit("")))).withColumn("bits", F.expr(f"(select bits from {view})"))
-        rows = rows.withColumn("lx", F.expr("filter(ts, t -> getbit(element_at(bits, shiftright(t, 6) + 1), t % 64) = 1)")).drop("bits")
-        rows = rows.withColumn("keys", F.sort_array(F.transform("lx", lambda t: _cell(t) * BUCKETS + t)))
+        rows = rows.withColumn("ts", terms(F.coalesce(F.col(text_col), F.lit("")))).withColumn("band", F.expr(f"(select band from {view})")).withColumn("frequent", F.expr(f"(select frequent from {view})"))
+        rows = rows.withColumn("lx", F.expr(f"filter(ts, t -> {_has('band', BAND_PLACES)})"))
+        rows = rows.withColumn("rare", F.expr(f"filter(ts, t -> not({_has('band', BAND_PLACES)}) and not({_has('frequent', FREQUENT_PLACES)}))")).drop("band", "frequent")
+        key = lambda rare: lambda t: _cell(t, F.lit(rare)) * F.lit(1 << TERM_BITS) + t
+        rows = rows.withColumn("keys", F.sort_array(F.concat(F.transform("lx", key(False)), F.transform("rare", key(True)))))
         # Terms in cell order, a bar for each step to the next cell: one pass, then cut at the bars.
+        place = lambda k: f"cast(shiftright({k}, {TERM_BITS}) as int)"
         joined = F.expr(
             f"""concat(array_join(transform(keys, (k, i) -> concat(
-                  repeat('|', shiftright(k, 20) - if(i = 0, 0, shiftright(element_at(keys, greatest(i, 1)), 20))), ' ', cast(k as string))), ''),
-                repeat('|', {cells - 1} - if(size(keys) = 0, 0, shiftright(element_at(keys, greatest(size(keys), 1)), 20))))"""
+                  repeat('|', {place('k')} - if(i = 0, 0, {place('element_at(keys, greatest(i, 1))')})), ' ', cast(k as string))), ''),
+                repeat('|', {CELLS - 1} - if(size(keys) = 0, 0, {place('element_at(keys, greatest(size(keys), 1))')})))"""
         )
-        rows = rows.withColumn("cut", F.split(F.when(F.size("keys") > 0, joined).otherwise(F.lit("|" * (cells - 1))), r"\|", -1))
+        rows = rows.withColumn("cut", F.split(F.when(F.size("keys") > 0, joined).otherwise(F.lit("|" * (CELLS - 1))), r"\|", -1))
         each = F.array_join(F.transform("cut", lambda x: F.when(x == "", F.lit("-" * CELL_HEX)).otherwise(F.substring(F.md5(x.cast("binary")), 1, CELL_HEX))), "")
         whole = F.md5(F.when(F.size("lx") > 0, F.array_join(F.col("lx").cast("array<string>"), " ")).otherwise(F.concat(F.lit("-"), F.array_join(F.col("ts").cast("array<string>"), " "))).cast("binary"))
         keep = [*keep, new]
@@ -99,59 +118,62 @@ def likeness(a: Column, b: Column) -> Column:
 
     A level counts with PER_LEVEL / 2 cells at least, so one lucky cell says little.
     """
-    same = F.lit(0.0)
-    for level in range(LEVELS):
-        hits, seen = F.lit(0), F.lit(0)
-        for k in range(PER_LEVEL):
-            at = WHOLE_HEX + (level * PER_LEVEL + k) * CELL_HEX + 1
-            x, y = F.substring(a, at, CELL_HEX), F.substring(b, at, CELL_HEX)
-            some = (x != "-" * CELL_HEX) | (y != "-" * CELL_HEX)
-            hits = hits + F.when(some & (x == y), 1).otherwise(0)
-            seen = seen + F.when(some, 1).otherwise(0)
-        same = F.greatest(same, hits / F.greatest(seen, F.lit(PER_LEVEL // 2)))
-    return F.when(a == b, F.lit(1.0)).otherwise(same)
-
-
-def next_rows(rows: DataFrame, id_col: str, carry: list[str], per_bucket: int = 4096, enrich: Callable[[DataFrame], DataFrame] = lambda x: x, also: tuple[str, ...] = ()) -> DataFrame:
+    none, each = "-" * CELL_HEX, F.sequence(F.lit(0), F.lit(PER_LEVEL - 1))
+
+    def share(level: Column) -> Column:
+        cell = lambda x, k: F.substring(x, (level * PER_LEVEL + k) * CELL_HEX + WHOLE_HEX + 1, F.lit(CELL_HEX))
+        hits = F.size(F.filter(each, lambda k: (cell(a, k) != none) & (cell(a, k) == cell(b, k))))
+        seen = F.size(F.filter(each, lambda k: (cell(a, k) != none) | (cell(b, k) != none)))
+        return hits / F.greatest(seen, F.lit(PER_LEVEL // 2))
+
+    best = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(LEVELS + RARE_LEVELS - 1)), share))
+    return F.when(a == b, F.lit(1.0)).otherwise(best)
+
+
+def next_rows(rows: DataFrame, id_col: str, carry: list[str], per_bucket: int = BUCKET_ROWS, enrich: Callable[[DataFrame], DataFrame] = lambda x: x, also: tuple[str, ...] = (), quantiles: int = QUANTILES) -> DataFrame:
     """rows plus next_<c> for the carried columns of the next row in descending id order; the last is followed by the first.
 
-    Quantiles of the ids cut the order into buckets that each meet in one task; the first row of every bucket is also
-    dealt to the bucket before; `enrich` then adds the columns `also`, once per row. So nothing but ids ever crosses all of them. Null ids come last; equal ids follow each
-    other in the order of the carried columns.
+    The order is cut into buckets that each meet in one task, by quantiles of the ids and evenly between two quantiles;
+    the first row of every bucket is also dealt to the bucket before; `enrich` then adds the columns `also`, once per row.
+    So nothing but a row per bucket crosses all of them. Null ids come last. Rows of equal or null id follow each other in
+    the order of a digest of the carried columns, by which null ids are dealt over buckets too.
     """
-    n = rows.count()
-    cuts = min(max(1, n // per_bucket), MOST_BUCKETS)
     spark = rows.sparkSession
+    seen = rows.agg(F.count("*").alias("n"), F.count(id_col).alias("ids"), F.min(id_col).alias("low"), F.max(id_col).alias("high")).first()
+    if not seen["n"]:
+        return enrich(rows).select("*", *[F.col(c).alias(f"next_{c}") for c in [*carry, *also]])
+    cuts = min(max(1, seen["ids"] // per_bucket), quantiles)
+    fine = max(1, -(-seen["ids"] // (cuts * per_bucket)))
     bounds = rows.agg(F.percentile_approx(id_col, [k / cuts for k in range(1, cuts)] or [0.5], 10 * cuts + 100).alias("b")).first()["b"] or []
-    bounds = sorted(set(bounds))[::-1]  # bucket k holds ids in [bounds[k], bounds[k-1])
-    edges = stored(spark.range(1, numPartitions=1).select(F.from_json(F.lit(json.dumps([int(b) for b in bounds[::-1]])), "array<bigint>").alias("up")), "bounds")
-    edges.createOrReplaceTempView(view := "imatch_bounds_" + edges.inputFiles()[0].rsplit("/", 2)[-2].replace("-", "_"))
-    last = len(bounds)
-    # Binary search in an array is not built in; bisecting a sorted array by powers of two is.
-    place = F.lit(0)
-    step = 1 << max(0, max(1, last).bit_length() - 1)
-    probe = rows.withColumn("__up", F.expr(f"(select up from {view})")).withColumn("__p", place)
-    while step:
-        probe = probe.withColumn("__p", F.when((F.col("__p") + step <= F.size("__up")) & (F.expr(f"try_element_at(__up, __p + {step})") <= F.col(id_col)), F.col("__p") + step).otherwise(F.col("__p")))
+    bounds = sorted(set(bounds) - {seen["low"]})  # range k holds ids from bounds[k - 1] to below bounds[k]
+    edges = [seen["low"] or 0, *bounds, (seen["high"] or 0) + 1]
+    at, array = F.lit(0), F.array(*[F.lit(int(b)) for b in edges[:-1]])
+    step = 1 << max(0, len(edges).bit_length() - 1)
+    probe = rows.withColumn("at", at).withColumn("turn", F.md5(F.to_json(F.struct(*carry)).cast("binary")))
+    while step:  # bisecting by powers of two
+        probe = probe.withColumn("at", F.when((F.col("at") + step < len(edges) - 1) & (F.get(array, F.col("at") + step) <= F.col(id_col)), F.col("at") + step).otherwise(F.col("at")))
         step //= 2
-    dealt = probe.withColumn("__bucket", F.when(F.col(id_col).isNull(), F.lit(max(1, last))).otherwise(F.lit(max(1, last)) - F.col("__p"))).drop("__up", "__p")
-    order = [F.col(id_col).desc_nulls_last(), *[F.col(c) for c in carry]]
-    heads = dealt.groupBy("__bucket").agg(F.max(id_col).alias("head")).orderBy("__bucket").collect()
-    if not heads:
-        return enrich(rows).select("*", *[F.col(c).alias(f"next_{c}") for c in [*carry, *also]])
-    # One row of every bucket goes to the bucket before it, and one of the first bucket to the last.
-    before = {h["__bucket"]: heads[i - 1]["__bucket"] for i, h in enumerate(heads)}
-    moves = [{"gb": h["__bucket"], "head": h["head"], "to": before[h["__bucket"]]} for h in heads]
-    ghosts = spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(json.dumps(moves)), "array<struct<gb:int,head:bigint,to:int>>")))
-    first = dealt.join(small(ghosts, len(heads)), (F.col("__bucket") == F.col("gb")) & F.col(id_col).eqNullSafe(F.col("head")))
-    first = first.groupBy("to").agg(F.min(F.struct(*carry)).alias("g")).select(F.col("to").alias("__bucket"), F.col("g").alias("g"))
-    ghost_rows = first.select(F.lit(None).cast(dict(rows.dtypes)[id_col]).alias(id_col), *[F.col(f"g.{c}").alias(c) for c in carry], "__bucket", F.lit(1).alias("__ghost"))
-    both = dealt.select(id_col, *carry, "__bucket", F.lit(0).alias("__ghost")).unionByName(ghost_rows)
-    w = Window.partitionBy("__bucket").orderBy("__ghost", *order)
+    low, high = F.get(array, F.col("at")), F.get(F.array(*[F.lit(int(b)) for b in edges[1:]]), F.col("at"))
+    inside = F.least(F.lit(fine - 1), F.floor((F.col(id_col).cast("double") - low) * fine / (high.cast("double") - low)))
+    last = (len(edges) - 1) * fine
+    nulls = max(1, -(-(seen["n"] - seen["ids"]) // per_bucket))
+    of_null = F.lit(last) + F.floor(F.conv(F.substring("turn", 1, 8), 16, 10).cast("double") * nulls / 2.0**32)
+    bucket = F.when(F.col(id_col).isNull(), of_null).otherwise(F.lit(last - 1) - (F.col("at") * fine + inside)).cast("long")
+    dealt = probe.withColumn("bucket", bucket).drop("at")
+    heads = stored(dealt.groupBy("bucket").agg(F.max(id_col).alias("head")), "heads")
+    # One row of every bucket goes to the bucket before it, and one of the first bucket to the last; a row for each bucket.
+    final = heads.agg(F.max("bucket").alias("b")).first()["b"]
+    moves = heads.withColumn("to", F.coalesce(F.lag("bucket").over(Window.orderBy("bucket")), F.lit(final)))
+    ghosts = moves.select(F.col("bucket").alias("of"), "head", "to")
+    first = dealt.join(small(ghosts, -(-seen["n"] // per_bucket)), (F.col("bucket") == F.col("of")) & F.col(id_col).eqNullSafe(F.col("head")))
+    first = first.groupBy("to").agg(F.min(F.struct("turn", *carry)).alias("g")).select(F.col("to").alias("bucket"), F.col("g").alias("g"))
+    ghost_rows = first.select(F.lit(None).cast(dict(rows.dtypes)[id_col]).alias(id_col), *[F.col(f"g.{c}").alias(c) for c in ["turn", *carry]], "bucket", F.lit(1).alias("ghost"))
+    both = dealt.select(id_col, *carry, "turn", "bucket", F.lit(0).alias("ghost")).unionByName(ghost_rows)
+    w = Window.partitionBy("bucket").orderBy("ghost", F.col(id_col).desc_nulls_last(), "turn")
     both = enrich(both)
     for c in [*carry, *also]:
         both = both.withColumn(f"next_{c}", F.lead(c).over(w))
-    return both.filter("__ghost = 0").drop("__bucket", "__ghost")
+    return both.filter("ghost = 0").drop("bucket", "ghost", "turn")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,8 +3,8 @@
 Fitting: words and word beginnings of toxic training rows that occur there in more different contexts than chance allows
 are lexicon terms; the shortest beginning that carries the evidence stands for its longer forms. Matching: a Levenshtein
 automaton of the word (states: positions x edits) is walked down a trie of the lexicon, so a term is found in a word that
-is at most one edit away. Scoring: a hit weighs the log ratio of its rates in toxic and clean training text, less in a
-window that quotes or reports; a logistic model of the summed weight and its density in the row makes the score.
+is at most one edit away. Scoring: a hit weighs the log ratio of its rates in toxic and clean training text, and in a
+window that quotes or reports the share of it that such hits were worth in training; a logistic model of the summed weight and its density in the row makes the score.
 """
 
 from __future__ import annotations
@@ -29,8 +29,9 @@ STEM_LENGTHS = (4, 5, 6, 7, 8)
 #: Terms shorter than this are matched as they are.
 FUZZY_FROM = 5
 WINDOW = 5
-#: A quoted or reported hit keeps this share of its weight.
-QUOTED = 0.3
+#: A quoted or reported hit keeps this share of its weight, before training has shown what it is worth, and the hits of
+#: training that outweigh this.
+QUOTED, QUOTED_HITS = 0.3, 30
 #: Signs that open or close a quotation, and words that report one.
 QUOTES = "\"'«»“”„‟‘’‹›"
 REPORTING = frozenset("said says wrote called quote quoted word term dit écrit mot sagte schrieb wort dijo escribió palabra".split())
@@ -147,29 +148,37 @@ class Matcher:
 # ---------------------------------------------------------------- scoring
 
 
+def find_hits(text: str, match: Matcher) -> tuple[list[tuple[int, int, str, int, bool]], int]:
+    """(start, end, term, edits, is it quoted or reported) of every hit, and the number of words.
+
+    Quoted: a sign of quotation on either side within WINDOW words. Reported: one of REPORTING among them.
+    """
+    low = text.lower()
+    spans = list(WORD.finditer(low))
+    out = []
+    for k, m in enumerate(spans):
+        got = match(m.group())
+        if got is None:
+            continue
+        around = spans[max(0, k - WINDOW) : k + WINDOW + 1]
+        left, right = low[around[0].start() : m.start()], low[m.end() : around[-1].end() + 1]
+        told = (any(q in left for q in QUOTES) and any(q in right for q in QUOTES)) or not REPORTING.isdisjoint(x.group() for x in around)
+        out.append((m.start(), m.end(), *got, told))
+    return out, len(spans)
+
+
 @dataclass
 class Model:
     terms: dict[str, bool]
     weight: dict[tuple[str, int], float]  # log ratio of the hit's rates in toxic and in clean text, from 0 to 6
     base: float  # share of toxic rows among those without a hit
     coef: tuple[float, ...] = (-4.0, 0.8, 0.0, 0.0)
+    quoted: float = QUOTED  # share of its weight that a quoted or reported hit keeps
 
     def hits(self, text: str, match: Matcher) -> tuple[list[tuple[int, int, str, int, float]], int]:
         """(start, end, term, edits, weight after its window) of every hit, and the number of words."""
-        low = text.lower()
-        spans = list(WORD.finditer(low))
-        out = []
-        for k, m in enumerate(spans):
-            got = match(m.group())
-            if got is None:
-                continue
-            w = self.weight.get(got, 0.0)
-            around = spans[max(0, k - WINDOW) : k + WINDOW + 1]
-            left, right = low[around[0].start() : m.start()], low[m.end() : around[-1].end() + 1]
-            if (any(q in left for q in QUOTES) and any(q in right for q in QUOTES)) or REPORTING & {x.group() for x in around}:
-                w *= QUOTED
-            out.append((m.start(), m.end(), got[0], got[1], w))
-        return out, len(spans)
+        found, n = find_hits(text, match)
+        return [(a, b, t, e, self.weight.get((t, e), 0.0) * (self.quoted if told else 1.0)) for a, b, t, e, told in found], n
 
     def score(self, text: str | None, match: Matcher) -> float:
         found, n = self.hits(text, match) if text else ([], 0)
@@ -314,18 +323,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             cols: tuple[list, list] = ([], [])
             for text in batch.column("text").to_pylist():
-                ws = WORD.findall((text or "").lower())
-                cols[0].append(len(ws))
-                cols[1].append([f"{g[0]} {g[1]}" for w in ws if (g := match(w)) is not None])
+                found, n = find_hits(text or "", match)
+                cols[0].append(n)
+                cols[1].append([f"{term} {edits}{int(told)}" for _, _, term, edits, told in found])
             yield pa.RecordBatch.from_arrays([batch.column("bad"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.string()))], names=["bad", "n", "hits"])
 
     # As many short rows as the sample has; the driver fits four numbers to them.
-    seen = [(bool(r["bad"]), r["n"], [(h.rsplit(" ", 1)[0], int(h[-1])) for h in r["hits"]]) for r in rows.select("text", "bad").mapInArrow(tally, "bad boolean, n bigint, hits array<string>").collect()]
+    seen = [(bool(r["bad"]), r["n"], [(h.rsplit(" ", 1)[0], int(h[-2]), h[-1] == "1") for h in r["hits"]]) for r in rows.select("text", "bad").mapInArrow(tally, "bad boolean, n bigint, hits array<string>").collect()]
     words = [sum(n for b, n, _ in seen if b == side) + 1 for side in (False, True)]
     count: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0])
+    told = [[0, 0], [0, 0]]
     for is_bad, _, hits in seen:
-        for h in hits:
-            count[h][is_bad] += 1
+        for term, edits, quoted in hits:
+            count[term, edits][is_bad] += 1
+            told[quoted][is_bad] += 1
+    quoted = _quoted_share(told, words)
     weight: dict[tuple[str, int], float] = {}
     for t in terms:
         for edits in (0, 1):
@@ -333,14 +345,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             ratio = math.log((b + 0.5) / words[1]) - math.log((c + 0.5) / words[0])
             # A misspelling that training has hardly seen counts half of the term.
             weight[(t, edits)] = 0.5 * weight[(t, 0)] if edits and b + c < 3 else min(6.0, max(0.0, ratio))
-    total = np.array([sum(weight[h] for h in hits) for _, _, hits in seen])
+    total = np.array([sum(weight[t, e] * (quoted if q else 1.0) for t, e, q in hits) for _, _, hits in seen])
     bad_row, size = np.array([b for b, _, _ in seen]), np.array([n for _, n, _ in seen])
     none = total <= 0
     base = float((bad_row[none].sum() + 0.1) / (none.sum() + 1.0))
     # Two rows that are always there: one weak hit in a long clean row, three strong ones in a short toxic row.
     x = _features(np.append(total[~none], [3.0, 12.0]), np.append(size[~none], [1000, 100]))
     coef = _logistic(x, np.append(bad_row[~none], [False, True]).astype(float), np.array([-3.0, 0.4, 0.5, 0.0]))
-    return Model(terms, weight, base, tuple(coef))
+    return Model(terms, weight, base, tuple(coef), quoted)
+
+
+def _quoted_share(told: list[list[int]], words: list[int]) -> float:
+    """What a quoted hit is worth beside a plain one: the ratio of their log ratios of rates in toxic and clean text."""
+    ratio = [max(0.0, math.log((bad + 0.5) / words[1]) - math.log((good + 0.5) / words[0])) for good, bad in told]
+    many = sum(told[1])
+    seen = min(1.0, ratio[1] / ratio[0]) if ratio[0] > 0 else QUOTED
+    return (many * seen + QUOTED_HITS * QUOTED) / (many + QUOTED_HITS)
 
 
 def score_column(text: Column, model: Model) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.llm.common import ascii_lower
-from chronolith.shared import small
+from chronolith.shared import small, stored
 
 SHORT = 8  # hex digits of the digest that the join compares first
 
@@ -58,4 +58,6 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     made = made.select("host", "path", F.sha2(F.concat_ws("\n", "h", "p"), 256).alias("digest")).withColumn("short", F.substring("digest", 1, SHORT))
     hits = made.join(small(keyed), "short").filter("digest = rule_digest")
     best = hits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.struct("rule_len", "host_len", F.col("verdict"))).alias("won"))
-    return rows.join(best, ["host", "path"], "left").select(F.col("id").alias(id_col), "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.verdict", F.lit(default)).alias("verdict"))
+    # Only urls that some rule fits are in here. Stored, so that a hot url's rows can be split where it is not broadcast.
+    best = stored(best, "judged")
+    return rows.join(small(best), ["host", "path"], "left").select(F.col("id").alias(id_col), "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.verdict", F.lit(default)).alias("verdict"))

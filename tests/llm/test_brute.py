@@ -1,14 +1,19 @@
 """Operators beyond SQL against plain loops over small inputs."""
 
 import collections
+import hashlib
+import itertools
 import math
 import random
+import re
+import struct
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
-from chronolith.llm import ngram_lm, packing, setsketch
+from chronolith.llm import imatch, langid, ngram_lm, packing, setsketch, toxicity
 from chronolith.llm.queries import public_tokenizer
 
 
@@ -117,3 +122,162 @@ def test_probabilities_sum_to_one_and_nonsense_scores_low(spark, corpus):
     rows = [(k, t) for k, t in enumerate(corpus[:250]) if len(plain.tokens(t)) > 5] + [(-1, nonsense)]
     got = {r["doc_id"]: r["score"] / r["n_tokens"] for r in ngram_lm.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
     assert got[-1] < min(x for k, x in got.items() if k >= 0)
+
+
+def plain_levels(t, rare):
+    h = xxhash.xxh64_intdigest(struct.pack("<i", 17), xxhash.xxh64_intdigest(struct.pack("<q", t), 42))
+    low, level = h & 255, 0
+    most = 3 if rare else 5
+    while level < most - 1 and low & 3 == 0:
+        level, low = level + 1, low >> 2
+    return (5 + level if rare else level) * 8 + (h >> 40 & 7)
+
+
+def test_fingerprints_by_plain_loops(spark):
+    """Lexicon by counted documents, cells by hashes, likeness by cells, all again in Python."""
+    rng = random.Random(12)
+    words = [f"word{k}" for k in range(900)]
+    texts = [" ".join(rng.choices(words, [1 / (k + 1) ** 0.8 for k in range(900)], k=rng.randrange(0, 120))) for _ in range(120)] + ["", "only rareone raretwo", "only rareone raretwo", "THE Word1 word1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    term = lambda w: xxhash.xxh64_intdigest(w.encode(), 42) >> 8
+    sets = [sorted({term(w) for w in t.lower().split()}) for t in texts]
+    df_of = collections.Counter(t for s in sets for t in s)
+    n = len(texts)
+    band = {t & (1 << 24) - 1 for t, c in df_of.items() if max(2.0, 0.001 * n) <= c <= 0.2 * n}
+    often = {t & (1 << 20) - 1 for t, c in df_of.items() if c > 0.2 * n}
+
+    def fingerprint(s):
+        lx = [t for t in s if t & (1 << 24) - 1 in band]
+        rare = [t for t in s if t & (1 << 24) - 1 not in band and t & (1 << 20) - 1 not in often]
+        cells = collections.defaultdict(list)
+        for t in lx:
+            cells[plain_levels(t, False)].append(t)
+        for t in rare:
+            cells[plain_levels(t, True)].append(t)
+        md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+        whole = md5(" ".join(map(str, lx)) if lx else "-" + " ".join(map(str, s)))
+        return whole + "".join(md5("".join(f" {(c << 56) + t}" for t in sorted(cells[c])))[:8] if c in cells else "-" * 8 for c in range(64))
+
+    def likeness(x, y):
+        if x == y:
+            return 1.0
+        best = 0.0
+        for level in range(8):
+            a, b = ([v[32 + (level * 8 + k) * 8 :][:8] for k in range(8)] for v in (x, y))
+            some = sum(p != "-" * 8 or q != "-" * 8 for p, q in zip(a, b, strict=True))
+            best = max(best, sum(p == q != "-" * 8 for p, q in zip(a, b, strict=True)) / max(some, 4))
+        return best
+
+    prints = [fingerprint(s) for s in sets]
+    for r in imatch.edited_likeness(df).collect():
+        k = r["doc_id"]
+        after = texts[k - 1] if k else texts[-1]
+        cut = len(texts[k]) // 3
+        edited = texts[k][: len(texts[k]) - cut] + after[:cut]
+        other = fingerprint(sorted({term(w) for w in edited.lower().split()}))
+        assert r["fingerprint"] == prints[k] and r["edited_fingerprint"] == other, texts[k]
+        assert abs(r["near_edited"] - likeness(prints[k], other)) < 1e-9 and abs(r["near_next"] - likeness(prints[k], prints[k - 1 if k else -1])) < 1e-9
+
+
+def test_the_next_row_in_many_buckets(spark):
+    ids = [3 * k * k for k in range(60)] + [None] * 25 + [7, 7, 7]
+    rows = [(i, f"t{k}") for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    for quantiles in (1, 4, 2000):
+        got = {r["text"]: r["next_text"] for r in imatch.next_rows(df, "id", ["text"], per_bucket=4, quantiles=quantiles).collect()}
+        turn = lambda t: hashlib.md5(('{"text":"' + t + '"}').encode()).hexdigest()
+        order = [t for _, t in sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), turn(r[1])))]
+        assert got == {t: order[(k + 1) % len(order)] for k, t in enumerate(order)}
+
+
+def test_language_scores_and_path_by_plain_loops(spark):
+    """Viterbi over all paths' scores, walked word by word with dictionaries, against the operator's spans."""
+    rng = random.Random(3)
+    letters = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "ijklmnop"}
+    word = lambda lang: "".join(rng.choice(letters[lang]) for _ in range(rng.randrange(2, 7)))
+    rows = [(k, " ".join(word(lang) for _ in range(40)), lang) for k, lang in enumerate(rng.choices(list(letters), k=120))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    mixed = [" ".join(word(lang) for lang in (["aa"] * 7 + ["cc"] * 9 + ["bb"] * 5)) for _ in range(20)] + ["a", "12 , .", "p!a?", word("aa") + " " + "ж" * 4]
+    for text, (lang, share, spans) in zip(mixed, langid.label_spans(model, mixed), strict=True):
+        cut = langid.cut_words([text])
+        score = []
+        for j in range(len(cut.start)):
+            at = range(cut.start[j], cut.end[j])
+            own = [float(model.word[cut.whole[j], k]) + sum(float(model.gram[g[c], k]) for g in cut.gram for c in at) for k in range(3)]
+            open_ = model.allowed[cut.script[j]]
+            score.append([s if open_[k] or not open_.any() else -1e6 for k, s in enumerate(own)])
+        tables = []
+        state = [list(score[0])] if score else []
+        for j in range(1, len(score)):
+            back = []
+            nxt = []
+            for k in range(3):
+                options = [(state[-1][m] - (langid.PENALTY if m != k else 0), m == k, -m) for m in range(3)]
+                top = max(options)
+                back.append(-top[2])
+                nxt.append(top[0] + score[j][k])
+            tables.append(back)
+            state.append(nxt)
+        if not score:
+            assert (lang, share, spans) == ("und", 0.0, [])
+            continue
+        k = int(np.argmax(state[-1]))
+        path = [k]
+        for back in reversed(tables):
+            k = back[k]
+            path.append(k)
+        path.reverse()
+        size = [int(b - a) for a, b in zip(cut.start, cut.end, strict=True)]
+        want = collections.Counter()
+        for p, n in zip(path, size, strict=True):
+            want[model.langs[p]] += n
+        assert sum(n for _, n in spans) == sum(size) and abs(share - max(want.values()) / sum(size)) < 1e-9 and want[lang] == max(want.values())
+        runs = [(model.langs[p], sum(n for _, n in g)) for p, g in itertools.groupby(zip(path, size, strict=True), key=lambda x: x[0])]
+        assert runs == spans
+
+
+def test_toxicity_scores_by_plain_loops(spark):
+    """Every word against every term by edit distances, windows and weights by hand."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("bdfglmnprt") + rng.choice("aeiou") for _ in range(3))
+    terms = {"slurword": False, "vile": True, "grubstem": True, "nasty": False}
+    weight = {(t, e): 1.5 + k / 4 - e / 2 for k, t in enumerate(terms) for e in (0, 1)}
+    model = toxicity.Model(terms, weight, 0.02, (-3.0, 0.6, 0.4, 0.1))
+
+    def distance(a, b):
+        d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
+
+    def find(w):
+        exact = [t for t, stem in terms.items() if (w.startswith(t) if stem else w == t)]
+        if exact:
+            return max(exact, key=len), 0
+        near = [t for t, stem in terms.items() if len(t) >= 5 and len(w) >= 4 and min(distance(w[:k], t) for k in (range(len(w) + 1) if stem else [len(w)])) <= 1]
+        return (max(near, key=lambda t: (len(t), t)), 1) if near else None
+
+    def score(text):
+        ws = [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", text.lower())]
+        total = 0.0
+        for k, (a, b) in enumerate(ws):
+            got = find(text.lower()[a:b])
+            if got is None:
+                continue
+            near = ws[max(0, k - 5) : k + 6]
+            left, right = text[near[0][0] : a], text[b : near[-1][1] + 1]
+            told = any(text.lower()[p:q] in toxicity.REPORTING for p, q in near)
+            total += weight[got] * (model.quoted if told or (any(q in left for q in toxicity.QUOTES) and any(q in right for q in toxicity.QUOTES)) else 1.0)
+        if total <= 0:
+            return 0.02
+        x = np.array([1.0, min(total, 25.0), math.log((total + 0.5) / (len(ws) + 20.0)) + 4, math.log1p(len(ws)) - 5])
+        return max(0.02, 1 / (1 + math.exp(-float(x @ np.array(model.coef)))))
+
+    bad = ["slurword", "slurwrod", "vile", "vileness", "grubstems", "grubtsem", "nasty", "nsty", "nastyy", "slur"]
+    texts = [" ".join(rng.choice(bad) if rng.random() < 0.15 else rng.choice([word(), word(), '"', "said"]) for _ in range(rng.randrange(0, 60))) for _ in range(150)]
+    got = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    assert all(abs(r["score"] - score(texts[r["doc_id"]])) < 1e-9 for r in got)
