@@ -3,7 +3,7 @@
 A term is 56 bits of a lower-cased word's xxhash64. The lexicon are the terms whose document frequency, counted exactly over
 all rows, lies in a band of inverse document frequency; a row has a bounded number of distinct terms and a term of the band
 needs a fixed share of the rows, so there are some hundred thousand of them at any corpus size. Every task holds the band
-as a bit set of 2**24 places (2 MB), and the terms above the band as one of 2**20; a rarer term that shares a place with
+as a bit set of 2**23 places (1 MB), and the terms above the band as one of 2**20; a rarer term that shares a place with
 one of them is taken for it, the same way in every text.
 
 The lexicon is split at random into cells of different density: level 0 has three quarters of it, each further level a
@@ -24,7 +24,7 @@ from chronolith.llm.common import SPACE
 from chronolith.shared import small, stored
 
 #: Places of the bit sets of band and frequent terms, and the bits of a term.
-BAND_PLACES, FREQUENT_PLACES, TERM_BITS = 1 << 24, 1 << 20, 56
+BAND_PLACES, FREQUENT_PLACES, TERM_BITS = 1 << 23, 1 << 20, 56
 LEVELS, RARE_LEVELS, PER_LEVEL = 5, 3, 8
 CELLS = (LEVELS + RARE_LEVELS) * PER_LEVEL
 CELL_HEX, WHOLE_HEX = 8, 32
@@ -65,21 +65,22 @@ def _level(bits: int, most: int) -> int:
     return level
 
 
-#: Level of a term by the low bits of its hash: a quarter of each level's terms goes on to the next.
-_LEVELS = [_level(b, LEVELS) for b in range(4 ** (LEVELS - 1))]
-_RARE = [LEVELS + _level(b, RARE_LEVELS) for b in range(4 ** (LEVELS - 1))]
+#: Level of a term by the low bits of its hash: a quarter of each level's terms goes on to the next. First of lexicon terms,
+#: then of rarer ones.
+_LEVELS = [_level(b, LEVELS) for b in range(4 ** (LEVELS - 1))] + [LEVELS + _level(b, RARE_LEVELS) for b in range(4 ** (LEVELS - 1))]
 
 
-def _cell(term: Column, rare: Column) -> Column:
-    """Level * 8 + cell of a term."""
+def _key(term: Column, rare: int) -> Column:
+    """A term behind its level * 8 + cell."""
     h = F.xxhash64(term, F.lit(17))
-    place = (h.bitwiseAND(F.lit(len(_LEVELS) - 1)) + 1).cast("int")
-    level = F.when(rare, F.element_at(F.array(*[F.lit(x) for x in _RARE]), place)).otherwise(F.element_at(F.array(*[F.lit(x) for x in _LEVELS]), place))
-    return level * PER_LEVEL + F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(PER_LEVEL - 1)).cast("int")
+    half = len(_LEVELS) // 2
+    level = F.get(F.array(*[F.lit(x) for x in _LEVELS]), (h.bitwiseAND(F.lit(half - 1)) + rare * half).cast("int"))
+    cell = level * PER_LEVEL + F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(PER_LEVEL - 1)).cast("int")
+    return cell * F.lit(1 << TERM_BITS) + term
 
 
-def _has(bits: str, places: int) -> str:
-    return f"getbit(element_at({bits}, cast(shiftright(t & {places - 1}, 6) as int) + 1), cast(t % 64 as int)) = 1"
+def _has(bits: Column, term: Column, places: int) -> Column:
+    return F.getbit(F.get(bits, F.shiftright(term.bitwiseAND(F.lit(places - 1)), 6).cast("int")), (term % 64).cast("int")) == 1
 
 
 def with_fingerprints(rows: DataFrame, bits: DataFrame, text_cols: dict[str, str]) -> DataFrame:
@@ -88,16 +89,14 @@ def with_fingerprints(rows: DataFrame, bits: DataFrame, text_cols: dict[str, str
     A fingerprint is the hex hash of the whole set of lexicon terms, then one hash per cell, empty cells as dashes. A
     text without lexicon terms has the hash of all its terms, so only texts of the same terms look equal.
     """
-    # The lexicon is one row of some 2 MB, read by scalar subqueries.
+    # The lexicon is one row of some 1 MB, read by scalar subqueries.
     view = "imatch_lexicon_" + bits.inputFiles()[0].rsplit("/", 2)[-2].replace("-", "_")
     bits.createOrReplaceTempView(view)
     keep = rows.columns
     for new, text_col in text_cols.items():
         rows = rows.withColumn("ts", terms(F.coalesce(F.col(text_col), F.lit("")))).withColumn("band", F.expr(f"(select band from {view})")).withColumn("frequent", F.expr(f"(select frequent from {view})"))
-        rows = rows.withColumn("lx", F.expr(f"filter(ts, t -> {_has('band', BAND_PLACES)})"))
-        rows = rows.withColumn("rare", F.expr(f"filter(ts, t -> not({_has('band', BAND_PLACES)}) and not({_has('frequent', FREQUENT_PLACES)}))")).drop("band", "frequent")
-        key = lambda rare: lambda t: _cell(t, F.lit(rare)) * F.lit(1 << TERM_BITS) + t
-        rows = rows.withColumn("keys", F.sort_array(F.concat(F.transform("lx", key(False)), F.transform("rare", key(True)))))
+        kind = lambda t: F.when(_has(F.col("band"), t, BAND_PLACES), _key(t, 0)).when(_has(F.col("frequent"), t, FREQUENT_PLACES), F.lit(-1).cast("long")).otherwise(_key(t, 1))
+        rows = rows.withColumn("keys", F.sort_array(F.filter(F.transform("ts", kind), lambda k: k >= 0))).drop("band", "frequent")
         # Terms in cell order, a bar for each step to the next cell: one pass, then cut at the bars.
         place = lambda k: f"cast(shiftright({k}, {TERM_BITS}) as int)"
         joined = F.expr(
@@ -107,6 +106,9 @@ def with_fingerprints(rows: DataFrame, bits: DataFrame, text_cols: dict[str, str
         )
         rows = rows.withColumn("cut", F.split(F.when(F.size("keys") > 0, joined).otherwise(F.lit("|" * (CELLS - 1))), r"\|", -1))
         each = F.array_join(F.transform("cut", lambda x: F.when(x == "", F.lit("-" * CELL_HEX)).otherwise(F.substring(F.md5(x.cast("binary")), 1, CELL_HEX))), "")
+        # Lexicon terms in their sorted order, which is that of their cells first.
+        lexical = F.filter("keys", lambda k: k < LEVELS * PER_LEVEL * (1 << TERM_BITS))
+        rows = rows.withColumn("lx", lexical)
         whole = F.md5(F.when(F.size("lx") > 0, F.array_join(F.col("lx").cast("array<string>"), " ")).otherwise(F.concat(F.lit("-"), F.array_join(F.col("ts").cast("array<string>"), " "))).cast("binary"))
         keep = [*keep, new]
         rows = rows.withColumn(new, F.concat(whole, each)).select(*keep)
@@ -149,7 +151,7 @@ def next_rows(rows: DataFrame, id_col: str, carry: list[str], per_bucket: int =
     edges = [seen["low"] or 0, *bounds, (seen["high"] or 0) + 1]
     at, array = F.lit(0), F.array(*[F.lit(int(b)) for b in edges[:-1]])
     step = 1 << max(0, len(edges).bit_length() - 1)
-    probe = rows.withColumn("at", at).withColumn("turn", F.md5(F.to_json(F.struct(*carry)).cast("binary")))
+    probe = rows.withColumn("at", at).withColumn("turn", F.md5(F.concat_ws("\0", *carry).cast("binary")))
     while step:  # bisecting by powers of two
         probe = probe.withColumn("at", F.when((F.col("at") + step < len(edges) - 1) & (F.get(array, F.col("at") + step) <= F.col(id_col)), F.col("at") + step).otherwise(F.col("at")))
         step //= 2

@@ -143,19 +143,19 @@ def test_fingerprints_by_plain_loops(spark):
     sets = [sorted({term(w) for w in t.lower().split()}) for t in texts]
     df_of = collections.Counter(t for s in sets for t in s)
     n = len(texts)
-    band = {t & (1 << 24) - 1 for t, c in df_of.items() if max(2.0, 0.001 * n) <= c <= 0.2 * n}
+    band = {t & (1 << 23) - 1 for t, c in df_of.items() if max(2.0, 0.001 * n) <= c <= 0.2 * n}
     often = {t & (1 << 20) - 1 for t, c in df_of.items() if c > 0.2 * n}
 
     def fingerprint(s):
-        lx = [t for t in s if t & (1 << 24) - 1 in band]
-        rare = [t for t in s if t & (1 << 24) - 1 not in band and t & (1 << 20) - 1 not in often]
+        lx = [t for t in s if t & (1 << 23) - 1 in band]
+        rare = [t for t in s if t & (1 << 23) - 1 not in band and t & (1 << 20) - 1 not in often]
         cells = collections.defaultdict(list)
         for t in lx:
             cells[plain_levels(t, False)].append(t)
         for t in rare:
             cells[plain_levels(t, True)].append(t)
         md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
-        whole = md5(" ".join(map(str, lx)) if lx else "-" + " ".join(map(str, s)))
+        whole = md5(" ".join(str((c << 56) + t) for c in range(40) for t in sorted(cells.get(c, []))) if lx else "-" + " ".join(map(str, s)))
         return whole + "".join(md5("".join(f" {(c << 56) + t}" for t in sorted(cells[c])))[:8] if c in cells else "-" * 8 for c in range(64))
 
     def likeness(x, y):
@@ -185,7 +185,7 @@ def test_the_next_row_in_many_buckets(spark):
     df = spark.createDataFrame(rows, "id long, text string")
     for quantiles in (1, 4, 2000):
         got = {r["text"]: r["next_text"] for r in imatch.next_rows(df, "id", ["text"], per_bucket=4, quantiles=quantiles).collect()}
-        turn = lambda t: hashlib.md5(('{"text":"' + t + '"}').encode()).hexdigest()
+        turn = lambda t: hashlib.md5(t.encode()).hexdigest()
         order = [t for _, t in sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), turn(r[1])))]
         assert got == {t: order[(k + 1) % len(order)] for k, t in enumerate(order)}
 
