@@ -9,6 +9,8 @@ from chronolith.shared import fresh_name, stored
 
 #: Rows of one bucket, about; there are never fewer buckets than shuffle partitions.
 BUCKET_ROWS = 250_000
+#: Rows up to which a part's order is one window.
+FEW = 10_000
 
 
 def running_before(df: DataFrame, order: list[str], value: str | dict[str, str], out: str = "", part: list[str] | None = None, buckets: int = 0) -> DataFrame:
@@ -22,10 +24,14 @@ def running_before(df: DataFrame, order: list[str], value: str | dict[str, str],
     values = value if isinstance(value, dict) else {out: value}
     part = part or []
     spark = df.sparkSession
-    most = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // BUCKET_ROWS))
+    n = 0 if buckets else df.count()
+    if not buckets and n <= FEW:
+        here = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select("*", *[(F.sum(v).over(here) - F.col(v)).alias(o) for o, v in values.items()])
+    most = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // BUCKET_ROWS))
     bucket, inside, start = (fresh_name(x, df.columns, list(values)) for x in ("bucket", "inside", "start"))
     dealt = df.repartitionByRange(most, *part, *order).withColumn(bucket, F.spark_partition_id())
-    rows = stored(dealt, "ordered")  # written, so that the ranges are the same wherever they are read
+    rows = stored(dealt, "ordered", n or None)  # written, so that the ranges are the same wherever they are read
     totals = rows.groupBy(*part, bucket).agg(*[F.sum(v).alias(f"{start}_{k}") for k, v in enumerate(values.values())])
     over = Window.partitionBy(*part).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(*part, bucket, *[F.coalesce(F.sum(f"{start}_{k}").over(over), F.lit(0)).alias(f"{start}_{k}") for k in range(len(values))])

@@ -35,13 +35,38 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """df written once to the shared folder and read back."""
+#: Files of a table of few rows.
+FEW_FILES, FEW_ROWS = 48, 1_000_000
+_scratch: list[list[str]] = []
+
+
+def stored(df: DataFrame, what: str, rows: int | None = None, keep: bool = False) -> DataFrame:
+    """df written once to the shared folder and read back.
+
+    rows: a bound for narrow rows, where one is known; few rows become few files. keep: it outlasts the scratch() around it.
+    """
     path = fresh_path(df.sparkSession, what)
+    if len(_scratch) > keep:
+        _scratch[-1 - keep].append(path)  # what an inner one keeps goes with the one around it
+    if rows is not None and rows <= FEW_ROWS:
+        df = df.coalesce(FEW_FILES)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside, but for those to keep, are deleted at the end: by then what is needed has been stored."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in _scratch.pop():
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+
+
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df marked for broadcasting if its counted rows allow it; else as it is, for a shuffle join."""
     n = df.count() if rows is None else rows
