@@ -56,7 +56,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def string_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and n+1 offsets of a string column; null counts as empty."""
-    col = col.cast(pa.large_string()).fill_null("")
+    return binary_buffers(col.cast(pa.large_string()).fill_null(""))
+
+
+def binary_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and n+1 offsets of a large string or binary column without nulls."""
     if len(col) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offs, data = col.buffers()
@@ -80,23 +84,26 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             at = to
 
 
-def distinct_segments(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-    """The distinct raw[start:end], told apart byte by byte, and for each segment its place among them.
+def distinct_segments(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The distinct raw[start:end] as a binary column, told apart byte by byte, and for each segment its place among them.
 
     Segments rise and do not overlap.
     """
     if not len(starts):
-        return [], np.zeros(0, np.int64)
-    bounds = np.empty(2 * len(starts), np.int64)
-    bounds[::2], bounds[1::2] = starts, ends
-    # Segments and what lies between them, as one column over the same bytes.
-    both = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(raw))])
-    found = both.dictionary_encode()
-    codes = np.asarray(found.indices)[::2]
+        return pa.array([], pa.large_binary()), np.zeros(0, np.int64)
+    side_by_side = bool((starts[1:] == ends[:-1]).all())
+    if side_by_side:
+        bounds = np.append(starts, ends[-1]).astype(np.int64)
+    else:  # segments and what lies between them, as one column over the same bytes
+        bounds = np.empty(2 * len(starts), np.int64)
+        bounds[::2], bounds[1::2] = starts, ends
+    found = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
+    codes = np.asarray(found.indices)
+    if side_by_side:
+        return found.dictionary, codes
     used = np.zeros(len(found.dictionary), bool)
-    used[codes] = True
-    place = np.cumsum(used) - 1
-    return found.dictionary.filter(pa.array(used)).to_pylist(), place[codes]
+    used[codes[::2]] = True
+    return found.dictionary.filter(pa.array(used)), (np.cumsum(used) - 1)[codes[::2]]
 
 
 def hashes(values: list[bytes]) -> np.ndarray:
@@ -128,7 +135,7 @@ def segment_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     long_ = np.flatnonzero(size > 16)
     if len(long_):
         values, place = distinct_segments(raw, starts[long_], ends[long_])
-        out[long_] = hashes(values)[place]
+        out[long_] = hashes(values.to_pylist())[place]
     return out
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from chronolith.llm.common import NOT_SPACE
 from chronolith.operators.prefix import running_before
-from chronolith.shared import fresh_name, small, stored
+from chronolith.shared import fresh_name, scratch, small, stored
 
 GOLDEN = 0x9E3779B97F4A7C15  # 2**64 / golden ratio
 BLOCK_WORDS = 512
@@ -79,10 +79,10 @@ def schedule(sources: DataFrame) -> DataFrame:
     spans = sources.filter("quota > 0").select("source_no", "lo", (F.col("lo") + F.col("quota")).alias("hi"))
     spans = spans.withColumn("piece", F.explode(F.expr(f"sequence(lo div {PIECE}, (hi - 1) div {PIECE})"))).repartition("piece")
     spans = spans.withColumn("group", F.explode(F.expr(f"sequence(greatest(lo, piece * {PIECE}) div {CELLS}, (least(hi, (piece + 1) * {PIECE}) - 1) div {CELLS})"))).drop("piece")
-    spans = stored(spans, "spans")
+    spans = stored(spans, "spans", total)
     slots = spark.range(total).mapInArrow(run, "slot bigint, cell bigint").withColumn("group", F.expr(f"cell div {CELLS}"))
     slots = slots.join(small(spans), "group").filter("lo <= cell and cell < hi").select("slot", "source_no", F.expr(f"slot div {SLOT_CHUNK}").alias("chunk"))
-    counts = stored(slots.groupBy("source_no", "chunk").agg(F.count("*").alias("n")), "slots")
+    counts = stored(slots.groupBy("source_no", "chunk").agg(F.count("*").alias("n")), "slots", total)
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source_no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("source_no", "chunk", before.alias("before"))
     inside = F.row_number().over(Window.partitionBy("source_no", "chunk").orderBy("slot"))
@@ -99,15 +99,16 @@ def _plan(rows: DataFrame, weights: Sequence[int], cap: int, block: int, seed: i
     """rows (id, source, size, ...) with source_no, source_size, target, blocks, at, taken, first_position; and the schedule."""
     turn = F.md5(F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit(str(seed))).cast("binary"))
     rows = stored(rows.withColumn("turn", turn), "sizes")
+    n = rows.count()
     carry = rows.columns
     sources = source_targets(stored(rows.groupBy("source").agg(F.sum("size").alias("n")), "totals"), weights, cap, block)
     many = sources.count()
     facts = sources.select(F.col("source").alias("of"), "source_no", "source_size", "target", "blocks")
     named = rows.join(small(facts, many), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    placed = stored(running_before(named, ["turn", "id", "size"], "size", "at", ["source_no"]), "placed")
+    placed = stored(running_before(named, ["turn", "id", "size"], "size", "at", ["source_no"]), "placed", n)
 
     # What the schedule takes of each block; the last slot of a source may take the first words only.
-    slots = stored(schedule(sources), "schedule")
+    slots = stored(schedule(sources), "schedule", n)
     cut = (F.col("rank") == F.col("quota")) & (F.col("last_words") > 0)
     takes = slots.join(small(sources.select("source_no", F.col("blocks").alias("round"), "quota", "last_words"), many), "source_no").withColumn("block", F.pmod(F.col("rank") - 1, F.col("round")))
     takes = takes.groupBy("source_no", "block").agg(F.sum(F.when(cut, 0).otherwise(1)).alias("full"), F.max(F.when(cut, F.col("last_words")).otherwise(0)).alias("part"), F.min("position").alias("position"))
@@ -151,10 +152,11 @@ def apply_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3,
     keyed = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     text = F.col(f"`{text_col}`")
     rows = keyed.select(F.col(row).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), word_count(text).alias("size"))
-    made, slots = _plan(rows, weights, cap, block, seed)
-    copies = made.filter("taken > 0").withColumn("copy", F.explode(F.expr("sequence(0L, (taken - 1) div size)")))
-    copies = copies.withColumn("rank", F.expr(f"at div {block} + 1 + copy * blocks")).withColumn("words", F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size")))
-    dealt = stored(copies.join(slots, ["source_no", "rank"]).select(F.col("row").alias(row), F.struct("position", "at", "words", "size").alias(info)), "copies")
+    with scratch(docs.sparkSession):
+        made, slots = _plan(rows, weights, cap, block, seed)
+        copies = made.filter("taken > 0").withColumn("copy", F.explode(F.expr("sequence(0L, (taken - 1) div size)")))
+        copies = copies.withColumn("rank", F.expr(f"at div {block} + 1 + copy * blocks")).withColumn("words", F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size")))
+        dealt = stored(copies.join(slots, ["source_no", "rank"]).select(F.col("row").alias(row), F.struct("position", "at", "words", "size").alias(info)), "copies", keep=True)
     out = keyed.join(small(dealt), row)
     cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({NOT_SPACE})"), 1), F.lit(1), F.col(f"{info}.words").cast("int")), " ")
     order = [F.col(f"{info}.position"), F.col(f"{info}.at")]

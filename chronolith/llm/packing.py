@@ -1,14 +1,14 @@
 """Sum-of-squares packing of tokenised documents into fixed-length sequences.
 
 Tokenising: a text is cut at single blanks between two visible characters, where the tokenizer's own pre-splitter always
-cuts too; each distinct chunk is encoded once per task and its ids are gathered by position. That equals encoding the
+cuts too; each distinct chunk is encoded once per task, found again by hash and confirmed by its bytes, and its ids are gathered by
+position. That equals encoding the
 whole text (tests/llm compares them), at several times the speed.
 """
 
 from __future__ import annotations
 
 import base64
-import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import distinct_segments, slices, string_buffers
+from chronolith.llm.common import binary_buffers, distinct_segments, segment_hashes, slices, string_buffers
 
 CAPACITY = 2048
 #: Pieces that one task packs together; groups are dealt by hash, so each is a fair sample.
@@ -32,6 +32,42 @@ _ASCII_SPACE = np.zeros(256, bool)
 _ASCII_SPACE[[0x20, 9, 10, 11, 12, 13, 0x1C, 0x1D, 0x1E, 0x1F]] = True
 
 
+class Ragged:
+    """Pieces of different length in one flat array."""
+
+    def __init__(self, flat: np.ndarray, start: np.ndarray | None = None, size: np.ndarray | None = None):
+        self.flat, self.start, self.size = flat, np.zeros(0, np.int64) if start is None else start, np.zeros(0, np.int64) if size is None else size
+
+    @classmethod
+    def of(cls, pieces: list[np.ndarray], kind: type) -> "Ragged":
+        size = np.array([len(x) for x in pieces], np.int64)
+        return cls(np.concatenate(pieces).astype(kind) if pieces else np.zeros(0, kind), np.cumsum(size) - size, size)
+
+    def pick(self, which: np.ndarray) -> "Ragged":
+        return Ragged(self.flat, self.start[which], self.size[which])
+
+    def values(self) -> np.ndarray:
+        """All pieces, one behind the other."""
+        before = np.cumsum(self.size) - self.size
+        return self.flat[np.arange(self.size.sum()) + np.repeat(self.start - before, self.size)]
+
+    def packed(self) -> "Ragged":
+        return Ragged(self.values(), np.cumsum(self.size) - self.size, self.size)
+
+    def same(self, other: "Ragged") -> np.ndarray:
+        """Which pieces equal those of other, place by place."""
+        out = self.size == other.size
+        x, y = self.pick(out), other.pick(out)
+        differ = np.concatenate([[0], np.cumsum(x.values() != y.values())])
+        ends = np.cumsum(x.size)
+        out[out] = differ[ends] == differ[ends - x.size]
+        return out
+
+    def insert(self, place: np.ndarray, new: "Ragged") -> "Ragged":
+        more = new.packed()
+        return Ragged(np.concatenate([self.flat, more.flat]), np.insert(self.start, place, more.start + len(self.flat)), np.insert(self.size, place, more.size))
+
+
 class Encoder:
     """Token ids of whole batches; chunks seen before are looked up."""
 
@@ -46,7 +82,9 @@ class Encoder:
         self.width = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, k in ranks.items():
             self.width[k] = len(token)
-        self.known: dict[bytes, np.ndarray] = {}  # ids of chunks, in the order of their last use
+        # What is remembered, by rising hash: ids and bytes of a chunk, as places in two flat arrays, and uses.
+        self.keys, self.hits = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.ids, self.text = Ragged(np.zeros(0, np.int32)), Ragged(np.zeros(0, np.uint8))
 
     def _encode(self, chunks: list[bytes]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(chunks)
@@ -84,27 +122,40 @@ class Encoder:
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], n)
         chunks, place = distinct_segments(raw, starts, ends)
-        new = [c for c in chunks if c not in self.known]
-        made = dict(zip(new, self._encode(new), strict=True))
-        own = [made[c] if c in made else self.known[c] for c in chunks]
-        lens = np.array([len(x) for x in own], np.int64)
-        offs = np.cumsum(lens) - lens
-        flat = np.concatenate(own)
-        size = lens[place]
+        text, bounds = binary_buffers(chunks)
+        own = Ragged(text, bounds[:-1], np.diff(bounds))
+        h = segment_hashes(text, bounds[:-1], bounds[1:])[:, 0]
+        at = np.minimum(np.searchsorted(self.keys, h), max(len(self.keys) - 1, 0))
+        known = self.keys[at] == h if len(self.keys) else np.zeros(len(h), bool)
+        known[known] = own.pick(known).same(self.text.pick(at[known]))
+        new = np.flatnonzero(~known)
+        made = Ragged.of(self._encode(chunks.take(pa.array(new)).to_pylist()), np.int32)
+        self.hits[at[known]] += 1
+        size = np.empty(len(h), np.int64)
+        begin = np.empty(len(h), np.int64)
+        size[known], begin[known] = self.ids.size[at[known]], self.ids.start[at[known]]
+        size[new], begin[new] = made.size, made.start + len(self.ids.flat)
+        flat = np.concatenate([self.ids.flat, made.flat])
+        size, begin = size[place], begin[place]
         total = np.concatenate([[0], np.cumsum(size)])
-        ids = flat[np.arange(total[-1]) + np.repeat(offs[place] - total[:-1], size)]
-        self._remember(chunks, own)
+        ids = flat[np.arange(total[-1]) + np.repeat(begin - total[:-1], size)]
+        self._remember(h[new], made, own.pick(new))
         return ids, total[np.searchsorted(starts, offsets)]
 
-    def _remember(self, chunks: list[bytes], own: list[np.ndarray]) -> None:
-        """What came last stays; a long chunk is not worth its place."""
-        for c, ids in zip(chunks, own, strict=True):
-            if len(c) <= LONGEST:
-                self.known.pop(c, None)
-                self.known[c] = ids
-        if len(self.known) > CACHE:
-            for c in list(itertools.islice(self.known, len(self.known) - CACHE // 2)):
-                del self.known[c]
+    def _remember(self, keys: np.ndarray, ids: "Ragged", text: "Ragged") -> None:
+        """One chunk for each hash; what has not come again goes first, and long ones are not worth their place."""
+        good = np.flatnonzero((text.size <= LONGEST) & ~np.isin(keys, self.keys))
+        good = good[np.unique(keys[good], return_index=True)[1]]
+        keys, ids, text = keys[good], ids.pick(good), text.pick(good)
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.hits = np.insert(self.keys, place, keys), np.insert(self.hits, place, 0)
+        self.ids, self.text = self.ids.insert(place, ids), self.text.insert(place, text)
+        if len(self.keys) > CACHE:
+            keep = np.flatnonzero(self.hits > 0)
+            if len(keep) > CACHE // 2:
+                keep = np.sort(keep[np.argsort(-self.hits[keep], kind="stable")[: CACHE // 2]])
+            self.keys, self.hits = self.keys[keep], np.zeros(len(keep), np.int32)
+            self.ids, self.text = self.ids.pick(keep).packed(), self.text.pick(keep).packed()
 
 
 _encoders: dict[tuple, Encoder] = {}

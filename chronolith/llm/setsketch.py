@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from chronolith.llm.common import mix, slices, words
 from chronolith.llm.components import components
-from chronolith.shared import arrow_batches, fresh_name, small, stored
+from chronolith.shared import arrow_batches, fresh_name, scratch, small, stored
 
 REGISTERS = 192
 #: Chance that a pair just at the threshold shares no band, at most.
@@ -407,41 +407,42 @@ def _sets(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int) -> D
 
 def classes(rows: DataFrame, width: int = 5, percent: int = 80, miss: float = MISS, margin: float = MARGIN, sparse: int = SPARSE) -> tuple[DataFrame, DataFrame]:
     """For rows (id, text): their id, n and digest, and for every digest the least id of its component."""
-    with arrow_batches(rows.sparkSession, BATCH_BYTES):
+    with arrow_batches(rows.sparkSession, BATCH_BYTES), scratch(rows.sparkSession):
         return _classes(rows, width, percent, miss, margin, sparse)
 
 
 def _classes(rows: DataFrame, width: int, percent: int, miss: float, margin: float, sparse: int) -> tuple[DataFrame, DataFrame]:
     texts = rows.select("id", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("mark"), F.col("text").cast("string").alias("text"))
-    all_ = stored(sketch(texts, width), "sketches")
+    all_ = stored(sketch(texts, width), "sketches", keep=True)
     sets = all_.filter("n > 0").groupBy("digest").agg(F.min("id").alias("low"), F.min("mark").alias("mark"), F.first("n").alias("n"), F.first("regs").alias("regs"))
     nodes = stored(sets.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    n = nodes.count()
     band = per_band(percent / 100, REGISTERS, miss)
     bands = band_rows(nodes, band)
     sizes = bands.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-    met = stored(bands.join(sizes, "key"), "buckets")
+    met = stored(bands.join(sizes, "key"), "buckets", n)
     # Of a bucket's members the one that meets most rows in all of its buckets is nearest to what they have in common.
     central = met.groupBy("node").agg(F.sum("c").alias("meets"))
-    lead = stored(met.join(central, "node").groupBy("key").agg(F.max_by(F.struct("node", "n"), F.struct("meets", -F.col("node"))).alias("l")).select("key", F.col("l.node").alias("lead"), F.col("l.n").alias("ln")), "leads")
+    lead = stored(met.join(central, "node").groupBy("key").agg(F.max_by(F.struct("node", "n"), F.struct("meets", -F.col("node"))).alias("l")).select("key", F.col("l.node").alias("lead"), F.col("l.n").alias("ln")), "leads", n)
     fits = (100 * F.least("n", "ln") >= percent * F.greatest("n", "ln")) & (F.col("node") != F.col("lead"))
     pairs = met.join(lead, "key").filter(fits).select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-    likely = stored(_likely(pairs, nodes, percent / 100, margin), "pairs")
-    links = stored(verify(likely, _sets(likely, nodes, texts, width), percent), "links")
+    likely = stored(_likely(pairs, nodes, percent / 100, margin), "pairs", n)
+    links = stored(verify(likely, _sets(likely, nodes, texts, width), percent), "links", n)
     label = stored(components(links).withColumnRenamed("id", "node"), "labels")
-    found = stored(_candidates(_dealt(met, label, nodes), percent, band, margin, sparse), "candidates")
+    found = stored(_candidates(_dealt(met, label, nodes), percent, band, margin, sparse), "candidates", n)
     if not found.isEmpty():
         items = _sets(found.select("a", "b"), nodes, texts, width)
         more = verify(found.filter("b is not null").select("a", "b").distinct(), items, percent)
         dense = found.filter("b is null")
         if not dense.isEmpty():
             more = more.unionByName(_dense_links(dense.select("key", "lo", "hi", F.col("a").alias("node"), "comp"), items, percent))
-        more = stored(more, "links")
+        more = stored(more, "links", n)
         if not more.isEmpty():
             label = stored(components(links.unionByName(more)).withColumnRenamed("id", "node"), "labels")
     of = nodes.select("digest", "node", "low").join(label, "node", "left").select("digest", "low", F.coalesce("comp", "node").alias("comp"))
     # Stored, as a component's or a set's rows can be split among tasks only where the other side is a plain table.
-    least = stored(of.groupBy("comp").agg(F.min("low").alias("least")), "least")
-    return all_.select("id", "n", "digest"), stored(of.join(least, "comp").select("digest", "least"), "named")
+    least = stored(of.groupBy("comp").agg(F.min("low").alias("least")), "least", n)
+    return all_.select("id", "n", "digest"), stored(of.join(least, "comp").select("digest", "least"), "named", n, keep=True)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, **how) -> DataFrame:
@@ -468,7 +469,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     row = fresh_name("row", docs.columns)
     keyed = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     key = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{row}`").alias("row"))
-    rows, of = classes(keyed.select(key.alias("id"), F.col(f"`{text_col}`").alias("text")), width, percent, **how)
-    named = rows.filter("n > 0").join(of, "digest")
-    gone = stored(named.filter(F.col("id") != F.col("least")).select(F.col("id.row").alias(row)), "gone")
+    with scratch(docs.sparkSession):
+        rows, of = classes(keyed.select(key.alias("id"), F.col(f"`{text_col}`").alias("text")), width, percent, **how)
+        named = rows.filter("n > 0").join(of, "digest")
+        gone = stored(named.filter(F.col("id") != F.col("least")).select(F.col("id.row").alias(row)), "gone", keep=True)
     return keyed.join(small(gone), row, "left_anti").select(*[f"`{c}`" for c in docs.columns])

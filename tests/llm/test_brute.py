@@ -281,3 +281,18 @@ def test_toxicity_scores_by_plain_loops(spark):
     texts = [" ".join(rng.choice(bad) if rng.random() < 0.15 else rng.choice([word(), word(), '"', "said"]) for _ in range(rng.randrange(0, 60))) for _ in range(150)]
     got = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
     assert all(abs(r["score"] - score(texts[r["doc_id"]])) < 1e-9 for r in got)
+
+
+def test_remembered_chunks_are_confirmed_by_bytes(monkeypatch):
+    """With a hash that is the same for every chunk of a length, the ids are still those of the tokenizer."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "segment_hashes", lambda raw, a, b: np.stack([(b - a).astype(np.uint64)] * 2, 1))
+    monkeypatch.setattr(packing, "CACHE", 6)
+    whole, rng = Tokenizer.from_file(public_tokenizer()[0]), random.Random(1)
+    enc = packing.Encoder(*public_tokenizer())
+    for _ in range(6):
+        texts = [" ".join("".join(rng.choices("abcde", k=rng.randrange(1, 9))) for _ in range(20)) for _ in range(8)]
+        ids, at = enc.rows(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
