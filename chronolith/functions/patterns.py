@@ -11,6 +11,7 @@ BOARDS = (
 REMOVED = ("", "[deleted]", "[removed]")
 # Patterns, in the form that Java, Python and RE2 read alike.
 URL = r"(?i)https?://\S+|www\.[^\s.][^\s]*"
+AROUND_LINKS = " \n\t[]()<>-:;,.!"
 MARKDOWN_IMAGE = r"!\[([^\]]*)\]\([^)]*\)"
 HTML_IMAGE = r"(?i)<img\b[^>]*>"
 IMAGE_URL = r"(?i)https?://[^\s)]+\.(?:png|jpe?g|gif|webp)(?:\?[^\s)]*)?"

@@ -90,9 +90,9 @@ def canonical(c: Column) -> Column:
 
 
 def url_dominated(c: Column) -> Column:
-    """Nothing but links and punctuation is left, or less than a fifth of a text of 30 characters and more."""
-    left = F.btrim(F.regexp_replace(c, P.URL, ""), F.lit(" \t\n\r.,;:!?-_()[]{}<>\"'"))
-    return (F.length(left) == 0) | ((F.length(c) >= 30) & (F.length(left) / F.length(c) < 0.2))
+    """A text with a link in which nothing but links and punctuation is left, or less than a fifth of 30 characters and more."""
+    left = F.btrim(F.regexp_replace(c, P.URL, ""), F.lit(P.AROUND_LINKS))
+    return c.rlike(P.URL) & ((F.length(left) == 0) | ((F.length(c) >= 30) & (F.length(left) / F.length(c) < 0.2)))
 
 
 def mark_share(c: Column) -> Column:
@@ -136,8 +136,8 @@ def phrases(ws: Column, first: int = 4, sizes: tuple[int, ...] = (2, 3, 4)) -> C
 
 
 def marked(board: Column, text: Column) -> Column:
-    """The board's name in front of a text, as the tokenizer's input has it."""
-    return F.concat(F.lit("<|"), board, F.lit("|>"), text)
+    """The board's mark in front of a text, as the tokenizer's input has it."""
+    return F.concat(F.lit("<|subreddit_"), board, F.lit("|> "), text)
 
 
 def after_mark(c: Column, mark: str = "<|endoftext|>") -> Column:

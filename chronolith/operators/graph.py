@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chronolith.operators.prefix import running_before
+from chronolith.shared import stored
+
 
 def _written(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or os.path.join(tempfile.gettempdir(), "checkpoints")
-    path = f"{base.rstrip('/')}/forest-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df, "forest")
 
 
 def roots(nodes: DataFrame, edges: DataFrame, most: int = 40) -> DataFrame:
@@ -34,11 +29,11 @@ def roots(nodes: DataFrame, edges: DataFrame, most: int = 40) -> DataFrame:
     raise RuntimeError(f"links deeper than 2**{most}, or a cycle")
 
 
-def components(labelled: DataFrame) -> DataFrame:
-    """root, size, index: components by falling size, ties to the smallest root."""
-    sizes = labelled.groupBy("root").agg(F.count("*").alias("size"))
-    # Only components of three and more are numbered in one place; they are few beside the nodes.
-    return sizes.withColumn("index", F.row_number().over(Window.orderBy(F.desc("size"), "root")) - 1)
+def components(labelled: DataFrame, least: int = 1) -> DataFrame:
+    """root, size, index: components of `least` nodes and more by falling size, ties to the smallest root."""
+    sizes = labelled.groupBy("root").agg(F.count("*").alias("size")).filter(F.col("size") >= least)
+    numbered = running_before(sizes.withColumn("one", F.lit(1)).withColumn("turn", -F.col("size")), ["turn", "root"], "one", "index")
+    return numbered.select("root", "size", F.col("index").cast("int").alias("index"))
 
 
 def hubs(labelled: DataFrame, edges: DataFrame, k: int = 3) -> DataFrame:

@@ -47,3 +47,29 @@ def month_counts(posts: DataFrame, phrases: DataFrame, size: int) -> DataFrame:
     rows = posts.select("id", "year", "month", T.phrase_words(F.col("text")).alias("ws"))
     each = rows.select("id", "year", "month", F.explode(F.array_distinct(T.runs(F.col("ws"), size))).alias("phrase"))
     return each.join(phrases.select("phrase").distinct(), "phrase").groupBy("year", "month", "phrase").agg(F.count("*").alias("hits"))
+
+
+def line_hits(posts: DataFrame, wanted: DataFrame, sizes: tuple[int, ...] = (2, 3, 4), most: int = 200_000) -> DataFrame:
+    """year, month, phrase, hits: rows of a month whose first line, cut at 300 characters, holds the phrase.
+
+    A row names its distinct runs of all widths in one pass; up to `most` wanted phrases are sent to every task, which drops
+    the other runs before anything is shuffled.
+    """
+    from chronolith.functions.text import first_line, phrase_words, runs
+
+    wanted = wanted.select("phrase").distinct()
+    ws = posts.select("year", "month", phrase_words(F.substring(first_line(F.col("text")), 1, 300)).alias("w"))
+    each = ws.select("year", "month", F.explode(F.array_distinct(F.concat(*[runs(F.col("w"), k) for k in sizes]))).alias("phrase"))
+    found = each.join(F.broadcast(wanted) if wanted.count() <= most else wanted, "phrase", "left_semi")
+    return found.groupBy("year", "month", "phrase").agg(F.count("*").alias("hits"))
+
+
+def score_slopes(phrases: DataFrame, scorer, contexts: int = 3) -> DataFrame:
+    """phrase, slope: the mean log probability over the contexts at the later date less that at the earlier one.
+
+    scorer(phrase, date no, context no) is a column: an expression or an Arrow UDF.
+    """
+    grid = phrases.withColumn("date", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("context", F.explode(F.sequence(F.lit(0), F.lit(contexts - 1))))
+    scored = grid.withColumn("score", scorer(F.col("phrase"), F.col("date"), F.col("context")))
+    mean = lambda d: F.avg(F.when(F.col("date") == d, F.col("score")))
+    return scored.groupBy("phrase").agg((mean(1) - mean(0)).alias("slope"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chronolith.functions import text as T
 from chronolith.functions.vectors import divergence
 from chronolith.operators import graph, neighbors, phrases, stats
+from chronolith.operators.prefix import running_before
 from chronolith.plans.registry import query
 from chronolith.sources.views import POSTS_SQL, VECTORS_SQL, posts, table, vectors
 
@@ -70,15 +71,15 @@ def neighbor_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "null_threshold",
     f"""with {UNIT_SQL}, k as (select *, row_number() over (order by id) - 1 as no, count(*) over () as n from u),
-    d as (select i, ('0x' || substr(md5('null:a:' || i), 1, 8))::bigint % (select count(*) from u) as a, ('0x' || substr(md5('null:b:' || i), 1, 8))::bigint % (select count(*) from u) as b from range(20000) r(i))
+    d as (select i, ('0x' || substr(md5('null:a:' || i), 1, 8))::bigint % (select count(*) from u) as a, ('0x' || substr(md5('null:b:' || i), 1, 8))::bigint % (select count(*) from u) as b from range(100000) r(i))
     select count(*) as pairs, round(quantile_cont({DOT.format('x.embedding', 'y.embedding')} / (x.len * y.len), 0.999), 6) as floor,
       round(avg({DOT.format('x.embedding', 'y.embedding')} / (x.len * y.len)), 6) as mean
     from d join k x on x.no = a join k y on y.no = b where a <> b""",
 )
 def null_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The test vectors' ids are 0..n-1; other tables number their sample first.
-    rows = vectors(spark, sf_dir).select(F.col("id").alias("no"), "embedding")
-    null = neighbors.random_pairs(rows, 20000, "null")
+    numbered = running_before(vectors(spark, sf_dir).select("id", F.lit(1).alias("one")), ["id"], "one", "no").select("id", F.col("no").cast("long").alias("no"))
+    rows = vectors(spark, sf_dir).join(numbered, "id").select("no", "embedding")
+    null = neighbors.random_pairs(rows, 100000, "null")
     return null.agg(F.count("*").alias("pairs"), F.round(F.percentile("cosine", 0.999), 6).alias("floor"), F.round(F.avg("cosine"), 6).alias("mean"))
 
 
@@ -92,7 +93,7 @@ def _labelled(spark: SparkSession, sf_dir: str, edges: DataFrame) -> DataFrame:
 
 @query("forest_components", f"with recursive {ROOT_SQL}, c as (select root, count(*) as size from lab group by 1) select root, size, (row_number() over (order by size desc, root) - 1)::int as index from c where size >= 3")
 def forest_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.components(_labelled(spark, sf_dir, _edges(spark, sf_dir))).filter("size >= 3")
+    return graph.components(_labelled(spark, sf_dir, _edges(spark, sf_dir)), least=3)
 
 
 @query(
@@ -150,9 +151,20 @@ def induced_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.induced(edges, lab.join(big, "root", "left_semi")).select("child", "parent", F.round("cosine", 6).alias("cosine"))
 
 
-@query("graph_faults", "select 0::bigint as repeated, 0::bigint as dangling, 0::bigint as backward")
+@query(
+    "graph_faults",
+    f"""with {EDGE_SQL}, nodes as (select id from u union all select id from u where id % 97 = 0), planted as (select child, parent from edge
+      union all select parent, child from edge where child % 5 = 0 union all select child, -parent - 1 from edge where child % 7 = 0)
+    select (select count(*) from (select id from nodes group by 1 having count(*) > 1)) as repeated,
+      (select count(*) from (select child as id from planted union all select parent from planted) where id not in (select id from nodes)) as dangling,
+      (select count(*) from planted where parent >= child) as backward""",
+)
 def graph_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.faults(vectors(spark, sf_dir).select("id"), _edges(spark, sf_dir))
+    """The links with some turned round and some to no node, and some nodes twice: all of it must be counted."""
+    ids, edges = vectors(spark, sf_dir).select("id"), _edges(spark, sf_dir).select("child", "parent")
+    turned = edges.filter("child % 5 = 0").select(F.col("parent").alias("child"), F.col("child").alias("parent"))
+    lost = edges.filter("child % 7 = 0").select("child", (-F.col("parent") - 1).alias("parent"))
+    return graph.faults(ids.unionByName(ids.filter("id % 97 = 0")), edges.unionByName(turned).unionByName(lost))
 
 
 @query("graph_export")

@@ -61,11 +61,11 @@ def global_bottomk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.orderBy("h", "id").limit(12)
 
 
+LEFT = f"trim(regexp_replace(text, '{P.URL}', '', 'g'), ' []()<>-:;,.!' || chr(10) || chr(9))"
 REASON = f"""case when lower(text) in ('', '[deleted]', '[removed]') then 'empty_or_removed'
   when regexp_matches(text, '{P.BOT_FOOTER}') then 'bot_or_moderation'
-  when length(trim(regexp_replace(text, '{P.URL}', '', 'g'), ' ' || chr(9) || chr(10) || chr(13) || '.,;:!?-_()[]{{}}<>"''')) = 0
-    or (length(text) >= 30 and length(trim(regexp_replace(text, '{P.URL}', '', 'g'), ' ' || chr(9) || chr(10) || chr(13) || '.,;:!?-_()[]{{}}<>"''')) / length(text) < 0.2) then 'url_dominated'
-  when length(text) > 12000 then 'too_long' else 'kept' end"""
+  when regexp_matches(text, '{P.URL}') and (length({LEFT}) = 0 or (length(text) >= 30 and length({LEFT}) / length(text) < 0.2)) then 'url_dominated'
+  when length(text) > 12000 then 'pathological_length' else 'kept' end"""
 
 
 @query(
@@ -86,10 +86,10 @@ def reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     "clean_staged",
     f"""with {COMMENTS_SQL},
     a as (select * from comments qualify row_number() over (partition by id order by created_utc, id) = 1),
-    b as (select * from a where {REASON} = 'kept'),
-    c as (select * from b qualify row_number() over (partition by subreddit, author order by created_utc, id) <= 300),
-    d as (select * from c qualify row_number() over (partition by thread_id order by created_utc, id) <= 3),
-    e as (select * from d qualify row_number() over (partition by subreddit, md5(lower(text)) order by created_utc, id) <= 1)
+    b as (select * from a where {REASON} = 'kept' and lower(coalesce(author, '')) <> 'automoderator'),
+    c as (select * from b qualify lower(coalesce(author, '')) in ('', '[deleted]') or row_number() over (partition by lower(subreddit), lower(author) order by created_utc, id) <= 300),
+    d as (select * from c qualify coalesce(thread_id, '') = '' or row_number() over (partition by thread_id order by created_utc, id) <= 3),
+    e as (select * from d qualify row_number() over (partition by lower(subreddit), md5(text) order by created_utc, id) <= 1)
     select id, author, thread_id, created_utc from e""",
 )
 def clean_staged(spark: SparkSession, sf_dir: str) -> DataFrame:

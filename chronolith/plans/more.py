@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronolith.functions import patterns as P
 from chronolith.functions import text as T
 from chronolith.functions import timeutil
 from chronolith.operators import clean
@@ -70,12 +71,12 @@ def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("graph_cleaning", rf"""with {POSTS_SQL}, w as (select *, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_'']+') as ws from posts),
     m as (select id, max(c) as top from (select id, w, count(*) as c from (select id, unnest(ws) as w from w) group by all) group by 1),
-    r as (select w.id, case when regexp_matches(text, '(?i)https?://|www\.|(?:reddit|imgur)\.com/') then 'url' when regexp_matches(text, '(?i)i am a bot|click here to|subscribe to my') then 'bot_or_spam'
+    r as (select w.id, case when regexp_matches(text, '(?i)https?://|www\.|(?:reddit|imgur)\.com/') then 'url' when regexp_matches(text, '{P.SPAM}') then 'bot_or_spam'
       when (length(text) - length(regexp_replace(text, '\p{{Mn}}', '', 'g'))) / length(text) > 0.03 then 'combining_mark_artifact'
       when len(ws) >= 8 and top / len(ws) >= 0.5 then 'single_word_repetition' else 'kept' end as reason from w left join m using (id))
     select reason, count(*) as n from r group by 1""")
 def graph_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from chronolith.functions import patterns as P
+
 
     text = F.col("text")
     reason = F.when(text.rlike(P.LINK), "url").when(text.rlike(P.SPAM), "bot_or_spam").when(T.mark_share(text) > 0.03, "combining_mark_artifact").when(T.top_word_share(text) >= 0.5, "single_word_repetition").otherwise("kept")

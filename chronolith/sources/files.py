@@ -31,7 +31,8 @@ def write_clean(df: DataFrame, root: str, audit: DataFrame | None = None, audit_
     """Partitioned zstd Parquet first, its audit after it: an audit is there only if its data is."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("year", "month", "kind").parquet(root)
     if audit is not None:
-        audit.write.mode("append").json(audit_root or f"{root.rstrip('/')}_audit")
+        # One audit for each partition, also after a rerun.
+        audit.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "month", "kind").json(audit_root or f"{root.rstrip('/')}_audit")
 
 
 def missing_sources(expected: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:

@@ -18,7 +18,7 @@ def next_state(state: tuple[str, int, int], report: str) -> tuple[str, int, int]
     """(status, attempts, checks) after a report.
 
     'start' begins an attempt unless the partition is done or has used its attempts; 'fail' leaves it queued or failed;
-    'success' without output is looked at again before it counts as lost; 'output' completes it.
+    'success' without output is looked at once more; a second one without it counts as lost, and the partition is queued again; 'output' completes it.
     """
     status, attempts, checks = state
     if status in ("complete", "failed"):
@@ -28,7 +28,7 @@ def next_state(state: tuple[str, int, int], report: str) -> tuple[str, int, int]
     if report == "fail":
         return ("failed" if attempts >= MOST_ATTEMPTS else "queued", attempts, 0)
     if report == "success":
-        return ("running", attempts, checks + 1) if checks < MOST_CHECKS else ("queued", attempts, 0)
+        return ("running", attempts, checks + 1) if checks + 1 < MOST_CHECKS else ("queued", attempts, 0)
     return ("complete", attempts, checks) if report == "output" else state
 
 

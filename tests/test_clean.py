@@ -24,7 +24,8 @@ def test_normalize(spark, raw, want):
     ("text", "want"),
     [
         ("", "empty_or_removed"), (None, "empty_or_removed"), ("[Removed]", "empty_or_removed"), ("I am a bot, and this action was performed automatically", "bot_or_moderation"),
-        ("http://a.example/b", "url_dominated"), ("x http://a.example/" + "b" * 60, "url_dominated"), ("a" * 12001, "too_long"), ("fine text", "kept"),
+        ("http://a.example/b", "url_dominated"), ("x http://a.example/" + "b" * 60, "url_dominated"), ("a" * 12001, "pathological_length"), ("fine text", "kept"),
+        ("!!!", "kept"), ("???", "kept"), ("-" * 40, "kept"), ("http://a.example/b !!", "url_dominated"), ("'http://a.example/b'", "kept"),
     ],
 )
 def test_reasons(spark, text, want):
@@ -63,7 +64,7 @@ def test_near_copies_and_reconciliation(spark):
     base = " ".join(f"word{k}" for k in range(60))
     df = frame(spark, [("", "t", base), ("", "t", base + "!"), ("", "t", base + " x"), ("", "t", "other text"), ("", "t", "")])
     rows = clean.exact(df, copies=5, near=2).collect()
-    assert Counter(r["reason"] for r in rows) == {"kept": 3, "near_cap": 1, "empty_or_removed": 1}
+    assert Counter(r["reason"] for r in rows) == {"kept": 3, "near_copy_cap": 1, "empty_or_removed": 1}
     audit = audit_report(df.join(clean.exact(df).select("id", "reason"), "id"), ["year"]).first()
     assert sum(audit["counts"].values()) == 5
 
@@ -72,3 +73,113 @@ def test_order_of_rows_does_not_matter(spark):
     df = frame(spark, [(f"a{k % 3}", f"t{k % 4}", f"text {k}") for k in range(40)])
     a = sorted(map(tuple, clean.exact(df, author=4, thread=3).collect()))
     assert a == sorted(map(tuple, clean.exact(df.orderBy(F.desc("id")).repartition(3), author=4, thread=3).collect()))
+
+
+def test_caps_mind_case_and_leave_out_who_is_unknown(spark):
+    rows = [("Bob", "t1", "one"), ("bob", "t2", "two"), ("[deleted]", "t3", "three"), ("[Deleted]", "t4", "four"), ("", "t5", "five"), (None, "t6", "six"), ("x1", None, "seven"), ("x2", None, "eight"), ("x3", "", "nine")]
+    df = frame(spark, rows)
+    exact = {r["id"]: r["reason"] for r in clean.exact(df, author=1, thread=1).collect()}
+    assert exact == {f"{k:03d}": "author_cap" if k == 1 else "kept" for k in range(9)}
+    assert {r["id"] for r in clean.staged(df, 1, 1, 5).collect()} == {k for k, v in exact.items() if v == "kept"}
+
+
+def test_copies_are_equal_texts_not_equal_letters(spark):
+    df = frame(spark, [("a", "t1", "Same"), ("b", "t2", "same"), ("c", "t3", "same")])
+    assert {r["id"] for r in clean.staged(df, 9, 9, 1).collect()} == {"000", "001"}
+    assert {r["id"]: r["reason"] for r in clean.exact(df, copies=1).collect()} == {"000": "kept", "001": "kept", "002": "exact_copy_cap"}
+
+
+def test_the_first_of_a_repeated_id_counts(spark):
+    df = frame(spark, [("a", "t", "one"), ("b", "t", "two")]).withColumn("id", F.lit("same"))
+    assert sorted(r["reason"] for r in clean.exact(df).collect()) == ["kept", "missing_or_duplicate_id"]
+    assert clean.exact(df.limit(0)).count() == 0
+
+
+def test_near_copies_by_brute_force(spark):
+    """Leaders and quotas again with texts and ratios, one row after the other."""
+    import difflib
+    import re
+
+    rng = random.Random(4)
+    base = [" ".join(f"w{rng.randrange(50)}" for _ in range(70)) for _ in range(4)]
+    texts = []
+    for _ in range(70):
+        w = rng.choice(base).split(" ")
+        for _ in range(rng.randrange(0, 4)):
+            w[rng.randrange(10, 70)] = rng.choice(["q", "w1", "zz", "w7"])
+        texts.append(" ".join(w) + rng.choice(["", "!", " end", "?"]))
+    got = {r["id"]: r["reason"] for r in clean.exact(frame(spark, [("", None, t) for t in texts]), near=3, copies=2).collect()}
+    used, leaders = Counter(), {}
+    for k, t in enumerate(texts):
+        c = re.sub(r"\W+", " ", t.casefold()).strip()
+        why, key = ("exact_copy_cap" if used[t] >= 2 else "kept"), None
+        if why == "kept" and len(t) >= 200 and len(c) >= 160:
+            band = len(c) // 32
+            for b in (band - 1, band, band + 1):
+                for other in leaders.get((b, c[:24]), []):
+                    if key is None and abs(len(other) - len(c)) <= max(3, len(c) // 50) and difflib.SequenceMatcher(None, other, c, autojunk=False).ratio() >= 0.985:
+                        key = other
+            if key is None:
+                leaders.setdefault((band, c[:24]), []).append(c)
+                key = c
+            why = "near_copy_cap" if used["near", key] >= 3 else "kept"
+        if why == "kept":
+            used[t] += 1
+            used["near", key] += key is not None
+        assert got[f"{k:03d}"] == why
+
+
+def test_retry_states():
+    from chronolith.streaming.jobs import next_state
+
+    state = ("queued", 0, 0)
+    for report, want in [("start", ("running", 1, 0)), ("success", ("running", 1, 1)), ("success", ("queued", 1, 0)), ("start", ("running", 2, 0)), ("fail", ("queued", 2, 0)), ("start", ("running", 3, 0)), ("fail", ("failed", 3, 0)), ("start", ("failed", 3, 0))]:
+        state = next_state(state, report)
+        assert state == want
+    assert next_state(("running", 1, 1), "output")[0] == "complete"
+
+
+def test_marks(spark):
+    row = spark.createDataFrame([("memes", "hi")], "b string, t string").select(T.marked(F.col("b"), F.col("t")).alias("m"), T.after_mark(F.lit("a<|endoftext|>b")).alias("x")).first()
+    assert row["m"] == "<|subreddit_memes|> hi" and row["x"] == "b"
+
+
+def test_tables_are_written_and_read_back(spark, tmp_path):
+    from chronolith.sources import files
+
+    rows = spark.createDataFrame([(2018, m, "comments", f"{m}{k}", "memes", k, f"text {k}") for m in (3, 4) for k in range(20)], "year int, month int, kind string, id string, subreddit string, created_utc long, text string")
+    audit = rows.groupBy("year", "month", "kind").agg(F.count("*").alias("n"))
+    root = str(tmp_path / "clean")
+    for _ in range(2):  # a rerun doubles neither
+        files.write_clean(rows, root, audit)
+    march = files.read_parts(spark, root, [2018], [3])
+    assert march.count() == 20 and files.read_parts(spark, root).count() == 40
+    assert "PartitionFilters: [isnotnull(month" in march._jdf.queryExecution().toString() or "month" in march._jdf.queryExecution().executedPlan().toString()
+    assert len(files.shards(files.read_parts(spark, root), 1)) == 1 and len(files.shards(march)) >= 1
+    assert files.read_jsonl(spark, root + "_audit", "n long, year int, month int, kind string").filter("n = 20").count() == 2
+    expected = spark.createDataFrame([(2018, 3), (2018, 5)], "year int, month int")
+    assert [tuple(r) for r in files.missing_sources(expected, rows, ["year", "month"]).collect()] == [(2018, 5, "missing_source")]
+    rows.filter("month = 3").select("id").write.parquet(str(tmp_path / "raw/2018/03/part"))
+    got = files.path_month(spark.read.parquet(str(tmp_path / "raw/2018/03/part"))).first()
+    assert (got["year"], got["month"]) == (2018, 3)
+    files.write_csv(audit, str(tmp_path / "csv"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
+    files.write_lines(spark.createDataFrame([(1, 2, "b"), (0, 0, "a"), (1, 1, "c")], "part int, key int, line string"), str(tmp_path / "lines"))
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "lines")).collect()) == ["a", "b", "c"]
+
+
+def test_windows_are_written_and_read_back(spark, tmp_path):
+    from chronolith.operators.tokens import token_windows, word_ids
+    from chronolith.sources import files
+
+    rows = [(k, "p", 100 + k, " ".join(f"t{k}x{j}" for j in range(k % 9))) for k in range(60)]
+    df = spark.createDataFrame(rows, "id int, board string, created_utc long, text string")
+    made = token_windows(df, ["board"], ["created_utc", "id"], stride=16)
+    files.write_windows(made, str(tmp_path / "w"), 4)
+    ids = {r["id"]: list(r["i"]) for r in df.select("id", word_ids(F.col("text")).alias("i")).collect()}
+    stream = [(t, c) for k, _, c, _ in rows for t in [*ids[k], 0]]
+    got = {r["window_no"]: (list(r["tokens"]), r["created_utc"]) for r in spark.read.parquet(str(tmp_path / "w")).collect()}
+    assert set(got) == set(range((len(stream) - 1) // 16))
+    for w, (tokens, date) in got.items():
+        part = stream[16 * w : 16 * w + 17]
+        assert tokens == [t for t, _ in part] and date == round(sum(c for _, c in part[:16]) / 16)
