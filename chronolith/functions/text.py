@@ -129,6 +129,12 @@ def runs(ws: Column, size: int) -> Column:
     return F.slice(out, F.lit(1), F.greatest(F.size(ws) - (size - 1), F.lit(0)))
 
 
+def word_grams(c: Column) -> Column:
+    """Words of two and more letters, digits or underscores, lower-cased, and their neighbouring pairs."""
+    ws = F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}_]{2,})"), 1)
+    return F.concat(ws, runs(ws, 2))
+
+
 def phrases(ws: Column, first: int = 4, sizes: tuple[int, ...] = (2, 3, 4)) -> Column:
     """Array of (phrase, start) for all word n-grams from word index `first` on, without filters."""
     made = [F.filter(F.transform(runs(ws, n), lambda p, i: F.struct(p.alias("phrase"), i.alias("start"))), lambda x: x["start"] >= first) for n in sizes]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chronolith.functions.text import hash_number
 from chronolith.functions.vectors import cosine
+from chronolith.operators.prefix import running_before
 
 BLOCK_ROWS = 2048
 
@@ -17,15 +18,12 @@ def earlier_neighbour(rows: DataFrame, id_col: str = "id", time_col: str = "id",
     """child, parent, cosine, gap, score: for each row, the strictly earlier row with the largest cosine - alpha * gap.
 
     Exact over all pairs, in blocks: a task multiplies two blocks of vectors and keeps one best parent per child, so n
-    rows make n * n / block result rows and never n * n. Rows without an earlier one have no result. Ties go to the
+    rows make n * n / (2 * block) result rows and never n * n. Blocks are stretches of time, so later blocks are no parents
+    of earlier ones and are not multiplied with them. Rows without an earlier one have no result. Ties go to the
     smallest parent id. Zero vectors have cosine 0.
     """
-    n = rows.count()
-    blocks = max(1, -(-n // block))
     base = rows.select(F.col(id_col).alias("id"), F.col(time_col).cast("double").alias("t"), F.col(vector_col).cast("array<double>").alias("v"))
-    base = base.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    children = base.select("id", "t", "v", F.col("own").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("p"), F.lit(True).alias("child"))
-    parents = base.select("id", "t", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("c"), F.col("own").alias("p"), F.lit(False).alias("child"))
+    children, parents = _earlier_blocks(base, ["t", "id"], block, ["id", "t", "v"])
 
     def best(group: pa.Table) -> pa.Table:
         ids, t, child = (np.asarray(group.column(x).combine_chunks()) for x in ("id", "t", "child"))
@@ -46,6 +44,51 @@ def earlier_neighbour(rows: DataFrame, id_col: str = "id", time_col: str = "id",
     return made.groupBy("child").agg(F.max_by(F.struct("parent", "cosine", "gap", "score"), F.struct(F.col("score"), -F.col("parent"))).alias("b")).select("child", "b.*")
 
 
+def _earlier_blocks(base: DataFrame, order: list[str], block: int, cols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """base twice, as children and as parents: rows in stretches of `block` in order, once for each pair (c, p) with p <= c."""
+    numbered = running_before(base.select(*order).withColumn("one", F.lit(1)), order, "one", "no")
+    base = base.join(numbered.select(*order, F.expr(f"no div {block}").alias("own")), order)
+    last = F.lit(max(0, (base.count() - 1) // block)).cast("long")
+    zero = F.lit(0).cast("long")
+    children = base.select(*cols, F.col("own").alias("c"), F.explode(F.sequence(zero, F.col("own"))).alias("p"), F.lit(True).alias("child"))
+    return children, base.select(*cols, F.explode(F.sequence(F.col("own"), last)).alias("c"), F.col("own").alias("p"), F.lit(False).alias("child"))
+
+
+def lexical_parent(weights: DataFrame, block: int = 512, chunk: int = 4096) -> DataFrame:
+    """child, parent, lexical: of the earlier documents (by id) that share a term, the one with the largest dot product.
+
+    Exact over all pairs, in blocks: a task multiplies two blocks of documents, a stretch of their terms at a time, and
+    keeps one parent per child, so a term that all documents share costs no more than others. Ties to nine digits go to the
+    smallest parent.
+    """
+    kind = dict(weights.dtypes)["id"]
+    docs = weights.groupBy("id").agg(F.collect_list(F.struct("term", "w")).alias("tw")).select("id", F.col("tw.term").alias("terms"), F.col("tw.w").alias("ws"))
+    children, parents = _earlier_blocks(docs, ["id"], block, ["id", "terms", "ws"])
+
+    def best(group: pa.Table) -> pa.Table:
+        group = group.sort_by("id").combine_chunks()
+        ids, child = np.asarray(group.column("id")), np.asarray(group.column("child"))
+        terms, ws = group.column("terms").combine_chunks(), group.column("ws").combine_chunks()
+        size = np.diff(np.asarray(terms.offsets))
+        code = np.asarray(terms.flatten().dictionary_encode().indices)
+        order = np.argsort(code, kind="stable")
+        code, row, w = code[order], np.repeat(np.arange(len(ids)), size)[order], np.asarray(ws.flatten())[order]
+        kid, par = np.flatnonzero(child), np.flatnonzero(~child)
+        dot = np.zeros((len(kid), len(par)))
+        for lo in range(0, int(code[-1]) + 1 if len(code) else 0, chunk):
+            part = slice(*np.searchsorted(code, [lo, lo + chunk]))
+            m = np.zeros((len(ids), chunk))
+            m[row[part], code[part] - lo] = w[part]
+            dot += m[kid] @ m[par].T
+        dot = np.where(ids[kid][:, None] > ids[par][None, :], np.round(dot, 12), 0.0)
+        top = np.round(dot, 9).argmax(1) if len(par) else np.zeros(len(kid), int)
+        found = np.flatnonzero(dot[np.arange(len(kid)), top] > 0) if len(par) else np.zeros(0, int)
+        return pa.table({"child": ids[kid[found]], "parent": ids[par[top[found]]] if len(found) else ids[:0], "lexical": dot[found, top[found]]})
+
+    made = children.unionByName(parents).groupBy("c", "p").applyInArrow(best, f"child {kind}, parent {kind}, lexical double")
+    return made.groupBy("child").agg(F.max_by(F.struct("parent", "lexical"), F.struct(F.round("lexical", 9), -F.col("parent"))).alias("b")).select("child", "b.*")
+
+
 def pairs(rows: DataFrame, vector_col: str = "embedding") -> DataFrame:
     """child, parent, families, cosine, gap of every row with every earlier one; for samples, where all methods read it."""
     a, b = rows.select(*[F.col(c).alias(f"{c}_c") for c in rows.columns]), rows.select(*[F.col(c).alias(f"{c}_p") for c in rows.columns])

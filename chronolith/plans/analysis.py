@@ -36,7 +36,8 @@ def earlier_neighbor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _links(spark, sf_dir).select("child", "parent", F.round("cosine", 6).alias("cosine"), F.round("gap", 6).alias("gap"))
 
 
-TEXT_WORDS = r"regexp_extract_all(lower(text), '([a-z][a-z'']*)')"
+WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
+TEXT_WORDS = f"list_concat({WORDS}, list_transform(range(1, greatest(len({WORDS}), 1)), lambda i: ({WORDS})[i] || ' ' || ({WORDS})[i + 1]))"
 TFIDF_SQL = """n as (select count(*) as n from lex_docs),
   tf as (select id, term, count(*) as tf from (select id, unnest(ws) as term from lex_docs) group by all),
   df as (select term, count(*) as df from tf group by 1),
@@ -46,7 +47,7 @@ TFIDF_SQL = """n as (select count(*) as n from lex_docs),
 
 
 def _text_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.phrase_words(F.col("text")).alias("ws"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.word_grams(F.col("text")).alias("ws"))
 
 
 @query(
@@ -179,9 +180,8 @@ def cytoscape_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("tfidf_parent", f"with lex_docs as (select doc_id as id, {TEXT_WORDS} as ws from documents), {TFIDF_SQL} select child, parent, round(lexical, 6) as lexical from lex qualify row_number() over (partition by child order by round(lexical, 9) desc, parent) = 1")
 def tfidf_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lex = neighbors.lexical(neighbors.tfidf(_text_words(spark, sf_dir), F.col("ws")))
-    best = lex.groupBy("child").agg(F.max_by(F.struct("parent", "lexical"), F.struct(F.round("lexical", 9), -F.col("parent"))).alias("b"))
-    return best.select("child", "b.parent", F.round("b.lexical", 6).alias("lexical"))
+    best = neighbors.lexical_parent(neighbors.tfidf(_text_words(spark, sf_dir), F.col("ws")))
+    return best.select("child", "parent", F.round("lexical", 6).alias("lexical"))
 
 
 OCC_SQL = rf"""line as (select id, created_utc, (regexp_extract(text, '^[^\n]*'))[1:300] as line from posts),

@@ -34,3 +34,9 @@ def test_no_row_at_a_time_python(spark):
         if not name.startswith("stream_"):
             p = plan(spark, name)
             assert "BatchEvalPython" not in p and "CartesianProduct" not in p, name
+
+
+def test_no_window_without_a_key_over_nodes_and_no_nested_loop_for_lexical_parents(spark):
+    assert "BroadcastNestedLoopJoin" not in plan(spark, "tfidf_parent") and "SortMergeJoin [parent" not in plan(spark, "tfidf_parent")
+    p = plan(spark, "dedup_canonical")
+    assert "Window" not in p
