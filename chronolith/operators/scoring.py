@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,12 +59,25 @@ def contiguous_batches(rows: DataFrame, at: str, batch: int, length: int, ranks:
 def singular_values(rows: DataFrame, vector: str) -> DataFrame:
     """no, value: singular values of the matrix of all rows' vectors, by their Gram matrix.
 
-    The Gram matrix is summed by Spark from entry products, and only it, of dimension x dimension, is decomposed.
+    A task adds up the Gram matrix of its rows and sends the upper half, so what is shuffled and collected depends on the
+    dimension and the tasks, not on the rows. Null vectors and missing or null entries count as zeros; no rows, no values.
     """
-    import numpy as np
 
-    long = rows.select(F.monotonically_increasing_id().alias("r"), vector).select("r", vector, F.posexplode(vector).alias("i", "x"))
-    entries = long.select("i", "x", F.posexplode(vector).alias("j", "y")).filter("j >= i").groupBy("i", "j").agg(F.sum(F.col("x").cast("double") * F.col("y").cast("double")).alias("g")).collect()
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram = np.zeros((0, 0))
+        for batch in batches:
+            lists = batch.column(0)
+            size = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), dtype=np.int64)
+            m = np.zeros((len(size), size.max(initial=0)))
+            m[np.repeat(np.arange(len(size)), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = np.asarray(pc.fill_null(pc.list_flatten(lists), 0.0))
+            if m.shape[1] > len(gram):
+                gram = np.pad(gram, (0, m.shape[1] - len(gram)))
+            gram[: m.shape[1], : m.shape[1]] += m.T @ m
+        for i in range(len(gram)):
+            yield pa.record_batch([pa.array(np.full(len(gram) - i, i, np.int32)), pa.array(np.arange(i, len(gram), dtype=np.int32)), pa.array(gram[i, i:])], ["i", "j", "g"])
+
+    halves = rows.select(F.col(vector).cast("array<double>").alias("v")).mapInArrow(partial, "i int, j int, g double")
+    entries = halves.groupBy("i", "j").agg(F.sum("g").alias("g")).collect()
     n = 1 + max((r["j"] for r in entries), default=-1)
     gram = np.zeros((n, n))
     for r in entries:

@@ -168,14 +168,33 @@ def graph_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.faults(ids.unionByName(ids.filter("id % 97 = 0")), edges.unionByName(turned).unionByName(lost))
 
 
-@query("graph_export")
+def _shown_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edges(spark, sf_dir).select("child", "parent", F.round("cosine", 6).alias("cosine"), F.round("gap", 6).alias("gap"))
+
+
+GRAPHML_HEAD = (
+    '<?xml version="1.0" encoding="utf-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', '<key id="n_family" for="node" attr.name="family" attr.type="int"/>',
+    '<key id="e_cosine" for="edge" attr.name="cosine" attr.type="double"/>', '<key id="e_gap" for="edge" attr.name="gap" attr.type="double"/>', '<graph edgedefault="directed">',
+)
+
+
+@query(
+    "graph_export",
+    f"""with {EDGE_SQL} select * from (values {", ".join(f"(0, '{k:04}', '{x}')" for k, x in enumerate(GRAPHML_HEAD))}, (3, '0', '</graph></graphml>')) t(part, key, line)
+    union all select 1, id::varchar, '<node id="' || id || '"><data key="n_family">' || family || '</data></node>' from u
+    union all select 2, parent || '->' || child, '<edge source="' || parent || '" target="' || child || '"><data key="e_cosine">' || round(cosine, 6) || '</data><data key="e_gap">' || round(gap / 100, 6) || '</data></edge>' from edge""",
+)
 def graph_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.graphml_lines(vectors(spark, sf_dir).select("id", "family"), _edges(spark, sf_dir))
+    return graph.graphml_lines(vectors(spark, sf_dir).select("id", "family"), _shown_edges(spark, sf_dir))
 
 
-@query("cytoscape_export")
+@query(
+    "cytoscape_export",
+    f"""with {EDGE_SQL} select 'node' as kind, '{{"data":{{"id":"' || id || '","family":' || family || '}}}}' as json from u
+    union all select 'edge', '{{"data":{{"id":"' || parent || '->' || child || '","source":"' || parent || '","target":"' || child || '","cosine":' || round(cosine, 6) || ',"gap":' || round(gap / 100, 6) || '}}}}' from edge""",
+)
 def cytoscape_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.cytoscape_rows(vectors(spark, sf_dir).select("id", "family"), _edges(spark, sf_dir))
+    return graph.cytoscape_rows(vectors(spark, sf_dir).select("id", "family"), _shown_edges(spark, sf_dir))
 
 
 @query("tfidf_parent", f"with lex_docs as (select doc_id as id, {TEXT_WORDS} as ws from documents), {TFIDF_SQL} select child, parent, round(lexical, 6) as lexical from lex qualify row_number() over (partition by child order by round(lexical, 9) desc, parent) = 1")
@@ -203,9 +222,22 @@ def ngram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return occ.groupBy("phrase").agg(F.count("*").alias("sample_count")).filter(F.col("sample_count").between(3, 300)).orderBy(F.md5(F.col("phrase").cast("binary")), "phrase").limit(1000)
 
 
-@query("phrase_contexts")
+# The text before a phrase: the words in front of it, each with what precedes it, and what precedes the phrase itself.
+CONTEXT_SQL = rf"""{OCC_SQL}, x as (select *, regexp_extract_all(line, '[^A-Za-z]*[A-Za-z][A-Za-z'']*') as piece from f),
+  v as (select id, created_utc, phrase, regexp_extract_all(array_to_string(piece[1:s], '') || regexp_extract(piece[s + 1], '^[^A-Za-z]*'), '[^\x20\x09-\x0D]+') as shown from x),
+  o as (select id, created_utc, phrase, case when len(shown) >= 4 then array_to_string(shown[greatest(len(shown) - 15, 1):len(shown)], ' ') end as context from v)"""
+
+
+@query(
+    "phrase_contexts",
+    f"""with {POSTS_SQL}, {CONTEXT_SQL},
+    c as (select phrase, count(*) as sample_count from o group by 1 having count(*) between 3 and 300 and count(context) >= 3 order by md5(phrase), phrase limit 1000),
+    t as (select o.*, sample_count from o join c using (phrase) where context is not null qualify row_number() over (partition by phrase order by created_utc, id) <= 3)
+    select phrase, sample_count, string_agg(context, ' | ' order by created_utc, id) as contexts from t group by all""",
+)
 def phrase_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return phrases.candidates(phrases.occurrences(posts(spark, sf_dir)))
+    made = phrases.candidates(phrases.occurrences(posts(spark, sf_dir)))
+    return made.select("phrase", "sample_count", F.array_join("contexts", " | ").alias("contexts"))
 
 
 MONTH_SQL = rf"""wanted as (select distinct unnest(list_transform(range(0, greatest(len(w) - 2, 0)), lambda i: array_to_string(w[i + 1:i + 3], ' '))) as phrase

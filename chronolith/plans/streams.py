@@ -24,7 +24,18 @@ def stream_log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tail.log_tail(spark, f"{sf_dir}/events.parquet").select("step", "tokens_seen", "loss")
 
 
-@query("stream_partition_state")
+# A state is status * 100 + attempts * 10 + checks.
+@query(
+    "stream_partition_state",
+    """with e as (select user_id as part, list(([1, 2, 3, 4, 3])[event_id % 5 + 1]::bigint order by event_id) as reports from events group by 1),
+    s as (select part, list_reduce(list_prepend(0::bigint, reports), lambda s, r: case
+      when s >= 200 then s
+      when r = 1 then case when (s // 10) % 10 < 3 then 110 + s % 100 - s % 10 else 300 + s % 100 end
+      when r = 2 then case when (s // 10) % 10 >= 3 then 300 else 0 end + s % 100 - s % 10
+      when r = 3 then case when s % 10 < 1 then 101 + s % 100 else s % 100 - s % 10 end
+      else 200 + s % 100 end) as s from e)
+    select part, (['queued', 'running', 'complete', 'failed'])[s // 100 + 1] as status, (s // 10) % 10 as attempts, s % 10 as checks from s""",
+)
 def stream_partition_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.partition_states(spark, f"{sf_dir}/events.parquet")
 

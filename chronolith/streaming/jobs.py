@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from chronolith.streaming.tail import folder, source
+from chronolith.shared import fresh_path
+from chronolith.streaming.tail import source
 
 MOST_ATTEMPTS, MOST_CHECKS = 3, 2
 
@@ -46,7 +47,7 @@ def partition_states(spark: SparkSession, path: str) -> DataFrame:
     report = F.element_at(F.array(*[F.lit(x) for x in ("start", "fail", "success", "output", "success")]), (F.col("event_id") % 5 + 1).cast("int"))
     rows = source(spark, path).select(F.col("user_id").alias("part"), "event_id", report.alias("report"))
     states = rows.groupBy("part").applyInPandasWithState(fold, "part long, status string, attempts long, checks long", "status string, attempts long, checks long", "update", GroupStateTimeout.NoTimeout)
-    out = folder(spark, "states")
+    out = fresh_path(spark, "states")
 
     def keep(batch: DataFrame, no: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={no}")

@@ -6,22 +6,14 @@ result into a table there; a query returns that table.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.functions import text as T
+from chronolith.shared import fresh_path
 from chronolith.sources import logs
 
 
-def folder(spark: SparkSession, what: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or os.path.join(tempfile.gettempdir(), "checkpoints")
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 def source(spark: SparkSession, path: str) -> DataFrame:
     """A table's files as a stream; the schema is that of the files there now."""
     schema = spark.read.parquet(path).schema
@@ -29,39 +21,40 @@ def source(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def run_complete(df: DataFrame, what: str) -> DataFrame:
-    """The final result of a complete-mode aggregation, written batch by batch; the last one stands."""
+def run_updates(df: DataFrame, keys: list[str], what: str) -> DataFrame:
+    """The final result of an aggregation by `keys`: each batch writes the keys that it changed, of which the latest stand."""
     spark = df.sparkSession
-    out = folder(spark, what)
+    out = fresh_path(spark, what)
 
     def keep(batch: DataFrame, no: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={no}")  # a batch that runs twice overwrites its own folder
 
-    q = df.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{out}-progress").trigger(availableNow=True).start()
+    q = df.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{out}-progress").trigger(availableNow=True).start()
     q.awaitTermination()
     if q.lastProgress is None and not q.recentProgress:
         return spark.createDataFrame([], df.schema)
-    done = spark.read.parquet(out)
-    last = done.agg(F.max("batch")).first()[0]
-    return done.filter(F.col("batch") == last).drop("batch")
+    now = F.max_by(F.struct(*[c for c in df.columns if c not in keys]), "batch").alias("now")
+    return spark.read.parquet(out).groupBy(*keys).agg(now).select(*keys, "now.*")
 
 
 def log_tail(spark: SparkSession, path: str) -> DataFrame:
     """The latest value of every step of a log that is read as it grows; a step that comes again replaces the old one."""
-    return run_complete(logs.latest(logs.parse(logs.event_lines(source(spark, path)))), "tail")
+    return run_updates(logs.latest(logs.parse(logs.event_lines(source(spark, path)))), ["step", "training"], "tail")
 
 
-def window_counts(spark: SparkSession, path: str) -> DataFrame:
-    """Counts and sums by day and kind of event, all rows, however late: complete mode keeps every window."""
-    rows = source(spark, path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "2 days")
+def window_counts(spark: SparkSession, path: str, late: str | None = None) -> DataFrame:
+    """Counts and sums by day and kind of event. All rows count, however late, and every window stays in the state; with
+    `late`, such as '2 days', the state forgets windows that old, and rows that come later than that are not counted."""
+    rows = source(spark, path).withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = rows.withWatermark("ts", late) if late else rows
     made = rows.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    done = run_complete(made, "windows")
+    done = run_updates(made, ["window", "event_type"], "windows")
     return done.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 def packing_state(spark: SparkSession, path: str) -> DataFrame:
     """Tokens, full windows and tokens left over of every source, carried on from batch to batch."""
     rows = source(spark, path).select(F.col("source").alias("subreddit"), (T.token_count(F.col("text")) + 1).alias("n"))
-    done = run_complete(rows.groupBy("subreddit").agg(F.sum("n").alias("tokens")), "packing")
+    done = run_updates(rows.groupBy("subreddit").agg(F.sum("n").alias("tokens")), ["subreddit"], "packing")
     windows = F.expr("(tokens - 1) div 1024")
     return done.select("subreddit", "tokens", windows.alias("windows"), (F.col("tokens") - 1024 * windows).alias("tail"))

@@ -5,9 +5,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from chronolith.functions import timeutil, vectors
-from chronolith.operators import dedup, graph, neighbors, prefix, sample, stats
+from chronolith.operators import dedup, graph, neighbors, prefix, sample, scoring, stats
 from chronolith.operators.windows import pack_windows
 from chronolith.sources import logs
+from chronolith.streaming import tail
 
 
 def test_evenly_spaced():
@@ -117,3 +118,23 @@ def test_near_copy_pairs_link_every_copy(spark):
     df = spark.createDataFrame(rows, "id string, text string")
     assert sorted((r["id_a"], r["id_b"]) for r in dedup.near_copy_pairs(df).collect()) == [("a", "b"), ("a", "c"), ("a", "d"), ("b", "e")]
     assert dict(dedup.near_copy_members(df).collect()) == {"a": "a", "b": "b", "c": "a", "d": "a", "e": "b", "f": "f"}
+
+
+def test_singular_values(spark):
+    rows = np.random.default_rng(5).normal(size=(50, 7))
+    df = spark.createDataFrame([(r.tolist(),) for r in rows] + [(None,)], "v array<double>").repartition(3)
+    got = [r["value"] for r in scoring.singular_values(df, "v").orderBy("no").collect()]
+    assert np.allclose(got, np.linalg.svd(rows, compute_uv=False))
+    ragged = spark.createDataFrame([([1.0, 2.0],), ([3.0],), ([],)], "v array<double>")
+    got = [r["value"] for r in scoring.singular_values(ragged, "v").orderBy("no").collect()]
+    assert np.allclose(got, np.linalg.svd([[1.0, 2.0], [3.0, 0.0]], compute_uv=False))
+    assert scoring.singular_values(df.limit(0), "v").count() == 0
+
+
+def test_stream_updates_over_batches(spark, tmp_path):
+    """Three files read one at a time: every key has the state after the last batch that changed it."""
+    for k in range(3):
+        spark.createDataFrame([(1, k), (k + 1, 10)], "a int, b int").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    rows = spark.readStream.schema("a int, b int").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    done = tail.run_updates(rows.groupBy("a").agg(F.sum("b").alias("b")), ["a"], "sums")
+    assert {tuple(r) for r in done.collect()} == {(1, 13), (2, 10), (3, 10)}
