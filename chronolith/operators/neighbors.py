@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from chronolith.functions.text import hash_number
@@ -54,6 +54,31 @@ def _earlier_blocks(base: DataFrame, order: list[str], block: int, cols: list[st
     return children, base.select(*cols, F.explode(F.sequence(F.col("own"), last)).alias("c"), F.col("own").alias("p"), F.lit(False).alias("child"))
 
 
+def _dots(group: pa.Table, chunk: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Children's ids, parents' ids and their dot products, 0 unless the parent is earlier; `chunk` terms at a time."""
+    group = group.sort_by("id").combine_chunks()
+    ids, child = np.asarray(group.column("id")), np.asarray(group.column("child"))
+    terms, ws = group.column("terms").combine_chunks(), group.column("ws").combine_chunks()
+    size = np.diff(np.asarray(terms.offsets))
+    code = np.asarray(terms.flatten().dictionary_encode().indices)
+    order = np.argsort(code, kind="stable")
+    code, row, w = code[order], np.repeat(np.arange(len(ids)), size)[order], np.asarray(ws.flatten())[order]
+    kid, par = np.flatnonzero(child), np.flatnonzero(~child)
+    dot = np.zeros((len(kid), len(par)))
+    for lo in range(0, int(code[-1]) + 1 if len(code) else 0, chunk):
+        part = slice(*np.searchsorted(code, [lo, lo + chunk]))
+        m = np.zeros((len(ids), chunk))
+        m[row[part], code[part] - lo] = w[part]
+        dot += m[kid] @ m[par].T
+    return ids[kid], ids[par], np.where(ids[kid][:, None] > ids[par][None, :], np.round(dot, 12), 0.0)
+
+
+def _weight_blocks(weights: DataFrame, block: int) -> GroupedData:
+    docs = weights.groupBy("id").agg(F.collect_list(F.struct("term", "w")).alias("tw")).select("id", F.col("tw.term").alias("terms"), F.col("tw.w").alias("ws"))
+    children, parents = _earlier_blocks(docs, ["id"], block, ["id", "terms", "ws"])
+    return children.unionByName(parents).groupBy("c", "p")
+
+
 def lexical_parent(weights: DataFrame, block: int = 512, chunk: int = 4096) -> DataFrame:
     """child, parent, lexical: of the earlier documents (by id) that share a term, the one with the largest dot product.
 
@@ -62,37 +87,43 @@ def lexical_parent(weights: DataFrame, block: int = 512, chunk: int = 4096) -> D
     smallest parent.
     """
     kind = dict(weights.dtypes)["id"]
-    docs = weights.groupBy("id").agg(F.collect_list(F.struct("term", "w")).alias("tw")).select("id", F.col("tw.term").alias("terms"), F.col("tw.w").alias("ws"))
-    children, parents = _earlier_blocks(docs, ["id"], block, ["id", "terms", "ws"])
 
     def best(group: pa.Table) -> pa.Table:
-        group = group.sort_by("id").combine_chunks()
-        ids, child = np.asarray(group.column("id")), np.asarray(group.column("child"))
-        terms, ws = group.column("terms").combine_chunks(), group.column("ws").combine_chunks()
-        size = np.diff(np.asarray(terms.offsets))
-        code = np.asarray(terms.flatten().dictionary_encode().indices)
-        order = np.argsort(code, kind="stable")
-        code, row, w = code[order], np.repeat(np.arange(len(ids)), size)[order], np.asarray(ws.flatten())[order]
-        kid, par = np.flatnonzero(child), np.flatnonzero(~child)
-        dot = np.zeros((len(kid), len(par)))
-        for lo in range(0, int(code[-1]) + 1 if len(code) else 0, chunk):
-            part = slice(*np.searchsorted(code, [lo, lo + chunk]))
-            m = np.zeros((len(ids), chunk))
-            m[row[part], code[part] - lo] = w[part]
-            dot += m[kid] @ m[par].T
-        dot = np.where(ids[kid][:, None] > ids[par][None, :], np.round(dot, 12), 0.0)
-        top = np.round(dot, 9).argmax(1) if len(par) else np.zeros(len(kid), int)
-        found = np.flatnonzero(dot[np.arange(len(kid)), top] > 0) if len(par) else np.zeros(0, int)
-        return pa.table({"child": ids[kid[found]], "parent": ids[par[top[found]]] if len(found) else ids[:0], "lexical": dot[found, top[found]]})
-
-    made = children.unionByName(parents).groupBy("c", "p").applyInArrow(best, f"child {kind}, parent {kind}, lexical double")
+        kids, pars, dot = _dots(group, chunk)
+        top = np.round(dot, 9).argmax(1) if len(pars) else np.zeros(len(kids), int)
+        found = np.flatnonzero(dot[np.arange(len(kids)), top] > 0) if len(pars) else np.zeros(0, int)
+        return pa.table({"child": kids[found], "parent": pars[top[found]] if len(found) else pars[:0], "lexical": dot[found, top[found]]})
+
+    made = _weight_blocks(weights, block).applyInArrow(best, f"child {kind}, parent {kind}, lexical double")
     return made.groupBy("child").agg(F.max_by(F.struct("parent", "lexical"), F.struct(F.round("lexical", 9), -F.col("parent"))).alias("b")).select("child", "b.*")
 
 
-def pairs(rows: DataFrame, vector_col: str = "embedding") -> DataFrame:
-    """child, parent, families, cosine, gap of every row with every earlier one; for samples, where all methods read it."""
-    a, b = rows.select(*[F.col(c).alias(f"{c}_c") for c in rows.columns]), rows.select(*[F.col(c).alias(f"{c}_p") for c in rows.columns])
-    both = a.join(b, F.col("id_p") < F.col("id_c"))
+def lexical(weights: DataFrame, block: int = 512, chunk: int = 4096) -> DataFrame:
+    """child, parent, lexical: dot products of every document with every earlier one that shares a term, block by block."""
+    kind = dict(weights.dtypes)["id"]
+
+    def every(group: pa.Table) -> pa.Table:
+        kids, pars, dot = _dots(group, chunk)
+        k, p = np.nonzero(dot > 0)
+        return pa.table({"child": kids[k], "parent": pars[p], "lexical": dot[k, p]})
+
+    return _weight_blocks(weights, block).applyInArrow(every, f"child {kind}, parent {kind}, lexical double")
+
+
+def lexical_links(weights: DataFrame, links: DataFrame) -> DataFrame:
+    """child, parent, lexical of the given links that share a term; as many rows move as the links' children have terms."""
+    a, b = weights.select(F.col("id").alias("child"), "term", F.col("w").alias("wc")), weights.select(F.col("id").alias("parent"), "term", F.col("w").alias("wp"))
+    return links.select("child", "parent").join(a, "child").join(b, ["parent", "term"]).groupBy("child", "parent").agg(F.sum(F.col("wc") * F.col("wp")).alias("lexical"))
+
+
+def pairs(rows: DataFrame, vector_col: str = "embedding", block: int = 128) -> DataFrame:
+    """child, parent, families, cosine, gap of every row with every earlier one; for samples, where all methods read it.
+
+    As many rows as pairs, by definition; stretches of rows meet by an equi-join, so no side is sent whole to every task.
+    """
+    children, parents = _earlier_blocks(rows, ["id"], block, rows.columns)
+    a, b = (d.select("c", "p", *[F.col(c).alias(f"{c}_{side}") for c in rows.columns]) for d, side in ((children, "c"), (parents, "p")))
+    both = a.join(b, ["c", "p"]).filter(F.col("id_p") < F.col("id_c"))
     return both.select(F.col("id_c").alias("child"), F.col("id_p").alias("parent"), F.col("family_c"), F.col("family_p"), cosine(F.col(f"{vector_col}_c"), F.col(f"{vector_col}_p")).alias("cosine"), (F.col("id_c") - F.col("id_p")).alias("gap"))
 
 
@@ -134,9 +165,3 @@ def tfidf(docs: DataFrame, words: Column, id_col: str = "id") -> DataFrame:
     raw = tf.join(df, "term").withColumn("x", F.col("tf") * (F.ln((1.0 + n) / (1.0 + F.col("df"))) + 1.0))
     size = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
     return raw.join(size, "id").select("id", "term", (F.col("x") / F.col("size")).alias("w"))
-
-
-def lexical(weights: DataFrame) -> DataFrame:
-    """child, parent, lexical: dot products of every two documents that share a term, the parent the earlier id."""
-    a, b = weights.select(F.col("id").alias("child"), "term", F.col("w").alias("wc")), weights.select(F.col("id").alias("parent"), "term", F.col("w").alias("wp"))
-    return a.join(b, "term").filter("parent < child").groupBy("child", "parent").agg(F.sum(F.col("wc") * F.col("wp")).alias("lexical"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronolith.functions import text as T
 from chronolith.functions.vectors import divergence
-from chronolith.operators import graph, neighbors, phrases, stats
+from chronolith.operators import graph, neighbors, phrases, scoring, stats
 from chronolith.operators.prefix import running_before
 from chronolith.plans.registry import query
 from chronolith.sources.views import POSTS_SQL, VECTORS_SQL, posts, table, vectors
@@ -37,7 +37,14 @@ def earlier_neighbor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
-TEXT_WORDS = f"list_concat({WORDS}, list_transform(range(1, greatest(len({WORDS}), 1)), lambda i: ({WORDS})[i] || ' ' || ({WORDS})[i + 1]))"
+
+
+def lex_docs_sql(where: str = "") -> str:
+    """Words are found once a document, before the pairs of neighbours are made."""
+    return f"""lex_words as (select doc_id as id, {WORDS} as w from documents),
+  lex_docs as (select id, list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1])) as ws from lex_words {where})"""
+
+
 TFIDF_SQL = """n as (select count(*) as n from lex_docs),
   tf as (select id, term, count(*) as tf from (select id, unnest(ws) as term from lex_docs) group by all),
   df as (select term, count(*) as df from tf group by 1),
@@ -52,7 +59,7 @@ def _text_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "neighbor_methods",
-    f"""with {PAIR_SQL}, lex_docs as (select doc_id as id, {TEXT_WORDS} as ws from documents where doc_id in (select id from vectors)), {TFIDF_SQL},
+    f"""with {PAIR_SQL}, {lex_docs_sql('where id in (select id from vectors)')}, {TFIDF_SQL},
     p as (select pair.*, coalesce(lexical, 0) as lexical from pair left join lex using (child, parent)),
     q as (select *, case when max(cosine) over w > min(cosine) over w then (cosine - min(cosine) over w) / (max(cosine) over w - min(cosine) over w) else 0 end as scaled,
       row_number() over (partition by child order by round(lexical, 9) desc, parent) as place from p window w as (partition by child)),
@@ -197,7 +204,7 @@ def cytoscape_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cytoscape_rows(vectors(spark, sf_dir).select("id", "family"), _shown_edges(spark, sf_dir))
 
 
-@query("tfidf_parent", f"with lex_docs as (select doc_id as id, {TEXT_WORDS} as ws from documents), {TFIDF_SQL} select child, parent, round(lexical, 6) as lexical from lex qualify row_number() over (partition by child order by round(lexical, 9) desc, parent) = 1")
+@query("tfidf_parent", f"with {lex_docs_sql()}, {TFIDF_SQL} select child, parent, round(lexical, 6) as lexical from lex qualify row_number() over (partition by child order by round(lexical, 9) desc, parent) = 1")
 def tfidf_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = neighbors.lexical_parent(neighbors.tfidf(_text_words(spark, sf_dir), F.col("ws")))
     return best.select("child", "parent", F.round("lexical", 6).alias("lexical"))
@@ -332,7 +339,8 @@ def weighted_loss_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def argmin_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = table(spark, sf_dir, "events").groupBy("user_id").agg(F.avg("value").alias("m"))
     grid = means.withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(12).cast("long")))).withColumn("loss", F.abs(F.col("m") - 5.0 * F.col("d")))
-    best = grid.groupBy("user_id").agg(F.min_by("d", F.struct(F.round("loss", 9), "d")).alias("date_no"))
+    losses = scoring.curves(grid.withColumn("loss", F.round("loss", 9)), "user_id", date="d", out="loss")
+    best = losses.select((F.array_position("losses", F.array_min("losses")) - 1).alias("date_no"))  # the first of equal ones
     return best.groupBy("date_no").agg(F.count("*").alias("users"))
 
 
@@ -358,7 +366,5 @@ def js_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def multiple_choice_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").withColumn("ending", F.col("turn") % 4).withColumn("label", F.col("conv_id") % 4).withColumn("n", F.length("text"))
-    e = rows.groupBy("conv_id", "label", "ending").agg(F.sum("n").alias("total"), F.avg("n").alias("mean"))
-    b = e.groupBy("conv_id", "label").agg(F.min_by("ending", F.struct("total", "ending")).alias("by_sum"), F.min_by("ending", F.struct(F.round("mean", 9), "ending")).alias("by_mean"))
-    hit = lambda c: F.round(F.avg((F.col(c) == F.col("label")).cast("int")), 6)
-    return b.agg(F.count("*").alias("items"), hit("by_sum").alias("acc"), hit("by_mean").alias("acc_norm"))
+    e = rows.groupBy("conv_id", "label", "ending").agg(F.sum("n").alias("total"), F.round(F.avg("n"), 9).alias("mean"))
+    return scoring.accuracy(e.withColumnRenamed("conv_id", "ind")).select("items", F.round("acc", 6).alias("acc"), F.round("acc_norm", 6).alias("acc_norm"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.operators import manifest, neighbors, scoring
-from chronolith.plans.analysis import EDGE_SQL, TEXT_WORDS, TFIDF_SQL, _edges, _text_words
+from chronolith.plans.analysis import EDGE_SQL, TFIDF_SQL, _edges, _text_words, lex_docs_sql
 from chronolith.plans.registry import query
 from chronolith.sources.views import table, vectors
 
@@ -47,14 +47,15 @@ def edge_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "low_overlap_links",
-    f"""with {EDGE_SQL}, lex_docs as (select doc_id as id, {TEXT_WORDS} as ws from documents where doc_id in (select id from u)), {TFIDF_SQL}
-    select edge.child, edge.parent, round(coalesce(lexical, 0), 6) as lexical from edge left join lex on lex.child = edge.child and lex.parent = edge.parent
+    f"""with {EDGE_SQL}, {lex_docs_sql('where id in (select id from u)')}, {TFIDF_SQL},
+    own as (select edge.child, edge.parent, sum(a.w * b.w) as lexical from edge join wt a on a.id = edge.child join wt b on b.id = edge.parent and b.term = a.term group by all)
+    select edge.child, edge.parent, round(coalesce(lexical, 0), 6) as lexical from edge left join own on own.child = edge.child and own.parent = edge.parent
     where fc <> fp and round(coalesce(lexical, 0), 9) < 0.12""",
 )
 def low_overlap_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = vectors(spark, sf_dir).select("id", "family")
-    lex = neighbors.lexical(neighbors.tfidf(_text_words(spark, sf_dir).join(f.select("id"), "id", "left_semi"), F.col("ws")))
     e = _edges(spark, sf_dir).join(f.withColumnsRenamed({"id": "child", "family": "fc"}), "child").join(f.withColumnsRenamed({"id": "parent", "family": "fp"}), "parent").filter("fc <> fp")
+    lex = neighbors.lexical_links(neighbors.tfidf(_text_words(spark, sf_dir).join(f.select("id"), "id", "left_semi"), F.col("ws")), e)
     e = e.join(lex, ["child", "parent"], "left").withColumn("lexical", F.coalesce("lexical", F.lit(0.0))).filter(F.round("lexical", 9) < 0.12)
     return e.select("child", "parent", F.round("lexical", 6).alias("lexical"))
 

@@ -2,10 +2,11 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from chronolith.functions import timeutil, vectors
-from chronolith.operators import dedup, graph, neighbors, prefix, sample, scoring, stats
+from chronolith.operators import dedup, graph, manifest, neighbors, prefix, sample, scoring, stats
 from chronolith.operators.windows import pack_windows
 from chronolith.sources import logs
 from chronolith.streaming import tail
@@ -138,3 +139,32 @@ def test_stream_updates_over_batches(spark, tmp_path):
     rows = spark.readStream.schema("a int, b int").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     done = tail.run_updates(rows.groupBy("a").agg(F.sum("b").alias("b")), ["a"], "sums")
     assert {tuple(r) for r in done.collect()} == {(1, 13), (2, 10), (3, 10)}
+
+
+def test_lexical_products_in_blocks(spark):
+    rng = random.Random(4)
+    w = {(k, t): rng.random() for k in range(23) for t in "abcdefgh" if t == "a" or rng.random() < 0.3}
+    del w[7, "a"]
+    df = spark.createDataFrame([(k, t, x) for (k, t), x in w.items()], "id long, term string, w double")
+    want = {(c, p): sum(w[c, t] * w[p, t] for t in "abcdefgh" if (c, t) in w and (p, t) in w) for c in range(23) for p in range(c)}
+    want = {k: v for k, v in want.items() if v > 0}
+    got = {(r["child"], r["parent"]): r["lexical"] for r in neighbors.lexical(df, block=5, chunk=3).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+    links = spark.createDataFrame([(5, 2), (9, 0), (7, 3)], "child long, parent long")
+    some = {(r["child"], r["parent"]): r["lexical"] for r in neighbors.lexical_links(df, links).collect()}
+    assert some.keys() == {(5, 2), (9, 0), (7, 3)} & want.keys() and all(abs(v - want[k]) < 1e-9 for k, v in some.items())
+    rows = spark.range(11).select("id", F.lit(0).alias("family"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding"))
+    assert sorted((r["child"], r["parent"]) for r in neighbors.pairs(rows, block=4).collect()) == [(c, p) for c in range(11) for p in range(c)]
+
+
+def test_incomplete_partitions_and_the_locked_split(spark):
+    shards = spark.createDataFrame([("train", 1), ("test", 2)], "split string, no int")
+    assert [r["no"] for r in manifest.split_rows(shards, "train").collect()] == [1]
+    assert [r["no"] for r in manifest.split_rows(shards, "test", allow_test=True).collect()] == [2]
+    with pytest.raises(PermissionError):
+        manifest.split_rows(shards, "test")
+    reasons = spark.createDataFrame([(1, None), (2, "no shards")], "part int, reason string")
+    manifest.check_complete(reasons.filter("part = 1"))
+    manifest.check_complete(reasons, require=False)
+    with pytest.raises(ValueError, match="no shards"):
+        manifest.check_complete(reasons)

@@ -36,6 +36,11 @@ def test_no_row_at_a_time_python(spark):
             assert "BatchEvalPython" not in p and "CartesianProduct" not in p, name
 
 
+def test_pairs_meet_by_key(spark):
+    for name in ("neighbor_methods", "low_overlap_links"):
+        assert "NestedLoop" not in plan(spark, name) and "CartesianProduct" not in plan(spark, name), name
+
+
 def test_no_window_without_a_key_over_nodes_and_no_nested_loop_for_lexical_parents(spark):
     assert "BroadcastNestedLoopJoin" not in plan(spark, "tfidf_parent") and "SortMergeJoin [parent" not in plan(spark, "tfidf_parent")
     p = plan(spark, "dedup_canonical")
