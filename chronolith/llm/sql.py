@@ -84,4 +84,33 @@ select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
 from d window w as (partition by text)
 """
 
-ORACLES = {"op1_url_filter": OP1, "op3_chat_format": OP3, "op7_mixing": OP7, "op10_exact_dedup": OP10}
+OP13 = r"""
+with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text from documents),
+w as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words, min(doc_id) over (partition by text) as first_id from d),
+l as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id),
+m as (
+  select part, good, toxic, (len(words) < 200)::int + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::int
+    + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text))::int + 8 * regexp_matches(text, '[#$%&*|]')::int
+    + 16 * coalesce(w.doc_id > first_id, false)::int as mask
+  from w left join l on l.doc_id = w.doc_id),
+n as (select part, mask, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from m group by part, mask),
+f(letter) as (values ('A'), ('B'), ('C'), ('D'), ('E')),
+o as (
+  select a.letter || b.letter || c.letter || d.letter || e.letter as filter_order from f a, f b, f c, f d, f e
+  where len(list_distinct([a.letter, b.letter, c.letter, d.letter, e.letter])) = 5),
+s as (
+  select filter_order, step, substr(filter_order, step::int, 1) as letter, (1 << (ascii(substr(filter_order, step::int, 1)) - 65)) as own,
+    list_sum([0] || [1 << (ascii(x) - 65) for x in string_split(substr(filter_order, 1, step::int - 1), '') if x <> ''])::int as before
+  from o, range(1, 6) r(step)),
+c as (
+  select part, filter_order, step, letter, sum(n) filter (mask & (before | own) = 0) as kept, sum(n) filter (mask & own > 0 and mask & before = 0) as removed,
+    sum(n) filter (mask & own > 0 and mask & before > 0) as redundant, sum(n) filter (mask = own) as unique_fails,
+    sum(good) filter (mask & own > 0 and mask & before = 0) as good_lost, sum(toxic) filter (mask & own > 0 and mask & before = 0) as toxic_lost
+  from n, s group by part, filter_order, step, letter)
+select part, filter_order, step::int as step, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed, coalesce(redundant, 0)::bigint as redundant,
+  coalesce(unique_fails, 0)::bigint as unique_fails, coalesce(good_lost, 0)::bigint as good_lost, coalesce(toxic_lost, 0)::bigint as toxic_lost,
+  coalesce(sum(removed) over (partition by part, letter), 0)::bigint as shapley
+from c
+"""
+
+ORACLES = {"op1_url_filter": OP1, "op3_chat_format": OP3, "op7_mixing": OP7, "op10_exact_dedup": OP10, "op13_filter_audit": OP13}
