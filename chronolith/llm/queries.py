@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm import chat_format, exact_dedup, filter_audit, imatch, langid, mixing, ngram_lm, packing, setsketch, toxicity, url_filter
+from chronolith.llm import chat_format, decontaminate, exact_dedup, filter_audit, imatch, langid, mixing, ngram_lm, packing, setsketch, toxicity, url_filter
 from chronolith.llm.common import crc_mod, table
 
 #: Fixed rules of the url query.
@@ -85,6 +85,13 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    )
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -100,5 +107,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_imatch": op8_imatch,
     "op9_packing": op9_packing,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_decontamination": op12_decontamination,
     "op13_filter_audit": op13_filter_audit,
 }

@@ -113,4 +113,27 @@ select part, filter_order, step::int as step, coalesce(kept, 0)::bigint as kept,
 from c
 """
 
-ORACLES = {"op1_url_filter": OP1, "op3_chat_format": OP3, "op7_mixing": OP7, "op10_exact_dedup": OP10, "op13_filter_audit": OP13}
+OP12 = r"""
+with d as (
+  select row_number() over () as rn, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+  from documents),
+b as (
+  select coalesce(item_id::varchar, '') as item,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+  from benchmark),
+w as (
+  select distinct item, least(len(words), 10) as k, array_to_string(words[i : i + 9], ' ') as win
+  from (select *, unnest(range(1, greatest(len(words) - 9, 1) + 1)) as i from b where len(words) > 0)),
+seen as (
+  select rn, i as first, k, array_to_string(words[i : i + k - 1], ' ') as win
+  from (select rn, words, k, unnest(range(1, len(words) - k + 2)) as i from d, (select distinct k from w))),
+hits as (select rn, first, seen.k, item from seen join w on seen.k = w.k and seen.win = w.win),
+covered as (select rn, count(distinct word) as n_hit from (select rn, unnest(range(first, first + k)) as word from hits) group by rn),
+found as (select rn, count(distinct item) as n_items, array_to_string(list_sort(list_distinct(list(item))), ',') as ids from hits group by rn)
+select doc_id, len(words)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join covered using (rn) left join found using (rn)
+"""
+
+ORACLES = {"op1_url_filter": OP1, "op3_chat_format": OP3, "op7_mixing": OP7, "op10_exact_dedup": OP10, "op12_decontamination": OP12, "op13_filter_audit": OP13}
