@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm import chat_format, decontaminate, exact_dedup, filter_audit, imatch, langid, mixing, ngram_lm, packing, setsketch, toxicity, url_filter
+from chronolith.llm import alignment, chat_format, decontaminate, exact_dedup, filter_audit, imatch, langid, mixing, ngram_lm, packing, setsketch, toxicity, url_filter
 from chronolith.llm.common import crc_mod, table
 
 #: Fixed rules of the url query.
@@ -85,6 +85,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align(table(spark, sf_dir, "documents"), (*public_tokenizer(), public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -107,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_imatch": op8_imatch,
     "op9_packing": op9_packing,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_alignment": op11_alignment,
     "op12_decontamination": op12_decontamination,
     "op13_filter_audit": op13_filter_audit,
 }
