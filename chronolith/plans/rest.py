@@ -22,17 +22,20 @@ WINDOWS_SQL = f"""{POSTS_SQL}, {OFFSETS.replace(' as at', ' as pos')},
   every_ as (select *, place // 1024 as w from flat union all select *, place // 1024 - 1 from flat where place % 1024 = 0 and place > 0)"""
 
 
-@query(
-    "window_tokens",
-    f"""with {WINDOWS_SQL} select every_.subreddit, w::bigint as window_no, count(*)::int as n, md5(string_agg(token::varchar, ' ' order by place)) as tokens_md5,
+SHOWN_WINDOWS = f"""with {WINDOWS_SQL} select every_.subreddit, w::bigint as window_no, count(*)::int as n, md5(string_agg(token::varchar, ' ' order by place)) as tokens_md5,
       round_even(sum(created_utc) filter (place < 1024 * (w + 1)) / 1024, 0)::bigint as created_utc
-    from every_ join last using (subreddit) where w < windows group by all""",
-)
-def window_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = tokens.token_windows(posts(spark, sf_dir).select("id", "subreddit", "created_utc", "text"), ["subreddit"], ["created_utc", "id"])
+    from every_ join last using (subreddit) where w < windows group by all"""
+
+
+def shown_windows(made: DataFrame) -> DataFrame:
     return made.select("subreddit", "window_no", F.size("tokens").alias("n"), F.md5(F.array_join(F.col("tokens").cast("array<string>"), " ").cast("binary")).alias("tokens_md5"), "created_utc")
 
 
+@query("window_tokens", SHOWN_WINDOWS)
+def window_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown_windows(tokens.token_windows(posts(spark, sf_dir).select("id", "subreddit", "created_utc", "text"), ["subreddit"], ["created_utc", "id"]))
+
+
 @query(
     "token_ends",
     f"""with t as (select doc_id, {IDS} as ids from documents) select doc_id, array_to_string(ids[greatest(len(ids) - 63, 1):], ' ') as tail, array_to_string(ids[1:128], ' ') as head from t""",

@@ -6,8 +6,12 @@ result into a table there; a query returns that table.
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from chronolith.functions import text as T
 from chronolith.shared import fresh_path
@@ -21,22 +25,53 @@ def source(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def run_updates(df: DataFrame, keys: list[str], what: str) -> DataFrame:
-    """The final result of an aggregation by `keys`: each batch writes the keys that it changed, of which the latest stand."""
-    spark = df.sparkSession
-    out = fresh_path(spark, what)
+@contextlib.contextmanager
+def session_conf(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Queries started inside have these settings."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def keep_batches(df: DataFrame, out: str, mode: str, made: Callable[[DataFrame, int], DataFrame] | None = None) -> DataStreamWriter:
+    """A writer that puts each batch, or what `made` makes of it, into a folder of its own below `out`.
+
+    A batch that runs twice overwrites its own folder, so nothing is there twice. Progress is kept beside the table.
+    """
 
     def keep(batch: DataFrame, no: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={no}")  # a batch that runs twice overwrites its own folder
+        (made(batch, no) if made else batch).write.mode("overwrite").parquet(f"{out}/batch={no}")
+
+    return df.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{out}-progress")
+
 
-    q = df.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{out}-progress").trigger(availableNow=True).start()
+def drain(df: DataFrame, out: str, mode: str, made: Callable[[DataFrame, int], DataFrame] | None = None) -> bool:
+    """Runs the stream over what is there; False if there was nothing, now or before."""
+    q = keep_batches(df, out, mode, made).trigger(availableNow=True).start()
     q.awaitTermination()
-    if q.lastProgress is None and not q.recentProgress:
-        return spark.createDataFrame([], df.schema)
-    now = F.max_by(F.struct(*[c for c in df.columns if c not in keys]), "batch").alias("now")
+    return q.lastProgress is not None or bool(q.recentProgress)
+
+
+def current(spark: SparkSession, out: str, keys: list[str], columns: list[str]) -> DataFrame:
+    """Of every key what the latest batch says that changed it."""
+    now = F.max_by(F.struct(*[c for c in columns if c not in keys]), "batch").alias("now")
     return spark.read.parquet(out).groupBy(*keys).agg(now).select(*keys, "now.*")
 
 
+def run_updates(df: DataFrame, keys: list[str], what: str) -> DataFrame:
+    """The final result of an aggregation by `keys`: each batch writes the keys that it changed, of which the latest stand."""
+    spark = df.sparkSession
+    out = fresh_path(spark, what)
+    if not drain(df, out, "update"):
+        return spark.createDataFrame([], df.schema)
+    return current(spark, out, keys, df.columns)
+
+
 def log_tail(spark: SparkSession, path: str) -> DataFrame:
     """The latest value of every step of a log that is read as it grows; a step that comes again replaces the old one."""
     return run_updates(logs.latest(logs.parse(logs.event_lines(source(spark, path)))), ["step", "training"], "tail")
