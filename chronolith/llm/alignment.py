@@ -9,7 +9,9 @@ are scored against it. Each slice's scores then meet its documents again.
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import itertools
 import uuid
 from collections.abc import Iterator
 
@@ -19,33 +21,38 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import distinct_segments, slices, string_buffers
-from chronolith.llm.packing import _ASCII_SPACE, _MAYBE_SPACE_LEAD, Encoder
+from chronolith.llm.common import binary_buffers, distinct_segments, slices, string_buffers
+from chronolith.llm.packing import _ASCII_SPACE, _MAYBE_SPACE_LEAD, Ragged
 from chronolith.shared import stored
 
 #: Text bytes of a slice; its distinct pairs are one row for each stripe.
 SLICE_BYTES = 4 << 20
-#: Chunks that a worker process remembers, and the bytes that one of them may have.
-CACHE, LONGEST = 250_000, 64
+#: Chunks that are encoded as one text, where both tokenizers cut between them; digits of the largest id.
+BLOCK, DIGITS = 4096, 5
 #: Stripes: at least so many, one for this many bytes of text, and at most about one for each id of the second tokenizer.
 LEAST_STRIPES, STRIPE_BYTES, MOST_STRIPES = 256, 256 << 20, 32_000
 
 
-class PairEncoder(Encoder):
+class PairEncoder:
     """Both tokenizers' ids of chunks that begin with the blank which the second one puts before a text."""
 
-    def __init__(self, json_path: str, rank_path: str, pattern: str, piece_path: str):
+    def __init__(self, rank_path: str, pattern: str, piece_path: str):
         import sentencepiece
+        import tiktoken
 
-        super().__init__(json_path, rank_path, pattern, special=b"\xff")  # never in UTF-8: strings of special tokens are plain text
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(rank_path, "rb"))}
+        self.ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.width_a = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.width_a[list(ranks.values())] = [len(x) for x in ranks]
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         names = [self.pieces.id_to_piece(i) for i in range(self.pieces.get_piece_size())]
         if any("▁" in name.lstrip("▁") for name in names):
             raise ValueError("a piece goes on after a blank: chunks of this vocabulary cannot be encoded by themselves")
-        self.piece_bytes = [bytes([int(x[3:5], 16)]) if self.pieces.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)]
-        self.piece_width = np.array([len(x) for x in self.piece_bytes], np.int64)
-        self.place: dict[bytes, int] = {}
-        self.known: list[tuple] = []
+        self.bytes_b = [bytes([int(x[3:5], 16)]) if self.pieces.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)]
+        self.width_b = np.array([len(x) for x in self.bytes_b], np.int64)
+        most = max(len(self.width_a), len(self.width_b))
+        self.digits = np.array([f"{i:<{DIGITS}d}" for i in range(most)], f"S{DIGITS}").view(np.uint8).reshape(most, DIGITS)
+        self.n_digits = np.array([len(str(i)) for i in range(most)])
 
     def chunks(self, col: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """Distinct chunks, the place of every chunk among them, and the n+1 offsets of rows; empty and null rows have none."""
@@ -56,7 +63,7 @@ class PairEncoder(Encoder):
         cut = np.zeros(len(raw), bool)
         if len(raw) > 2:
             space, lead = _ASCII_SPACE[raw], _MAYBE_SPACE_LEAD[raw]
-            before = np.zeros(len(raw), bool)
+            before = np.zeros(len(raw), bool)  # the character before may be white space beyond ASCII
             before[2:] |= lead[:-2]
             before[3:] |= lead[:-3] & (raw[:-3] >= 0xE1)
             before &= np.concatenate([[False], raw[:-1] >= 0x80])
@@ -66,54 +73,79 @@ class PairEncoder(Encoder):
         values, place = distinct_segments(raw, starts, np.append(starts[1:], len(raw)))
         return values, place, np.searchsorted(starts, begins)
 
-    def align(self, chunks: list[bytes]) -> list[tuple]:
-        """(n_a, n_b, pairs int64[n], text) of each chunk, a pair being a * 2**32 + b; None where B's bytes differ from the chunk."""
-        if not chunks:
-            return []
-        a = self._encode(chunks)
-        b = [np.array(x, np.int64) for x in self.pieces.encode([c[1:].decode("utf-8") for c in chunks], num_threads=1)]
-        # B adds no blank before an empty text, and keeps a blank that stands alone
-        valid = np.array([b"".join([self.piece_bytes[i] for i in y.tolist()]) == c for y, c in zip(b, chunks, strict=True)])
-        out: list[tuple] = [None] * len(chunks)
-        which = np.flatnonzero(valid)
-        if not len(which):
-            return out
-        ids_a, ids_b = np.concatenate([a[k] for k in which]).astype(np.int64), np.concatenate([b[k] for k in which])
-        ends_a, ends_b = np.cumsum(self.width[ids_a]), np.cumsum(self.piece_width[ids_b])
-        ends = np.union1d(ends_a, ends_b)
-        in_a, in_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
-        pairs = ids_a[in_a] << 32 | ids_b[in_b]
-        sizes = np.cumsum([len(chunks[k]) for k in which])
-        cuts = np.searchsorted(ends, sizes) + 1
-        both = np.intersect1d(ends_a, ends_b)
-        to_a, to_b = np.searchsorted(ends_a, both) + 1, np.searchsorted(ends_b, both) + 1
-        text_a, text_b = [str(x) for x in ids_a.tolist()], [str(x) for x in ids_b.tolist()]
-        groups, ga, gb = [], 0, 0
-        for ea, eb in zip(to_a.tolist(), to_b.tolist(), strict=True):
-            groups.append(f"{text_a[ga]}|{text_b[gb]}" if ea == ga + 1 and eb == gb + 1 else f"{','.join(text_a[ga:ea])}|{','.join(text_b[gb:eb])}")
-            ga, gb = ea, eb
-        group_cuts = np.searchsorted(both, sizes) + 1
-        g = p = 0
-        for k, gc, pc in zip(which.tolist(), group_cuts.tolist(), cuts.tolist(), strict=True):
-            out[k] = len(a[k]), len(b[k]), pairs[p:pc], ";".join(groups[g:gc]).encode(), gc - g
-            g, p = gc, pc
-        return out
-
-    def lookup(self, values: pa.Array) -> list[tuple]:
-        """align() of each distinct chunk; what was seen before by this process is not encoded again."""
-        wanted = values.to_pylist()
-        place, known = self.place, self.known
-        new = [c for c in wanted if c not in place]
-        fresh = dict(zip(new, self.align(new), strict=True))
-        out = [fresh[c] if c in fresh else known[place[c]] for c in wanted]
-        if len(known) + len(new) > CACHE:
-            place.clear()
-            known.clear()
-        for c, x in fresh.items():
-            if len(c) <= LONGEST and len(known) < CACHE:
-                place[c] = len(known)
-                known.append(x if x is None else (x[0], x[1], x[2].copy(), x[3], x[4]))
-        return out
+    def _encode(self, chunks: list[bytes], together: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of both tokenizers for all chunks in a row; together: in blocks, which is the same where both cut between them."""
+        texts = ["".join(chunks[k : k + BLOCK]) for k in range(0, len(chunks), BLOCK)] if together else chunks
+        a = [self.ranks.encode_to_numpy(x, disallowed_special=()) for x in texts]
+        b = self.pieces.encode([x[1:] for x in texts], num_threads=1)
+        return np.concatenate(a).astype(np.int64), np.array(list(itertools.chain.from_iterable(b)), np.int64)
+
+    def align(self, values: pa.Array) -> Chunks:
+        """Tokens, groups, pairs and group texts of distinct chunks."""
+        raw, offsets = binary_buffers(values)
+        n = len(values)
+        texts = values.cast(pa.large_string()).to_pylist()
+        first, last, size = raw[offsets[:-1] + 1], raw[offsets[1:] - 1], np.diff(offsets)
+        back = lambda k: np.where(size >= k, raw[np.maximum(offsets[1:] - k, 0)], 0)
+        odd = _ASCII_SPACE[first] | _MAYBE_SPACE_LEAD[first] | _ASCII_SPACE[last] | ((last >= 0x80) & (_MAYBE_SPACE_LEAD[back(2)] | _MAYBE_SPACE_LEAD[back(3)]))
+        order = np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])
+        even = n - int(odd.sum())
+        own = [texts[k] for k in order.tolist()]
+        parts = [self._encode(x, together) for x, together in ((own[:even], True), (own[even:], False)) if x]
+        a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+        good = np.ones(n, bool)
+        if b"".join([self.bytes_b[i] for i in b.tolist()]) != "".join(own).encode():  # some chunks are not given back
+            each = self.pieces.encode([x[1:] for x in own], num_threads=1)
+            good = np.array([b"".join([self.bytes_b[i] for i in y]) == x.encode() for x, y in zip(own, each, strict=True)])
+            own = [x for x, ok in zip(own, good.tolist(), strict=True) if ok]
+            a, b = self._encode(own, False) if own else (a[:0], b[:0])
+        bounds = np.cumsum(size[order][good])  # of the good chunks, in bytes
+        ends_a, ends_b = np.cumsum(self.width_a[a]), np.cumsum(self.width_b[b])
+        stops = np.zeros((ends_a[-1] if len(ends_a) else 0) + 1, np.uint8)  # by byte: 1 where a token of A ends, 2 where one of B does
+        stops[ends_a] = 1
+        stops[ends_b] |= 2
+        ends, both = np.flatnonzero(stops), np.flatnonzero(stops == 3)
+        in_a, in_b = stops[ends] & 1, stops[ends] >> 1
+        pairs = a[np.cumsum(in_a, dtype=np.int64) - in_a] << 32 | b[np.cumsum(in_b, dtype=np.int64) - in_b]
+        text, text_ends = self._group_text(a, b, ends_a, ends_b, both)
+        upto = [np.searchsorted(x, bounds) + 1 for x in (ends_a, ends_b, both, ends)]
+        made = Chunks(n)
+        for column, to in zip(made.counts.T, upto, strict=True):
+            column[order[good]] = np.diff(to, prepend=0)
+        made.good[order] = good
+        to = text_ends[upto[2] - 1].tolist()
+        blob = text.tobytes()
+        for k, s, e in zip(order[good].tolist(), [0, *to[:-1]], to, strict=True):
+            made.texts[k] = blob[s:e]
+        made.pairs = Ragged(pairs, np.zeros(n, np.int64), np.zeros(n, np.int64))
+        made.pairs.start[order[good]], made.pairs.size[order[good]] = upto[3] - made.counts[order[good], 3], made.counts[order[good], 3]
+        return made
+
+    def _group_text(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The text "a1,a2|b1;..." of all groups, each with ';' at its end, and the places of these ends."""
+        group_a, group_b = np.searchsorted(both, ends_a), np.searchsorted(both, ends_b)
+        to_a, to_b = np.searchsorted(ends_a, both) + 1, np.searchsorted(ends_b, both) + 1  # tokens up to a group's end
+        at_a = np.arange(len(a)) + np.concatenate([[0], to_b])[group_a]
+        at_b = np.arange(len(b)) + to_a[group_b]
+        ids, mark = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), 0x2C, np.uint8)
+        ids[at_a], ids[at_b] = a, b
+        mark[at_a[to_a - 1]], mark[at_b[to_b - 1]] = 0x7C, 0x3B
+        many = self.n_digits[ids]
+        stop = np.cumsum(many + 1)
+        out = np.empty(stop[-1] if len(stop) else 0, np.uint8)
+        out[stop - 1] = mark
+        for k in range(DIGITS):
+            wide = many > k
+            out[(stop - 1 - many)[wide] + k] = self.digits[ids[wide], k]
+        return out, stop[at_b[to_b - 1]]
+
+
+class Chunks:
+    """counts: tokens of A and B, groups, links; texts of the groups; pairs of ids, a * 2**32 + b; good: B gives the bytes back."""
+
+    def __init__(self, n: int):
+        self.counts, self.good, self.texts = np.zeros((n, 4), np.int64), np.zeros(n, bool), [b""] * n
+        self.pairs = Ragged(np.zeros(0, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64))
 
 
 _encoders: dict[tuple, PairEncoder] = {}
@@ -144,30 +176,21 @@ def _sliced(paths: tuple[str, ...], stripes: int):
         for piece in slices(batches, "text", SLICE_BYTES):
             enc = encoder(*paths)
             values, place, rows = enc.chunks(piece.column("text"))
-            found = enc.lookup(values)
-            none = (0, 0, np.zeros(0, np.int64), b"", 0)
-            bad = np.array([x is None for x in found], bool)
-            found = [none if x is None else x for x in found]
+            found = enc.align(values) if len(values) else Chunks(0)
             n = piece.num_rows
-            counts = np.array([(x[0], x[1], x[4], len(x[2])) for x in found], np.int64).reshape(-1, 4)
-            valid, sums, texts, sha = np.ones(n, bool), np.zeros((n, 4), np.int64), [x[3] for x in found], []
-            doc_chunks = []
+            sums, sha, doc_chunks = np.zeros((n, 4), np.int64), [""] * n, [place[:0]] * n
             for k in range(n):
                 own = place[rows[k] : rows[k + 1]]
-                valid[k] = len(own) and not bad[own].any()
-                doc_chunks.append(own if valid[k] else own[:0])
-                if valid[k]:
-                    sums[k] = counts[own].sum(axis=0)
-                    sha.append(hashlib.sha256(b";".join([texts[c] for c in own.tolist()])).hexdigest())
-                else:
-                    sha.append("")
-            times = np.bincount(np.concatenate(doc_chunks), minlength=len(found)) if n else np.zeros(len(found), np.int64)
-            all_pairs = np.concatenate([x[2] for x in found]) if found else none[2]
-            pairs, local = np.unique(all_pairs, return_inverse=True)
+                if len(own) and found.good[own].all():
+                    doc_chunks[k], sums[k] = own, found.counts[own].sum(axis=0)
+                    sha[k] = hashlib.sha256(b"".join([found.texts[c] for c in own.tolist()])[:-1]).hexdigest()
+            times = np.bincount(np.concatenate(doc_chunks), minlength=len(values))
+            coded = pa.array(found.pairs.values()).dictionary_encode()
+            pairs, local = np.asarray(coded.dictionary), np.asarray(coded.indices)
             links = np.zeros(len(pairs), np.int64)
-            np.add.at(links, local, np.repeat(times, counts[:, 3]))
+            np.add.at(links, local, np.repeat(times, found.pairs.size))
             key = uuid.uuid4().hex
-            docs = [piece.column("id").to_pylist(), *sums.T, sha, np.concatenate(doc_chunks) if n else place, _ends(doc_chunks), local, np.cumsum(counts[:, 3])]
+            docs = [piece.column("id").to_pylist(), *sums.T, sha, np.concatenate(doc_chunks), _ends(doc_chunks), local, np.cumsum(found.pairs.size)]
             docs = [pa.array([x], t) for x, t in zip(docs, doc_kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([-1], pa.int32()), *(pa.nulls(1, t) for t in kinds), *docs], names=names)
             a, b = pairs >> 32, pairs & 0xFFFFFFFF
@@ -218,10 +241,10 @@ def _score_docs(rows: pa.Table) -> pa.Table:
     return pa.table([*columns, pa.array(by_doc[:, 0]), pa.array(by_doc[:, 1])], names=["id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_best", "count_sum"])
 
 
-def align(docs: DataFrame, paths: tuple[str, str, str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def align(docs: DataFrame, paths: tuple[str, str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_a, n_b, n_groups, n_links, groups_sha256, n_best, count_sum.
 
-    paths: the first tokenizer's JSON, ranks and pre-splitting pattern, and the second one's piece model. Tokenizer A reads a
+    paths: the first tokenizer's ranks and pre-splitting pattern, and the second one's piece model. Tokenizer A reads a
     blank and the text, B the text, before which it puts a blank itself; strings of special tokens are plain text. Offsets at
     which tokens of both end cut them into groups; a link is a pair of an A and a B token whose bytes overlap; a pair of ids
     counts as often as it is linked in all of docs. n_best: links whose count is the highest of their B id, ties included.

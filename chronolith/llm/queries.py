@@ -88,7 +88,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return alignment.align(table(spark, sf_dir, "documents"), (*public_tokenizer(), public_tokenizers.path("piece_bpe_32k.model")))
+    return alignment.align(table(spark, sf_dir, "documents"), (*public_tokenizer()[1:], public_tokenizers.path("piece_bpe_32k.model")))
 
 
 def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

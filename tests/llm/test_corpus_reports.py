@@ -38,7 +38,7 @@ def tokenizers():
     path = public_tokenizers.path("piece_bpe_32k.model")
     a = Tokenizer.from_file(public_tokenizer()[0])
     a.encode_special_tokens = True
-    return a, sentencepiece.SentencePieceProcessor(model_file=path), (*public_tokenizer(), path)
+    return a, sentencepiece.SentencePieceProcessor(model_file=path), (*public_tokenizer()[1:], path)
 
 
 def plain_alignment(tokenizers, texts):
