@@ -26,7 +26,7 @@ from chronolith.llm.packing import _ASCII_SPACE, _MAYBE_SPACE_LEAD, Ragged
 from chronolith.shared import stored
 
 #: Text bytes of a slice; its distinct pairs are one row for each stripe.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Chunks that are encoded as one text, where both tokenizers cut between them; digits of the largest id.
 BLOCK, DIGITS = 4096, 5
 #: Stripes: at least so many, one for this many bytes of text, and at most about one for each id of the second tokenizer.
@@ -159,17 +159,23 @@ def encoder(*paths: str) -> PairEncoder:
 
 
 SLICE_COLUMNS = "slice string, stripe int, a array<int>, b array<int>, links array<bigint>, place array<int>"
-DOC_COLUMNS = "id array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, n_links array<bigint>, groups_sha256 array<string>, doc_chunks array<int>, doc_ends array<bigint>, chunk_pairs array<int>, chunk_ends array<bigint>"
+DOC_COLUMNS = "id array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, n_links array<bigint>, groups_sha256 array<string>, doc_chunks binary, doc_ends binary, chunk_pairs binary, chunk_ends binary"
 
 
-def _ends(parts: list[np.ndarray]) -> np.ndarray:
-    return np.cumsum([len(x) for x in parts], dtype=np.int64)
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers that are not negative, in as few bytes each as the largest needs; the first byte says how many."""
+    size = next(k for k in (1, 2, 4, 8) if k == 8 or not len(values) or int(values.max()) < 1 << 8 * k)
+    return bytes([size]) + values.astype(f"<u{size}").tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
 
 
 def _sliced(paths: tuple[str, ...], stripes: int):
     """Per slice one row with its documents and chunks, and one for each stripe with the pairs that occur in it."""
     kinds = [pa.list_(t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.int32())]
-    doc_kinds = [pa.list_(t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64())]
+    doc_kinds = [pa.list_(t) for t in (*[pa.int64()] * 5, pa.string())] + [pa.binary()] * 4
     names = [x.split()[0] for x in f"{SLICE_COLUMNS}, {DOC_COLUMNS}".split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +196,7 @@ def _sliced(paths: tuple[str, ...], stripes: int):
             links = np.zeros(len(pairs), np.int64)
             np.add.at(links, local, np.repeat(times, found.pairs.size))
             key = uuid.uuid4().hex
-            docs = [piece.column("id").to_pylist(), *sums.T, sha, np.concatenate(doc_chunks), _ends(doc_chunks), local, np.cumsum(found.pairs.size)]
+            docs = [piece.column("id").to_pylist(), *sums.T, sha, *map(_packed, (np.concatenate(doc_chunks), np.cumsum([len(x) for x in doc_chunks]), local, np.cumsum(found.pairs.size)))]
             docs = [pa.array([x], t) for x, t in zip(docs, doc_kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([-1], pa.int32()), *(pa.nulls(1, t) for t in kinds), *docs], names=names)
             a, b = pairs >> 32, pairs & 0xFFFFFFFF
@@ -226,7 +232,7 @@ def _count_stripe(rows: pa.Table) -> pa.Table:
 def _score_docs(rows: pa.Table) -> pa.Table:
     """Documents of one slice with their links' scores: sums over chunks of sums over pairs."""
     own, said = rows.filter(pc.is_valid(rows.column("id"))), rows.filter(pc.is_valid(rows.column("place")))
-    pair_of = _flat(own, "chunk_pairs")
+    pair_of, chunk_ends, doc_chunks, doc_ends = (_unpacked(own.column(c)[0].as_py()) for c in ("chunk_pairs", "chunk_ends", "doc_chunks", "doc_ends"))
     score = np.zeros((int(pair_of.max()) + 1 if len(pair_of) else 0, 2), np.int64)
     if said.num_rows:
         place = _flat(said, "place")
@@ -234,9 +240,9 @@ def _score_docs(rows: pa.Table) -> pa.Table:
 
     def sums(values: np.ndarray, to: np.ndarray) -> np.ndarray:
         total = np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(values, axis=0)])
-        return np.diff(total[np.concatenate([[0], to]).astype(np.int64)], axis=0)
+        return np.diff(total[np.concatenate([[0], to])], axis=0)
 
-    by_doc = sums(sums(score[pair_of], _flat(own, "chunk_ends"))[_flat(own, "doc_chunks")], _flat(own, "doc_ends"))
+    by_doc = sums(sums(score[pair_of], chunk_ends)[doc_chunks], doc_ends)
     columns = [pa.concat_arrays([x.flatten() for x in own.column(c).chunks]) for c in ("id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")]
     return pa.table([*columns, pa.array(by_doc[:, 0]), pa.array(by_doc[:, 1])], names=["id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_best", "count_sum"])
 
