@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import difflib
 import html
 import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import StringType
 
 from chronolith.functions import patterns as P
 
@@ -23,16 +22,6 @@ def unescape_nfc(col: pa.Array) -> pa.Array:
     return pa.array([None if t is None else unicodedata.normalize("NFC", html.unescape(html.unescape(t))) for t in col.to_pylist()], pa.string())
 
 
-@F.arrow_udf(DoubleType())
-def similarity_ratio(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Ratcliff-Obershelp ratio of two texts."""
-    out = []
-    for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
-        m = difflib.SequenceMatcher(None, x or "", y or "", autojunk=False)
-        out.append(m.ratio() if m.real_quick_ratio() >= 0.9 and m.quick_ratio() >= 0.9 else 0.0)
-    return pa.array(out, pa.float64())
-
-
 def drop_images(c: Column) -> Column:
     """Alt texts stay, images, their URLs and placeholders go."""
     c = F.regexp_replace(c, r"(?i)!\[(?:img|image|gif)?\]\([^)]*\)", "")
@@ -96,8 +85,8 @@ def url_dominated(c: Column) -> Column:
 
 
 def mark_share(c: Column) -> Column:
-    """Share of combining marks among the characters."""
-    return F.length(F.regexp_replace(c, r"[^\p{Mn}]", "")) / F.length(c)
+    """Share of combining marks among the characters; 0 for an empty text."""
+    return F.coalesce(F.try_divide(F.length(F.regexp_replace(c, r"[^\p{Mn}]", "")), F.length(c)), F.lit(0.0))
 
 
 def top_word_share(c: Column) -> Column:

@@ -15,18 +15,26 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    """0 where one of the vectors is zero."""
+    size = norm(a) * norm(b)
+    return F.when(size == 0, 0.0).otherwise(F.try_divide(dot(a, b), size))
 
 
 def unit(a: Column) -> Column:
     """a with length 1; a zero vector stays."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n == 0, 0.0).otherwise(x.cast("double") / n))
+    return _scaled(a, norm(a))
+
+
+def _scaled(a: Column, by: Column) -> Column:
+    """a divided by a number that is found once: a lambda takes it as a value, so it is not worked out for every entry."""
+    held = F.transform(F.array(by), lambda n: F.transform(a, lambda x: F.coalesce(F.try_divide(x.cast("double"), n), F.lit(0.0))))
+    return F.element_at(held, 1)
 
 
 def softmax(a: Column) -> Column:
-    e = F.transform(a, lambda x: F.exp(x.cast("double") - F.array_max(a).cast("double")))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    """Maximum and sum are found once for each array."""
+    e = F.element_at(F.transform(F.array(F.array_max(a).cast("double")), lambda m: F.transform(a, lambda x: F.exp(x.cast("double") - m))), 1)
+    return F.element_at(F.transform(F.array(e), lambda v: _scaled(v, F.aggregate(v, F.lit(0.0), lambda s, y: s + y))), 1)
 
 
 def divergence(p: Column, q: Column) -> tuple[Column, Column]:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.functions.text import canonical, folded, similarity_ratio
+from chronolith.functions.similarity import ratio_at_least
+from chronolith.functions.text import canonical, folded
+from chronolith.operators.nearcopies import candidates
 
 
 def first_by(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -31,7 +33,8 @@ def punctuation_blind(posts: DataFrame, least: int = 12) -> DataFrame:
 
 def _long_canonical(posts: DataFrame) -> DataFrame:
     """id, c of the rows that near copies are looked for among."""
-    return posts.filter(F.length("text") >= 200).select("id", canonical(F.col("text")).alias("c")).filter(F.length("c") >= 160)
+    made = F.transform(F.array(canonical(F.col("text"))), lambda c: F.when(F.length(c) >= 160, c))  # worked out once, for the filter too
+    return posts.filter(F.length("text") >= 200).select("id", F.explode(made).alias("c")).filter("c is not null")
 
 
 def near_copy_members(posts: DataFrame) -> DataFrame:
@@ -52,12 +55,7 @@ def near_copy_pairs(posts: DataFrame, ratio: float = 0.985) -> DataFrame:
     Candidates share 24 leading characters and lie in neighbouring length buckets. Of equal canonical texts the smallest id
     stands for all in the comparison, and is paired with each other one at ratio 1.0: a group of n has n - 1 such pairs.
     """
-    rows = _long_canonical(posts)
-    rows = rows.groupBy("c").agg(F.min("id").alias("id")).select("id", "c", F.substring("c", 1, 24).alias("head"), F.floor(F.length("c") / 32).alias("bucket"))
-    near = rows.select(F.col("id").alias("id_b"), F.col("c").alias("c_b"), "head", F.explode(F.expr("array(bucket - 1, bucket, bucket + 1)")).alias("bucket"))
-    pairs = rows.withColumnsRenamed({"id": "id_a", "c": "c_a"}).join(near, ["head", "bucket"]).filter("id_a < id_b")
-    gap = F.abs(F.length("c_a") - F.length("c_b"))
-    pairs = pairs.filter(gap <= F.greatest(F.lit(3), F.floor(F.greatest(F.length("c_a"), F.length("c_b")) / 50)))
-    near_pairs = pairs.withColumn("ratio", similarity_ratio("c_a", "c_b")).filter(F.col("ratio") >= ratio).select("id_a", "id_b", "ratio")
+    rows = _long_canonical(posts).groupBy("c").agg(F.min("id").alias("class"))
+    pairs = candidates(rows, [], ratio).withColumn("ratio", ratio_at_least("c", "c2", ratio)).filter("ratio is not null")
     equal = near_copy_members(posts).filter("id <> representative").select(F.col("representative").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("ratio"))
-    return near_pairs.unionByName(equal)
+    return pairs.select(F.col("class").alias("id_a"), F.col("class2").alias("id_b"), "ratio").unionByName(equal)
