@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Rows of at most this many are sent to every task; a row here is a few numbers, so 200,000 stay under 20 MB.
 BROADCAST_ROWS = 200_000
+#: And texts in them may have this many bytes together.
+BROADCAST_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,8 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of its store: without one it lies in the session's default file system, which need not be a disk."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    return qualified(spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
 
 
 #: Files of a table of few rows.
@@ -67,8 +75,15 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             where.getFileSystem(conf).delete(where, True)
 
 
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df marked for broadcasting if its counted rows allow it; else as it is, for a shuffle join."""
+def small(df: DataFrame, rows: int | None = None, text: tuple[str, ...] = ()) -> DataFrame:
+    """df marked for broadcasting if its counted rows allow it; else as it is, for a shuffle join.
+
+    text: columns whose bytes count, too, where rows may be long.
+    """
+    if text:
+        size = sum((F.coalesce(F.octet_length(F.col(c)), F.lit(0)) for c in text), F.lit(0).cast("long"))
+        seen = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+        return F.broadcast(df) if seen["n"] <= BROADCAST_ROWS and seen["bytes"] <= BROADCAST_BYTES else df
     n = df.count() if rows is None else rows
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
