@@ -74,7 +74,8 @@ def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     pick = F.max_by if keep == "max" else F.min_by
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    number = F.coalesce(F.col(f"`{id_col}`"), F.lit(-(2**63) if keep == "max" else 2**63 - 1))
+    there = F.col(f"`{id_col}`").isNotNull() if keep == "max" else F.col(f"`{id_col}`").isNull()
+    number = F.struct(there.alias("there"), F.col(f"`{id_col}`").alias("id"))  # ids of any kind; null ones come last
     text = F.col(f"`{text_col}`")
     keyed = docs.select(F.struct(digest(text).alias("digest"), F.coalesce(text, F.lit("")).alias("text"), number.alias("number"), row.alias("row")).alias("all"))
     return keyed.groupBy("all.digest", "all.text").agg(pick("all.row", "all.number").alias("kept_row")).select("kept_row.*")

@@ -56,8 +56,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     paths = F.transform(F.filter(ints(lengths), lambda k: k <= F.length("path")), lambda k: F.substring(F.col("path"), F.lit(1), k))
     made = distinct.withColumn("h", F.explode(hosts)).withColumn("p", F.explode(paths))
     made = made.select("host", "path", F.sha2(F.concat_ws("\n", "h", "p"), 256).alias("digest")).withColumn("short", F.substring("digest", 1, SHORT))
-    hits = made.join(small(keyed), "short").filter("digest = rule_digest")
+    hits = made.join(small(keyed, text=("rule", "rule_digest")), "short").filter("digest = rule_digest")
     best = hits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.struct("rule_len", "host_len", F.col("verdict"))).alias("won"))
     # Only urls that some rule fits are in here. Stored, so that a hot url's rows can be split where it is not broadcast.
     best = stored(best, "judged")
-    return rows.join(small(best), ["host", "path"], "left").select(F.col("id").alias(id_col), "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.verdict", F.lit(default)).alias("verdict"))
+    return rows.join(small(best, text=("host", "path", "won.rule")), ["host", "path"], "left").select(F.col("id").alias(id_col), "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.verdict", F.lit(default)).alias("verdict"))

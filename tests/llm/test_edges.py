@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from chronolith.llm import chat_format, exact_dedup, imatch, langid, mixing, ngram_lm, packing, setsketch, toxicity, url_filter
 from chronolith.llm.queries import public_tokenizer
+from chronolith.shared import qualified
 
 LONG = " ".join(f"w{k % 977}" for k in range(30000))
 ROWS = [
@@ -158,3 +159,33 @@ def test_chat_round_trip(spark):
     assert [(x["role"], x["text"]) for x in got[2]["back"]] == [("assistant", "first"), ("", ""), ("", ""), ("ro\nle\\n<s>", "x")]
     assert got[1]["formatted"].count("<|im_sep|>") == 5 and got[1]["formatted"].count("[INST]") == 0
     assert chat_format.format_conversations(df.limit(0)).count() == 0
+
+
+def test_copies_with_string_ids(spark):
+    rows = [("b", "x"), ("a", "x"), (None, "x"), (None, "y"), (None, None), ("c", "")]
+    df = spark.createDataFrame(rows, "doc_id string, text string").withColumn("number", F.lit(1))
+    for keep, want in (("max", "b"), ("min", "a")):
+        kept = exact_dedup.keep_first_copies(df, keep=keep)
+        assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == sorted([(want, "x"), ("None", "y"), ("c", "")]) and kept.columns == df.columns
+
+
+def test_paths_without_a_scheme_are_not_taken_for_a_disk(spark, tmp_path):
+    """With a default file system that is a store, /x lies there, and level files are not looked for on a worker's disk."""
+    conf = spark._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.viewfs.mounttable.kept.link./shared", f"file://{tmp_path}")
+    conf.set("fs.defaultFS", "viewfs://kept/")
+    try:
+        assert qualified(spark, "/shared/x") == "viewfs://kept/shared/x"
+        assert ngram_lm.Files(qualified(spark, "/shared/x")).local is None
+    finally:
+        conf.set("fs.defaultFS", before)
+    assert ngram_lm.Files(qualified(spark, f"{tmp_path}/x")).local == f"{tmp_path}/x"
+
+
+def test_long_urls_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr("chronolith.shared.BROADCAST_BYTES", 2000)
+    rules = url_filter.rule_table(spark, [("block", "a.org/x")])
+    urls = [(k, f"http://a.org/x{'y' * 500}{k}") for k in range(20)] + [(99, "http://b.org/")]
+    out = url_filter.judge_urls(spark.createDataFrame(urls, "page_id long, url string"), rules)
+    assert {r["page_id"]: r["verdict"] for r in out.collect()} == {k: "block" if k < 99 else "allow" for k, _ in urls}
