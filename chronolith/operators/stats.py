@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolith.functions.text import hash_number
-from chronolith.operators.prefix import average_rank
+from chronolith.operators.prefix import average_rank, running_before
+from chronolith.operators.quantiles import quantiles
+from chronolith.shared import small, stored
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -16,41 +18,76 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def top_share_mean(df: DataFrame, by: str, value: str, share: float = 0.1) -> DataFrame:
-    """Mean of value above the quantile of `by` and over all rows."""
-    cut = df.agg(F.percentile(by, 1 - share).alias("cut"))
-    return df.crossJoin(F.broadcast(cut)).agg(F.first("cut").alias("cut"), F.avg(F.when(F.col(by) >= F.col("cut"), F.col(value))).alias("top_mean"), F.avg(value).alias("mean"))  # one row beside df
+    """Mean of value above the quantile of `by` and over all rows; the quantile is found by counting."""
+    cut = F.lit(quantiles(df, by, [1 - share])[0]).cast("double")
+    return df.agg(cut.alias("cut"), F.avg(F.when(F.col(by) >= cut, F.col(value))).alias("top_mean"), F.avg(value).alias("mean"))
 
 
 def block_bootstrap(df: DataFrame, block: str, value: str, draws: int, salt: str = "boot") -> DataFrame:
     """One row: mean of value and its 2.5% and 97.5% bounds over resampled blocks.
 
-    Blocks are few (months, days); only their sums are resampled, by a hash of draw and place.
+    Only the blocks' sums are resampled, by a hash of draw and place; blocks are numbered by ranges and sent to every task
+    only if they are few.
     """
     sums = df.groupBy(block).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    sums = sums.withColumn("no", F.row_number().over(Window.orderBy(block)) - 1)
+    sums = stored(running_before(sums.withColumn("one", F.lit(1)), [block], "one", "no").select(F.col("no").cast("long").alias("no"), "s", "n"), "blocks")
     k = sums.count()
     picks = df.sparkSession.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(max(k - 1, 0)))).alias("place"))
     picks = picks.withColumn("no", F.pmod(hash_number(F.concat(F.lit(f"{salt}:"), F.col("draw").cast("string"), F.lit(":"), F.col("place").cast("string"))), F.lit(max(k, 1))))
-    means = picks.join(F.broadcast(sums), "no").groupBy("draw").agg((F.sum("s") / F.sum("n")).alias("m"))
-    whole = df.agg(F.avg(value).alias("mean"))
-    return means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high")).crossJoin(whole)  # two single rows
+    means = stored(picks.join(small(sums, k), "no").groupBy("draw").agg((F.sum("s") / F.sum("n")).alias("m")), "means", draws)
+    low, high = (F.lit(x).cast("double") for x in quantiles(means, "m", [0.025, 0.975]))
+    return df.agg(low.alias("low"), high.alias("high"), F.avg(value).alias("mean"))
+
+
+#: Rounds of a shuffle; each asks for every pair of places that the round's key couples whether they change.
+ROUNDS = 24
+#: Fixed value: the prime below which places are mixed.
+PRIME = 2147483647
+
+
+def shuffle_keys(draw: Column, n: int, salt: str = "perm", rounds: int = ROUNDS) -> Column:
+    """The keys of a draw's rounds: what couples two places, and the factor and summand of the mixing."""
+    digest = lambda r: F.md5(F.concat_ws(":", F.lit(salt), draw.cast("string"), r.cast("string")).cast("binary"))
+    number = lambda h, part: F.conv(F.substring(h, 1 + 8 * part, 8), 16, 10).cast("long")
+    digests = F.transform(F.sequence(F.lit(0), F.lit(rounds - 1)), digest)
+    return F.transform(digests, lambda h: F.struct((number(h, 0) % n).alias("couple"), (number(h, 1) % (PRIME - 1) + 1).alias("a"), (number(h, 2) % PRIME).alias("b")))
+
+
+def shuffled_place(place: Column, keys: Column, n: int) -> Column:
+    """Where a keyed shuffle of 0 .. n - 1 takes a place: a permutation for every draw, found for each place by itself.
+
+    A round couples place x with (key - x) mod n; a bit of the larger one's hash says if the two change. That is its own
+    inverse whatever the bit is, so rounds make a permutation of any n, without walking and without ordering the places.
+    n is below PRIME.
+    """
+
+    def change(x: Column, k: Column) -> Column:
+        other = F.pmod(k["couple"] - x, F.lit(n))
+        mixed = (F.greatest(x, other) * k["a"] + k["b"]) % PRIME
+        return F.when(F.shiftright(mixed, 16) % 2 == 1, other).otherwise(x)
+
+    return F.aggregate(keys, place.cast("long"), change)
 
 
 def permutation_null(edges: DataFrame, nodes: DataFrame, draws: int, salt: str = "perm") -> DataFrame:
     """One row: observed share of links within a family, and mean and deviation of it under shuffled families.
 
-    A draw orders the nodes by hash and deals the families out in that order. edges: child, parent; nodes: id, family.
+    A draw gives node number x the family of the node at shuffled_place(x), so a link's two families are look-ups: rows are
+    links times draws, and no draw orders the nodes. edges: child, parent; nodes: id, family.
     """
-    fixed = nodes.withColumn("place", F.row_number().over(Window.orderBy("id")))  # a sample's nodes
-    drawn = nodes.select("id").crossJoin(F.broadcast(nodes.sparkSession.range(draws).select(F.col("id").alias("draw"))))  # nodes of a sample times draws
-    w = Window.partitionBy("draw").orderBy(F.md5(F.concat_ws(":", F.lit(salt), F.col("draw").cast("string"), F.col("id").cast("string")).cast("binary")), "id")
-    dealt = drawn.withColumn("place", F.row_number().over(w)).join(fixed.select("place", "family"), "place").select("draw", "id", "family")
-    a, b = dealt.select("draw", F.col("id").alias("child"), F.col("family").alias("fc")), dealt.select("draw", F.col("id").alias("parent"), F.col("family").alias("fp"))
-    rates = a.join(edges.select("child", "parent"), "child").join(b, ["draw", "parent"]).groupBy("draw").agg(F.avg((F.col("fc") == F.col("fp")).cast("double")).alias("r"))
-    f = nodes.select("id", "family")
-    seen = edges.join(f.withColumnsRenamed({"id": "child", "family": "fc"}), "child").join(f.withColumnsRenamed({"id": "parent", "family": "fp"}), "parent")
-    seen = seen.agg(F.avg((F.col("fc") == F.col("fp")).cast("double")).alias("observed"))
-    return rates.agg(F.avg("r").alias("null_mean"), F.stddev_pop("r").alias("null_sd")).crossJoin(seen)  # two single rows
+    numbered = running_before(nodes.select("id", "family").withColumn("one", F.lit(1)), ["id"], "one", "no")
+    fixed = stored(numbered.select("id", "family", F.col("no").cast("long").alias("no")), "nodes")
+    n = fixed.count()
+    end = lambda side: fixed.select(F.col("id").alias(side), F.col("no").alias(f"no_{side}"), F.col("family").alias(f"family_{side}"))
+    both = edges.select("child", "parent").join(end("child"), "child").join(end("parent"), "parent")
+    keys = fixed.sparkSession.range(draws).select(F.col("id").alias("draw"), shuffle_keys(F.col("id"), max(n, 1), salt).alias("keys"))
+    each = both.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long")))).join(small(stored(keys, "keys", draws), draws), "draw")
+    for side in ("child", "parent"):
+        drawn = fixed.select(F.col("no").alias(f"at_{side}"), F.col("family").alias(f"drawn_{side}"))
+        each = each.withColumn(f"at_{side}", shuffled_place(F.col(f"no_{side}"), F.col("keys"), max(n, 1))).join(drawn, f"at_{side}")
+    same = lambda a: F.avg((F.col(f"{a}_child") == F.col(f"{a}_parent")).cast("double"))
+    rates = each.groupBy("draw").agg(same("drawn").alias("r"), same("family").alias("seen"))
+    return rates.agg(F.avg("r").alias("null_mean"), F.stddev_pop("r").alias("null_sd"), F.first("seen").alias("observed"))
 
 
 def paired_gain(df: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:

@@ -9,7 +9,9 @@ from chronolith.functions import text as T
 from chronolith.functions.vectors import divergence
 from chronolith.operators import graph, neighbors, phrases, scoring, stats
 from chronolith.operators.prefix import running_before
+from chronolith.operators.quantiles import quantiles
 from chronolith.plans.registry import query
+from chronolith.shared import stored
 from chronolith.sources.views import POSTS_SQL, VECTORS_SQL, posts, table, vectors
 
 #: The links' cosine floor; 0.85 in production, lower for the test vectors, whose cosines stay below 0.6.
@@ -87,8 +89,9 @@ def neighbor_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
 def null_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered = running_before(vectors(spark, sf_dir).select("id", F.lit(1).alias("one")), ["id"], "one", "no").select("id", F.col("no").cast("long").alias("no"))
     rows = vectors(spark, sf_dir).join(numbered, "id").select("no", "embedding")
-    null = neighbors.random_pairs(rows, 100000, "null")
-    return null.agg(F.count("*").alias("pairs"), F.round(F.percentile("cosine", 0.999), 6).alias("floor"), F.round(F.avg("cosine"), 6).alias("mean"))
+    null = stored(neighbors.random_pairs(rows, 100000, "null"), "null", 100000)
+    floor = F.lit(quantiles(null, "cosine", [0.999])[0]).cast("double")
+    return null.agg(F.count("*").alias("pairs"), F.round(floor, 6).alias("floor"), F.round(F.avg("cosine"), 6).alias("mean"))
 
 
 ROOT_SQL = f"""{EDGE_SQL}, up(id, top) as (select id, id from u union all select up.id, edge.parent from up join edge on edge.child = up.top),
@@ -307,10 +310,13 @@ def block_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "permutation_null",
-    f"""with {EDGE_SQL}, fixed as (select family, row_number() over (order by id) as place from u),
-    drawn as (select i as draw, id, row_number() over (partition by i order by md5('perm:' || i || ':' || id), id) as place from u, range(100) r(i)),
-    dealt as (select draw, id, family from drawn join fixed using (place)),
-    r as (select a.draw, avg((a.family = b.family)::int) as r from edge join dealt a on a.id = child join dealt b on b.id = parent and a.draw = b.draw group by 1)
+    f"""with {EDGE_SQL}, fixed as (select id, family, row_number() over (order by id) - 1 as no, count(*) over () as n from u),
+    keys as (select i as draw, list({{'c': ('0x' || substr(h, 1, 8))::bigint % n, 'a': ('0x' || substr(h, 9, 8))::bigint % 2147483646 + 1, 'b': ('0x' || substr(h, 17, 8))::bigint % 2147483647}} order by j) as ks
+      from (select i, j, md5('perm:' || i || ':' || j) as h, (select count(*) from u) as n from range(100) a(i), range(24) b(j)) group by 1),
+    dealt as (select draw, id, list_reduce(list_prepend({{'c': no::bigint, 'a': n::bigint, 'b': 0::bigint}}, ks), lambda x, k: {{'c':
+      case when ((greatest(x.c, (k.c - x.c + x.a) % x.a) * k.a + k.b) % 2147483647 >> 16) % 2 = 1 then (k.c - x.c + x.a) % x.a else x.c end, 'a': x.a, 'b': 0::bigint}}).c as place from fixed, keys),
+    drawn as (select draw, dealt.id, fixed.family from dealt join fixed on fixed.no = place),
+    r as (select a.draw, avg((a.family = b.family)::int) as r from edge join drawn a on a.id = child join drawn b on b.id = parent and a.draw = b.draw group by 1)
     select round(avg(r), 6) as null_mean, round(stddev_pop(r), 6) as null_sd, (select round(avg((fc = fp)::int), 6) from edge) as observed from r""",
 )
 def permutation_null(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from chronolith.functions import text as T
 from chronolith.functions import timeutil
 from chronolith.operators import clean
 from chronolith.plans.corpus import REASON
+from chronolith.operators.quantiles import grouped_quantiles
 from chronolith.plans.registry import query
 from chronolith.sources.files import audit_report
 from chronolith.sources.views import POSTS_SQL, posts, table
@@ -86,7 +87,9 @@ def graph_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("median_throughput", "select l_returnflag as kind, round(median(l_extendedprice / l_quantity), 6) as median_rate, round(avg(l_extendedprice / l_quantity), 6) as mean_rate from lineitem group by 1")
 def median_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     rate = F.col("l_extendedprice") / F.col("l_quantity")
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("kind")).agg(F.round(F.median(rate), 6).alias("median_rate"), F.round(F.avg(rate), 6).alias("mean_rate"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("kind"), rate.alias("rate"))
+    middle = grouped_quantiles(rows, ["kind"], "rate", [0.5]).select("kind", F.round(F.get("q", F.lit(0)), 6).alias("median_rate"))
+    return rows.groupBy("kind").agg(F.round(F.avg("rate"), 6).alias("mean_rate")).join(middle, "kind")
 
 
 @query("largest_shard", "select o_orderpriority as kind, arg_max(o_orderkey, (o_totalprice, o_orderkey)) as shard, max(o_totalprice) as size from orders group by 1")
