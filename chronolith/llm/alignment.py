@@ -159,7 +159,7 @@ def encoder(*paths: str) -> PairEncoder:
 
 
 SLICE_COLUMNS = "slice string, stripe int, a array<int>, b array<int>, links array<bigint>, place array<int>"
-DOC_COLUMNS = "id array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, n_links array<bigint>, groups_sha256 array<string>, doc_chunks binary, doc_ends binary, chunk_pairs binary, chunk_ends binary"
+DOC_COLUMNS = "id array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, n_links array<bigint>, groups_sha256 array<string>, doc_chunks binary, doc_sizes binary, chunk_pairs binary, chunk_sizes binary"
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -196,7 +196,7 @@ def _sliced(paths: tuple[str, ...], stripes: int):
             links = np.zeros(len(pairs), np.int64)
             np.add.at(links, local, np.repeat(times, found.pairs.size))
             key = uuid.uuid4().hex
-            docs = [piece.column("id").to_pylist(), *sums.T, sha, *map(_packed, (np.concatenate(doc_chunks), np.cumsum([len(x) for x in doc_chunks]), local, np.cumsum(found.pairs.size)))]
+            docs = [piece.column("id").to_pylist(), *sums.T, sha, *map(_packed, (np.concatenate(doc_chunks), np.array([len(x) for x in doc_chunks]), local, found.pairs.size))]
             docs = [pa.array([x], t) for x, t in zip(docs, doc_kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([-1], pa.int32()), *(pa.nulls(1, t) for t in kinds), *docs], names=names)
             a, b = pairs >> 32, pairs & 0xFFFFFFFF
@@ -232,17 +232,17 @@ def _count_stripe(rows: pa.Table) -> pa.Table:
 def _score_docs(rows: pa.Table) -> pa.Table:
     """Documents of one slice with their links' scores: sums over chunks of sums over pairs."""
     own, said = rows.filter(pc.is_valid(rows.column("id"))), rows.filter(pc.is_valid(rows.column("place")))
-    pair_of, chunk_ends, doc_chunks, doc_ends = (_unpacked(own.column(c)[0].as_py()) for c in ("chunk_pairs", "chunk_ends", "doc_chunks", "doc_ends"))
+    pair_of, chunk_sizes, doc_chunks, doc_sizes = (_unpacked(own.column(c)[0].as_py()) for c in ("chunk_pairs", "chunk_sizes", "doc_chunks", "doc_sizes"))
     score = np.zeros((int(pair_of.max()) + 1 if len(pair_of) else 0, 2), np.int64)
     if said.num_rows:
         place = _flat(said, "place")
         score[place, 0], score[place, 1] = np.asarray(pa.concat_arrays([x.flatten() for x in said.column("best").chunks]).cast(pa.int8())), _flat(said, "count")
 
-    def sums(values: np.ndarray, to: np.ndarray) -> np.ndarray:
+    def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         total = np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(values, axis=0)])
-        return np.diff(total[np.concatenate([[0], to])], axis=0)
+        return np.diff(total[np.concatenate([[0], np.cumsum(sizes)])], axis=0)
 
-    by_doc = sums(sums(score[pair_of], chunk_ends)[doc_chunks], doc_ends)
+    by_doc = sums(sums(score[pair_of], chunk_sizes)[doc_chunks], doc_sizes)
     columns = [pa.concat_arrays([x.flatten() for x in own.column(c).chunks]) for c in ("id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")]
     return pa.table([*columns, pa.array(by_doc[:, 0]), pa.array(by_doc[:, 1])], names=["id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_best", "count_sum"])
 
