@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, GroupedData, Window
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 from chronolith.functions.text import hash_number
 from chronolith.functions.vectors import cosine
 from chronolith.operators.prefix import running_before
+from chronolith.shared import stored
 
 BLOCK_ROWS = 2048
 
@@ -24,11 +28,21 @@ def earlier_neighbour(rows: DataFrame, id_col: str = "id", time_col: str = "id",
     """
     base = rows.select(F.col(id_col).alias("id"), F.col(time_col).cast("double").alias("t"), F.col(vector_col).cast("array<double>").alias("v"))
     children, parents = _earlier_blocks(base, ["t", "id"], block, ["id", "t", "v"])
+    return _best_of(_multiplied(children.unionByName(parents), alpha, per_year, dict(rows.dtypes)[id_col]))
+
+
+def _units(lists: pa.ChunkedArray) -> np.ndarray:
+    """Rows of length 1; zero vectors stay."""
+    v = np.stack([np.asarray(x, float) for x in lists.to_pylist()]) if len(lists) else np.zeros((0, 1))
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+
+def _multiplied(rows: DataFrame, alpha: float, per_year: float, kind: str) -> DataFrame:
+    """child, parent, cosine, gap, score: each child's best parent in every pair (c, p) of blocks. rows: id, t, v, c, p, child."""
 
     def best(group: pa.Table) -> pa.Table:
         ids, t, child = (np.asarray(group.column(x).combine_chunks()) for x in ("id", "t", "child"))
-        v = np.stack([np.asarray(x, float) for x in group.column("v").to_pylist()]) if len(ids) else np.zeros((0, 1))
-        v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+        v = _units(group.column("v"))
         order = np.argsort(ids, kind="stable")
         kid, par = order[child[order]], order[~child[order]]
         cos = v[kid] @ v[par].T if len(kid) and len(par) else np.zeros((len(kid), 0))
@@ -39,11 +53,97 @@ def earlier_neighbour(rows: DataFrame, id_col: str = "id", time_col: str = "id",
         row = np.flatnonzero(good)
         return pa.table({"child": ids[kid[row]], "parent": ids[par[top[row]]] if len(row) else ids[:0], "cosine": cos[row, top[row]], "gap": gap[row, top[row]], "score": score[row, top[row]]})
 
-    kind = dict(rows.dtypes)[id_col]
-    made = children.unionByName(parents).groupBy("c", "p").applyInArrow(best, f"child {kind}, parent {kind}, cosine double, gap double, score double")
+    return rows.groupBy("c", "p").applyInArrow(best, f"child {kind}, parent {kind}, cosine double, gap double, score double")
+
+
+def _best_of(made: DataFrame) -> DataFrame:
     return made.groupBy("child").agg(F.max_by(F.struct("parent", "cosine", "gap", "score"), F.struct(F.col("score"), -F.col("parent"))).alias("b")).select("child", "b.*")
 
 
+#: Pivots of the clusters, parent blocks that are tried before the others, and blocks at most (their centres go to every task).
+PIVOTS, PROBE, MOST_BLOCKS = 64, 2, 8192
+
+
+def bounded_neighbour(rows: DataFrame, id_col: str = "id", time_col: str = "id", vector_col: str = "embedding", alpha: float = 0.02, per_year: float = 1.0, block: int = 512, pivots: int = PIVOTS) -> tuple[DataFrame, dict[str, int]]:
+    """The rows of earlier_neighbour(), and how many pairs of blocks there are and how many were multiplied.
+
+    Rows are clustered around hashed pivots, and a block is a stretch of time of one cluster, with its centre, radius, and first
+    and last time. No cosine between two blocks is above c.p + r_c |p| + r_p |c| + r_c r_p, and no gap is below that of their
+    times. Every block first meets the PROBE blocks with the best bounds. Then a child goes on only to the blocks whose bound,
+    with the child in place of its block, reaches what it has found; a pair of blocks without such children is never multiplied.
+    """
+    spark, kind = rows.sparkSession, dict(rows.dtypes)[id_col]
+    base = rows.select(F.col(id_col).alias("id"), F.col(time_col).cast("double").alias("t"), F.col(vector_col).cast("array<double>").alias("v"))
+    n = base.count()
+    block = max(block, -(-n // MOST_BLOCKS))
+    chosen = base.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()  # `pivots` vectors
+    pivot = spark.sparkContext.broadcast(_units(pa.chunked_array([pa.array([r["v"] for r in chosen], pa.list_(pa.float64()))])))
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = (_units(pa.chunked_array([batch.column("v")])) @ pivot.value.T).argmax(1) if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int64))], names=[*batch.schema.names, "pivot"])
+
+    made = base.mapInArrow(nearest, f"id {kind}, t double, v array<double>, pivot bigint").withColumn("one", F.lit(1))
+    placed = running_before(made, ["t", "id"], "one", "no", ["pivot"])
+    kept = stored(placed.select("id", "t", "v", F.expr(f"pivot * 4294967296 + no div {block}").alias("block")), "blocks")
+
+    def summary(group: pa.Table) -> pa.Table:
+        v, t = _units(group.column("v")), np.asarray(group.column("t"))
+        centre = v.mean(0)
+        return pa.table({"block": group.column("block")[:1], "centre": pa.array([centre]), "radius": [float(np.linalg.norm(v - centre, axis=1).max())], "first": [float(t.min())], "last": [float(t.max())]})
+
+    blocks = stored(kept.groupBy("block").applyInArrow(summary, "block bigint, centre array<double>, radius double, first double, last double"), "summary")
+    known = blocks.orderBy("block").toArrow()  # MOST_BLOCKS and `pivots` rows at most
+    table = spark.sparkContext.broadcast({c: np.asarray(known.column(c)) for c in ("block", "radius", "first", "last")} | {"centre": np.array(known.column("centre").to_pylist()).reshape(known.num_rows, -1)})
+
+    def possible(c: int) -> np.ndarray:
+        """Places of the blocks that hold a row before the last of block c, the best bounds first."""
+        every = table.value
+        own = int(np.searchsorted(every["block"], c))
+        there, r, length = np.flatnonzero(every["first"] < every["last"][own]), every["radius"][own], np.linalg.norm(every["centre"], axis=1)
+        cos = every["centre"][there] @ every["centre"][own] + r * length[there] + every["radius"][there] * (length[own] + r)
+        gap = np.maximum(0.0, every["first"][own] - every["last"][there]) / per_year
+        return there[np.argsort(alpha * gap - np.minimum(cos, 1.0), kind="stable")]
+
+    def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in batch.column("block").to_pylist():
+                found = possible(c)
+                first = table.value["block"][found[:PROBE]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), c)), pa.array(first), pa.array(np.full(len(first), len(found)))], names=["c", "p", "possible"])
+
+    def hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Children once for every other block whose bound reaches what they have found."""
+        every = table.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                v, t = _units(pa.chunked_array([part.column("v")])), np.asarray(part.column("t"))
+                bound = np.minimum(v @ every["centre"].T + every["radius"], 1.0) - alpha * np.maximum(0.0, t[:, None] - every["last"]) / per_year
+                may = (bound >= np.asarray(part.column("score"))[:, None] - 1e-9) & (every["first"] < t[:, None])
+                own = np.asarray(part.column("block"))
+                for c in np.unique(own).tolist():
+                    may[np.ix_(own == c, possible(c)[:PROBE])] = False
+                row, p = np.nonzero(may)
+                rows_ = part.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*(rows_.column(x) for x in ("id", "t", "v", "block")), pa.array(every["block"][p]), pa.array(np.ones(len(row), bool))], names=["id", "t", "v", "c", "p", "child"])
+
+    def parents(pairs_: DataFrame) -> DataFrame:
+        return kept.join(pairs_.select(F.col("p").alias("block"), "c", "p"), "block").select("id", "t", "v", "c", "p", F.lit(False).alias("child"))
+
+    probes = stored(blocks.select("block").mapInArrow(tried, "c bigint, p bigint, possible bigint"), "pairs")
+    one = kept.join(probes.select(F.col("c").alias("block"), "c", "p"), "block").select("id", "t", "v", "c", "p", F.lit(True).alias("child"))
+    early = stored(_multiplied(one.unionByName(parents(probes)), alpha, per_year, kind), "early")
+    best = early.groupBy(F.col("child").alias("id")).agg(F.max("score").alias("score"))
+    scored = kept.join(best, "id", "left").select("id", "t", "v", "block", F.coalesce("score", F.lit(-math.inf)).alias("score"))
+    two = stored(scored.mapInArrow(hopeful, f"id {kind}, t double, v array<double>, c bigint, p bigint, child boolean"), "hopeful")
+    rest = stored(two.select("c", "p").distinct(), "pairs")
+    late = _multiplied(two.unionByName(parents(rest)), alpha, per_year, kind)
+    counts = probes.groupBy("c").agg(F.max("possible").alias("n")).agg(F.sum("n").alias("n")).first()["n"] or 0
+    return _best_of(early.unionByName(late)), {"block_pairs": counts, "multiplied": probes.count() + rest.count()}
+
+
 def _earlier_blocks(base: DataFrame, order: list[str], block: int, cols: list[str]) -> tuple[DataFrame, DataFrame]:
     """base twice, as children and as parents: rows in stretches of `block` in order, once for each pair (c, p) with p <= c."""
     numbered = running_before(base.select(*order).withColumn("one", F.lit(1)), order, "one", "no")

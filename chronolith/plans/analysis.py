@@ -38,6 +38,13 @@ def earlier_neighbor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _links(spark, sf_dir).select("child", "parent", F.round("cosine", 6).alias("cosine"), F.round("gap", 6).alias("gap"))
 
 
+@query("bounded_neighbor", f"with {EDGE_SQL} select child, parent, round(cosine, 6) as cosine, round(gap / 100, 6) as gap from best")
+def bounded_neighbor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows from clusters whose bounds decide which blocks are multiplied."""
+    made, _ = neighbors.bounded_neighbour(vectors(spark, sf_dir), alpha=0.02, per_year=100.0, block=64, pivots=16)
+    return made.select("child", "parent", F.round("cosine", 6).alias("cosine"), F.round("gap", 6).alias("gap"))
+
+
 WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
 
 
