@@ -42,3 +42,11 @@ def divergence(p: Column, q: Column) -> tuple[Column, Column]:
     m = (p + q) / 2
     term = lambda x: F.when(x > 0, x * F.ln(x / m)).otherwise(0.0)
     return 0.5 * term(p) + 0.5 * term(q), 0.5 * F.abs(p - q)
+
+
+def masked_mean(states: Column, mask: Column) -> Column:
+    """The mean of the states (arrays of numbers) whose mask is 1; null where none is."""
+    kept = F.transform(F.filter(F.zip_with(states, mask, lambda s, m: F.struct(s.alias("s"), m.alias("m"))), lambda x: x["m"] == 1), lambda x: F.transform(x["s"], lambda v: v.cast("double")))
+    zero = F.transform(F.element_at(states, 1), lambda _: F.lit(0.0))
+    total = F.aggregate(kept, zero, lambda a, s: F.zip_with(a, s, lambda x, y: x + y))
+    return F.when(F.size(kept) > 0, _scaled(total, F.size(kept).cast("double")))

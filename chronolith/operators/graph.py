@@ -81,3 +81,38 @@ def cytoscape_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     name = F.concat_ws("->", "parent", "child")
     e = edges.select(F.lit("edge").alias("kind"), F.to_json(F.struct(F.struct(name.alias("id"), F.col("parent").cast("string").alias("source"), F.col("child").cast("string").alias("target"), "cosine", "gap").alias("data"))).alias("json"))
     return n.unionByName(e)
+
+
+def link_groups(links: DataFrame, split: int = 2020) -> DataFrame:
+    """scope, edges, same_family, mean_gap, cross_board of all links, of those until the year `split`, and of later ones.
+
+    links: gap, year (of the child), same, across. A scope without links has no means.
+    """
+    early, late = F.col("year") <= split, F.col("year") > split
+    scopes = F.explode(F.filter(F.array(F.lit("all"), F.when(early, F.lit("through_2020")), F.when(late, F.lit("2021_2022"))), lambda x: x.isNotNull()))
+    every = links.sparkSession.createDataFrame([("all",), ("through_2020",), ("2021_2022",)], "scope string")
+    mean = lambda c: F.round(F.avg(c), 6)
+    made = links.withColumn("scope", scopes).groupBy("scope").agg(F.count("*").alias("edges"), mean(F.col("same").cast("int")).alias("same_family"), mean(F.col("gap")).alias("mean_gap"), mean(F.col("across").cast("int")).alias("cross_board"))
+    return every.join(made, "scope", "left").withColumn("edges", F.coalesce("edges", F.lit(0)))  # three names
+
+
+def drift(chosen: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: chosen links (child, parent), how many are in the graph, have another parent there, or none."""
+    now = chosen.join(edges.select("child", F.col("parent").alias("now")), "child", "left")
+    return now.agg(F.count("*").alias("selected"), F.count_if(F.col("now") == F.col("parent")).alias("present"), F.count_if(F.col("now") != F.col("parent")).alias("other_parent"), F.count_if(F.col("now").isNull()).alias("gone"))
+
+
+def profiles(members: DataFrame, edges: DataFrame, least: int = 3, k: int = 3) -> DataFrame:
+    """index, root, size, first_year, last_year, earliest, boards, early, hubs of components of `least` members and more.
+
+    members: root, id, year, subreddit, created_utc. boards: (subreddit, n) by name; early: the first k ids by time; hubs: (id,
+    children) of the k with most children. Rows of a component never meet but for its counts and its first ones.
+    """
+    of = components(members, least)
+    rows = members.join(of.select("root"), "root", "left_semi")
+    spans = rows.groupBy("root").agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.min_by("id", F.struct("created_utc", "id")).alias("earliest"))
+    boards = rows.groupBy("root", "subreddit").agg(F.count("*").alias("n")).groupBy("root").agg(F.sort_array(F.collect_list(F.struct("subreddit", "n"))).alias("boards"))
+    first = rows.withColumn("no", F.row_number().over(Window.partitionBy("root").orderBy("created_utc", "id"))).filter(F.col("no") <= k)
+    early = first.groupBy("root").agg(F.transform(F.sort_array(F.collect_list(F.struct("no", "id"))), lambda x: x["id"]).alias("early"))
+    most = hubs(rows.select("root", "id"), edges, k).groupBy("root").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "id", "children"))), lambda x: F.struct(x["id"].alias("id"), x["children"].alias("children"))).alias("hubs"))
+    return of.join(spans, "root").join(boards, "root").join(early, "root").join(most, "root")

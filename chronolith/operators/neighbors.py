@@ -33,7 +33,9 @@ def earlier_neighbour(rows: DataFrame, id_col: str = "id", time_col: str = "id",
 
 def _units(lists: pa.ChunkedArray) -> np.ndarray:
     """Rows of length 1; zero vectors stay."""
-    v = np.stack([np.asarray(x, float) for x in lists.to_pylist()]) if len(lists) else np.zeros((0, 1))
+    if not len(lists):
+        return np.zeros((0, 1))
+    v = np.stack([np.asarray(x, float) for x in lists.to_pylist()])
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
 
 
@@ -95,7 +97,7 @@ def bounded_neighbour(rows: DataFrame, id_col: str = "id", time_col: str = "id",
 
     blocks = stored(kept.groupBy("block").applyInArrow(summary, "block bigint, centre array<double>, radius double, first double, last double"), "summary")
     known = blocks.orderBy("block").toArrow()  # MOST_BLOCKS and `pivots` rows at most
-    table = spark.sparkContext.broadcast({c: np.asarray(known.column(c)) for c in ("block", "radius", "first", "last")} | {"centre": np.array(known.column("centre").to_pylist()).reshape(known.num_rows, -1)})
+    table = spark.sparkContext.broadcast({c: np.asarray(known.column(c)) for c in ("block", "radius", "first", "last")} | {"centre": np.array(known.column("centre").to_pylist() or np.zeros((0, 1)))})
 
     def possible(c: int) -> np.ndarray:
         """Places of the blocks that hold a row before the last of block c, the best bounds first."""

@@ -7,32 +7,46 @@ from pyspark.sql import functions as F
 
 from chronolith.functions import patterns as P
 from chronolith.functions import text as T
+from chronolith.operators.stats import smoothed_rate, spearman, top_share_mean
+from chronolith.operators.tokens import last_ids, word_ids
+from chronolith.shared import small, stored
 
 
 def occurrences(posts: DataFrame, first: int = 4, limit: int = 300) -> DataFrame:
-    """id, created_utc, phrase, context: the first place of each distinct phrase of a post's first line.
+    """id, created_utc, phrase, pieces, start: the first place of each distinct phrase of a post's first line.
 
     Phrases have two to four words from word `first` on, do not begin and end with stop words, and hold a word of five
-    letters. The context is the up to 16 visible words before, or null under four.
+    letters. pieces: the line's words, each with what precedes it; start: which of them begins the phrase.
     """
     line = F.substring(T.first_line(F.col("text")), 1, limit)
     rows = posts.select("id", "created_utc", line.alias("line")).withColumn("ws", T.phrase_words(F.col("line")))
-    each = rows.withColumn("p", F.explode(T.phrases(F.col("ws"), first))).select("id", "created_utc", "line", "p.phrase", "p.start", F.split("p.phrase", " ").alias("t"))
+    # The line is cut once into words, each with what precedes it; in front of a phrase are the pieces up to its first word.
+    cut = F.regexp_extract_all("line", F.lit(r"([^A-Za-z]*[A-Za-z][A-Za-z']*)"), 1)
+    rows = rows.select("id", "created_utc", cut.alias("pieces"), F.array_sort(T.phrases(F.col("ws"), first)).alias("ps"))
+    firsts = F.filter("ps", lambda p, i: (i == 0) | (F.get("ps", i - 1)["phrase"] != p["phrase"]))
+    each = rows.withColumn("p", F.explode(firsts)).select("id", "created_utc", "pieces", "p.phrase", "p.start", F.split("p.phrase", " ").alias("t"))
     stop = F.array(*[F.lit(w) for w in P.STOP])
     ends = F.array_contains(stop, F.element_at("t", 1)) & F.array_contains(stop, F.element_at("t", -1))
     strong = F.exists("t", lambda w: (F.length(w) >= 5) & ~F.array_contains(stop, w))
-    each = each.filter(~ends & strong).groupBy("id", "created_utc", "line", "phrase").agg(F.min("start").alias("start"))
-    # Everything in front of the phrase's first word.
-    prefix = F.expr(r"regexp_extract(line, concat('(?s)^((?:[^A-Za-z]*[A-Za-z][A-Za-z\']*){', start, '}[^A-Za-z]*)'), 1)")
-    shown = T.tokens(prefix)
-    context = F.when(F.size(shown) >= 4, F.array_join(F.slice(shown, F.greatest(F.size(shown) - 15, F.lit(1)), F.lit(16)), " "))
-    return each.select("id", "created_utc", "phrase", context.alias("context"))
+    return each.filter(~ends & strong).select("id", "created_utc", "phrase", "pieces", "start")
+
+
+def with_context(occ: DataFrame) -> DataFrame:
+    """id, created_utc, phrase, context: the up to 16 visible words in front of the phrase, or null under four."""
+    lead = F.regexp_extract(F.get("pieces", F.col("start")), r"^([^A-Za-z]*)", 1)
+    shown = T.tokens(F.concat(F.array_join(F.slice("pieces", F.lit(1), F.col("start")), ""), lead))
+    context = F.transform(F.array(shown), lambda s: F.when(F.size(s) >= 4, F.array_join(F.slice(s, F.greatest(F.size(s) - 15, F.lit(1)), F.lit(16)), " ")))
+    return occ.select("id", "created_utc", "phrase", F.element_at(context, 1).alias("context"))
 
 
 def candidates(occ: DataFrame, least: int = 3, most: int = 300, contexts: int = 3, limit: int = 1000) -> DataFrame:
     """phrase, sample_count, contexts: phrases of a middling count with enough contexts, the first by hash."""
-    counts = occ.groupBy("phrase").agg(F.count("*").alias("sample_count"), F.count("context").alias("c")).filter(F.col("sample_count").between(least, most) & (F.col("c") >= contexts))
-    chosen = counts.orderBy(F.md5(F.col("phrase").cast("binary")), "phrase").limit(limit)
+    # Only where a phrase of the right count occurs are contexts looked for; those occurrences are written once.
+    counts = occ.groupBy("phrase").agg(F.count("*").alias("sample_count")).filter(F.col("sample_count").between(least, most))
+    some = stored(counts, "counted")
+    occ = stored(with_context(occ.join(small(some), "phrase").drop("sample_count")), "contexts")
+    enough = occ.groupBy("phrase").agg(F.count("context").alias("c")).filter(F.col("c") >= contexts).select("phrase")
+    chosen = some.join(enough, "phrase").orderBy(F.md5(F.col("phrase").cast("binary")), "phrase").limit(limit)
     w = Window.partitionBy("phrase").orderBy("created_utc", "id")
     first = occ.filter("context is not null").join(F.broadcast(chosen.select("phrase")), "phrase").withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= contexts)  # `limit` phrases
     shown = first.groupBy("phrase").agg(F.transform(F.sort_array(F.collect_list(F.struct("rn", "context"))), lambda x: x["context"]).alias("contexts"))
@@ -64,6 +78,49 @@ def line_hits(posts: DataFrame, wanted: DataFrame, sizes: tuple[int, ...] = (2,
     return found.groupBy("year", "month", "phrase").agg(F.count("*").alias("hits"))
 
 
+def score_contexts(chosen: DataFrame, scorer, dates: list[int], tokenizer=word_ids, most: int = 64) -> DataFrame:
+    """phrase, date, contexts, logprob: a phrase's mean score over its contexts at each of a few dates.
+
+    chosen: phrase, contexts. scorer(prefix ids, phrase ids, date) is a column, an expression or an Arrow UDF; the prefix are
+    the last `most` ids of a context. Contexts or phrases without ids are left out.
+    """
+    rows = chosen.select("phrase", F.explode("contexts").alias("context"))
+    rows = rows.select("phrase", last_ids(tokenizer(F.col("context")), most).alias("prefix"), tokenizer(F.concat(F.lit(" "), "phrase")).alias("ids")).filter((F.size("prefix") > 0) & (F.size("ids") > 0))
+    grid = rows.withColumn("date", F.explode(F.array(*[F.lit(int(d)).cast("long") for d in dates])))
+    scored = grid.withColumn("score", scorer(F.col("prefix"), F.col("ids"), F.col("date")))
+    return scored.groupBy("phrase", "date").agg(F.count("*").alias("contexts"), F.avg("score").alias("logprob"))
+
+
+def emergence(scores: DataFrame, hits: DataFrame, documents: DataFrame, early: int, late: int) -> DataFrame:
+    """One row per scored phrase: model_slope, frequency_slope, future_growth, train_hits, future_hits, and rates per million.
+
+    scores: phrase, date, logprob; the slope is from the date `early` to `late`. hits: year, phrase, hits; documents: year,
+    documents, of 2018 to 2022. The trend is from 2019 to 2020, growth from both to 2021 and 2022; half a hit is added.
+    """
+    at = lambda d: F.max(F.when(F.col("date") == d, F.col("logprob")))
+    slopes = scores.groupBy("phrase").agg((at(late) - at(early)).alias("model_slope"))
+    spans = {"2018": (2018,), "2019": (2019,), "2020": (2020,), "prior": (2019, 2020), "future": (2021, 2022)}
+    total = {r["year"]: r["documents"] for r in documents.filter(F.col("year").between(2018, 2022)).collect()}  # five years
+    inside = lambda years: F.coalesce(F.sum(F.when(F.col("year").isin(*years), F.col("hits"))), F.lit(0))
+    counts = hits.groupBy("phrase").agg(*[inside(y).alias(f"h_{n}") for n, y in spans.items()])
+    rows = slopes.join(counts, "phrase", "left")
+    for n, years in spans.items():
+        rows = rows.withColumn(f"h_{n}", F.coalesce(f"h_{n}", F.lit(0))).withColumn(f"r_{n}", smoothed_rate(F.col(f"h_{n}"), F.lit(max(1, sum(total.get(y, 0) for y in years)))))
+    return rows.select(
+        "phrase", "model_slope", F.ln(F.col("r_2020") / F.col("r_2019")).alias("frequency_slope"), F.ln(F.col("r_future") / F.col("r_prior")).alias("future_growth"),
+        F.col("h_prior").alias("train_hits"), F.col("h_future").alias("future_hits"), F.col("r_2018").alias("rate_2018"), F.col("r_2019").alias("rate_2019"), F.col("r_2020").alias("rate_2020"), F.col("r_future").alias("rate_2021_2022"),
+    )
+
+
+def emergence_summary(rows: DataFrame) -> DataFrame:
+    """One row: n, both rank correlations with growth, and the mean growth of the steepest tenth and of all."""
+    rows = stored(rows, "emergence")
+    model = spearman(rows, "model_slope", "future_growth").select("n", F.col("rho").alias("model_rho"))
+    trend = spearman(rows, "frequency_slope", "future_growth").select(F.col("rho").alias("trend_rho"))
+    top = top_share_mean(rows, "model_slope", "future_growth").select("top_mean", "mean")
+    return model.crossJoin(trend).crossJoin(top)  # three single rows
+
+
 def score_slopes(phrases: DataFrame, scorer, contexts: int = 3) -> DataFrame:
     """phrase, slope: the mean log probability over the contexts at the later date less that at the earlier one.
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronolith.functions.text import BLANKS, stripped, token_count
+from chronolith.functions.text import stripped, token_count
 
 
 def eligible(text: Column, board: Column) -> Column:
@@ -33,9 +33,6 @@ def evenly_spaced(n: int, k: int) -> list[int]:
     return [n // 2] if k == 1 else [round(i * (n - 1) / (k - 1)) for i in range(k)]
 
 
-__all__ = ["BLANKS", "bottom_k", "eligible", "evenly_spaced", "hash_key"]
-
-
 def family_hits(rows: DataFrame, families: dict[str, str]) -> DataFrame:
     """rows once for each family whose pattern they match; one scan tests all patterns."""
     found = F.filter(F.array(*[F.when(F.col("text").rlike(p), F.lit(name)) for name, p in families.items()]), lambda x: x.isNotNull())
@@ -57,3 +54,34 @@ def range_pick(counts: DataFrame, key: str, n: str, draws: int, salt: str = "pic
     cells = bounds.withColumn("cell", F.explode(F.expr(f"sequence(lo div {cell}, (hi - 1) div {cell})")))
     joined = picks.withColumn("cell", F.expr(f"pick div {cell}")).join(cells, "cell").filter("pick >= lo and pick < hi")
     return joined.select("i", "pick", key, (F.col("pick") - F.col("lo")).alias("place"))
+
+
+def annual(posts: DataFrame, root: str, years: list[int], k: int) -> None:
+    """Writes the sample of each year that is not below `root` yet: k posts of every board by hash, among the eligible ones."""
+    spark = posts.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    missing = [y for y in years if not fs.exists(path(f"{root}/year={y}/_done"))]
+    if not missing:
+        return
+    rows = posts.filter(F.col("year").isin(*missing) & eligible(F.col("text"), F.col("subreddit")))
+    picked = bottom_k(rows, ["year", "subreddit"], hash_key(F.col("year").cast("string"), F.col("id")), k)
+    picked.select("id", "text", "subreddit", "created_utc", "year").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(root)
+    for y in missing:  # the mark comes after the data; a year without posts has one, too
+        fs.mkdirs(path(f"{root}/year={y}"))
+        fs.create(path(f"{root}/year={y}/_done"), True).close()
+
+
+def read_annual(spark: SparkSession, root: str, years: list[int]) -> DataFrame:
+    """The union of the samples of some years."""
+    return spark.read.schema("id string, text string, subreddit string, created_utc long, year int").parquet(root).filter(F.col("year").isin(*years))
+
+
+def report(before: DataFrame, after: DataFrame, scanned: DataFrame) -> DataFrame:
+    """figure, key, n: rows before and after copies went, months scanned, and what is left by year and by board, in one pass."""
+    sets = after.groupingSets([["year"], ["subreddit"], []], "year", "subreddit").agg(F.count("*").alias("n"), F.grouping("year").alias("no_year"), F.grouping("subreddit").alias("no_board"))
+    figure = F.when(F.col("no_year") == 0, "year").when(F.col("no_board") == 0, "board").otherwise("after")
+    key = F.when(F.col("no_year") == 0, F.col("year").cast("string")).when(F.col("no_board") == 0, F.col("subreddit")).otherwise("")
+    one = lambda name, n: n.select(F.lit(name).alias("figure"), F.lit("").alias("key"), "n")
+    months = scanned.select("year", "month").distinct().agg(F.count("*").alias("n"))
+    return sets.select(figure.alias("figure"), key.alias("key"), "n").unionByName(one("before", before.agg(F.count("*").alias("n")))).unionByName(one("months", months))

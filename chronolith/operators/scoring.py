@@ -8,9 +8,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronolith.operators.tokens import word_ids
+from chronolith.shared import fresh_name
+
 #: Takes a batch of texts and one date for each, returns a number for each.
 Scorer = Callable[[pd.Series, pd.Series], Sequence[float]]
 
@@ -32,15 +35,62 @@ def scored(rows: DataFrame, make: Callable[[], Scorer], text: str = "text", date
     return rows.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + f", {out} double")
 
 
+def scored_by_length(rows: DataFrame, make: Callable[[], Scorer], text: str = "text", date: str = "date", out: str = "score", budget: int = 1 << 16, padded: str | None = None, order: list[str] | None = None) -> DataFrame:
+    """rows plus a model's number, the model's batches being of nearly equal lengths.
+
+    Rows are dealt by ranges of length and sorted inside; a batch goes on while its rows times its longest text stay within
+    `budget` characters, so memory is bounded by padded size, and a longer text is a batch of its own. padded: a column for the
+    length that each row was padded to. order: columns by which the result is sorted again. Null texts count as empty.
+    """
+    names, size = [*rows.columns], fresh_name("size", rows.columns, [out])
+    sized = rows.withColumn(size, F.coalesce(F.length(text), F.lit(0)))
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = sized.repartitionByRange(n, size, *(order or [])).sortWithinPartitions(size, *(order or []))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = make()
+        for pdf in batches:
+            sizes = pdf[size].to_numpy()
+            at = 0
+            while at < len(pdf):
+                # Sizes rise, so the padded size of pdf[at : k + 1] is (k + 1 - at) * sizes[k].
+                cost = np.arange(1, len(pdf) - at + 1) * np.maximum(sizes[at:], 1)
+                many = max(1, int(np.searchsorted(cost, budget, "right")))
+                part = pdf.iloc[at : at + many].copy()
+                part[out] = list(model(part[text].fillna(""), part[date]))
+                if padded:
+                    part[padded] = int(sizes[at + many - 1])
+                yield part.drop(columns=[size])
+                at += many
+
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in rows.dtypes), f"{out} double", *([f"{padded} bigint"] if padded else [])])
+    made = dealt.mapInPandas(run, schema).select(*names, out, *([padded] if padded else []))
+    return made.orderBy(*order) if order else made
+
+
 def curves(scored_: DataFrame, key: str, date: str = "date", out: str = "score") -> DataFrame:
     """key, losses: the scores of each key in order of date."""
     return scored_.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct(date, out))), lambda x: x[out]).alias("losses"))
 
 
-def choices(items: DataFrame) -> DataFrame:
-    """ind, ending, text, context_length: a row per possible ending of a multiple-choice item(ind, ctx, endings)."""
-    rows = items.select("ind", "ctx", F.posexplode("endings").alias("ending", "tail"))
-    return rows.select("ind", "ending", F.concat("ctx", F.lit(" "), "tail").alias("text"), F.length("ctx").alias("context_length"))
+def choices(items: DataFrame, tokenizer: Callable[[Column], Column] = word_ids) -> DataFrame:
+    """ind, ending, tokens, mask: a row per possible ending of a multiple-choice item(ind, ctx, endings).
+
+    tokens are the context's and those of a blank and the ending; mask is 1 for the ending's, over which a loss is taken.
+    """
+    rows = items.select("ind", tokenizer(F.col("ctx")).alias("context"), F.posexplode("endings").alias("ending", "tail"))
+    tail = tokenizer(F.concat(F.lit(" "), "tail"))
+    marks = F.concat(F.array_repeat(F.lit(0), F.size("context")), F.array_repeat(F.lit(1), F.size(tail)))
+    return rows.select("ind", "ending", F.concat("context", tail).alias("tokens"), marks.alias("mask"))
+
+
+def masked_losses(rendered: DataFrame, loss: Callable[[Column, Column], Column]) -> DataFrame:
+    """ind, ending, total, mean: the sum and the mean of loss(token, place) over the places that the mask marks."""
+    each = F.zip_with("tokens", "mask", lambda t, m: F.struct(t.alias("t"), m.alias("m")))
+    kept = F.filter(F.transform(each, lambda x, i: F.when(x["m"] == 1, loss(x["t"], i))), lambda x: x.isNotNull())
+    total = F.aggregate("kept", F.lit(0.0), lambda a, x: a + x)
+    rows = rendered.select("ind", "ending", kept.alias("kept"))
+    return rows.select("ind", "ending", total.alias("total"), F.try_divide(total, F.size("kept")).alias("mean"))
 
 
 def accuracy(losses: DataFrame) -> DataFrame:

@@ -11,9 +11,15 @@ from chronolith.plans.registry import query
 from chronolith.sources.views import table, vectors
 
 
-@query("expected_partitions", "select y::int as year, m::int as month, k as kind from range(2011, 2023) a(y), range(1, 13) b(m), (values ('submissions'), ('comments')) c(k) where y < 2022 or m <= 8")
+@query(
+    "expected_partitions",
+    """with o as (select min(year(o_orderdate)) as low, max(year(o_orderdate)) as high, max(o_orderdate) as last from orders)
+    select y::int as year, m::int as month, k as kind from o, unnest(range(low, high + 1)) a(y), range(1, 13) b(m), (values ('submissions'), ('comments')) c(k) where y < high or m <= month(last)""",
+)
 def expected_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manifest.expected(spark)
+    """Every month from the first year of the table to its last month, of both kinds."""
+    ends = table(spark, sf_dir, "orders").agg(F.year(F.min("o_orderdate")).alias("low"), F.year(F.max("o_orderdate")).alias("high"), F.month(F.max("o_orderdate")).alias("month")).first()
+    return manifest.expected(spark, ends["low"], ends["high"], ends["month"])
 
 
 PACKED = """p as (select year(o_orderdate)::int as year, month(o_orderdate)::int as month, 2 as version, count(*) as windows, count(o_totalprice) filter (o_orderkey > 40) as rows_,

@@ -25,9 +25,11 @@ def sample_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupingSets([["year"], ["subreddit"], []], "year", "subreddit").agg(F.count("*").alias("eligible"), F.countDistinct("h").alias("texts"))
 
 
-@query("learning_rate", "select i as step, round(case when i < 100 then 6e-4 * (i + 1) / 100 when i > 900 then 6e-5 else 6e-5 + 0.5 * (1 + cos(pi() * (i - 100) / 800)) * (6e-4 - 6e-5) end, 12) as lr from range(1000) r(i)")
+@query("learning_rate", "select i as step, round(case when i < 100 then 6e-4 * (i + 1) / 100 when i > 900 then 6e-5 else 6e-5 + 0.5 * (1 + cos(pi() * (i - 100) / 800)) * (6e-4 - 6e-5) end, 12) as lr from (select distinct event_id % 1000 as i from events)")
 def learning_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1000).select(F.col("id").alias("step"), F.round(timeutil.learning_rate(F.col("id"), 100, 900, 6e-4, 6e-5), 12).alias("lr"))
+    """The rate at every step that the log has."""
+    steps = table(spark, sf_dir, "events").select((F.col("event_id") % 1000).alias("step")).distinct()
+    return steps.select("step", F.round(timeutil.learning_rate(F.col("step"), 100, 900, 6e-4, 6e-5), 12).alias("lr"))
 
 
 @query("nodes_of_edges", "select l_orderkey as id from lineitem where l_quantity > 45 union select l_partkey from lineitem where l_quantity > 45")
