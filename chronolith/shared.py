@@ -103,6 +103,17 @@ def arrow_batches(spark: SparkSession, most: int) -> Iterator[None]:
             spark.conf.set(name, before)
 
 
+#: Bytes and rows of a batch that is sent to Python, where the session names no others.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session's Python batches are small: of whole texts, the usual number of rows is many megabytes."""
+    for name, value in BATCHES.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
+
+
 def fresh_name(wanted: str, *taken: list[str]) -> str:
     """A column name that none of the lists holds, whatever its case."""
     used = {c.lower() for names in taken for c in names}
