@@ -167,7 +167,7 @@ def _clean(texts: list[str | None]) -> list[str]:
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Scores from rows with a language, from at most about `sample` of each, picked by hash of the id.
+    """Scores from rows with a language, from at most about `sample` of each, picked by hash of id and text.
 
     The hashed tables have a fixed size, whatever the corpus.
     """
@@ -179,7 +179,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     part = F.lit(0)
     for lang, n in counts.items():
         part = F.when(F.col("lang") == lang, F.lit(min(1 << 20, int((1 << 20) * sample / n) + 1))).otherwise(part)
-    picked = rows.filter(F.pmod(F.xxhash64("id", F.lit(23)), F.lit(1 << 20)) < part)
+    picked = rows.filter(F.pmod(F.xxhash64("id", "text", F.lit(23)), F.lit(1 << 20)) < part)  # rows of one id, or of none, by themselves
     number = {lang: k for k, lang in enumerate(langs)}
     width = GRAM_BUCKETS + WORD_BUCKETS + N_SCRIPTS + 1
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chronolith.llm import alignment, chat_format, decontaminate, exact_dedup, filter_audit, imatch, langid, mixing, ngram_lm, packing, setsketch, toxicity, url_filter
 from chronolith.llm.common import crc_mod, table
+from chronolith.shared import bounded_batches
 
 #: Fixed rules of the url query.
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -45,6 +46,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.filter(crc_mod(F.col("doc_id"), 4) != 2))
     out = docs.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), toxicity.score_column(F.col("text"), model).alias("score"))

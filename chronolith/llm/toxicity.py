@@ -3,12 +3,13 @@
 Fitting: words and word beginnings of toxic training rows that occur there in more different contexts than chance allows
 are lexicon terms; the shortest beginning that carries the evidence stands for its longer forms. Matching: a Levenshtein
 automaton of the word (states: positions x edits) is walked down a trie of the lexicon, so a term is found in a word that
-is at most one edit away. Scoring: a hit weighs the log ratio of its rates in toxic and clean training text, and in a
+is one edit away, two for long terms, and in a word some letters of which are signs or digits. Scoring: a hit weighs the log ratio of its rates in toxic and clean training text, and in a
 window that quotes or reports the share of it that such hits were worth in training; a logistic model of the summed weight and its density in the row makes the score.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter, defaultdict
@@ -20,15 +21,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.shared import stored
+from chronolith.shared import arrow_batches, stored
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Training rows of each class, at most (a hashed sample of the labelled rows).
 SAMPLE_TOXIC, SAMPLE_CLEAN = 6000, 12000
 STEM_LENGTHS = (4, 5, 6, 7, 8)
-#: Terms shorter than this are matched as they are.
-FUZZY_FROM = 5
+#: Terms shorter than this are matched as they are, or with two neighbours swapped; those of TWICE_FROM letters may be two edits
+#: away. In a word with signs for letters, terms from MASKED_FROM letters on may be one edit away.
+FUZZY_FROM, TWICE_FROM, MASKED_FROM, MASKED_MOST = 5, 8, 4, 24
 WINDOW = 5
+#: Texts whose words are matched together, and rows of a text whose candidates are counted together.
+PART_CHARS, PART_ROWS = 1 << 19, 250
+#: Bytes of a batch that fitting sends to Python.
+FIT_BYTES = 4 << 20
+#: Signs that stand for letters, and those of them that are no part of a word at its ends.
+SIGNS, OUTER = "@$!*#|+%&€", "!*#|+%&€"
+SIGN = re.compile(r"[@$!*#|+%&€\d]")
+MASKED = re.compile(r"[@$!*#|+%&€\d][^\W\d_]")
+#: Bytes of a batch that fitting sends to Python.
+FIT_BYTES = 4 << 20
+#: Signs that stand for letters, and those of them that are no part of a word at its ends.
+SIGN, OUTER = re.compile(r"[@$!*#|+%&€\d]"), "!*#|+%&€"
 #: A quoted or reported hit keeps this share of its weight, before training has shown what it is worth, and the hits of
 #: training that outweigh this.
 QUOTED, QUOTED_HITS = 0.3, 30
@@ -83,10 +97,14 @@ class Automaton:
         return min(state[0]) <= self.most or (state[1] is not None and min(state[1]) < self.most)
 
 
-def best_match(root: Node, word: str) -> tuple[str, int] | None:
-    """The lexicon term nearest to the word, and its edits: 0, or 1 for terms of FUZZY_FROM letters and more.
+def most_edits(letters: int, least: int = FUZZY_FROM) -> int:
+    return 0 if letters < least else 1 if letters < TWICE_FROM else 2
 
-    A beginning matches a word that begins with it, or with a string one edit away. Exact hits win, then longer terms.
+
+def best_match(root: Node, word: str, most: int = 1, least: int = FUZZY_FROM) -> tuple[str, int] | None:
+    """The lexicon term nearest to the word, and its edits: 0, or up to `most` and most_edits of the term's letters.
+
+    A beginning matches a word that begins with it, or with a string so many edits away. Fewer edits win, then longer terms.
     """
     at, exact = root, None
     for k, c in enumerate(word):
@@ -95,54 +113,113 @@ def best_match(root: Node, word: str) -> tuple[str, int] | None:
             break
         if at.term and (at.stem or k == len(word) - 1):
             exact = at.term
-    if exact or len(word) < FUZZY_FROM - 1:
+    if exact or len(word) < least - 1:
         return (exact, 0) if exact else None
-    found: list[str] = []
-    auto = Automaton(word, 1)
+    found: list[tuple[int, int, str]] = []
+    auto = Automaton(word, most)
     stack = [(root, auto.start, 0)]
     while stack:
         node, state, depth = stack.pop()
-        if node.term and depth >= FUZZY_FROM and ((min(state[0]) if node.stem else state[0][-1]) <= 1):
-            found.append(node.term)
+        edits = min(state[0]) if node.stem else state[0][-1]
+        if node.term and edits <= min(most, most_edits(depth, least)):
+            found.append((-edits, len(node.term), node.term))
         for c, below in node.next.items():
             after = auto.step(state, c)
             if auto.alive(after):
                 stack.append((below, after, depth + 1))
-    return (max(found, key=lambda t: (len(t), t)), 1) if found else None
+    return (max(found)[2], -max(found)[0]) if found else None
 
 
 class Matcher:
-    """best_match behind a cheap test: one edit leaves the first or the last half of a term in place."""
+    """best_match behind a cheap test: a few edits leave a part of a term in place."""
 
-    def __init__(self, terms: dict[str, bool], cache: int = 200_000):
-        self.root, self.cache, self.most = build_trie(terms), {}, cache
+    def __init__(self, terms: dict[str, bool], cache: int = 100_000):
+        self.root, self.cache, self.limit = build_trie(terms), {}, cache
+        self.long = {t: stem for t, stem in terms.items() if most_edits(len(t)) > 1}
+        self.long_root, self.shortest = build_trie(self.long), min(map(len, self.long), default=0) - 2
         self.heads: dict[int, set[str]] = defaultdict(set)
         self.second: dict[int, set[str]] = defaultdict(set)
+        self.inner: dict[tuple[int, int, int], set[str]] = defaultdict(set)  # by length, place, and how far off it may be
+        self.swapped: dict[str, str] = {}
         for t in terms:
             cut = len(t) // 2 if len(t) >= FUZZY_FROM else len(t)
             self.heads[cut].add(t[:cut])
             if len(t) >= FUZZY_FROM:
                 self.heads[cut].add(t[: cut - 1] + t[cut])  # the two halves' neighbours swapped
                 self.second[len(t) - cut].add(t[cut:])
-        self.head_lens, self.second_lens = sorted(self.heads), sorted(self.second)
+            else:
+                self.swapped.update({v: t for k in range(len(t) - 1) if len(t) == 4 and (v := t[:k] + t[k + 1] + t[k] + t[k + 2 :]) not in terms})
+            if len(t) >= TWICE_FROM:
+                # Two edits leave one of three parts in place, but for swaps over their bounds: then a part whose last letter
+                # is the next one's first.
+                x, y = len(t) // 3, 2 * len(t) // 3
+                for part, at, off in ((t[:x], 0, 0), (t[x:y], x, 2), (t[y:], y, 2), (t[: x - 1] + t[x], 0, 0), (t[x : y - 1] + t[y], x, 1)):
+                    self.inner[len(part), at, off].add(part)
+        # (length, first and last place, strings): a word has one of the strings there if it can match.
+        self.near = [(k, 0, 1, xs) for k, xs in sorted(self.heads.items())]
+        # The second half begins at k or k - 1 in its term, and here one place off at most.
+        self.near += [(k, max(0, k - 2), k + 2, xs) for k, xs in sorted(self.second.items())]
+        self.far = [(k, max(0, at - off), at + off + 1, xs) for (k, at, off), xs in sorted(self.inner.items())]
+        # What of these strings a word holds anywhere is asked first.
+        self.pairs = {x for k, _, _, xs in self.far for x in xs if k == 2}
+        self.threes = {x[:3] for k, _, _, xs in self.far for x in xs if k > 2}
+        self.letters = [(len(t), stem, Counter(t)) for t, stem in self.long.items()]
+        self.stems = {t for t, stem in terms.items() if stem}
+
+    @staticmethod
+    def _holds(w: str, tests: list[tuple[int, int, int, set[str]]]) -> bool:
+        for k, first, stop, strings in tests:
+            for a in range(first, stop):
+                if w[a : a + k] in strings:
+                    return True
+        return False
 
     def may(self, w: str) -> bool:
-        if any(w[:k] in self.heads[k] for k in self.head_lens):
-            return True
-        for k in self.second_lens:  # the second half begins at k or k - 1 in its term, and here one place off at most
-            tails = self.second[k]
-            if any(w[a : a + k] in tails for a in range(max(0, k - 2), k + 2)):
-                return True
-        return False
+        return self._holds(w, self.near)
+
+    def may_twice(self, w: str) -> bool:
+        """Also, all but two letters of some term are among those of the word."""
+        if len(w) < self.shortest or not (w[:2] in self.pairs or any([w[a : a + 3] in self.threes for a in range(len(w) - 2)])) or not self._holds(w, self.far):
+            return False
+        own = Counter(w)
+        return any((stem or len(w) <= n + 2) and n - 2 <= len(w) and (letters - own).total() <= 2 for n, stem, letters in self.letters)
+
+    def _found(self, w: str) -> tuple[str, int] | None:
+        if SIGN.search(w):
+            return best_match(self.root, w, 1, MASKED_FROM) or (best_match(self.long_root, w, 2) if self.long else None)
+        got = best_match(self.root, w, 1) if self.may(w) else None
+        if got is None and (term := self.swapped.get(w[:4])) and (len(w) == 4 or term in self.stems):
+            return term, 1
+        return got or (best_match(self.long_root, w, 2) if self.long and self.may_twice(w) else None)
 
     def __call__(self, w: str) -> tuple[str, int] | None:
-        if w in self.cache:
-            return self.cache[w]
-        got = best_match(self.root, w) if self.may(w) else None
-        if len(self.cache) >= self.most:
-            self.cache.clear()
-        self.cache[w] = got
-        return got
+        if w not in self.cache:
+            if len(self.cache) >= self.limit:
+                self.cache.clear()
+            self.cache[w] = self._found(w)
+        return self.cache[w]
+
+
+def masked_words(low: str) -> list[tuple[int, int]]:
+    """Places of words of a lower-cased text in which signs or digits stand before letters, among them or at the beginning."""
+    out: list[tuple[int, int]] = []
+    end = 0
+    for m in MASKED.finditer(low):
+        if m.start() < end:
+            continue
+        a, b = m.span()
+        while a > end and (low[a - 1].isalnum() or low[a - 1] in SIGNS):
+            a -= 1
+        while b < len(low) and (low[b].isalnum() or low[b] in SIGNS):
+            b += 1
+        end = b
+        while low[a] in OUTER:
+            a += 1
+        while low[b - 1] in OUTER:
+            b -= 1
+        if MASKED_FROM <= b - a <= MASKED_MOST and SIGN.search(low, a, b):
+            out.append((a, b))
+    return out
 
 
 # ---------------------------------------------------------------- scoring
@@ -154,17 +231,22 @@ def find_hits(text: str, match: Matcher) -> tuple[list[tuple[int, int, str, int,
     Quoted: a sign of quotation on either side within WINDOW words. Reported: one of REPORTING among them.
     """
     low = text.lower()
-    spans = list(WORD.finditer(low))
-    out = []
-    for k, m in enumerate(spans):
-        got = match(m.group())
-        if got is None:
-            continue
+    spans = [m.span() for m in WORD.finditer(low)]
+    words = [(a, b, k) for k, (a, b) in enumerate(spans)]
+    masked = masked_words(low)
+    if masked:
+        starts = [a for a, _ in spans]
+        words += [(a, b, bisect.bisect_right(starts, a) - 1 if a >= starts[0] else 0) for a, b in masked]
+    out: list[tuple[int, int, str, int, bool]] = []
+    for a, b, k in words:
+        got = match(low[a:b])
+        if got is None or (k < len(spans) and (a, b) != spans[k] and any(x < b and a < y for x, y, *_ in out)):
+            continue  # of a word with signs in it, letters by themselves are a term
         around = spans[max(0, k - WINDOW) : k + WINDOW + 1]
-        left, right = low[around[0].start() : m.start()], low[m.end() : around[-1].end() + 1]
-        told = (any(q in left for q in QUOTES) and any(q in right for q in QUOTES)) or not REPORTING.isdisjoint(x.group() for x in around)
-        out.append((m.start(), m.end(), *got, told))
-    return out, len(spans)
+        left, right = low[min(a, around[0][0]) : a], low[b : max(b, around[-1][1]) + 1]
+        told = (any(q in left for q in QUOTES) and any(q in right for q in QUOTES)) or not REPORTING.isdisjoint(low[x:y] for x, y in around)
+        out.append((a, b, *got, told))
+    return sorted(out), len(spans)
 
 
 @dataclass
@@ -217,6 +299,12 @@ def _candidates(text: str) -> Iterator[tuple[str, int]]:
                 yield w[:n] + "*", context
 
 
+def _few_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, PART_ROWS):
+            yield batch.slice(at, PART_ROWS)
+
+
 def hash_of(s: str) -> int:
     import xxhash
 
@@ -227,7 +315,7 @@ def _frequent(rows: DataFrame, least: int) -> frozenset[str]:
     """Candidates that occur in at least `least` rows; summed per batch, so little is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few_rows(batches):
             n: Counter[str] = Counter()
             for text in batch.column("text").to_pylist():
                 n.update({x[0] for x in _candidates(text or "")})
@@ -299,6 +387,11 @@ def _choose(pos: dict[str, int], neg: dict[str, int], share: float) -> dict[str,
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN) -> Model:
     """Lexicon and weights from labelled rows: about `toxic` and `clean` of them at most, picked by hash of the id."""
+    with arrow_batches(docs.sparkSession, FIT_BYTES):
+        return _fit(docs, labels, id_col, text_col, label_col, toxic, clean)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, toxic: int, clean: int) -> Model:
     known = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) == 1).alias("bad")).groupBy("id").agg(F.max("bad").alias("bad"))
     counts = {r["bad"]: r["n"] for r in known.groupBy("bad").agg(F.count("*").alias("n")).collect()}
     if not counts.get(True):
@@ -340,7 +433,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     quoted = _quoted_share(told, words)
     weight: dict[tuple[str, int], float] = {}
     for t in terms:
-        for edits in (0, 1):
+        for edits in (0, 1, 2):
             c, b = count[(t, edits)]
             ratio = math.log((b + 0.5) / words[1]) - math.log((c + 0.5) / words[0])
             # A misspelling that training has hardly seen counts half of the term.
@@ -380,7 +473,7 @@ def score_column(text: Column, model: Model) -> Column:
     return run(text)
 
 
-def _parts(texts: list[str | None], limit: int = 1 << 21) -> Iterator[tuple[int, list[str | None]]]:
+def _parts(texts: list[str | None], limit: int = PART_CHARS) -> Iterator[tuple[int, list[str | None]]]:
     a, size = 0, 0
     for k, t in enumerate(texts):
         if k > a and size + len(t or "") > limit:
@@ -393,7 +486,8 @@ def _parts(texts: list[str | None], limit: int = 1 << 21) -> Iterator[tuple[int,
 
 def _touched(texts: list[str | None], match: Matcher) -> list[int]:
     """Rows with a hit: the distinct words of all rows are matched once."""
-    found = [set(WORD.findall(t.lower())) if t else set() for t in texts]
+    lower = [t.lower() if t else "" for t in texts]
+    found = [{*WORD.findall(t), *(t[a:b] for a, b in masked_words(t))} for t in lower]
     every = set().union(*found) if found else set()
     bad = {w for w in every if match(w) is not None}
     return [k for k, ws in enumerate(found) if not bad.isdisjoint(ws)]

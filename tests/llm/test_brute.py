@@ -242,7 +242,7 @@ def test_toxicity_scores_by_plain_loops(spark):
     rng = random.Random(21)
     word = lambda: "".join(rng.choice("bdfglmnprt") + rng.choice("aeiou") for _ in range(3))
     terms = {"slurword": False, "vile": True, "grubstem": True, "nasty": False}
-    weight = {(t, e): 1.5 + k / 4 - e / 2 for k, t in enumerate(terms) for e in (0, 1)}
+    weight = {(t, e): 1.5 + k / 4 - e / 2 for k, t in enumerate(terms) for e in (0, 1, 2)}
     model = toxicity.Model(terms, weight, 0.02, (-3.0, 0.6, 0.4, 0.1))
 
     def distance(a, b):
@@ -258,8 +258,12 @@ def test_toxicity_scores_by_plain_loops(spark):
         exact = [t for t, stem in terms.items() if (w.startswith(t) if stem else w == t)]
         if exact:
             return max(exact, key=len), 0
-        near = [t for t, stem in terms.items() if len(t) >= 5 and len(w) >= 4 and min(distance(w[:k], t) for k in (range(len(w) + 1) if stem else [len(w)])) <= 1]
-        return (max(near, key=lambda t: (len(t), t)), 1) if near else None
+        far = {t: min(distance(w[:k], t) for k in (range(len(w) + 1) if stem else [len(w)])) for t, stem in terms.items()}
+        near = [(-d, len(t), t) for t, d in far.items() if len(w) >= 4 and d <= (0 if len(t) < 5 else 1 if len(t) < 8 else 2)]
+        if near:
+            return max(near)[2], -max(near)[0]
+        swaps = [t for t, stem in terms.items() if len(t) == 4 and (stem or len(w) == 4) and distance(w[:4], t) == 1 and sorted(w[:4]) == sorted(t)]
+        return (swaps[0], 1) if swaps else None
 
     def score(text):
         ws = [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", text.lower())]
@@ -277,7 +281,7 @@ def test_toxicity_scores_by_plain_loops(spark):
         x = np.array([1.0, min(total, 25.0), math.log((total + 0.5) / (len(ws) + 20.0)) + 4, math.log1p(len(ws)) - 5])
         return max(0.02, 1 / (1 + math.exp(-float(x @ np.array(model.coef)))))
 
-    bad = ["slurword", "slurwrod", "vile", "vileness", "grubstems", "grubtsem", "nasty", "nsty", "nastyy", "slur"]
+    bad = ["slurword", "slurwrod", "vile", "vileness", "grubstems", "grubtsem", "nasty", "nsty", "nastyy", "slur", "vlie", "lsurwrod", "sluwrd"]
     texts = [" ".join(rng.choice(bad) if rng.random() < 0.15 else rng.choice([word(), word(), '"', "said"]) for _ in range(rng.randrange(0, 60))) for _ in range(150)]
     got = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
     assert all(abs(r["score"] - score(texts[r["doc_id"]])) < 1e-9 for r in got)

