@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from chronolith.llm import exact_dedup, mixing, packing, setsketch, toxicity
 from chronolith.llm.common import table
 from chronolith.llm.queries import public_tokenizer
-from chronolith.shared import stored
+from chronolith.shared import bounded_batches, stored
 
 THRESHOLD = 0.3
 
@@ -23,6 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Empty and null texts score low and stay; without a label nothing is learned and every row stays.
     """
+    bounded_batches(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return docs.filter(toxicity.score_column(F.col("text"), model) < THRESHOLD)
 
