@@ -267,3 +267,11 @@ def tfidf(docs: DataFrame, words: Column, id_col: str = "id") -> DataFrame:
     raw = tf.join(df, "term").withColumn("x", F.col("tf") * (F.ln((1.0 + n) / (1.0 + F.col("df"))) + 1.0))
     size = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
     return raw.join(size, "id").select("id", "term", (F.col("x") / F.col("size")).alias("w"))
+
+
+def probe_wins(scores: DataFrame) -> DataFrame:
+    """method, probes, literal_wins, paraphrase_wins from method, probe, role, score: how often either is nearer than the unrelated one."""
+    of = lambda role: F.max(F.when(F.col("role") == role, F.col("score")))
+    rows = scores.groupBy("method", "probe").agg(*[of(r).alias(r) for r in ("literal", "paraphrase", "unrelated")])
+    wins = lambda r: F.count_if(F.col(r) > F.col("unrelated"))
+    return rows.groupBy("method").agg(F.count("*").alias("probes"), wins("literal").alias("literal_wins"), wins("paraphrase").alias("paraphrase_wins"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.operators import scoring, tokens
+from chronolith.operators.clean import audit_flags
 from chronolith.operators.prefix import running_before
 from chronolith.plans.analysis import EDGE_SQL, _edges
 from chronolith.plans.registry import query
@@ -134,3 +135,24 @@ def clean_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = files.read_parts(spark, f"{root}/data", years=[last])
     made = read.groupBy("year", "month", "kind").agg(F.count("*").alias("n"), F.count_if(F.length("text") > 200).alias("long_texts"))
     return made.join(done, ["year", "month", "kind"]).filter(F.col("n") == F.col("kept")).select("year", "month", "n", "long_texts")
+
+
+@query(
+    "file_audit",
+    f"""with {POSTS_SQL}, f as (select id, subreddit, text, ('0x' || substr(md5(id), 1, 4))::int % 4 as shard, row_number() over (partition by subreddit, ('0x' || substr(md5(id), 1, 4))::int % 4 order by id) - 1 as row from posts),
+    n as (select subreddit, shard, count(*) as rows, row_number() over (partition by subreddit order by shard) - 1 as no, count(*) over (partition by subreddit) as files from f group by subreddit, shard),
+    c as (select subreddit, shard, rows from n where no = ('0x' || substr(md5('audit:' || subreddit), 1, 8))::bigint % files),
+    s as (select f.*, rows from f join c using (subreddit, shard) qualify row_number() over (partition by subreddit order by md5('audit:' || row), row) <= 12)
+    select subreddit, any_value(rows) as rows_in_file, count(*) as sampled, count(*) filter (length(text) > 12000 or regexp_matches(text, '(?i)!\\[[^]]*\\]\\([^)]*\\)|<img\\b')) as flagged, string_agg(id, ',' order by id) as ids from s group by 1""",
+)
+def file_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file of each board by a seed, and of it twelve rows, looked through for what cleaning should have removed."""
+    path = fresh_path(spark, "clean")
+    rows = posts(spark, sf_dir).select("id", "subreddit", "text", F.col("subreddit").alias("part")).withColumn("shard", _dealt(F.col("id"), 4))
+    rows.repartition("part", "shard").sortWithinPartitions("part", "shard", "id").write.partitionBy("part", "shard").parquet(path)
+    found = files.file_table(spark.read.parquet(path)).withColumn("part", F.regexp_extract("file", "/part=([^/]*)/", 1))
+    chosen = files.one_file_each(found, ["part"], "audit")
+    sampled = files.sampled_rows(spark, chosen, ["part"], "audit", 12, "id string, subreddit string, text string")
+    flagged = F.size(F.filter(audit_flags(F.col("text")), lambda x: x.isin("too_long", "image_markup"))) > 0
+    made = sampled.join(chosen.select("part", "rows"), "part").groupBy("subreddit").agg(F.first("rows").alias("rows_in_file"), F.count("*").alias("sampled"), F.count_if(flagged).alias("flagged"), F.array_join(F.sort_array(F.collect_list("id")), ",").alias("ids"))
+    return made

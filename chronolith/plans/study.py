@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from chronolith.functions import text as T
 from chronolith.functions import timeutil
 from chronolith.functions import vectors as V
-from chronolith.operators import clean, dedup, graph, neighbors, phrases, sample, scoring, tokens
+from chronolith.operators import clean, dedup, graph, neighbors, phrases, requests, sample, scoring, tokens
 from chronolith.operators.prefix import running_before
 from chronolith.operators.quantiles import quantiles
 from chronolith.plans.analysis import CONTEXT_SQL, DOT, EDGE_SQL, FLOOR, ROOT_SQL, TFIDF_SQL, UNIT_SQL, _edges, _labelled, _links, _text_words, lex_docs_sql
@@ -319,3 +319,46 @@ def marked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     generated = F.concat("text", F.lit("<|endoftext|>"), "subreddit", F.lit("<|endoftext|>x"))
     number = F.col("year") * 12 + F.col("month") - 1
     return rows.select("id", F.md5(T.marked(F.col("subreddit"), F.col("text")).cast("binary")).alias("marked_md5"), T.after_mark(generated).alias("after_mark"), timeutil.month_label(number).alias("month"))
+
+
+@query(
+    "probe_scores",
+    f"""with {UNIT_SQL}, {lex_docs_sql('where id in (select id from u)')}, {TFIDF_SQL},
+    pr as (select a.id as probe, role, b.id as other, {DOT.format('a.embedding', 'b.embedding')} / (a.len * b.len) as cosine from u a, (values ('literal', 1), ('paraphrase', 2), ('unrelated', 3)) r(role, k), u b where a.id % 7 = 0 and b.id = a.id + k),
+    s as (select 'embedding' as method, probe, role, round(cosine, 9) as score from pr union all select 'tfidf', probe, role, round(coalesce(lexical, 0), 9) from pr left join lex on child = other and parent = probe),
+    w as (select method, probe, max(score) filter (role = 'literal') as l, max(score) filter (role = 'paraphrase') as p, max(score) filter (role = 'unrelated') as n from s group by all)
+    select method, count(*) as probes, count(*) filter (l > n) as literal_wins, count(*) filter (p > n) as paraphrase_wins from w group by 1""",
+)
+def probe_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh vector with the next three as its literal, paraphrased and unrelated companions, by vectors and by words."""
+    rows = vectors(spark, sf_dir).select("id", "embedding")
+    roles = F.array(*[F.struct(F.lit(name).alias("role"), (F.col("id") + k).alias("other")) for k, name in enumerate(("literal", "paraphrase", "unrelated"), 1)])
+    probes = rows.filter("id % 7 = 0").select(F.col("id").alias("probe"), F.col("embedding").alias("a"), F.explode(roles).alias("r")).select("probe", "a", "r.*")
+    met = stored(probes.join(rows.select(F.col("id").alias("other"), F.col("embedding").alias("b")), "other"), "probes")
+    weights = neighbors.tfidf(_text_words(spark, sf_dir).join(rows.select("id"), "id", "left_semi"), F.col("ws"))
+    lexical = neighbors.lexical_links(weights, met.select(F.col("other").alias("child"), F.col("probe").alias("parent"))).withColumnsRenamed({"child": "other", "parent": "probe"})
+    by_vector = met.select(F.lit("embedding").alias("method"), "probe", "role", F.round(V.cosine(F.col("a"), F.col("b")), 9).alias("score"))
+    by_words = met.join(lexical, ["probe", "other"], "left").select(F.lit("tfidf").alias("method"), "probe", "role", F.round(F.coalesce("lexical", F.lit(0.0)), 9).alias("score"))
+    return neighbors.probe_wins(by_vector.unionByName(by_words))
+
+
+REQUESTS = """q as (select conv_id, turn, case when turn % 5 = 0 then left(coalesce(text, ''), 20) else ' ' || left(coalesce(text, ''), 100 + turn * 15) || ' ' end as prompt,
+  case when conv_id % 11 = 0 then 'soon' when conv_id % 3 = 0 then (2003 + conv_id % 25)::varchar else (2009 + conv_id % 15)::varchar || '-0' || (1 + conv_id % 9)::varchar || '-15' end as date,
+  case when conv_id % 13 = 0 then 'many' else (conv_id % 70)::varchar end as n from conversations)"""
+
+
+@query(
+    "generation_requests",
+    f"""with {REQUESTS}, t as (select *, trim(prompt, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) as p, try_cast(case when length(date) = 4 then date || '-07-01' else date end as date) as d, try_cast(date[1:4] as int) as y, try_cast(n as int) as k from q),
+    r as (select *, case when d is null or y is null or k is null then 'invalid parameter' when not (length(p) between 1 and 160 and y between 2008 and 2024 and k between 1 and 64) then 'out of range'
+      when len(regexp_extract_all(p, '[^\x20\x09-\x0D]+')) not between 1 and 64 then 'prompt tokens' else 'ok' end as reason from t)
+    select conv_id, turn, reason, case when reason = 'ok' then round((epoch(d) - 1293840000) / (1609459199 - 1293840000)::double, 9) end as tau from r""",
+)
+def generation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests made of conversations, some with bad dates, counts or prompts."""
+    c, t = F.col("conv_id"), F.coalesce("text", F.lit(""))
+    prompt = F.when(F.col("turn") % 5 == 0, F.substring(t, 1, 20)).otherwise(F.concat(F.lit(" "), F.substring(t, F.lit(1), (F.col("turn") * 15 + 100).cast("int")), F.lit(" ")))
+    day = F.concat((c % 15 + 2009).cast("string"), F.lit("-0"), (c % 9 + 1).cast("string"), F.lit("-15"))
+    date = F.when(c % 11 == 0, "soon").when(c % 3 == 0, (c % 25 + 2003).cast("string")).otherwise(day)
+    reason, tau = requests.judged(prompt, date, F.when(c % 13 == 0, "many").otherwise((c % 70).cast("string")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", reason.alias("reason"), F.round(tau, 9).alias("tau"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
+from chronolith.functions.text import hash_number
 from chronolith.operators.sample import evenly_spaced
 
 CLEAN = S.StructType(
@@ -51,6 +52,28 @@ def shard_bytes(files: DataFrame, keys: list[str], most: int) -> DataFrame:
     return placed.groupBy(*keys).agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), of(F.lit(1)).alias("sampled_files"), of(F.col("bytes")).alias("sampled_bytes"))
 
 
+def one_file_each(files: DataFrame, keys: list[str], seed: str) -> DataFrame:
+    """keys, file, rows: one file of each partition, chosen by a hash of the seed and the partition; empty files are not there."""
+    w = Window.partitionBy(*keys)
+    placed = files.withColumn("no", F.row_number().over(w.orderBy("file")) - 1).withColumn("n", F.count("*").over(w))
+    pick = hash_number(F.concat_ws(":", F.lit(seed), *[F.col(k).cast("string") for k in keys])) % F.col("n")
+    return placed.filter(F.col("no") == pick).select(*keys, "file", "rows")
+
+
+def sampled_rows(spark: SparkSession, chosen: DataFrame, keys: list[str], seed: str, k: int, schema: str) -> DataFrame:
+    """keys, row and the columns of `schema` of k rows of each chosen Parquet file, by a hash of seed and row number.
+
+    Only the chosen files are opened, and rank limits keep k rows of each before anything is shuffled.
+    """
+    files = [r["file"] for r in chosen.select("file").collect()]  # one for each partition
+    if not files:
+        return spark.createDataFrame([], f"row bigint, {schema}")
+    rows = spark.read.schema(schema).parquet(*files).select("*", F.col("_metadata.row_index").alias("row"), F.col("_metadata.file_path").alias("file"))
+    turn = Window.partitionBy("file").orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col("row").cast("string")).cast("binary")), "row")
+    picked = rows.withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= k)
+    return picked.join(chosen.select(*keys, "file"), "file").drop("file", "turn")
+
+
 def first_rows(spark: SparkSession, path: str, limit: int, columns: list[str] | None = None, look: int = 1) -> DataFrame:
     """The first `limit` rows of a Parquet table in the order of its files' paths and of the rows in them.
 

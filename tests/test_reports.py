@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronolith.functions import vectors
-from chronolith.operators import clean, graph, phrases, sample, scoring
+from chronolith.operators import clean, graph, neighbors, phrases, requests, sample, scoring
 from chronolith.sources import files
 
 
@@ -135,3 +135,36 @@ def test_times_before_1970_are_outside_the_month(spark):
     rows = [(2013, 3, "comments", f"{k}", "u", "memes", t, None, None, None, "a text") for k, t in enumerate(["-86400", "-62135596801", "1e99", None, "1362100000"])]
     df = spark.createDataFrame(rows, "year int, month int, kind string, id string, author string, subreddit string, created_utc string, url string, title string, selftext string, body string")
     assert {r["id"]: r["reason"] for r in clean.raw_reason(df).collect()} == {"0": "outside_month", "1": "bad_timestamp", "2": "bad_timestamp", "3": "bad_timestamp", "4": "kept"}
+
+
+def test_requests_are_judged_in_order(spark):
+    rows = [
+        ("hello there", "2020", "60", "ok"), ("  ", "2020", "60", "out of range"), (None, "2020", "60", "out of range"), ("x" * 161, "2020-02-03", "1", "out of range"), ("x", "2020-02-30", "1", "invalid parameter"),
+        ("x", "2007", "1", "out of range"), ("x", "2024-12-31", "64", "ok"), ("x", "2024", "65", "out of range"), ("x", "2024", "0", "out of range"), ("x", None, "1", "invalid parameter"), ("x", "2020", "ten", "invalid parameter"),
+        ("a " * 65, "2020", "5", "prompt tokens"), ("a " * 64, "2020", "5", "ok"),
+    ]
+    df = spark.createDataFrame(rows, "prompt string, date string, n string, want string")
+    reason, tau = requests.judged(F.col("prompt"), F.col("date"), F.col("n"))
+    got = df.select("date", "want", reason.alias("got"), tau.alias("tau")).collect()
+    assert all(r["got"] == r["want"] and (r["tau"] is None) == (r["got"] != "ok") for r in got)
+    assert next(r["tau"] for r in got if r["date"] == "2024-12-31") > 1  # beyond the years of training
+
+
+def test_probe_wins(spark):
+    scores = [("m", p, role, s) for p, three in enumerate([(0.9, 0.5, 0.1), (0.1, 0.5, 0.3), (0.3, 0.3, 0.3)]) for role, s in zip(("literal", "paraphrase", "unrelated"), three, strict=True)]
+    df = spark.createDataFrame(scores, "method string, probe int, role string, score double")
+    assert tuple(neighbors.probe_wins(df).first()) == ("m", 3, 1, 2)
+
+
+def test_rows_of_one_chosen_file(spark, tmp_path):
+    df = spark.range(400).select("id", (F.col("id") % 2).alias("part"), (F.col("id") % 5).alias("shard"))
+    df.repartition("part", "shard").write.partitionBy("part", "shard").parquet(f"{tmp_path}/t")
+    found = files.file_table(spark.read.parquet(f"{tmp_path}/t")).withColumn("part", F.regexp_extract("file", "part=(.)", 1))
+    chosen = files.one_file_each(found, ["part"], "s")
+    assert sorted(r["part"] for r in chosen.collect()) == ["0", "1"]
+    got = files.sampled_rows(spark, chosen, ["part"], "s", 7, "id bigint").collect()
+    assert sorted(r["part"] for r in got) == ["0"] * 7 + ["1"] * 7
+    assert all(len({r["id"] % 5 for r in got if r["part"] == p}) == 1 and all(r["id"] % 2 == int(p) for r in got if r["part"] == p) for p in "01")
+    again = files.sampled_rows(spark, files.one_file_each(found, ["part"], "s"), ["part"], "s", 7, "id bigint").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+    assert files.sampled_rows(spark, chosen.limit(0), ["part"], "s", 7, "id bigint").count() == 0
