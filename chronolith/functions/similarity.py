@@ -17,6 +17,8 @@ from pyspark.sql.types import DoubleType
 
 #: Characters of a run; texts up to SHORT characters are compared by difflib.
 GRAM, SHORT = 8, 200
+#: Lengths of the runs that a pair is tested by: short ones bear more unmatched characters, long ones are seldom shared by chance.
+TESTED = (3, 5, GRAM)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -29,10 +31,10 @@ def most_unmatched(n: int, m: int, least: float) -> int:
     return int((1.0 - least) * (n + m) + 1e-6)
 
 
-def spoiled_runs(n: int, m: int, least: float) -> int:
-    """Runs of the text of n characters that its partner of m may lack at that ratio."""
+def spoiled_runs(n: int, m: int, least: float, size: int = GRAM) -> int:
+    """Runs of `size` characters of the text of n that its partner of m may lack at that ratio."""
     d = most_unmatched(n, m, least)
-    return (GRAM - 1) * d + max(0, min(n, (d + n - m) // 2))
+    return (size - 1) * d + max(0, min(n, (d + n - m) // 2))
 
 
 def _powers(n: int) -> np.ndarray:
@@ -66,8 +68,11 @@ def may_reach(x: np.ndarray, y: np.ndarray, least: float) -> bool:
     d = most_unmatched(n, m, least)
     if n + m - 2 * min(n, m) > d or n + m - 2 * _shared(x, y) > d:
         return False
-    wanted = max(n - GRAM + 1 - spoiled_runs(n, m, least), m - GRAM + 1 - spoiled_runs(m, n, least))
-    return wanted <= 0 or _shared(run_hashes(x), run_hashes(y)) >= wanted
+    for size in TESTED:
+        wanted = max(n - size + 1 - spoiled_runs(n, m, least, size), m - size + 1 - spoiled_runs(m, n, least, size))
+        if wanted > 0 and _shared(run_hashes(x, size), run_hashes(y, size)) < wanted:
+            return False
+    return True
 
 
 class _Sums:
@@ -95,6 +100,7 @@ def matched(x: np.ndarray, y: np.ndarray, least_matched: int) -> int | None:
     total, open_ = 0, [(0, len(x), 0, len(y))]
     room = min(len(x), len(y))
     while open_:
+        open_.sort(key=lambda x: min(x[1] - x[0], x[3] - x[2]))  # the largest parts show first that too little matches
         alo, ahi, blo, bhi = open_.pop()
         most = min(ahi - alo, bhi - blo)
         if most == 0:
