@@ -36,3 +36,14 @@ def resumable(wanted: DataFrame, audits: DataFrame, keys: list[str], version: st
 
 def partition_path(year: str = "year", month: str = "month", kind: str = "kind"):
     return F.format_string("%04d/%02d/%s", F.col(year).cast("int"), F.col(month).cast("int"), F.col(kind))
+
+
+def crossed(steps: DataFrame, milestones: DataFrame, key: str, value: str, cell: int) -> DataFrame:
+    """key, crossed: the distinct milestones in (low, high] of each step, steps without any included.
+
+    steps: key, low, high. An equi-join on cells of `cell` values: a milestone lies in one, a step reaches over a few.
+    """
+    marks = milestones.select(F.col(value).alias("at")).filter("at is not null").distinct().withColumn("cell", F.expr(f"cast(floor(at / {cell}) as bigint)"))
+    reach = steps.withColumn("cell", F.explode(F.expr(f"sequence(cast(floor((low + 1) / {cell}) as bigint), cast(floor(greatest(high, low + 1) / {cell}) as bigint))")))
+    met = reach.join(marks, (reach["cell"] == marks["cell"]) & (F.col("at") > F.col("low")) & (F.col("at") <= F.col("high")), "left")
+    return met.groupBy(key).agg(F.count("at").cast("int").alias("crossed"))

@@ -182,12 +182,16 @@ def distinct_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").agg(F.array_join(F.sort_array(F.collect_set(F.date_format("o_orderdate", "yyyy-MM"))), ",").alias("months"))
 
 
-@query("milestones", "with m as (select list_sort(list_distinct(list((l_quantity * 1000)::bigint))) as m from lineitem), w as (select o_orderkey, o_orderkey * 10 as low, o_orderkey * 10 + 3000 as high from orders where o_orderkey < 500) select o_orderkey, list_aggregate(list_filter(m, lambda x: x > low and x <= high), 'count')::int as crossed from w, m")
+@query(
+    "milestones",
+    """with m as (select distinct (l_quantity * 1000)::bigint as m from lineitem), w as (select o_orderkey, o_orderkey % 60000 as low from orders)
+    select o_orderkey, count(m)::int as crossed from w left join m on m > low and m <= low + 3000 group by o_orderkey""",
+)
 def milestones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many of the sorted distinct milestones lie in (before, after] of each step."""
-    found = table(spark, sf_dir, "lineitem").agg(F.sort_array(F.collect_set((F.col("l_quantity") * 1000).cast("long"))).alias("m"))
-    steps = table(spark, sf_dir, "orders").filter("o_orderkey < 500").select("o_orderkey", (F.col("o_orderkey") * 10).alias("low"))
-    return steps.join(F.broadcast(found)).select("o_orderkey", F.size(F.filter("m", lambda x: (x > F.col("low")) & (x <= F.col("low") + 3000))).alias("crossed"))
+    """How many of the distinct milestones lie in (before, after] of each step."""
+    found = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") * 1000).cast("long").alias("m"))
+    steps = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 60000).alias("low"))
+    return schedule.crossed(steps.withColumn("high", F.col("low") + 3000), found, "o_orderkey", "m", cell=3000)
 
 
 @query("valid_requests", "select event_id, value between 0 and 20 and length(event_type) between 1 and 6 and user_id % 10 <= 5 as ok from events")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronolith.functions import vectors
-from chronolith.operators import clean, graph, neighbors, phrases, requests, sample, scoring
+from chronolith.operators import clean, graph, neighbors, phrases, requests, sample, schedule, scoring
 from chronolith.sources import files
 
 
@@ -168,3 +168,10 @@ def test_rows_of_one_chosen_file(spark, tmp_path):
     again = files.sampled_rows(spark, files.one_file_each(found, ["part"], "s"), ["part"], "s", 7, "id bigint").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
     assert files.sampled_rows(spark, chosen.limit(0), ["part"], "s", 7, "id bigint").count() == 0
+
+
+def test_milestones_of_steps(spark):
+    steps = spark.createDataFrame([(1, 0, 10), (2, 10, 10), (3, 9, 31), (4, 100, 200), (5, -12, -1)], "k int, low long, high long")
+    marks = spark.createDataFrame([(10,), (10,), (20,), (30,), (31,), (-12,), (-5,), (None,)], "m long")
+    got = dict(schedule.crossed(steps, marks, "k", "m", 7).collect())
+    assert got == {1: 1, 2: 0, 3: 4, 4: 0, 5: 1}
