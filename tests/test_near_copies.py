@@ -131,3 +131,53 @@ def test_empty_texts_and_zero_vectors(spark):
     assert abs(sum(got["s"]) - 1) < 1e-12 and got["s"][1] > got["s"][0]
     marks = spark.createDataFrame([("é" * 2,)], "t string").select(text.mark_share(F.col("t")).alias("m")).first()
     assert marks["m"] == 0.5
+
+
+def test_caps_together_and_rows_that_need_no_fold(spark):
+    """All caps at once against one loop over all rows; rows whose keys cannot be used up are not folded."""
+    import re
+    from collections import Counter
+
+    rng = random.Random(9)
+    bases = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 6) for _ in range(90)) for _ in range(5)]
+    rows = []
+    for k in range(260):
+        busy = rng.random() < 0.5
+        text = rng.choice([f"short text {rng.randrange(12 if busy else 10**6)}", rng.choice(bases) + rng.choice(["", " end", " x", "!"]) if busy else " ".join(f"v{rng.randrange(10**6)}" for _ in range(40))])
+        rows.append((2020, 1 + k % 2, "comments", f"{k:04d}", rng.choice(["ann", "bob", "", "[deleted]"]) if busy else f"u{k}", rng.choice(["t1", "t2", None, ""]) if busy else f"x{k}", rng.choice(["memes", "Memes", "me_irl"]), text, k // 3))
+    df = spark.createDataFrame(rows, "year int, month int, kind string, id string, author string, thread_id string, subreddit string, text string, created_utc long")
+    caps = {"author": 6, "thread": 9, "copies": 2, "near": 3}
+    got = {r["id"]: r["reason"] for r in clean.exact(df, **caps).collect()}
+    for month in (1, 2):
+        used, leaders = Counter(), {}
+        for r in sorted((r for r in rows if r[1] == month), key=lambda r: (r[8], r[3])):
+            board, who, text = r[6].lower(), r[4].lower(), r[7]
+            held = [("author_cap", (board, who), 6)] if who not in ("", "[deleted]") else []
+            held += [("thread_cap", r[5], 9)] if r[5] else []
+            held += [("exact_copy_cap", (board, text), 2)]
+            why = next((n for n, key, cap in held if used[n, key] >= cap), None)
+            c = re.sub(r"\W+", " ", text.casefold()).strip()
+            if why is None and len(text) >= 200 and len(c) >= 160:
+                band, key = len(c) // 32, None
+                for b in (band - 1, band, band + 1):
+                    for other in leaders.get((b, c[:24]), []):
+                        if key is None and abs(len(other) - len(c)) <= max(3, len(c) // 50) and difflib.SequenceMatcher(None, other, c, autojunk=False).ratio() >= 0.985:
+                            key = other
+                if key is None:
+                    leaders.setdefault((band, c[:24]), []).append(c)
+                    key = c
+                held.append(("near_copy_cap", (board, key), 3))
+                why = "near_copy_cap" if used["near_copy_cap", (board, key)] >= 3 else None
+            if why is None:
+                used.update((n, key) for n, key, _ in held)
+            assert got[r[3]] == (why or "kept"), r
+    assert len(set(got.values())) >= 4
+    seen = []
+    plain = clean._contended
+    clean._contended = lambda *a: seen.append(plain(*a)) or seen[-1]
+    try:
+        clean.exact(df, **caps)
+    finally:
+        clean._contended = plain
+    counts = {r["contended"]: r["count"] for r in seen[0].groupBy("contended").count().collect()}
+    assert counts[False] > 60 and counts[True] > 60
