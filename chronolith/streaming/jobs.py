@@ -34,6 +34,7 @@ def next_state(state: tuple[str, int, int], report: str) -> tuple[str, int, int]
 
 
 def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """A key's reports of one batch in order; streams cannot be sorted, so they meet here, as many as the source's batch has."""
     now = state.get if state.exists else ("queued", 0, 0)
     rows = pd.concat(list(batches)).sort_values("event_id")
     for report in rows["report"]:
