@@ -57,12 +57,12 @@ def _emergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "emergence_report",
-    f"""with {EMERGENCE_SQL} select phrase, round(model_slope, 6) as model_slope, round(frequency_slope, 6) as frequency_slope, round(future_growth, 6) as future_growth,
+    f"""with {EMERGENCE_SQL} select phrase, round(model_slope, 9) as model_slope, round(frequency_slope, 6) as frequency_slope, round(future_growth, 6) as future_growth,
       train_hits::bigint as train_hits, future_hits::bigint as future_hits, round(r18, 4) as rate_2018, round(r19, 4) as rate_2019, round(r20, 4) as rate_2020, round(rf, 4) as rate_2021_2022 from report""",
 )
 def emergence_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _emergence(spark, sf_dir)
-    return rows.select(*[F.round(c, 4 if c.startswith("rate") else 6).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])
+    return rows.select(*[F.round(c, 9 if c == "model_slope" else 4 if c.startswith("rate") else 6).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])
 
 
 @query(
