@@ -46,10 +46,12 @@ class Packer(StatefulProcessor):
         else:
             self.tail.clear()
         self.made.update((first + n,))
+        if not n:
+            return
         at = np.arange(n) * self.stride
         # round() of a quotient of whole numbers: half to even, as for whole windows
         means = [round(int(dates[a : a + self.stride].sum()) / self.stride) for a in at]
-        yield pd.DataFrame({**{c: [v] * n for c, v in zip(self.keys, key, strict=True)}, "window_no": first + np.arange(n, dtype=np.int64), "tokens": [ids[a : a + self.stride + 1].tolist() for a in at], self.date: np.array(means, np.int64)})
+        yield pd.DataFrame({**{c: [v] * n for c, v in zip(self.keys, key, strict=True)}, "window_no": first + np.arange(n, dtype=np.int64), "tokens": pd.Series([ids[a : a + self.stride + 1].tolist() for a in at], dtype=object), self.date: np.array(means, np.int64)})
 
     def close(self) -> None:
         pass
