@@ -75,23 +75,45 @@ def build_trie(terms: dict[str, bool]) -> Node:
 class Automaton:
     """Levenshtein automaton of one word, neighbours in swapped order counting as one edit.
 
-    A state is the row of edit distances to the word's beginnings, capped at most + 1, with the row and the character
-    before it.
+    A state is the row of edit distances to the word's beginnings within `most` of the depth, capped at most + 1, with the row
+    and the character before it, and the depth: a band of 2 * most + 1 numbers.
     """
 
     def __init__(self, word: str, most: int):
-        self.word, self.most = word, most
-        self.start = (tuple(min(k, most + 1) for k in range(len(word) + 1)), None, "")
+        self.word, self.most, self.cap = word, most, most + 1
+        self.start = (tuple(k if 0 <= k <= len(word) else self.cap for k in range(-most, most + 1)), None, "", 0)
 
     def step(self, state: tuple, c: str) -> tuple:
-        row, older, last = state
-        out = [min(row[0] + 1, self.most + 1)]
-        for k, w in enumerate(self.word):
-            d = min(row[k] + (w != c), row[k + 1] + 1, out[k] + 1)
-            if older is not None and k and w == last and self.word[k - 1] == c:
-                d = min(d, older[k - 1] + 1)
-            out.append(min(d, self.most + 1))
-        return tuple(out), row, c
+        row, older, last, depth = state
+        word, cap, width = self.word, self.cap, 2 * self.most
+        out, left, j = [], cap, depth + 1 - self.most  # j: letters of the word
+        for i in range(width + 1):
+            v = cap
+            if j == 0:
+                v = min(depth + 1, cap)
+            elif 0 < j <= len(word):
+                w = word[j - 1]
+                v = row[i] if w == c else row[i] + 1
+                if left < v - 1:
+                    v = left + 1
+                if i < width and row[i + 1] < v - 1:
+                    v = row[i + 1] + 1
+                if older is not None and j > 1 and w == last and word[j - 2] == c and older[i] < v - 1:
+                    v = older[i] + 1
+                if v > cap:
+                    v = cap
+            out.append(v)
+            left = v
+            j += 1
+        return tuple(out), row, c, depth + 1
+
+    def edits(self, state: tuple, beginning: bool) -> int:
+        """To the whole word, or to the nearest of its beginnings; more than most is most + 1."""
+        row, _, _, depth = state
+        if beginning:
+            return min(row)
+        at = len(self.word) - depth + self.most
+        return row[at] if 0 <= at < len(row) else self.cap
 
     def alive(self, state: tuple) -> bool:
         return min(state[0]) <= self.most or (state[1] is not None and min(state[1]) < self.most)
@@ -120,8 +142,7 @@ def best_match(root: Node, word: str, most: int = 1, least: int = FUZZY_FROM) ->
     stack = [(root, auto.start, 0)]
     while stack:
         node, state, depth = stack.pop()
-        edits = min(state[0]) if node.stem else state[0][-1]
-        if node.term and edits <= min(most, most_edits(depth, least)):
+        if node.term and (edits := auto.edits(state, node.stem)) <= min(most, most_edits(depth, least)):
             found.append((-edits, len(node.term), node.term))
         for c, below in node.next.items():
             after = auto.step(state, c)
@@ -160,9 +181,9 @@ class Matcher:
         # The second half begins at k or k - 1 in its term, and here one place off at most.
         self.near += [(k, max(0, k - 2), k + 2, xs) for k, xs in sorted(self.second.items())]
         self.far = [(k, max(0, at - off), at + off + 1, xs) for (k, at, off), xs in sorted(self.inner.items())]
-        # What of these strings a word holds anywhere is asked first.
-        self.pairs = {x for k, _, _, xs in self.far for x in xs if k == 2}
-        self.threes = {x[:3] for k, _, _, xs in self.far for x in xs if k > 2}
+        # What begins these strings is looked for anywhere in a word first; two letters stand only at its beginning.
+        strings = [x for _, _, _, xs in self.near + self.far for x in xs]
+        self.pairs, self.threes = {x for x in strings if len(x) < 3}, {x[:3] for x in strings if len(x) > 2}
         self.letters = [(len(t), stem, Counter(t)) for t, stem in self.long.items()]
         self.stems = {t for t, stem in terms.items() if stem}
 
@@ -179,7 +200,7 @@ class Matcher:
 
     def may_twice(self, w: str) -> bool:
         """Also, all but two letters of some term are among those of the word."""
-        if len(w) < self.shortest or not (w[:2] in self.pairs or any([w[a : a + 3] in self.threes for a in range(len(w) - 2)])) or not self._holds(w, self.far):
+        if len(w) < self.shortest or not self._holds(w, self.far):
             return False
         own = Counter(w)
         return any((stem or len(w) <= n + 2) and n - 2 <= len(w) and (letters - own).total() <= 2 for n, stem, letters in self.letters)
@@ -187,10 +208,11 @@ class Matcher:
     def _found(self, w: str) -> tuple[str, int] | None:
         if SIGN.search(w):
             return best_match(self.root, w, 1, MASKED_FROM) or (best_match(self.long_root, w, 2) if self.long else None)
-        got = best_match(self.root, w, 1) if self.may(w) else None
+        some = w[:2] in self.pairs or not self.threes.isdisjoint([w[a : a + 3] for a in range(len(w) - 2)])
+        got = best_match(self.root, w, 1) if some and self.may(w) else None
         if got is None and (term := self.swapped.get(w[:4])) and (len(w) == 4 or term in self.stems):
             return term, 1
-        return got or (best_match(self.long_root, w, 2) if self.long and self.may_twice(w) else None)
+        return got or (best_match(self.long_root, w, 2) if some and self.long and self.may_twice(w) else None)
 
     def __call__(self, w: str) -> tuple[str, int] | None:
         if w not in self.cache:
