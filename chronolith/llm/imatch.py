@@ -149,12 +149,12 @@ def next_rows(rows: DataFrame, id_col: str, carry: list[str], per_bucket: int =
     bounds = rows.agg(F.percentile_approx(id_col, [k / cuts for k in range(1, cuts)] or [0.5], 10 * cuts + 100).alias("b")).first()["b"] or []
     bounds = sorted(set(bounds) - {seen["low"]})  # range k holds ids from bounds[k - 1] to below bounds[k]
     edges = [seen["low"] or 0, *bounds, (seen["high"] or 0) + 1]
-    at, array = F.lit(0), F.array(*[F.lit(int(b)) for b in edges[:-1]])
-    step = 1 << max(0, len(edges).bit_length() - 1)
-    probe = rows.withColumn("at", at).withColumn("turn", F.md5(F.concat_ws("\0", *carry).cast("binary")))
-    while step:  # bisecting by powers of two
-        probe = probe.withColumn("at", F.when((F.col("at") + step < len(edges) - 1) & (F.get(array, F.col("at") + step) <= F.col(id_col)), F.col("at") + step).otherwise(F.col("at")))
-        step //= 2
+    array = F.array(*[F.lit(int(b)) for b in edges[:-1]])
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(edges).bit_length()))])
+    # Bisecting by powers of two. A fold names the place so far as its variable; a column for each step would be put into
+    # the next one's four places for it by the optimizer, so that a plan grew with a power of the quantiles.
+    step = lambda at, by: F.when((at + by < len(edges) - 1) & (F.get(array, at + by) <= F.col(id_col)), at + by).otherwise(at)
+    probe = rows.withColumn("at", F.aggregate(steps, F.lit(0), step)).withColumn("turn", F.md5(F.concat_ws("\0", *carry).cast("binary")))
     low, high = F.get(array, F.col("at")), F.get(F.array(*[F.lit(int(b)) for b in edges[1:]]), F.col("at"))
     inside = F.least(F.lit(fine - 1), F.floor((F.col(id_col).cast("double") - low) * fine / (high.cast("double") - low)))
     last = (len(edges) - 1) * fine
@@ -168,7 +168,7 @@ def next_rows(rows: DataFrame, id_col: str, carry: list[str], per_bucket: int =
     moves = heads.withColumn("to", F.coalesce(F.lag("bucket").over(Window.orderBy("bucket")), F.lit(final)))
     ghosts = moves.select(F.col("bucket").alias("of"), "head", "to")
     first = dealt.join(small(ghosts, -(-seen["n"] // per_bucket)), (F.col("bucket") == F.col("of")) & F.col(id_col).eqNullSafe(F.col("head")))
-    first = first.groupBy("to").agg(F.min(F.struct("turn", *carry)).alias("g")).select(F.col("to").alias("bucket"), F.col("g").alias("g"))
+    first = stored(first.groupBy("to").agg(F.min(F.struct("turn", *carry)).alias("g")).select(F.col("to").alias("bucket"), F.col("g").alias("g")), "firsts")
     ghost_rows = first.select(F.lit(None).cast(dict(rows.dtypes)[id_col]).alias(id_col), *[F.col(f"g.{c}").alias(c) for c in ["turn", *carry]], "bucket", F.lit(1).alias("ghost"))
     both = dealt.select(id_col, *carry, "turn", "bucket", F.lit(0).alias("ghost")).unionByName(ghost_rows)
     w = Window.partitionBy("bucket").orderBy("ghost", F.col(id_col).desc_nulls_last(), "turn")

@@ -190,6 +190,18 @@ def test_the_next_row_in_many_buckets(spark):
         assert got == {t: order[(k + 1) % len(order)] for k, t in enumerate(order)}
 
 
+def test_the_plan_of_the_next_row_does_not_grow_with_a_power_of_the_quantiles(spark):
+    df = spark.createDataFrame([(k, str(k)) for k in range(240)], "id long, text string")
+    most = "spark.sql.debug.maxToStringFields"
+    before = spark.conf.get(most)
+    spark.conf.set(most, "1000000")
+    try:
+        plan = imatch.next_rows(df, "id", ["text"], per_bucket=4)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set(most, before)
+    assert len(plan) < 20_000  # 60 quantiles; with a column for each step of the bisection it had 527,000
+
+
 def test_language_scores_and_path_by_plain_loops(spark):
     """Viterbi over all paths' scores, walked word by word with dictionaries, against the operator's spans."""
     rng = random.Random(3)
