@@ -8,12 +8,13 @@ is read from a bounded sample.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, BooleanType
 
 from chronolith.functions.similarity import code_points, run_hashes, spoiled_runs
 from chronolith.shared import scratch, stored
@@ -87,6 +88,30 @@ def _rare_runs(rows: DataFrame, keys: list[str], least: float) -> DataFrame:
     return rows.select(*keys, "head", "class", "c").mapInArrow(rarest, f"{kinds}, run bigint")
 
 
+#: Counters of a text's runs of SIGNED characters; a pair of texts is sent only if these allow the ratio.
+COUNTERS, SIGNED = 256, 3
+
+
+@F.arrow_udf(BinaryType())
+def _signature(c: pa.Array) -> pa.Array:
+    """How many runs of a text fall to each counter, 255 at most: a byte each."""
+    counts = (np.bincount((run_hashes(code_points(x), SIGNED) >> np.uint64(56)).astype(np.int64), minlength=COUNTERS) for x in c.to_pylist())
+    return pa.array([np.minimum(x, 255).astype(np.uint8).tobytes() for x in counts], pa.binary())
+
+
+def _alike(least: float) -> Callable[..., Column]:
+    @F.arrow_udf(BooleanType())
+    def run(x: pa.Array, y: pa.Array, n: pa.Array, m: pa.Array) -> pa.Array:
+        """False only where one text lacks more runs of the other than the ratio allows; counters can but hide lacking ones."""
+        if not len(x):
+            return pa.array([], pa.bool_())
+        a, b = (np.frombuffer(b"".join(z.to_pylist()), np.uint8).reshape(-1, COUNTERS).astype(np.int16) for z in (x, y))
+        lacks = np.maximum(a - b, 0).sum(1), np.maximum(b - a, 0).sum(1)
+        return pa.array([p <= spoiled_runs(i, j, least, SIGNED) and q <= spoiled_runs(j, i, least, SIGNED) for p, q, i, j in zip(*lacks, n.to_pylist(), m.to_pylist())], pa.bool_())
+
+    return run
+
+
 def candidates(rows: DataFrame, keys: list[str], least: float = 0.985) -> DataFrame:
     """keys, head, class, c, n, band and class2, c2, n2, band2 with class < class2: every pair that may reach `least`.
 
@@ -94,21 +119,27 @@ def candidates(rows: DataFrame, keys: list[str], least: float = 0.985) -> DataFr
     band or neighbouring ones, and differs in length by a fiftieth, or 3 characters, at most.
     """
     n = F.length("c").cast("long")
-    rows = rows.select(*keys, "class", "c", n.alias("n"), F.substring("c", 1, HEAD).alias("head"), F.expr(f"length(c) div {BAND}").alias("band"))
+    rows = rows.select(*keys, "class", "c", n.alias("n"), F.substring("c", 1, HEAD).alias("head"), F.expr(f"length(c) div {BAND}").alias("band"), _signature("c").alias("sig"))
     with scratch(rows.sparkSession):
         rows = stored(rows, "texts", keep=True)  # read several times below
         sizes = stored(rows.groupBy(*keys, "head").agg(F.count("*").alias("texts")).filter("texts > 1"), "heads", keep=True)
     few, many = (rows.join(sizes.filter(f"texts {sign} {DIRECT}").drop("texts"), [*keys, "head"], "left_semi") for sign in ("<=", ">"))
-    second = lambda df: df.withColumnsRenamed({c: f"{c}2" for c in ("class", "c", "n", "band")})
-    near = second(few).withColumn("band", F.explode(F.array(F.col("band2") - 1, F.col("band2"), F.col("band2") + 1)))
+    second = lambda df: df.withColumnsRenamed({c: f"{c}2" for c in ("class", "c", "n", "band", "sig")})
+    named = [*keys, "head", "class", "class2"]
+    near = second(few.drop("c")).withColumn("band", F.explode(F.array(F.col("band2") - 1, F.col("band2"), F.col("band2") + 1)))
     fits = (F.col("class") < F.col("class2")) & (F.abs(F.col("n") - F.col("n2")) <= most_gap(F.col("n"), F.col("n2")))
-    out = few.join(near, [*keys, "head", "band"]).filter(fits)
+    alike = _alike(least)("sig", "sig2", "n", "n2")
+    out = few.drop("c").join(near, [*keys, "head", "band"]).filter(fits).filter(alike).select(named)
     if not sizes.filter(f"texts > {DIRECT}").isEmpty():
         runs = _rare_runs(many, keys, least)
         other = runs.withColumnRenamed("class", "class2")
-        met = runs.join(other, [*keys, "head", "run"]).filter("class < class2").select(*keys, "head", "class", "class2").distinct()
-        pairs = met.join(many, [*keys, "head", "class"]).join(second(many), [*keys, "head", "class2"])
-        out = out.unionByName(pairs.filter(fits & (F.abs(F.col("band") - F.col("band2")) <= 1)).select(*out.columns))
+        met = runs.join(other, [*keys, "head", "run"]).filter("class < class2").select(named).distinct()
+        pairs = met.join(many.drop("c"), [*keys, "head", "class"]).join(second(many.drop("c")), [*keys, "head", "class2"])
+        out = out.unionByName(pairs.filter(fits & (F.abs(F.col("band") - F.col("band2")) <= 1)).filter(alike).select(named))
+    # Texts go only to the pairs that are left, which are by far the fewest.
+    texts = rows.drop("sig")
+    out = stored(out, "pairs").join(texts, [*keys, "head", "class"]).join(second(texts), [*keys, "head", "class2"])
+    out = out.select(*keys, "head", "band", "class", "c", "n", "class2", "c2", "n2", "band2")
     # To compare a pair takes far longer than to send it, so pairs are dealt evenly, and not put together by their bytes.
     spark = rows.sparkSession
     return out.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "class", "class2")

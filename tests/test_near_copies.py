@@ -181,3 +181,13 @@ def test_caps_together_and_rows_that_need_no_fold(spark):
         clean._contended = plain
     counts = {r["contended"]: r["count"] for r in seen[0].groupBy("contended").count().collect()}
     assert counts[False] > 60 and counts[True] > 60
+
+
+def test_texts_go_to_no_pair_that_lacks_too_many_runs(spark):
+    """Texts of one head and length: paired by their bands alone, all of them were sent."""
+    rng = random.Random(8)
+    head = "the same head of every one "
+    texts = [head + "".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(6)]
+    texts.append(texts[2][:300] + "z" + texts[2][301:])
+    df = spark.createDataFrame(list(enumerate(texts)), "class long, c string")
+    assert [(r["class"], r["class2"]) for r in nearcopies.candidates(df, []).collect()] == [(2, 6)]
