@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,25 +71,69 @@ def shuffled_place(place: Column, keys: Column, n: int) -> Column:
     return F.aggregate(keys, place.cast("long"), change)
 
 
+def shuffled_places(place: np.ndarray, keys: list[tuple[int, int, int]], n: int) -> np.ndarray:
+    """shuffled_place() of many places under one draw's keys."""
+    for couple, a, b in keys:
+        other = (couple - place) % n
+        mixed = (np.maximum(place, other) * a + b) % PRIME
+        place = np.where((mixed >> 16) % 2 == 1, other, place)
+    return place
+
+
+#: Links of a task at most, and families; shares of the links at least.
+MOST_LINKS, MOST_FAMILIES, SHARES = 500_000, 4_000_000, 8
+
+
 def permutation_null(edges: DataFrame, nodes: DataFrame, draws: int, salt: str = "perm") -> DataFrame:
     """One row: observed share of links within a family, and mean and deviation of it under shuffled families.
 
-    A draw gives node number x the family of the node at shuffled_place(x), so a link's two families are look-ups: rows are
-    links times draws, and no draw orders the nodes. edges: child, parent; nodes: id, family.
+    A draw gives node number x the family of the node at shuffled_place(x), so a link's two families are look-ups. A task has a
+    share of the links and the families of one or two stretches of numbers, and counts by draw the links whose two places lie
+    in them: links are never multiplied by the draws, and no draw orders the nodes. edges: child, parent; nodes: id, family.
     """
     numbered = running_before(nodes.select("id", "family").withColumn("one", F.lit(1)), ["id"], "one", "no")
     fixed = stored(numbered.select("id", "family", F.col("no").cast("long").alias("no")), "nodes")
-    n = fixed.count()
+    n, most = fixed.count(), MOST_FAMILIES
     end = lambda side: fixed.select(F.col("id").alias(side), F.col("no").alias(f"no_{side}"), F.col("family").alias(f"family_{side}"))
     both = edges.select("child", "parent").join(end("child"), "child").join(end("parent"), "parent")
-    keys = fixed.sparkSession.range(draws).select(F.col("id").alias("draw"), shuffle_keys(F.col("id"), max(n, 1), salt).alias("keys"))
-    each = both.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long")))).join(small(stored(keys, "keys", draws), draws), "draw")
-    for side in ("child", "parent"):
-        drawn = fixed.select(F.col("no").alias(f"at_{side}"), F.col("family").alias(f"drawn_{side}"))
-        each = each.withColumn(f"at_{side}", shuffled_place(F.col(f"no_{side}"), F.col("keys"), max(n, 1))).join(drawn, f"at_{side}")
-    same = lambda a: F.avg((F.col(f"{a}_child") == F.col(f"{a}_parent")).cast("double"))
-    rates = each.groupBy("draw").agg(same("drawn").alias("r"), same("family").alias("seen"))
-    return rates.agg(F.avg("r").alias("null_mean"), F.stddev_pop("r").alias("null_sd"), F.first("seen").alias("observed"))
+    links = stored(both.select("no_child", "no_parent", (F.col("family_child") == F.col("family_parent")).alias("same")), "links")
+    shares, stretches = max(SHARES, -(-links.count() // MOST_LINKS)), range(-(-n // most))
+    keys = [[(k["couple"], k["a"], k["b"]) for k in r["keys"]] for r in fixed.sparkSession.range(draws).select("id", shuffle_keys(F.col("id"), max(n, 1), salt).alias("keys")).orderBy("id").collect()]  # a row a draw
+
+    def counted(key: tuple[pa.Scalar, ...], links: pa.Table, nodes: pa.Table) -> pa.Table:
+        """draw, same, known: links of equal families, and of known ones, by draw; draw -1 has them as they are."""
+        _, first, second = (k.as_py() for k in key)
+        codes = np.asarray(nodes.column("family").combine_chunks().dictionary_encode().indices.fill_null(-1))
+        no, rows = np.asarray(nodes.column("no")), [(-1, 0, 0)]
+        if first == second == 0:  # every link is in every pair of stretches
+            same = links.column("same").drop_null()
+            rows = [(-1, int(np.count_nonzero(same)), len(same))]
+        child, parent = np.asarray(links.column("no_child")), np.asarray(links.column("no_parent"))
+        families = []
+        for part in (first, second):
+            of = np.full(most if len(stretches) > 1 else n, -1, np.int32)
+            here = no // most == part
+            of[no[here] - part * most] = codes[here]
+            families.append(of)
+        for draw, key_ in enumerate(keys):
+            a, b = shuffled_places(child, key_, n), shuffled_places(parent, key_, n)
+            here = (a // most == first) & (b // most == second)
+            a, b = families[0][a[here] - first * most], families[1][b[here] - second * most]
+            known = (a >= 0) & (b >= 0)
+            rows.append((draw, int(np.count_nonzero(known & (a == b))), int(np.count_nonzero(known))))
+        return pa.table([pa.array(x, pa.int64()) for x in zip(*rows)], names=["draw", "same", "known"])
+
+    every = F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("second")) for a in stretches for b in stretches] or [F.struct(F.lit(0).alias("first"), F.lit(0).alias("second"))])
+    share = F.pmod(F.xxhash64("no_child", "no_parent"), F.lit(shares)).cast("int")
+    dealt = links.select("no_child", "no_parent", "same", share.alias("share"), F.inline(every))
+    own = F.floor(F.col("no") / most)
+    sent = fixed.select("no", "family", F.explode(F.filter(every, lambda x: (x["first"] == own) | (x["second"] == own))).alias("at"))
+    sent = sent.select("no", "family", "at.first", "at.second", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
+    by = ("share", "first", "second")
+    counts = dealt.groupBy(*by).cogroup(sent.groupBy(*by)).applyInArrow(counted, "draw bigint, same bigint, known bigint")
+    rates = counts.groupBy("draw").agg(F.try_divide(F.sum("same"), F.sum("known")).alias("r"))
+    drawn = F.when(F.col("draw") >= 0, F.col("r"))
+    return rates.agg(F.avg(drawn).alias("null_mean"), F.stddev_pop(drawn).alias("null_sd"), F.max(F.when(F.col("draw") < 0, F.col("r"))).alias("observed"))
 
 
 def paired_gain(df: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:

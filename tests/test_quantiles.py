@@ -75,3 +75,23 @@ def test_permutation_null_of_two_families(spark):
     assert r["observed"] == 1.0 and abs(r["null_mean"] - 49 / 99) < 0.03 and 0.02 < r["null_sd"] < 0.1
     plan = made._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "Cross" not in plan and "Window" not in plan
+
+
+@pytest.mark.parametrize("most", [4_000_000, 30])
+def test_links_are_not_multiplied_by_draws(spark, monkeypatch, most):
+    """The same draws node by node, with families that are missing, and families cut into stretches."""
+    n, draws = 70, 12
+    family = [None if k % 11 == 0 else f"f{k * k % 5}" for k in range(n)]
+    pairs = [(k, k * 7 % k) if k % 2 else (k, k - 1) for k in range(1, n)]
+    monkeypatch.setattr(stats, "MOST_FAMILIES", most, raising=False)
+    edges = spark.createDataFrame(pairs, "child long, parent long")
+    made = stats.permutation_null(edges, spark.createDataFrame(list(enumerate(family)), "id long, family string"), draws)
+    to = spark.range(n).crossJoin(spark.range(draws).select(F.col("id").alias("draw"))).withColumn("keys", stats.shuffle_keys(F.col("draw"), n))
+    to = {(r["draw"], r["id"]): r["to"] for r in to.select("id", "draw", stats.shuffled_place(F.col("id"), F.col("keys"), n).alias("to")).collect()}
+    share = lambda of: np.mean([a == b for a, b in of if a is not None and b is not None])
+    rates = [share([(family[to[d, c]], family[to[d, p]]) for c, p in pairs]) for d in range(draws)]
+    r = made.first()
+    assert abs(r["null_mean"] - np.mean(rates)) < 1e-12 and abs(r["null_sd"] - np.std(rates)) < 1e-12
+    assert abs(r["observed"] - share([(family[c], family[p]) for c, p in pairs])) < 1e-12
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "keys#" not in plan and "drawn_" not in plan
