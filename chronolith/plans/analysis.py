@@ -66,6 +66,12 @@ def _text_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.word_grams(F.col("text")).alias("ws"))
 
 
+def _text_links(spark: SparkSession, sf_dir: str, links: DataFrame) -> DataFrame:
+    """child, parent, lexical of links by the texts of the vectors' documents."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return neighbors.text_links(docs, vectors(spark, sf_dir).select("id"), links, T.word_grams)
+
+
 @query(
     "neighbor_methods",
     f"""with {PAIR_SQL}, {lex_docs_sql('where id in (select id from vectors)')}, {TFIDF_SQL},

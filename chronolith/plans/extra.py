@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.operators import manifest, neighbors, scoring
-from chronolith.plans.analysis import EDGE_SQL, TFIDF_SQL, _edges, _text_words, lex_docs_sql
+from chronolith.operators import manifest, scoring
+from chronolith.plans.analysis import EDGE_SQL, TFIDF_SQL, _edges, _text_links, lex_docs_sql
 from chronolith.plans.registry import query
+from chronolith.shared import stored
 from chronolith.sources.views import table, vectors
 
 
@@ -61,8 +62,8 @@ def edge_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def low_overlap_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = vectors(spark, sf_dir).select("id", "family")
     e = _edges(spark, sf_dir).join(f.withColumnsRenamed({"id": "child", "family": "fc"}), "child").join(f.withColumnsRenamed({"id": "parent", "family": "fp"}), "parent").filter("fc <> fp")
-    lex = neighbors.lexical_links(neighbors.tfidf(_text_words(spark, sf_dir).join(f.select("id"), "id", "left_semi"), F.col("ws")), e)
-    e = e.join(lex, ["child", "parent"], "left").withColumn("lexical", F.coalesce("lexical", F.lit(0.0))).filter(F.round("lexical", 9) < 0.12)
+    e = stored(e.select("child", "parent"), "links")
+    e = e.join(_text_links(spark, sf_dir, e), ["child", "parent"], "left").withColumn("lexical", F.coalesce("lexical", F.lit(0.0))).filter(F.round("lexical", 9) < 0.12)
     return e.select("child", "parent", F.round("lexical", 6).alias("lexical"))
 
 
