@@ -14,7 +14,7 @@ from chronolith.functions import vectors as V
 from chronolith.operators import clean, dedup, graph, neighbors, phrases, requests, sample, scoring, tokens
 from chronolith.operators.prefix import running_before
 from chronolith.operators.quantiles import quantiles
-from chronolith.plans.analysis import CONTEXT_SQL, DOT, EDGE_SQL, FLOOR, ROOT_SQL, TFIDF_SQL, UNIT_SQL, _edges, _labelled, _links, _text_words, lex_docs_sql
+from chronolith.plans.analysis import CONTEXT_SQL, DOT, EDGE_SQL, FLOOR, ROOT_SQL, TFIDF_SQL, UNIT_SQL, _edges, _labelled, _links, _text_links, _text_words, lex_docs_sql
 from chronolith.plans.corpus import ELIGIBLE, REASON
 from chronolith.plans.registry import query
 from chronolith.plans.rest import WINDOWS_SQL
@@ -119,12 +119,18 @@ def link_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def low_overlap_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links between families whose texts hardly share words, the nearest 30, for people to read."""
-    e = _both_ends(_edges(spark, sf_dir).select("child", "parent", "cosine"), _places(spark, sf_dir)).filter((F.col("child_family") != F.col("parent_family")) & (F.length("child_text") >= 15) & (F.length("parent_text") >= 15))
+    text = posts(spark, sf_dir).select(F.col("id").cast("long").alias("id"), "year", "subreddit", F.length("text").alias("chars"), F.xxhash64("text").alias("mark"), F.substring("text", 1, 120).alias("text"))
+    places = vectors(spark, sf_dir).select("id", "family").join(text.drop("text"), "id")
+    e = _both_ends(_edges(spark, sf_dir).select("child", "parent", "cosine"), places).filter((F.col("child_family") != F.col("parent_family")) & (F.col("child_chars") >= 15) & (F.col("parent_chars") >= 15))
     e = stored(e, "links")
-    weights = neighbors.tfidf(_text_words(spark, sf_dir).join(vectors(spark, sf_dir).select("id"), "id", "left_semi"), F.col("ws"))
-    e = e.join(neighbors.lexical_links(weights, e), ["child", "parent"], "left").withColumn("lexical", F.coalesce("lexical", F.lit(0.0))).filter(F.round("lexical", 9) < 0.12)
-    short = lambda c: F.substring(c, 1, 120).alias(c)
-    return e.orderBy(F.desc("cosine"), "child").limit(30).select("child", "parent", "child_year", "parent_year", F.col("child_subreddit").alias("child_board"), F.col("parent_subreddit").alias("parent_board"), short("child_text"), short("parent_text"), F.round("cosine", 6).alias("cosine"), F.round("lexical", 6).alias("lexical"))
+    e = e.join(_text_links(spark, sf_dir, e), ["child", "parent"], "left").withColumn("lexical", F.coalesce("lexical", F.lit(0.0))).filter(F.round("lexical", 9) < 0.12)
+    top = stored(e.orderBy(F.desc("cosine"), "child").limit(30), "review")
+    ends = top.select(F.col("child").alias("id")).union(top.select("parent")).distinct()
+    shown = text.select("id", "mark", "text").join(F.broadcast(ends), "id", "left_semi").distinct()  # texts of thirty links only
+    for side in ("child", "parent"):
+        top = top.join(shown.select(F.col("id").alias(side), F.col("mark").alias(f"{side}_mark"), F.col("text").alias(f"{side}_text")), [side, f"{side}_mark"])
+    top = top.orderBy(F.desc("cosine"), "child")
+    return top.select("child", "parent", "child_year", "parent_year", F.col("child_subreddit").alias("child_board"), F.col("parent_subreddit").alias("parent_board"), "child_text", "parent_text", F.round("cosine", 6).alias("cosine"), F.round("lexical", 6).alias("lexical"))
 
 
 @query(
