@@ -14,7 +14,7 @@ from chronolith.functions import vectors as V
 from chronolith.operators import clean, dedup, graph, neighbors, phrases, requests, sample, scoring, tokens
 from chronolith.operators.prefix import running_before
 from chronolith.operators.quantiles import quantiles
-from chronolith.plans.analysis import CONTEXT_SQL, DOT, EDGE_SQL, FLOOR, ROOT_SQL, TFIDF_SQL, UNIT_SQL, _edges, _labelled, _links, _text_links, _text_words, lex_docs_sql
+from chronolith.plans.analysis import CONTEXT_SQL, DOT, EDGE_SQL, FLOOR, ROOT_SQL, TFIDF_SQL, UNIT_SQL, _edges, _labelled, _links, _text_links, lex_docs_sql
 from chronolith.plans.corpus import ELIGIBLE, REASON
 from chronolith.plans.registry import query
 from chronolith.plans.rest import WINDOWS_SQL
@@ -340,10 +340,10 @@ def probe_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir).select("id", "embedding")
     roles = F.array(*[F.struct(F.lit(name).alias("role"), (F.col("id") + k).alias("other")) for k, name in enumerate(("literal", "paraphrase", "unrelated"), 1)])
     probes = rows.filter("id % 7 = 0").select(F.col("id").alias("probe"), F.col("embedding").alias("a"), F.explode(roles).alias("r")).select("probe", "a", "r.*")
-    met = stored(probes.join(rows.select(F.col("id").alias("other"), F.col("embedding").alias("b")), "other"), "probes")
-    weights = neighbors.tfidf(_text_words(spark, sf_dir).join(rows.select("id"), "id", "left_semi"), F.col("ws"))
-    lexical = neighbors.lexical_links(weights, met.select(F.col("other").alias("child"), F.col("probe").alias("parent"))).withColumnsRenamed({"child": "other", "parent": "probe"})
-    by_vector = met.select(F.lit("embedding").alias("method"), "probe", "role", F.round(V.cosine(F.col("a"), F.col("b")), 9).alias("score"))
+    met = probes.join(rows.select(F.col("id").alias("other"), F.col("embedding").alias("b")), "other").select("probe", "role", "other", F.round(V.cosine(F.col("a"), F.col("b")), 9).alias("cosine"))
+    met = stored(met, "probes")
+    lexical = _text_links(spark, sf_dir, met.select(F.col("other").alias("child"), F.col("probe").alias("parent"))).withColumnsRenamed({"child": "other", "parent": "probe"})
+    by_vector = met.select(F.lit("embedding").alias("method"), "probe", "role", F.col("cosine").alias("score"))
     by_words = met.join(lexical, ["probe", "other"], "left").select(F.lit("tfidf").alias("method"), "probe", "role", F.round(F.coalesce("lexical", F.lit(0.0)), 9).alias("score"))
     return neighbors.probe_wins(by_vector.unionByName(by_words))
 
