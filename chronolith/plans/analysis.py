@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from chronolith.functions import text as T
 from chronolith.functions.vectors import divergence
 from chronolith.operators import graph, neighbors, phrases, scoring, stats
-from chronolith.operators.prefix import running_before
 from chronolith.operators.quantiles import quantiles
 from chronolith.plans.registry import query
 from chronolith.shared import stored
@@ -100,9 +99,7 @@ def neighbor_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     from d join k x on x.no = a join k y on y.no = b where a <> b""",
 )
 def null_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numbered = running_before(vectors(spark, sf_dir).select("id", F.lit(1).alias("one")), ["id"], "one", "no").select("id", F.col("no").cast("long").alias("no"))
-    rows = vectors(spark, sf_dir).join(numbered, "id").select("no", "embedding")
-    null = stored(neighbors.random_pairs(rows, 100000, "null"), "null", 100000)
+    null = stored(neighbors.random_pairs(vectors(spark, sf_dir), 100000, "null"), "null", 100000)
     floor = F.lit(quantiles(null, "cosine", [0.999])[0]).cast("double")
     return null.agg(F.count("*").alias("pairs"), F.round(floor, 6).alias("floor"), F.round(F.avg("cosine"), 6).alias("mean"))
 

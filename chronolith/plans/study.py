@@ -12,7 +12,6 @@ from chronolith.functions import text as T
 from chronolith.functions import timeutil
 from chronolith.functions import vectors as V
 from chronolith.operators import clean, dedup, graph, neighbors, phrases, requests, sample, scoring, tokens
-from chronolith.operators.prefix import running_before
 from chronolith.operators.quantiles import quantiles
 from chronolith.plans.analysis import CONTEXT_SQL, DOT, EDGE_SQL, FLOOR, ROOT_SQL, TFIDF_SQL, UNIT_SQL, _edges, _labelled, _links, _text_links, lex_docs_sql
 from chronolith.plans.corpus import ELIGIBLE, REASON
@@ -142,9 +141,7 @@ def low_overlap_review(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def floored_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links whose cosine reaches the 99.9 % quantile of random pairs, and a least floor."""
-    rows = vectors(spark, sf_dir)
-    numbered = running_before(rows.withColumn("one", F.lit(1)), ["id"], "one", "no").select(F.col("no").cast("long").alias("no"), "embedding")
-    null = stored(neighbors.random_pairs(numbered, 100000, "null"), "null", 100000)
+    null = stored(neighbors.random_pairs(vectors(spark, sf_dir), 100000, "null"), "null", 100000)
     floor = max(quantiles(null, "cosine", [0.999])[0] or 0.0, FLOOR)
     links = _links(spark, sf_dir).filter(F.round("cosine", 9) >= round(floor, 9))
     return links.select("child", "parent", F.round("cosine", 6).alias("cosine"), F.round(F.lit(floor), 6).alias("floor"))
