@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronolith.operators.prefix import running_before
-from chronolith.shared import stored
+from chronolith.operators.prefix import BUCKET_ROWS, running_before
+from chronolith.shared import scratch, stored
 
 
 def _written(df: DataFrame) -> DataFrame:
@@ -16,17 +20,41 @@ def _written(df: DataFrame) -> DataFrame:
 def roots(nodes: DataFrame, edges: DataFrame, most: int = 40) -> DataFrame:
     """id, root of every node; a node without an edge is its own. Every child has one parent, which is earlier.
 
-    Pointer jumping: each round doubles the distance, so a chain of n links takes log2(n) rounds, every one of them
-    written to the shared folder.
+    Links first meet in ranges of their children, and a task follows each chain to its end or out of its range. Only the nodes
+    where chains leave a range go on to pointer jumping, whose rounds double the distance and are written to the shared folder.
     """
-    up = _written(nodes.select("id").join(edges.select(F.col("child").alias("id"), F.col("parent").alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("root")))
-    for _ in range(most):
+    spark, kind = nodes.sparkSession, dict(edges.dtypes)["child"]
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-edges.count() // BUCKET_ROWS))
+
+    def followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)  # a range of narrow rows
+        if not held:
+            return
+        links = pa.Table.from_batches(held).sort_by("child")
+        child, top = (links.column(c).to_numpy() for c in ("child", "parent"))
+        for _ in range(most if len(child) else 0):
+            at = np.minimum(np.searchsorted(child, top), len(child) - 1)
+            far = np.where(child[at] == top, top[at], top)
+            if (far == top).all():
+                break
+            top = far
+        yield pa.RecordBatch.from_arrays([pa.array(x, held[0].schema.field("child").type) for x in (child, top)], names=["id", "root"])
+
+    links = edges.select("child", F.col("parent").cast(kind).alias("parent")).repartitionByRange(ranges, "child")
+    with scratch(spark):
+        near = _written(links.mapInArrow(followed, f"id {kind}, root {kind}"))
+        up = _written(near.join(near.select(F.col("root").alias("id")).distinct(), "id", "left_semi"))
+        for _ in range(most):
+            far = up.select(F.col("id").alias("root"), F.col("root").alias("next"))
+            moved = _written(up.join(far, "root", "left").select("id", F.coalesce("next", "root").alias("root"), F.coalesce(F.col("next") != F.col("root"), F.lit(False)).alias("moved")))
+            up = moved.select("id", "root")
+            if moved.filter("moved").isEmpty():
+                break
+        else:
+            raise RuntimeError(f"links deeper than 2**{most}, or a cycle")
         far = up.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        moved = _written(up.join(far, "root").select("id", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
-        up = moved.select("id", "root")
-        if moved.filter("moved").isEmpty():
-            return up
-    raise RuntimeError(f"links deeper than 2**{most}, or a cycle")
+        whole = near.join(far, "root", "left").select("id", F.coalesce("next", "root").alias("root"))
+        return stored(nodes.select("id").join(whole, "id", "left").select("id", F.coalesce("root", "id").alias("root")), "forest", keep=True)
 
 
 def components(labelled: DataFrame, least: int = 1) -> DataFrame:

@@ -1,10 +1,12 @@
 import math
+import os
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from chronolith import shared
 from chronolith.functions import timeutil, vectors
 from chronolith.operators import dedup, graph, manifest, neighbors, prefix, sample, scoring, stats
 from chronolith.operators.windows import pack_windows
@@ -71,6 +73,26 @@ def test_forest(spark):
     assert any("a&lt;b&amp;&quot;" in r["line"] for r in lines) and len(lines) == 52 + 48 + 6 + 1
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_long_chains_take_few_tables(spark, monkeypatch, tmp_path, kind):
+    """Chains of 1,500 links over several ranges, a tree beside them and an end that is no node: little is written, and only the labels stay."""
+    rng = random.Random(11)
+    up = {k: k - 2 for k in range(2, 3000)} | {k: rng.randrange(3000, k) for k in range(3001, 3400)} | {5000: 4990}
+    ids = [k for k in range(3500)] + [5000]
+    name = (lambda k: k) if kind == "long" else (lambda k: f"{k:05d}")
+    edges = spark.createDataFrame([(name(c), name(p)) for c, p in up.items()], f"child {kind}, parent {kind}")
+    nodes = spark.createDataFrame([(name(k),) for k in ids], f"id {kind}")
+    monkeypatch.setattr(shared, "fresh_path", lambda _spark, what: f"{tmp_path}/{what}-{len(made) + 1}")
+    made, stored = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda *a, **b: made.append(stored(*a, **b)) or made[-1])
+    got = {r["id"]: r["root"] for r in graph.roots(nodes, edges).collect()}
+    top = {}
+    for k in ids:
+        top[k] = top.get(up[k], up[k]) if k in up else k
+    assert got == {name(k): name(v) for k, v in top.items()}
+    assert len(os.listdir(tmp_path)) == 1 and len(made) <= 6  # a round for each doubling of 1,500 made twelve tables that stayed
+
+
 def test_canonical_dedup(spark):
     rows = [("1", 5, "Hello, World and more"), ("2", 4, "hello world  AND more"), ("3", 6, "short!"), ("4", 7, "short"), ("1", 9, "another text of this id")]
     df = spark.createDataFrame(rows, "id string, created_utc long, text string")
