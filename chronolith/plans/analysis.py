@@ -124,9 +124,10 @@ def forest_components(spark: SparkSession, sf_dir: str) -> DataFrame:
       count(distinct family) as families from m group by root having count(*) >= 3""",
 )
 def component_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lab = _labelled(spark, sf_dir, _edges(spark, sf_dir)).join(vectors(spark, sf_dir).select("id", "family"), "id")
+    labels = _labelled(spark, sf_dir, _edges(spark, sf_dir))
+    lab = labels.join(vectors(spark, sf_dir).select("id", "family"), "id")
     made = lab.groupBy("root").agg(F.count("*").alias("size"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.countDistinct("family").alias("families")).filter("size >= 3")
-    early = lab.withColumn("rn", F.row_number().over(stats.Window.partitionBy("root").orderBy("id"))).filter("rn <= 3").groupBy("root").agg(F.array_join(F.sort_array(F.collect_list("id")).cast("array<string>"), ",").alias("early"))
+    early = labels.withColumn("rn", F.row_number().over(stats.Window.partitionBy("root").orderBy("id"))).filter("rn <= 3").groupBy("root").agg(F.array_join(F.sort_array(F.collect_list("id")).cast("array<string>"), ",").alias("early"))
     return made.join(early, "root")
 
 
