@@ -77,12 +77,16 @@ def induced(edges: DataFrame, keep: DataFrame) -> DataFrame:
 
 
 def faults(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row of counts that must all be 0: repeated ids, ends that are no node, links that do not go forward."""
-    repeated = nodes.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").agg(F.count("*").alias("repeated"))
-    ends = edges.select(F.col("child").alias("id")).union(edges.select("parent"))
-    lost = ends.join(nodes.select("id"), "id", "left_anti").agg(F.count("*").alias("dangling"))
-    back = edges.filter("parent >= child").agg(F.count("*").alias("backward"))
-    return repeated.crossJoin(lost).crossJoin(back)  # three single rows
+    """One row of counts that must all be 0: repeated ids, ends that are no node, links that do not go forward.
+
+    Ids and ends are counted together, those of one task before they are sent; an end without an id is no node.
+    """
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    seen = nodes.select("id", one.alias("node"), none.alias("end"), none.alias("back"))
+    ends = F.inline(F.array(F.struct(F.col("child").alias("id"), none.alias("node"), one.alias("end"), F.coalesce((F.col("parent") >= F.col("child")).cast("long"), none).alias("back")), F.struct(F.col("parent").alias("id"), none.alias("node"), one.alias("end"), none.alias("back"))))
+    each = seen.unionByName(edges.select(ends)).groupBy("id").agg(*[F.sum(c).alias(c) for c in ("node", "end", "back")])
+    lost = F.when(F.col("id").isNull() | (F.col("node") == 0), F.col("end")).otherwise(0)
+    return each.agg(F.count_if(F.col("node") > 1).alias("repeated"), *[F.coalesce(F.sum(c), none).alias(n) for c, n in ((lost, "dangling"), (F.col("back"), "backward"))])
 
 
 def graphml_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import contextlib
+import io
 import math
 import os
 import random
@@ -93,6 +95,18 @@ def test_long_chains_take_few_tables(spark, monkeypatch, tmp_path, kind):
     assert len(os.listdir(tmp_path)) == 1 and len(made) <= 6  # a round for each doubling of 1,500 made twelve tables that stayed
 
 
+def test_faults_are_counted_in_one_pass(spark):
+    nodes = spark.createDataFrame([(1,), (2,), (2,), (3,), (3,), (3,), (None,)], "id long")
+    edges = spark.createDataFrame([(2, 1), (1, 2), (3, 3), (3, 9), (9, 3), (9, 8), (None, 1)], "child long, parent long")
+    made = graph.faults(nodes, edges)
+    assert made.first().asDict() == {"repeated": 2, "dangling": 5, "backward": 3}
+    assert graph.faults(nodes.limit(0), edges.limit(0)).first().asDict() == {"repeated": 0, "dangling": 0, "backward": 0}
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        made.explain()
+    plan = out.getvalue().split("Initial Plan")[-1]
+    assert plan.count("hashpartitioning") == 1 and "Join" not in plan  # three passes shuffled ids twice and ends once
+
+
 def test_canonical_dedup(spark):
     rows = [("1", 5, "Hello, World and more"), ("2", 4, "hello world  AND more"), ("3", 6, "short!"), ("4", 7, "short"), ("1", 9, "another text of this id")]
     df = spark.createDataFrame(rows, "id string, created_utc long, text string")
