@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronolith.functions import text as T
 from chronolith.functions.vectors import divergence
-from chronolith.operators import graph, neighbors, phrases, scoring, stats
+from chronolith.operators import graph, methods, neighbors, phrases, scoring, stats
 from chronolith.operators.quantiles import quantiles
 from chronolith.plans.registry import query
 from chronolith.shared import stored
@@ -83,10 +83,8 @@ def _text_links(spark: SparkSession, sf_dir: str, links: DataFrame) -> DataFrame
     select method, count(*) as links, round(avg((fc = fp)::int), 6) as same_family, round(avg(gap), 6) as mean_gap, round(avg(cosine), 6) as mean_cosine from b group by method""",
 )
 def neighbor_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = vectors(spark, sf_dir)
-    lex = neighbors.lexical(neighbors.tfidf(_text_words(spark, sf_dir).join(rows.select("id"), "id", "left_semi"), F.col("ws")))
-    p = graph._written(neighbors.pairs(rows).join(lex, ["child", "parent"], "left").withColumn("lexical", F.coalesce("lexical", F.lit(0.0))))
-    best = neighbors.five_methods(p, gate=20, alpha=0.03, per_year=100.0)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    best = methods.five_methods(vectors(spark, sf_dir), docs, T.word_grams, gate=20, alpha=0.03, per_year=100.0)
     return best.groupBy("method").agg(F.count("*").alias("links"), F.round(F.avg((F.col("family_c") == F.col("family_p")).cast("int")), 6).alias("same_family"), F.round(F.avg("gap"), 6).alias("mean_gap"), F.round(F.avg("cosine"), 6).alias("mean_cosine"))
 
 
